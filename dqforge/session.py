@@ -23,6 +23,7 @@ _BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.caseSensitive": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
