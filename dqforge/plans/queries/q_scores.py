@@ -153,11 +153,11 @@ def overall_quality_app_orders(spark, sf):
 # ------------------------------------------------------------ H6 ----------
 @register("report_quality_orders", "WITH " + PERCOL_SQL + """,
 cells AS (SELECT SUM(total_count) AS cells, SUM(null_count) AS nulls FROM pc)
-SELECT COALESCE(CAST(cells - nulls AS DOUBLE) / NULLIF(cells, 0) * 100, 0.0) AS completeness,
-       (SELECT avg(uniqueness) FROM pc WHERE distinct_count > 0) AS uniqueness,
+SELECT round_even(COALESCE(CAST(cells - nulls AS DOUBLE) / NULLIF(cells, 0) * 100, 0.0), 9) AS completeness,
+       round_even((SELECT avg(uniqueness) FROM pc WHERE distinct_count > 0), 9) AS uniqueness,
        CAST(100.0 AS DOUBLE) AS consistency,
-       (COALESCE(CAST(cells - nulls AS DOUBLE) / NULLIF(cells, 0) * 100, 0.0)
-        + (SELECT avg(uniqueness) FROM pc WHERE distinct_count > 0) + 100.0) / 3 AS overall_score
+       round_even((COALESCE(CAST(cells - nulls AS DOUBLE) / NULLIF(cells, 0) * 100, 0.0)
+        + (SELECT avg(uniqueness) FROM pc WHERE distinct_count > 0) + 100.0) / 3, 9) AS overall_score
 FROM cells""")
 def report_quality_orders(spark, sf):
     df = orders_bands(spark, sf)
