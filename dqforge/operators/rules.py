@@ -310,9 +310,13 @@ def _check_columns(df: DataFrame, rules: list[Rule]) -> None:
         raise KeyError(f"columns not in data: {missing}")
 
 
-def rule_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(seq, total, failed) for every rule, in one scan.  Rules whose input is
-    empty produce no row here; ``evaluate`` fills them with zeros."""
+def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -> DataFrame:
+    """(by..., seq, total, failed) for every rule, in one scan.  Rules whose
+    input is empty produce no row here; ``evaluate`` fills them with zeros.
+
+    ``by`` evaluates the rules separately per group (snapshot, version, day)
+    in the same single job: the group columns just join the grouping keys."""
+    by = list(by or [])
     pred = [(i, r) for i, r in enumerate(rules) if not r.is_group]
     grp = [(i, r) for i, r in enumerate(rules) if r.is_group]
 
@@ -330,13 +334,13 @@ def rule_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
             tot = sums.get(f"_dqt{i}", F.col(total_col))
             items.append(F.struct(F.lit(i).alias("seq"), tot.cast("long").alias("total"),
                                   sums[f"_dqf{i}"].cast("long").alias("failed")))
-        return src.select(F.inline(F.array(*items)))
+        return src.select(*by, F.inline(F.array(*items)))
 
     if not grp:
         # one aggregate over the whole input; partial agg on every map task
         aggs = [F.count(F.lit(1)).alias("_dqn")]
         aggs += [F.sum(e).alias(n) for n, e in flag_exprs.items()]
-        one = df.agg(*aggs)
+        one = df.groupBy(*by).agg(*aggs)
         return long_rows(one, "_dqn", {n: F.col(n) for n in flag_exprs})
 
     # distinct key columns over all uniqueness rules, one typed field each
@@ -361,10 +365,10 @@ def rule_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
     if pred:
         records.append(record(-1, (), True))
     records += [record(i, r.columns, False) for i, r in grp]
-    exploded = df.select(F.inline(F.array(*records)))
+    exploded = df.select(*by, F.inline(F.array(*records)))
 
     kf = [key_field[c] for c in key_cols]
-    stage1 = exploded.groupBy("_dqr", *kf).agg(
+    stage1 = exploded.groupBy(*by, "_dqr", *kf).agg(
         F.count(F.lit(1)).alias("_dqn"), *[F.sum(n).alias(n) for n in flag_exprs])
 
     # A single-column rule never fails on NULL; N4: combinations do
@@ -375,8 +379,8 @@ def rule_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
             cond = F.when(F.col("_dqr") == i, e) if cond is None else cond.when(
                 F.col("_dqr") == i, e)
     counts_dup = F.lit(True) if cond is None else cond.otherwise(F.lit(True))
-    dup =F.when((F.col("_dqn") > 1) & counts_dup, F.col("_dqn")).otherwise(F.lit(0))
-    stage2 = stage1.groupBy("_dqr").agg(
+    dup = F.when((F.col("_dqn") > 1) & counts_dup, F.col("_dqn")).otherwise(F.lit(0))
+    stage2 = stage1.groupBy(*by, "_dqr").agg(
         F.sum("_dqn").alias("_dqrows"), F.sum(dup).alias("_dqdup"),
         *[F.sum(n).alias(n) for n in flag_exprs])
 
@@ -392,30 +396,37 @@ def rule_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
         arr = F.when(F.col("_dqr") == -1, F.array(*items)).otherwise(group_item)
     else:
         arr = group_item
-    return stage2.select(F.inline(arr))
+    return stage2.select(*by, F.inline(arr))
 
 
-def evaluate(df: DataFrame, rules: list[Rule], normalize: bool = True) -> DataFrame:
+def evaluate(df: DataFrame, rules: list[Rule], normalize: bool = True,
+             by: list[str] | None = None) -> DataFrame:
     """The rule-result table.
 
-    Columns: ``seq, column, rule, total, passed, failed, success_rate, details``.
-    ``success_rate`` is ``100 * passed / total`` and 0.0 for an empty input.
+    Columns: ``[by...,] seq, column, rule, total, passed, failed, success_rate,
+    details``.  ``success_rate`` is ``100 * passed / total`` and 0.0 for an
+    empty input.  With ``by``, one result set per group, from the same scan.
     """
+    by = list(by or [])
     rules = list(rules)
     if not rules:
         raise ValueError("no rules to evaluate")
     _check_columns(df, rules)
-    used = sorted({c for r in rules for c in r.columns})
+    used = sorted({c for r in rules for c in r.columns} | set(by))
     src = df.select(*used)
     if normalize:
-        src = P.normalize_nan(src)
-    counts = rule_counts(src, rules)
+        src = P.normalize_nan(src, [c for c in used if c not in by])
+    counts = rule_counts(src, rules, by)
     meta = _meta(df.sparkSession, rules)
-    out = meta.join(F.broadcast(counts), "seq", "left")  # both sides ~#rules rows
+    if by:
+        # every group with rows yields every rule; meta is ~#rules rows
+        out = counts.join(F.broadcast(meta), "seq")
+    else:
+        out = meta.join(F.broadcast(counts), "seq", "left")  # both sides ~#rules rows
     total = F.coalesce(F.col("total"), F.lit(0)).cast("long")
     failed = F.coalesce(F.col("failed"), F.lit(0)).cast("long")
     return out.select(
-        "seq", "column", "rule",
+        *by, "seq", "column", "rule",
         total.alias("total"), (total - failed).alias("passed"), failed.alias("failed"),
         success_rate(total - failed, total).alias("success_rate"),
         "details",

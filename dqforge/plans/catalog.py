@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_rules", "q_rowflags", "q_profile", "q_scores", "q_similarity"]
+_MODULES = ["q_rules", "q_rowflags", "q_profile", "q_scores", "q_similarity", "q_history"]
 
 
 def _load():
