@@ -250,6 +250,13 @@ def _failed_and_total(df: DataFrame, rule: Rule) -> tuple[Column, Column | None]
     if k == "not_null":
         return c.isNull(), None
     if k == "in_set":
+        member = p.get("_member_col")
+        if member:
+            # large set: membership came from a broadcast join (see ``_join_large_sets``)
+            ok = F.col(member).isNotNull()
+            if any(P._is_null_value(v) for v in p["allowed_values"]):
+                ok = ok | c.isNull()
+            return ~ok, None
         return ~P.scored(P.in_set(c, p["allowed_values"])), None
     if k == "regex":
         return ~P.scored(P.regex_match(c, p["pattern"])), None
@@ -299,6 +306,32 @@ def _failed_and_total(df: DataFrame, rule: Rule) -> tuple[Column, Column | None]
     raise ValueError(f"unknown rule kind {k!r}")
 
 
+LARGE_SET = 10_000
+
+
+def _join_large_sets(src: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[Rule]]:
+    """Allowed sets above ``LARGE_SET`` values become a broadcast left join
+    against the (de-duplicated) value list instead of a huge ``IN`` literal.
+    The broadcast side is exactly the user's list: its size is known here."""
+    out = []
+    for i, r in enumerate(rules):
+        vals = r.params.get("allowed_values") if r.kind == "in_set" else None
+        if vals is None or len(vals) <= LARGE_SET:
+            out.append(r)
+            continue
+        col = r.columns[0]
+        dt = P.column_type(src, col)
+        uniq = sorted({v for v in vals if not P._is_null_value(v)}, key=repr)
+        name = f"_dqm{i}"
+        lookup = src.sparkSession.createDataFrame([(v,) for v in uniq], ["_dqv"]) \
+            .select(F.col("_dqv").cast(dt).alias(f"{name}_v")).distinct() \
+            .withColumn(name, F.lit(True))
+        src = src.join(F.broadcast(lookup), src[col] == F.col(f"{name}_v"), "left") \
+            .drop(f"{name}_v")
+        out.append(Rule(r.kind, r.columns, {**r.params, "_member_col": name}))
+    return src, out
+
+
 def _meta(spark, rules: list[Rule]) -> DataFrame:
     rows = [(i, r.column_label, r.label, r.details) for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, RESULT_SCHEMA)
@@ -416,6 +449,7 @@ def evaluate(df: DataFrame, rules: list[Rule], normalize: bool = True,
     src = df.select(*used)
     if normalize:
         src = P.normalize_nan(src, [c for c in used if c not in by])
+    src, rules = _join_large_sets(src, rules)
     counts = rule_counts(src, rules, by)
     meta = _meta(df.sparkSession, rules)
     if by:
@@ -436,3 +470,22 @@ def evaluate(df: DataFrame, rules: list[Rule], normalize: bool = True,
 def success_rate(passed: Column, total: Column) -> Column:
     """``100 * passed / total``; 0.0 (not NULL, no error) when total is 0."""
     return F.coalesce(F.try_divide(passed, total) * F.lit(100), F.lit(0.0))
+
+
+def pattern_preview(df: DataFrame, column: str, pattern: str, samples: int = 5,
+                    order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Match rate over the non-null values, and the first ``samples``
+    non-null values (by ``order_by``, else by value) with their match flag.
+
+    Returns ``(rate_row, sample_rows)``; the sample is a top-k (the feature),
+    cut to ``samples`` rows per task before the final merge."""
+    c = F.col(column)
+    m = P.regex_match(c, pattern)
+    rate = df.agg(F.count_if(c.isNotNull() & F.coalesce(m, F.lit(False))).alias("matching"),
+                  F.count(c).alias("total_non_null"))
+    rate = rate.select(F.lit(column).alias("column"), "matching", "total_non_null",
+                       success_rate(F.col("matching"), F.col("total_non_null")).alias("match_rate"))
+    key = F.col(order_by) if order_by else c
+    samp = (df.filter(c.isNotNull()).orderBy(key).limit(samples)
+            .select(c.cast("string").alias("value"), F.coalesce(m, F.lit(False)).alias("matches")))
+    return rate, samp
