@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions import predicates as P
+from ..functions.ordered import ordered_mean
 from .profile import ColumnInfo, _as_text, label_c
 
 r1 = lambda c: F.bround(c, 1)  # noqa: E731 - presentation rounding
@@ -111,8 +112,13 @@ def snapshot_table(records: DataFrame, schema: DataFrame) -> DataFrame:
         r1(F.coalesce(F.try_divide(F.col("total") - F.col("nulls"), F.col("total")) * 100,
                       F.lit(0.0))).alias("c"),
         r1(F.coalesce(F.try_divide(F.col("distinct"), F.col("total")) * 100, F.lit(0.0))).alias("u"))
+    # per-column scores are averaged in column order (see functions.ordered)
+    percol = percol.join(F.broadcast(schema.select("seq", "column", "ordinal")), ["seq", "column"],
+                         "left")
+    o = F.col("ordinal")
     per = percol.groupBy("seq").agg(
-        F.max("total").alias("row_count"), F.avg("c").alias("_c"), F.avg("u").alias("_u"),
+        F.max("total").alias("row_count"), ordered_mean(F.col("c"), o).alias("_c"),
+        ordered_mean(F.col("u"), o).alias("_u"),
         F.sum("nulls").alias("null_cells"))
     names = schema.groupBy("seq", "snapshot").agg(F.count(F.lit(1)).alias("column_count"))
     j = names.join(per, "seq", "left")
@@ -237,7 +243,7 @@ def field_statistics_json(stats: DataFrame) -> DataFrame:
 
 def tracking_entries(results_by: DataFrame, snapshots: DataFrame, fingerprints: DataFrame,
                      dataset_name: str, timestamps: DataFrame | None = None,
-                     field_json: DataFrame | None = None) -> DataFrame:
+                     field_json: DataFrame | None = None, rule_order: str = "rule_seq") -> DataFrame:
     """One tracking entry per snapshot/version (``seq``).
 
     ``results_by`` is ``evaluate(..., by=["seq"])``; the score is the average
@@ -246,7 +252,8 @@ def tracking_entries(results_by: DataFrame, snapshots: DataFrame, fingerprints:
     v = results_by.groupBy("seq").agg(
         F.count(F.lit(1)).alias("total_validations"),
         F.count_if(F.col("success_rate") >= K.PASSED_RULE_RATE).alias("passed_validations"),
-        F.avg("success_rate").alias("_score"))
+        (ordered_mean(F.col("success_rate"), F.col(rule_order)) if rule_order in results_by.columns
+         else F.avg("success_rate")).alias("_score"))
     j = snapshots.join(v, "seq", "left").join(fingerprints, "seq", "left")
     if timestamps is not None:
         j = j.join(timestamps, "seq", "left")

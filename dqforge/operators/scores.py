@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.bands import health_status, rule_description, rule_title
+from ..functions.ordered import ordered_mean
 
 BAR_COLORS = [(90, "#28a745"), (75, "#17a2b8"), (50, "#ffc107")]  # fixed values
 BAR_COLOR_FLOOR = "#dc3545"
@@ -89,7 +90,9 @@ def overall_quality(profile: DataFrame, consistency: str = "consistency_standard
     columns of the per-column scores rounded to 1 dp; combined = mean of the
     three means; all four rounded to 1 dp.  0 with no columns."""
     c, u, k = r1(F.col("completeness")), r1(F.col("uniqueness")), r1(F.col(consistency))
-    agg = profile.agg(F.avg(c).alias("_c"), F.avg(u).alias("_u"), F.avg(k).alias("_k"))
+    o = F.col("ordinal")
+    agg = profile.agg(ordered_mean(c, o).alias("_c"), ordered_mean(u, o).alias("_u"),
+                      ordered_mean(k, o).alias("_k"))
     z = lambda x: F.coalesce(F.col(x), F.lit(0.0))
     return agg.select(r1(z("_c")).alias("completeness"), r1(z("_u")).alias("uniqueness"),
                       r1(z("_k")).alias("consistency"),
@@ -100,8 +103,9 @@ def report_quality(profile: DataFrame, metrics: DataFrame) -> DataFrame:
     """H6: cell completeness, uniqueness over columns holding a value, K3 and
     their mean (unrounded)."""
     u = profile.agg(
-        F.avg(F.when(F.col("distinct_count") > 0, F.col("uniqueness"))).alias("_u"),
-        F.avg(F.col("consistency_type_share")).alias("_k"))
+        ordered_mean(F.when(F.col("distinct_count") > 0, F.col("uniqueness")), F.col("ordinal"))
+        .alias("_u"),
+        ordered_mean(F.col("consistency_type_share"), F.col("ordinal")).alias("_k"))
     j = metrics.select("cell_completeness").crossJoin(u)  # 1 x 1 rows
     uu = F.coalesce(F.col("_u"), F.lit(0.0))
     kk = F.coalesce(F.col("_k"), F.lit(100.0))
@@ -143,19 +147,26 @@ def rule_health_distribution(results: DataFrame, digits: int = 1) -> DataFrame:
 
 def overall_health(results: DataFrame) -> DataFrame:
     """H4: mean success rate (0 with no rules), rounded to 1 dp, and its band."""
-    agg = results.agg(F.coalesce(F.avg("success_rate"), F.lit(0.0)).alias("_h"),
+    agg = results.agg(F.coalesce(_rule_mean(results), F.lit(0.0)).alias("_h"),
                       F.count(F.lit(1)).alias("total_rules_executed"))
     return agg.select("total_rules_executed", r1(F.col("_h")).alias("overall_health_score"),
                       health_status(F.col("_h")).alias("overall_health_status"))
 
 
+def _rule_mean(results: DataFrame) -> Column:
+    """Mean success rate, added in rule order when the results carry it."""
+    if "seq" in results.columns:
+        return ordered_mean(F.col("success_rate"), F.col("seq"))
+    return F.avg("success_rate")
+
+
 def validation_summary(results: DataFrame) -> DataFrame:
     """H9: rules run, rules with rate >= 90 and the average rate (100.0 with
     no rules, as the tracking entry reports it)."""
     return results.agg(
         F.count(F.lit(1)).alias("total_validations"),
         F.count_if(F.col("success_rate") >= K.PASSED_RULE_RATE).alias("passed_validations"),
-        F.coalesce(F.avg("success_rate"), F.lit(100.0)).alias("avg_success_rate"))
+        F.coalesce(_rule_mean(results), F.lit(100.0)).alias("avg_success_rate"))
 
 
 def rule_groups(results: DataFrame) -> DataFrame:
