@@ -7,12 +7,12 @@ never larger than the number of distinct values:
 
 * counts, nulls, distincts, min/max, mean, mode, samples, text measures
   (one ``groupBy(ci)``, partial aggregation);
-* standard deviation and length deviation (second pass over the table with
-  the per-column means broadcast: at most one row per column);
+* standard deviation, length deviation and IQR outliers (second pass over
+  the table with per-column means and quartile bounds broadcast: one row per
+  column);
 * exact median and quartiles (``functions.quantile``);
-* IQR outliers (third pass, quartile bounds broadcast).
 
-Within one query plan the frequency exchange is computed once and reused.
+The frequency table is materialised once (see ``profile(materialize=...)``).
 """
 
 from __future__ import annotations
@@ -196,17 +196,30 @@ def _meta_df(spark, infos: list[ColumnInfo]) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = True,
-            sample_values: int = K.SAMPLE_VALUES) -> DataFrame:
+            sample_values: int = K.SAMPLE_VALUES, materialize: str = "checkpoint") -> DataFrame:
     """One row per column with counts, statistics, labels and consistency scores.
 
     Scores are unrounded doubles (0-100); presentation rounding is left to the
     caller (``bround``).  Text measures use the whole column.
+
+    The frequency table feeds five aggregates.  ``materialize`` decides how it
+    is shared: ``"checkpoint"`` (default) writes it once to the session's
+    checkpoint folder -- one scan of the input, lineage cut, survives lost
+    executors -- and runs that job now; ``"persist"`` caches it (memory and
+    disk) until the caller unpersists; ``"none"`` leaves sharing to the plan.
     """
     src = P.normalize_nan(df) if normalize else df
     infos = columns_info(src, columns)
     spark = src.sparkSession
     meta = _meta_df(spark, infos)
     freq = _typed_values(frequency_table(src.select(*[i.name for i in infos]), infos), infos)
+    if materialize == "checkpoint":
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        freq = freq.checkpoint(eager=True)
+    elif materialize == "persist":
+        from pyspark import StorageLevel
+        freq = freq.persist(StorageLevel.MEMORY_AND_DISK)
 
     v, cnt, vn, vt = F.col("v"), F.col("cnt"), F.col("vn"), F.col("vt")
     nn = v.isNotNull()
@@ -240,14 +253,6 @@ def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = T
         F.bool_and(F.when(nn, F.lower(text).isin(K.BOOLEAN_TEXT_VALUES))).alias("_boolish"),
     )
 
-    # second pass: spread around the means (std, length deviation)
-    means = stats.select("ci", "mean", "_len_mean")
-    spread = (freq.join(F.broadcast(means), "ci")
-              .groupBy("ci").agg(
-                  F.sum(cnt * (vn - F.col("mean")) * (vn - F.col("mean"))).alias("_ss"),
-                  wsum(F.abs(F.length(text) - F.col("_len_mean"))
-                       > F.col("_len_mean") * K.LENGTH_DEVIATION_SHARE).alias("_len_dev")))
-
     # exact quartiles of numbers and medians of datetimes
     qsrc = freq.select("ci", F.coalesce(vn, vt.cast("double")).alias("qv"), "cnt")
     quants = exact_quantiles(qsrc, ["ci"], "qv", "cnt", [0.25, 0.5, 0.75])
@@ -256,13 +261,19 @@ def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = T
         F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
         F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
 
-    # third pass: IQR outliers
-    bounds = qwide.select(
+    # second pass, with the per-column means and IQR bounds broadcast (one row
+    # per column): spread around the means (std, length deviation) and outliers
+    per_col = stats.select("ci", "mean", "_len_mean").join(qwide.select(
         "ci",
         (F.col("q1") - K.IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("_lo"),
-        (F.col("q3") + K.IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    outl = (freq.filter(vn.isNotNull()).join(F.broadcast(bounds), "ci")
-            .groupBy("ci").agg(wsum((vn < F.col("_lo")) | (vn > F.col("_hi"))).alias("outliers")))
+        (F.col("q3") + K.IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("_hi")), "ci", "left")
+    second = (freq.join(F.broadcast(per_col), "ci")
+              .groupBy("ci").agg(
+                  F.sum(cnt * (vn - F.col("mean")) * (vn - F.col("mean"))).alias("_ss"),
+                  wsum(F.abs(F.length(text) - F.col("_len_mean"))
+                       > F.col("_len_mean") * K.LENGTH_DEVIATION_SHARE).alias("_len_dev"),
+                  wsum(vn.isNotNull() & ((vn < F.col("_lo")) | (vn > F.col("_hi"))))
+                  .alias("outliers")))
 
     # First distinct values in value order (numbers numerically)
     w = Window.partitionBy("ci").orderBy(vn.asc_nulls_last(), vt.asc_nulls_last(), v)
@@ -272,9 +283,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = T
                                   .alias("_samp")))
 
     joined = (meta.join(stats, meta.ordinal == stats.ci, "left").drop("ci")
-              .join(spread.withColumnRenamed("ci", "_ci2"), F.col("ordinal") == F.col("_ci2"), "left")
+              .join(second.withColumnRenamed("ci", "_ci2"), F.col("ordinal") == F.col("_ci2"), "left")
               .join(qwide.withColumnRenamed("ci", "_ci3"), F.col("ordinal") == F.col("_ci3"), "left")
-              .join(outl.withColumnRenamed("ci", "_ci4"), F.col("ordinal") == F.col("_ci4"), "left")
               .join(samples.withColumnRenamed("ci", "_ci5"), F.col("ordinal") == F.col("_ci5"), "left"))
     return _finish(joined)
 
