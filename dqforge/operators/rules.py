@@ -385,13 +385,30 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
     key_field = {c: f"_dqk{j}" for j, c in enumerate(key_cols)}
     key_type = {c: P.column_type(df, c) for c in key_cols}
 
+    # The per-row predicate outcomes are packed into bit words that join the
+    # grouping key: stage 1 is then a plain count (a handful of distinct bit
+    # patterns for the predicate record) and the bits are unpacked in the
+    # small stage 2.  Keeping one sum buffer per flag in every key group
+    # instead would widen the hash map for all the uniqueness keys.
+    names = list(flag_exprs)
+    word_of = {n: (j // 62, j % 62) for j, n in enumerate(names)}
+    n_words = (len(names) + 61) // 62
+    words = []
+    for w in range(n_words):
+        terms = [F.shiftleft(flag_exprs[n].cast("long"), b) for n, (ww, b) in word_of.items()
+                 if ww == w]
+        acc = terms[0]
+        for t in terms[1:]:
+            acc = acc + t
+        words.append(acc)
+
     def record(rule_id: int, keys: tuple, with_flags: bool) -> Column:
         parts = [F.lit(rule_id).alias("_dqr")]
         for c in key_cols:
             v = F.col(c) if c in keys else F.lit(None).cast(key_type[c])
             parts.append(v.alias(key_field[c]))
-        for n, e in flag_exprs.items():
-            parts.append((e if with_flags else F.lit(None).cast("int")).alias(n))
+        for w in range(n_words):
+            parts.append((words[w] if with_flags else F.lit(None).cast("long")).alias(f"_dqb{w}"))
         return F.struct(*parts)
 
     records = []
@@ -401,8 +418,13 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
     exploded = df.select(*by, F.inline(F.array(*records)))
 
     kf = [key_field[c] for c in key_cols]
-    stage1 = exploded.groupBy(*by, "_dqr", *kf).agg(
-        F.count(F.lit(1)).alias("_dqn"), *[F.sum(n).alias(n) for n in flag_exprs])
+    bw = [f"_dqb{w}" for w in range(n_words)]
+    stage1 = exploded.groupBy(*by, "_dqr", *kf, *bw).agg(F.count(F.lit(1)).alias("_dqn"))
+
+    def unpacked(n: str) -> Column:
+        w, b = word_of[n]
+        hit = F.col(f"_dqb{w}").bitwiseAND(F.lit(1 << b)) != 0
+        return F.when(hit, F.col("_dqn")).otherwise(F.lit(0))
 
     # A single-column rule never fails on NULL; N4: combinations do
     cond = None
@@ -415,7 +437,7 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
     dup = F.when((F.col("_dqn") > 1) & counts_dup, F.col("_dqn")).otherwise(F.lit(0))
     stage2 = stage1.groupBy(*by, "_dqr").agg(
         F.sum("_dqn").alias("_dqrows"), F.sum(dup).alias("_dqdup"),
-        *[F.sum(n).alias(n) for n in flag_exprs])
+        *[F.sum(unpacked(n)).alias(n) for n in flag_exprs])
 
     group_item = F.array(F.struct(F.col("_dqr").alias("seq"),
                                   F.col("_dqrows").cast("long").alias("total"),
