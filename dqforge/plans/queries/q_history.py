@@ -12,6 +12,7 @@ from ...operators import history as HI
 from ...operators.rules import evaluate, expect_column_values_to_be_in_set, \
     expect_column_values_to_be_unique, expect_column_values_to_not_be_null
 from ...sources.tables import table
+from . import sql_twins as TW
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -119,19 +120,19 @@ def schema_diff_orders(spark, sf):
     return HI.schema_diff(schema, 1996, 2000)
 
 
-@register("type_pivot_orders")
+@register("type_pivot_orders", TW.TYPE_PIVOT_ORDERS)
 def type_pivot_orders(spark, sf):
     _, _, schema = snapshots(spark, sf)
     return HI.type_pivot(schema, ["Integer", "Decimal", "Text/String"])
 
 
-@register("snapshot_types_orders")
+@register("snapshot_types_orders", TW.SNAPSHOT_TYPES_ORDERS)
 def snapshot_types_orders(spark, sf):
     _, _, schema = snapshots(spark, sf)
     return HI.snapshot_type_distribution(schema)
 
 
-@register("schema_fingerprint_orders")
+@register("schema_fingerprint_orders", TW.SCHEMA_FINGERPRINT_ORDERS)
 def schema_fingerprint_orders(spark, sf):
     _, _, schema = snapshots(spark, sf)
     return HI.schema_fingerprint(schema)
@@ -262,7 +263,7 @@ def field_statistics_orders(spark, sf):
                                           "o_totalprice")).drop("data_type")
 
 
-@register("field_diff_orders")
+@register("field_diff_orders", TW.field_diff_orders(YEARS_SQL.split(",\npc AS")[0].strip()))
 def field_diff_orders(spark, sf):
     return HI.field_diff(history(spark, sf), "v1996", "v2000")
 

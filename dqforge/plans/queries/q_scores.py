@@ -10,6 +10,8 @@ from ...operators import scores as S
 from ...operators.rules import evaluate
 from ...plans import snapshot as SN
 from ...sources.tables import table
+from . import sql_twins as TW
+from .sql_twin_fields import field_summary_sql
 from .q_rules import FLAGSHIP_RULES, FLAGSHIP_SQL, lineitem_nulls
 
 QUERIES: dict = {}
@@ -181,23 +183,24 @@ def field_order_orders(spark, sf):
 
 
 # ------------------------------------------------- G14-G18 (rows) ---------
-@register("type_labels_lineitem")
+@register("type_labels_lineitem", TW.TYPE_LABELS_LINEITEM)
 def type_labels_lineitem(spark, sf):
     p = PR.profile(table(spark, sf, "lineitem"))
     return p.select("column", "spark_type", "data_type", "data_type_b", "data_type_c")
 
 
-@register("type_distribution_orders")
+@register("type_distribution_orders",
+          TW.type_distribution(BANDS_SQL.strip(), "o", TEXTS, describe="orders"))
 def type_distribution_orders(spark, sf):
     return S.type_distribution(bands_profile(spark, sf))
 
 
-@register("type_distribution_app_lineitem")
+@register("type_distribution_app_lineitem", TW.TYPE_DISTRIBUTION_APP_LINEITEM)
 def type_distribution_app_lineitem(spark, sf):
     return S.type_distribution(PR.profile(table(spark, sf, "lineitem")), label="data_type_c")
 
 
-@register("numeric_and_text_columns_lineitem")
+@register("numeric_and_text_columns_lineitem", TW.NUMERIC_AND_TEXT_LINEITEM)
 def numeric_and_text_columns_lineitem(spark, sf):
     li = table(spark, sf, "lineitem")
     rows = [(c, "numeric") for c in PR.numeric_columns(li)] + [(c, "text") for c in PR.text_columns(li)]
@@ -268,9 +271,11 @@ def rule_groups_lineitem(spark, sf):
                     "rules", F.bround("avg_success_rate", 9).alias("avg_success_rate"), "failed")
 
 
-@register("rule_descriptions_lineitem")
+@register("rule_descriptions_lineitem", TW.rule_descriptions(RES_SQL))
 def rule_descriptions_lineitem(spark, sf):
-    return S.rule_groups(evaluate(lineitem_nulls(spark, sf), FLAGSHIP_RULES))
+    g = S.rule_groups(evaluate(lineitem_nulls(spark, sf), FLAGSHIP_RULES))
+    return g.select("rule", "description", "rules",
+                    F.bround("avg_success_rate", 9).alias("avg_success_rate"), "failed")
 
 
 # ---------------------------------------------------- H15, H16, H17 -------
@@ -313,7 +318,10 @@ def critical_averages_orders(spark, sf):
                        "critical_elements_count", "other_fields_count")
 
 
-@register("field_summary_orders")
+@register("field_summary_orders", field_summary_sql(
+    PERCOL_SQL, NUMS, TEXTS, ["o_orderdate"],
+    {"o_orderkey": "Integer", "o_custkey": "Integer", "o_orderstatus": "Text/String",
+     "o_totalprice": "Decimal", "o_orderdate": "Date/Time", "o_orderpriority": "Text/String"}))
 def field_summary_orders(spark, sf):
     return SN.field_summary(orders_bands(spark, sf), title="orders",
                             dataset_name="orders").drop("timestamp")
