@@ -77,6 +77,28 @@ def suggestion_order(suggestions: DataFrame) -> DataFrame:
     return suggestions.filter("suggested").orderBy(F.desc("score"), "ordinal")
 
 
+def profile_section(profile: DataFrame, section: str = "all",
+                    columns: list[str] | None = None) -> DataFrame:
+    """The profile rows of one section (``critical`` / ``other`` / ``all``),
+    optionally restricted to some columns.  Needs ``is_critical``."""
+    out = profile
+    if section == "critical":
+        out = out.filter(F.col("is_critical"))
+    elif section == "other":
+        out = out.filter(~F.col("is_critical"))
+    if columns:
+        out = out.filter(F.col("column").isin(list(columns)))
+    return out
+
+
+def sort_table(df: DataFrame, column: str, numeric: bool = True, ascending: bool = True) -> DataFrame:
+    """Sort a report table by one column, as numbers (text that is not a
+    number sorts as 0) or as text."""
+    key = F.coalesce(F.col(column).cast("string").try_cast("double"), F.lit(0.0)) if numeric \
+        else F.col(column).cast("string")
+    return df.orderBy(key.asc() if ascending else key.desc())
+
+
 def field_order(profile: DataFrame) -> DataFrame:
     """Critical first, then by rounded completeness desc, stable."""
     return profile.orderBy(F.desc("is_critical"), F.desc(r1(F.col("completeness"))), "ordinal")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_rules", "q_rowflags", "q_profile", "q_scores", "q_similarity", "q_history", "q_io", "q_stream"]
+_MODULES = ["q_rules", "q_rowflags", "q_profile", "q_scores", "q_similarity", "q_history", "q_io", "q_stream",
+            "q_extra"]
 
 
 def _load():
