@@ -134,11 +134,69 @@ def _as_text(ci: ColumnInfo) -> Column:
     return c.cast("string")
 
 
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def _typed_fields(ci: ColumnInfo) -> tuple[Column, Column, Column]:
+    """A value as ``(s, d, l)``: text, double or long -- one is set.  Grouping
+    on typed fields avoids rendering every row as text before aggregation."""
+    c, dt = F.col(ci.name), ci.dtype
+    none_s, none_d, none_l = (F.lit(None).cast("string"), F.lit(None).cast("double"),
+                              F.lit(None).cast("long"))
+    if isinstance(dt, P.INTEGRAL_TYPES):
+        return none_s, none_d, c.cast("long")
+    if isinstance(dt, P.FLOAT_TYPES):
+        return none_s, c.cast("double"), none_l        # grouping folds -0.0 into 0.0
+    if P.is_boolean(dt):
+        return none_s, none_d, c.cast("int").cast("long")
+    if isinstance(dt, T.TimestampType):
+        return none_s, none_d, F.unix_micros(c)
+    if isinstance(dt, (T.TimestampNTZType, T.DateType)):
+        return none_s, none_d, F.timestamp_diff("MICROSECOND", F.expr(_EPOCH),
+                                                c.cast("timestamp_ntz"))
+    return _as_text(ci), none_d, none_l
+
+
+def _render(infos: list[ColumnInfo]) -> tuple[Column, Column, Column]:
+    """After aggregation: the text form ``v`` (as ``cast(value as string)``
+    renders it), ``vn`` (numbers, booleans as 0/1) and ``vt`` (datetimes as
+    microseconds)."""
+    ci, s, d, l = F.col("ci"), F.col("s"), F.col("d"), F.col("l")
+
+    def ids(pred):
+        got = [i.ordinal for i in infos if pred(i)]
+        return ci.isin(got) if got else F.lit(False)
+
+    epoch = F.expr(_EPOCH)
+    ts = F.timestamp_add("MICROSECOND", l, epoch)
+    v = (F.when(ids(lambda i: isinstance(i.dtype, P.INTEGRAL_TYPES)), l.cast("string"))
+         .when(ids(lambda i: isinstance(i.dtype, T.FloatType)), d.cast("float").cast("string"))
+         .when(ids(lambda i: isinstance(i.dtype, T.DoubleType)), d.cast("string"))
+         .when(ids(lambda i: P.is_boolean(i.dtype)),
+               F.when(l == 1, F.lit("true")).when(l == 0, F.lit("false")))
+         .when(ids(lambda i: isinstance(i.dtype, T.TimestampType)), l.cast("string"))
+         .when(ids(lambda i: isinstance(i.dtype, T.TimestampNTZType)), ts.cast("string"))
+         .when(ids(lambda i: isinstance(i.dtype, T.DateType)), ts.cast("date").cast("string"))
+         .otherwise(s))
+    vn = (F.when(ids(lambda i: i.kind == "numeric" and isinstance(i.dtype, T.DecimalType)),
+                 s.cast("double"))
+          .when(ids(lambda i: i.kind in ("numeric", "boolean")), F.coalesce(d, l.cast("double"))))
+    vt = F.when(ids(lambda i: i.kind == "datetime"), l)
+    return v, vn, vt
+
+
 def frequency_table(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
-    """``(ci, v, cnt)``: occurrences of each value (NULL included) per column."""
-    recs = [F.struct(F.lit(ci.ordinal).alias("ci"), _as_text(ci).alias("v")) for ci in infos]
+    """``(ci, v, cnt, vn, vt)``: occurrences of each value (NULL included) per
+    column, with the value as text, as a number and as a datetime."""
+    recs = []
+    for i in infos:
+        s, d, l = _typed_fields(i)
+        recs.append(F.struct(F.lit(i.ordinal).alias("ci"), s.alias("s"), d.alias("d"),
+                             l.alias("l")))
     exploded = df.select(F.inline(F.array(*recs)))
-    return exploded.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    freq = exploded.groupBy("ci", "s", "d", "l").agg(F.count(F.lit(1)).alias("cnt"))
+    v, vn, vt = _render(infos)
+    return freq.select("ci", v.alias("v"), "cnt", vn.alias("vn"), vt.alias("vt"))
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None,
@@ -153,24 +211,6 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None,
             .select("column", F.col("v").alias("value"), F.col("cnt").alias("count")))
 
 
-def _typed_values(freq: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
-    """Add ``vn`` (numeric value, also booleans as 0/1) and ``vt`` (datetime
-    as microseconds since 1970-01-01 wall time) to the frequency table."""
-    num_ids = [i.ordinal for i in infos if i.kind == "numeric"]
-    bool_ids = [i.ordinal for i in infos if i.kind == "boolean"]
-    ltz_ids = [i.ordinal for i in infos if isinstance(i.dtype, T.TimestampType)]
-    ntz_ids = [i.ordinal for i in infos if isinstance(i.dtype, (T.TimestampNTZType, T.DateType))]
-    ci, v = F.col("ci"), F.col("v")
-    vn = F.when(ci.isin(num_ids) if num_ids else F.lit(False), v.cast("double")) \
-        .when(ci.isin(bool_ids) if bool_ids else F.lit(False),
-              F.when(v == "true", 1.0).when(v == "false", 0.0))
-    epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
-    vt = F.when(ci.isin(ltz_ids) if ltz_ids else F.lit(False), v.cast("long")) \
-        .when(ci.isin(ntz_ids) if ntz_ids else F.lit(False),
-              F.timestamp_diff("MICROSECOND", epoch, v.cast("timestamp_ntz")))
-    return freq.withColumn("vn", vn).withColumn("vt", vt)
-
-
 # --------------------------------------------------------------------------
 # Profile
 # --------------------------------------------------------------------------
@@ -212,7 +252,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = T
     infos = columns_info(src, columns)
     spark = src.sparkSession
     meta = _meta_df(spark, infos)
-    freq = _typed_values(frequency_table(src.select(*[i.name for i in infos]), infos), infos)
+    freq = frequency_table(src.select(*[i.name for i in infos]), infos)
     if materialize == "checkpoint":
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(spark)
@@ -223,7 +263,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = T
 
     v, cnt, vn, vt = F.col("v"), F.col("cnt"), F.col("vn"), F.col("vt")
     nn = v.isNotNull()
-    text = v  # text measures are only kept for text columns (see final select)
+    # text measures (regexes, lengths, case) are evaluated for text columns only
+    text_ids = [i.ordinal for i in infos if i.kind == "text"]
+    text = F.when(F.col("ci").isin(text_ids), v) if text_ids else F.lit(None).cast("string")
     has_at = text.contains("@")
     alpha = text.rlike(ALPHA_PATTERN)
     is_up = alpha & (F.upper(text) == text) & (F.lower(text) != text)
