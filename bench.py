@@ -30,6 +30,7 @@ from dqforge.plans import sqldemo as SQ  # noqa: E402
 from dqforge.plans.queries.q_rules import FLAGSHIP_RULES, lineitem_nulls  # noqa: E402
 from dqforge.plans.scorecard import scorecard  # noqa: E402
 from dqforge.session import get_spark  # noqa: E402
+from dqforge.sources.csv import scratch_dir  # noqa: E402
 from dqforge.sources.generate import synthetic_employees  # noqa: E402
 from dqforge.sources.tables import table  # noqa: E402
 
@@ -62,10 +63,10 @@ def main() -> None:
         return q
 
     def demo_materialised(rows):
-        # query only: the generated table is written once, outside the timing
-        path = f"/tmp/dqforge-bench-emp-{rows}"
-        if not os.path.exists(path):
-            synthetic_employees(spark, rows).write.mode("overwrite").parquet(path)
+        # query only: the generated table is written once, outside the timing,
+        # under the session's checkpoint folder
+        path = scratch_dir(spark, f"bench-emp-{rows}")
+        synthetic_employees(spark, rows).write.mode("overwrite").parquet(path)
 
         def q():
             SQ.register_table(spark.read.parquet(path), "employees")

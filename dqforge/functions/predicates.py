@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import qcol
+
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -57,11 +59,11 @@ def normalize_nan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     changed = False
     for f in df.schema.fields:
         if f.name in wanted and isinstance(f.dataType, FLOAT_TYPES):
-            exprs.append(F.when(F.isnan(F.col(f.name)), F.lit(None).cast(f.dataType))
-                         .otherwise(F.col(f.name)).alias(f.name))
+            exprs.append(F.when(F.isnan(qcol(f.name)), F.lit(None).cast(f.dataType))
+                         .otherwise(qcol(f.name)).alias(f.name))
             changed = True
         else:
-            exprs.append(F.col(f.name))
+            exprs.append(qcol(f.name))
     return df.select(*exprs) if changed else df
 
 

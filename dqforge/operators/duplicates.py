@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dqforge.functions.names import qcol
+
 from ..session import shuffle_partitions
 
 DEFAULT_HOT_THRESHOLD = 1_000_000
@@ -30,7 +32,7 @@ DEFAULT_HOT_THRESHOLD = 1_000_000
 
 def duplicated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys occurring more than once, with their count ``_dq_n``."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_dq_n"))
+    return (df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_dq_n"))
             .filter(F.col("_dq_n") > 1))
 
 
@@ -43,20 +45,20 @@ def mark_duplicates(df: DataFrame, keys: list[str], flag: str = "is_duplicate",
     buckets = buckets or shuffle_partitions(spark)
     dups = duplicated_keys(df, keys)
     hot = dups.filter(F.col("_dq_n") >= hot_threshold).select(
-        *[F.col(k).alias(f"_dqh_{i}") for i, k in enumerate(keys)], F.lit(True).alias("_dq_hot"))
+        *[qcol(k).alias(f"_dqh_{i}") for i, k in enumerate(keys)], F.lit(True).alias("_dq_hot"))
     cold = dups.filter(F.col("_dq_n") < hot_threshold).select(
-        *[F.col(k).alias(f"_dqc_{i}") for i, k in enumerate(keys)],
+        *[qcol(k).alias(f"_dqc_{i}") for i, k in enumerate(keys)],
         F.lit(0).alias("_dqc_salt"), F.lit(True).alias("_dq_cold"))
 
     on_hot = reduce(lambda a, b: a & b,
-                    [F.col(k).eqNullSafe(F.col(f"_dqh_{i}")) for i, k in enumerate(keys)])
+                    [qcol(k).eqNullSafe(qcol(f"_dqh_{i}")) for i, k in enumerate(keys)])
     marked = df.join(F.broadcast(hot), on_hot, "left")
     salt = F.when(F.col("_dq_hot"), (F.floor(F.rand(17) * buckets) + 1).cast("int")) \
         .otherwise(F.lit(0))
     marked = marked.withColumn("_dq_salt", salt)
     on_cold = reduce(lambda a, b: a & b,
-                     [F.col(k).eqNullSafe(F.col(f"_dqc_{i}")) for i, k in enumerate(keys)]
+                     [qcol(k).eqNullSafe(qcol(f"_dqc_{i}")) for i, k in enumerate(keys)]
                      + [F.col("_dq_salt") == F.col("_dqc_salt")])
     joined = marked.join(cold, on_cold, "left")
     out = F.coalesce(F.col("_dq_hot"), F.col("_dq_cold"), F.lit(False)).alias(flag)
-    return joined.select(*[F.col(c) for c in df.columns], out)
+    return joined.select(*[qcol(c) for c in df.columns], out)

@@ -16,6 +16,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from dqforge.functions.names import qcol
 from pyspark.sql import types as T
 
 from ..functions import constants as K
@@ -252,7 +254,7 @@ def tracking_entries(results_by: DataFrame, snapshots: DataFrame, fingerprints:
     v = results_by.groupBy("seq").agg(
         F.count(F.lit(1)).alias("total_validations"),
         F.count_if(F.col("success_rate") >= K.PASSED_RULE_RATE).alias("passed_validations"),
-        (ordered_mean(F.col("success_rate"), F.col(rule_order)) if rule_order in results_by.columns
+        (ordered_mean(F.col("success_rate"), qcol(rule_order)) if rule_order in results_by.columns
          else F.avg("success_rate")).alias("_score"))
     j = snapshots.join(v, "seq", "left").join(fingerprints, "seq", "left")
     if timestamps is not None:

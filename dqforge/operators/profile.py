@@ -21,6 +21,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from dqforge.functions.names import qcol
 from pyspark.sql import types as T
 
 from ..functions import constants as K
@@ -119,7 +121,7 @@ def columns_info(df: DataFrame, columns: list[str] | None = None) -> list[Column
 # Frequency table
 # --------------------------------------------------------------------------
 def _as_text(ci: ColumnInfo) -> Column:
-    c = F.col(ci.name)
+    c = qcol(ci.name)
     dt = ci.dtype
     if isinstance(dt, P.FLOAT_TYPES):
         # -0.0 and 0.0 are one value
@@ -140,7 +142,7 @@ _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 def _typed_fields(ci: ColumnInfo) -> tuple[Column, Column, Column]:
     """A value as ``(s, d, l)``: text, double or long -- one is set.  Grouping
     on typed fields avoids rendering every row as text before aggregation."""
-    c, dt = F.col(ci.name), ci.dtype
+    c, dt = qcol(ci.name), ci.dtype
     none_s, none_d, none_l = (F.lit(None).cast("string"), F.lit(None).cast("double"),
                               F.lit(None).cast("long"))
     if isinstance(dt, P.INTEGRAL_TYPES):
@@ -206,7 +208,7 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None,
     infos = columns_info(src, columns)
     names = src.sparkSession.createDataFrame([(i.ordinal, i.name) for i in infos],
                                              "ci int, column string")
-    freq = frequency_table(src.select(*[i.name for i in infos]), infos)
+    freq = frequency_table(src.select(*[qcol(i.name) for i in infos]), infos)
     return (freq.join(F.broadcast(names), "ci")
             .select("column", F.col("v").alias("value"), F.col("cnt").alias("count")))
 
@@ -252,7 +254,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = T
     infos = columns_info(src, columns)
     spark = src.sparkSession
     meta = _meta_df(spark, infos)
-    freq = frequency_table(src.select(*[i.name for i in infos]), infos)
+    freq = frequency_table(src.select(*[qcol(i.name) for i in infos]), infos)
     if materialize == "checkpoint":
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(spark)
@@ -367,7 +369,7 @@ def _finish(j: DataFrame) -> DataFrame:
     len_issues = F.when((nonnull > K.LENGTH_MIN_SAMPLE) & (F.col("_len_mean") > K.LENGTH_MIN_MEAN),
                         F.col("_len_dev") * K.LENGTH_PENALTY).otherwise(F.lit(0.0))
     alpha_total = F.col("_up") + F.col("_low") + F.col("_title") + F.col("_mixed")
-    used = sum((F.col(c) > 0).cast("int") for c in ("_up", "_low", "_title", "_mixed"))
+    used = sum((qcol(c) > 0).cast("int") for c in ("_up", "_low", "_title", "_mixed"))
     case_issues = F.when((alpha_total > K.CASE_MIN_ALPHA) & (used > K.CASE_MAX_PATTERNS),
                          alpha_total * K.CASE_PENALTY).otherwise(F.lit(0.0))
     text_score2 = F.greatest(F.lit(0.0),
@@ -435,7 +437,7 @@ def top_values(df: DataFrame, column: str, k: int = K.TOP_VALUES_FOR_SETS) -> Da
     A top-k is the feature here: ``orderBy().limit(k)`` keeps ``k`` rows per
     task before the final merge.
     """
-    return (df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull())
+    return (df.select(qcol(column).alias("value")).filter(F.col("value").isNotNull())
             .distinct().orderBy("value").limit(k))
 
 
@@ -447,7 +449,7 @@ def dataset_metrics(df: DataFrame, normalize: bool = True) -> DataFrame:
     src = P.normalize_nan(df) if normalize else df
     ncols = len(src.columns)
     ntypes = len({f.dataType.simpleString() for f in src.schema.fields})
-    nulls = [F.count_if(F.col(c).isNull()) for c in src.columns]
+    nulls = [F.count_if(qcol(c).isNull()) for c in src.columns]
     null_cells = nulls[0] if nulls else F.lit(0)
     for e in nulls[1:]:
         null_cells = null_cells + e

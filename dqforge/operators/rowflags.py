@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dqforge.functions.names import qcol
+
 from ..functions import predicates as P
 from .duplicates import mark_duplicates
 
@@ -33,19 +35,19 @@ def enhanced_dataset(df: DataFrame, config: dict, normalize: bool = True) -> Dat
 
     for c in config.get("not_null", []):
         if c in cols:
-            flags.append((f"{c}_not_null_pass", F.col(c).isNotNull()))
+            flags.append((f"{c}_not_null_pass", qcol(c).isNotNull()))
 
     uniques = [c for c in config.get("unique", []) if c in cols]
     for c in uniques:
         # NULL passes; duplicated non-null values fail (all instances)
         src = mark_duplicates(src, [c], flag=f"_dq_dup_{c}")
-        flags.append((f"{c}_unique_pass", ~F.col(f"_dq_dup_{c}") | F.col(c).isNull()))
+        flags.append((f"{c}_unique_pass", ~qcol(f"_dq_dup_{c}") | qcol(c).isNull()))
 
     for c, (lo, hi) in config.get("ranges", {}).items():
         if c in cols:
             dt = P.column_type(src, c)
             if P.range_comparable(dt, lo, hi):
-                pred = P.flagged(P.in_range(F.col(c), dt, lo, hi), F.col(c))
+                pred = P.flagged(P.in_range(qcol(c), dt, lo, hi), qcol(c))
             else:
                 pred = F.lit(True)
             flags.append((f"{c}_range_pass", pred))
@@ -53,25 +55,25 @@ def enhanced_dataset(df: DataFrame, config: dict, normalize: bool = True) -> Dat
     for c, vals in config.get("allowed_values", {}).items():
         if c in cols and vals:
             flags.append((f"{c}_allowed_values_pass",
-                          P.flagged(P.in_set(F.col(c), vals), F.col(c))))
+                          P.flagged(P.in_set(qcol(c), vals), qcol(c))))
 
     for c, pat in config.get("patterns", {}).items():
         if c in cols and pat:
             try:
                 re.compile(pat)
-                pred = P.flagged(P.regex_match(F.col(c), pat), F.col(c))
+                pred = P.flagged(P.regex_match(qcol(c), pat), qcol(c))
             except re.error:
                 pred = F.lit(True)
             flags.append((f"{c}_pattern_pass", pred))
 
-    base = [F.col(c) for c in df.columns]
+    base = [qcol(c) for c in df.columns]
     if not flags:
         return src.select(*base)
     flag_cols = [e.alias(n) for n, e in flags]
     out = src.select(*base, *flag_cols)
     # Summarise only the flags made here
     names = [n for n, _ in flags]
-    passed = reduce(lambda a, b: a + b, [F.col(n).cast("int") for n in names])
+    passed = reduce(lambda a, b: a + b, [qcol(n).cast("int") for n in names])
     total = F.lit(len(names))
     return out.select(
         "*",
@@ -94,11 +96,11 @@ def filter_rows(enhanced: DataFrame, needle: str | None = None, column: str | No
     if needle:
         low = needle.lower()
         targets = [column] if column else [c for c in enhanced.columns]
-        conds = [F.coalesce(F.lower(F.col(c).cast("string")).contains(low), F.lit(False))
+        conds = [F.coalesce(F.lower(qcol(c).cast("string")).contains(low), F.lit(False))
                  for c in targets]
         out = out.filter(reduce(lambda a, b: a | b, conds))
     if rule_flag is not None and status is not None:
-        out = out.filter(F.col(rule_flag) == F.lit(status))
+        out = out.filter(qcol(rule_flag) == F.lit(status))
     return out
 
 

@@ -22,6 +22,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from dqforge.functions.names import qcol
 from pyspark.sql import types as T
 
 from ..functions import constants as K
@@ -245,7 +247,7 @@ def _failed_and_total(df: DataFrame, rule: Rule) -> tuple[Column, Column | None]
     """Per-row failure flag (boolean, never NULL) and, for date ranges, the
     per-row "counted" flag (``None`` = every row counts)."""
     k, cols, p = rule.kind, rule.columns, rule.params
-    c = F.col(cols[0])
+    c = qcol(cols[0])
     dt = P.column_type(df, cols[0])
     if k == "not_null":
         return c.isNull(), None
@@ -253,7 +255,7 @@ def _failed_and_total(df: DataFrame, rule: Rule) -> tuple[Column, Column | None]
         member = p.get("_member_col")
         if member:
             # large set: membership came from a broadcast join (see ``_join_large_sets``)
-            ok = F.col(member).isNotNull()
+            ok = qcol(member).isNotNull()
             if any(P._is_null_value(v) for v in p["allowed_values"]):
                 ok = ok | c.isNull()
             return ~ok, None
@@ -271,26 +273,26 @@ def _failed_and_total(df: DataFrame, rule: Rule) -> tuple[Column, Column | None]
     if k == "all_not_null":
         bad = F.lit(False)
         for name in cols:
-            bad = bad | F.col(name).isNull()
+            bad = bad | qcol(name).isNull()
         return bad, None
     if k == "all_in_sets":
         bad = F.lit(False)
         for name in cols:
             if name in p["allowed_values"]:
-                bad = bad | ~P.scored(P.in_set(F.col(name), p["allowed_values"][name]))
+                bad = bad | ~P.scored(P.in_set(qcol(name), p["allowed_values"][name]))
         return bad, None
     if k == "all_match":
         bad = F.lit(False)
         for name in cols:
             if name in p["patterns"]:
-                bad = bad | ~P.scored(P.regex_match(F.col(name), p["patterns"][name]))
+                bad = bad | ~P.scored(P.regex_match(qcol(name), p["patterns"][name]))
         return bad, None
     if k == "all_in_ranges":
         bad = F.lit(False)
         for name in cols:
             if name in p["ranges"]:
                 lo, hi = p["ranges"][name]
-                bad = bad | ~P.scored(P.in_range(F.col(name), P.column_type(df, name), lo, hi))
+                bad = bad | ~P.scored(P.in_range(qcol(name), P.column_type(df, name), lo, hi))
         return bad, None
     if k == "is_boolean":
         return ~P.scored(P.looks_boolean(c, dt)), None
@@ -326,7 +328,7 @@ def _join_large_sets(src: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list
         lookup = src.sparkSession.createDataFrame([(v,) for v in uniq], ["_dqv"]) \
             .select(F.col("_dqv").cast(dt).alias(f"{name}_v")).distinct() \
             .withColumn(name, F.lit(True))
-        src = src.join(F.broadcast(lookup), src[col] == F.col(f"{name}_v"), "left") \
+        src = src.join(F.broadcast(lookup), src[col] == qcol(f"{name}_v"), "left") \
             .drop(f"{name}_v")
         out.append(Rule(r.kind, r.columns, {**r.params, "_member_col": name}))
     return src, out
@@ -364,7 +366,7 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
     def long_rows(src: DataFrame, total_col: str, sums: dict) -> DataFrame:
         items = []
         for i, _ in pred:
-            tot = sums.get(f"_dqt{i}", F.col(total_col))
+            tot = sums.get(f"_dqt{i}", qcol(total_col))
             items.append(F.struct(F.lit(i).alias("seq"), tot.cast("long").alias("total"),
                                   sums[f"_dqf{i}"].cast("long").alias("failed")))
         return src.select(*by, F.inline(F.array(*items)))
@@ -374,7 +376,7 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
         aggs = [F.count(F.lit(1)).alias("_dqn")]
         aggs += [F.sum(e).alias(n) for n, e in flag_exprs.items()]
         one = df.groupBy(*by).agg(*aggs)
-        return long_rows(one, "_dqn", {n: F.col(n) for n in flag_exprs})
+        return long_rows(one, "_dqn", {n: qcol(n) for n in flag_exprs})
 
     # distinct key columns over all uniqueness rules, one typed field each
     key_cols: list[str] = []
@@ -405,7 +407,7 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
     def record(rule_id: int, keys: tuple, with_flags: bool) -> Column:
         parts = [F.lit(rule_id).alias("_dqr")]
         for c in key_cols:
-            v = F.col(c) if c in keys else F.lit(None).cast(key_type[c])
+            v = qcol(c) if c in keys else F.lit(None).cast(key_type[c])
             parts.append(v.alias(key_field[c]))
         for w in range(n_words):
             parts.append((words[w] if with_flags else F.lit(None).cast("long")).alias(f"_dqb{w}"))
@@ -423,14 +425,14 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
 
     def unpacked(n: str) -> Column:
         w, b = word_of[n]
-        hit = F.col(f"_dqb{w}").bitwiseAND(F.lit(1 << b)) != 0
+        hit = qcol(f"_dqb{w}").bitwiseAND(F.lit(1 << b)) != 0
         return F.when(hit, F.col("_dqn")).otherwise(F.lit(0))
 
     # A single-column rule never fails on NULL; N4: combinations do
     cond = None
     for i, r in grp:
         if r.kind == "unique":
-            e = F.col(key_field[r.columns[0]]).isNotNull()
+            e = qcol(key_field[r.columns[0]]).isNotNull()
             cond = F.when(F.col("_dqr") == i, e) if cond is None else cond.when(
                 F.col("_dqr") == i, e)
     counts_dup = F.lit(True) if cond is None else cond.otherwise(F.lit(True))
@@ -445,9 +447,9 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
     if pred:
         items = []
         for i, _ in pred:
-            tot = F.col(f"_dqt{i}") if f"_dqt{i}" in flag_exprs else F.col("_dqrows")
+            tot = qcol(f"_dqt{i}") if f"_dqt{i}" in flag_exprs else F.col("_dqrows")
             items.append(F.struct(F.lit(i).alias("seq"), tot.cast("long").alias("total"),
-                                  F.col(f"_dqf{i}").cast("long").alias("failed")))
+                                  qcol(f"_dqf{i}").cast("long").alias("failed")))
         arr = F.when(F.col("_dqr") == -1, F.array(*items)).otherwise(group_item)
     else:
         arr = group_item
@@ -468,7 +470,7 @@ def evaluate(df: DataFrame, rules: list[Rule], normalize: bool = True,
         raise ValueError("no rules to evaluate")
     _check_columns(df, rules)
     used = sorted({c for r in rules for c in r.columns} | set(by))
-    src = df.select(*used)
+    src = df.select(*[qcol(c) for c in used])
     if normalize:
         src = P.normalize_nan(src, [c for c in used if c not in by])
     src, rules = _join_large_sets(src, rules)
@@ -501,13 +503,13 @@ def pattern_preview(df: DataFrame, column: str, pattern: str, samples: int = 5,
 
     Returns ``(rate_row, sample_rows)``; the sample is a top-k (the feature),
     cut to ``samples`` rows per task before the final merge."""
-    c = F.col(column)
+    c = qcol(column)
     m = P.regex_match(c, pattern)
     rate = df.agg(F.count_if(c.isNotNull() & F.coalesce(m, F.lit(False))).alias("matching"),
                   F.count(c).alias("total_non_null"))
     rate = rate.select(F.lit(column).alias("column"), "matching", "total_non_null",
                        success_rate(F.col("matching"), F.col("total_non_null")).alias("match_rate"))
-    key = F.col(order_by) if order_by else c
+    key = qcol(order_by) if order_by else c
     samp = (df.filter(c.isNotNull()).orderBy(key).limit(samples)
             .select(c.cast("string").alias("value"), F.coalesce(m, F.lit(False)).alias("matches")))
     return rate, samp

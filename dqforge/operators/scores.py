@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dqforge.functions.names import qcol
+
 from ..functions import constants as K
 from ..functions.bands import health_status, rule_description, rule_title
 from ..functions.ordered import ordered_mean
@@ -94,8 +96,8 @@ def profile_section(profile: DataFrame, section: str = "all",
 def sort_table(df: DataFrame, column: str, numeric: bool = True, ascending: bool = True) -> DataFrame:
     """Sort a report table by one column, as numbers (text that is not a
     number sorts as 0) or as text."""
-    key = F.coalesce(F.col(column).cast("string").try_cast("double"), F.lit(0.0)) if numeric \
-        else F.col(column).cast("string")
+    key = F.coalesce(qcol(column).cast("string").try_cast("double"), F.lit(0.0)) if numeric \
+        else qcol(column).cast("string")
     return df.orderBy(key.asc() if ascending else key.desc())
 
 
@@ -111,11 +113,11 @@ def overall_quality(profile: DataFrame, consistency: str = "consistency_standard
     """H5 (``consistency_standard``) / H7 (``consistency_whitespace``): means over
     columns of the per-column scores rounded to 1 dp; combined = mean of the
     three means; all four rounded to 1 dp.  0 with no columns."""
-    c, u, k = r1(F.col("completeness")), r1(F.col("uniqueness")), r1(F.col(consistency))
+    c, u, k = r1(F.col("completeness")), r1(F.col("uniqueness")), r1(qcol(consistency))
     o = F.col("ordinal")
     agg = profile.agg(ordered_mean(c, o).alias("_c"), ordered_mean(u, o).alias("_u"),
                       ordered_mean(k, o).alias("_k"))
-    z = lambda x: F.coalesce(F.col(x), F.lit(0.0))
+    z = lambda x: F.coalesce(qcol(x), F.lit(0.0))
     return agg.select(r1(z("_c")).alias("completeness"), r1(z("_u")).alias("uniqueness"),
                       r1(z("_k")).alias("consistency"),
                       r1((z("_c") + z("_u") + z("_k")) / 3).alias("combined_score"))
@@ -146,7 +148,7 @@ def snapshot_score(completeness: Column, uniqueness: Column) -> Column:
 # --------------------------------------------------------------------------
 def type_distribution(profile: DataFrame, label: str = "data_type") -> DataFrame:
     """G17 + G18: columns per type label and their share of all columns."""
-    n = profile.groupBy(F.col(label).alias("data_type")).agg(F.count(F.lit(1)).alias("count"))
+    n = profile.groupBy(qcol(label).alias("data_type")).agg(F.count(F.lit(1)).alias("count"))
     tot = profile.agg(F.count(F.lit(1)).alias("_n"))
     return n.crossJoin(tot).select(
         "data_type", "count", r1(F.col("count") / F.col("_n") * 100).alias("percentage"))
@@ -162,7 +164,7 @@ def rule_health_distribution(results: DataFrame, digits: int = 1) -> DataFrame:
              "fair": (rate >= 50) & (rate < 75), "poor": rate < 50}
     agg = results.agg(F.count(F.lit(1)).alias("total_rules"),
                       *[F.count_if(c).alias(f"{k}_rules") for k, c in bands.items()])
-    pct = [F.coalesce(F.bround(F.try_divide(F.col(f"{k}_rules"), F.col("total_rules")) * 100,
+    pct = [F.coalesce(F.bround(F.try_divide(qcol(f"{k}_rules"), F.col("total_rules")) * 100,
                                digits), F.lit(0.0)).alias(f"{k}_percentage") for k in bands]
     return agg.select("total_rules", *[f"{k}_rules" for k in bands], *pct)
 

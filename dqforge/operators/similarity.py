@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dqforge.functions.names import qcol
+
 from ..functions import constants as K
 
 
 def _text(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.coalesce(qcol(c).cast("string"), F.lit(""))
 
 
 def ratio_expr(a: Column, b: Column, distance: Column | None = None) -> Column:
@@ -38,7 +40,7 @@ def comparisons(df: DataFrame, column1: str, column2: str, threshold: float = 0.
     similarity_ratio, is_similar``.  ``key`` names the row identifier; without
     one a generated id is used (Spark rows have no inherent position)."""
     v1, v2 = _text(column1), _text(column2)
-    rid = F.col(key) if key else F.monotonically_increasing_id()
+    rid = qcol(key) if key else F.monotonically_increasing_id()
     base = df.select(rid.alias("row_index"), v1.alias("value1"), v2.alias("value2"))
     d = F.levenshtein("value1", "value2")
     return base.select("row_index", "value1", "value2", d.alias("distance"),

@@ -15,6 +15,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from dqforge.functions.names import qcol
 from pyspark.sql import types as T
 
 from ..functions import constants as K
@@ -33,7 +35,7 @@ def normalize_na(df: DataFrame, tokens: list[str] | None = None) -> DataFrame:
     toks = tokens if tokens is not None else K.NA_TOKENS
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = qcol(f.name)
         if P.is_string(f.dataType):
             out.append(F.when(c.isin(toks), F.lit(None).cast("string")).otherwise(c).alias(f.name))
         else:
@@ -68,7 +70,7 @@ def inferred_types(df: DataFrame) -> dict[str, str]:
         return {}
     aggs = []
     for i, c in enumerate(cols):
-        for j, e in enumerate(_kind_tests(F.col(c))):
+        for j, e in enumerate(_kind_tests(qcol(c))):
             aggs.append(e.alias(f"_t{i}_{j}"))
     row = df.agg(*aggs).first()  # one row: five numbers/flags per column
     out = {}
@@ -85,8 +87,8 @@ def cast_expr(c: Column, to: str) -> Column:
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    return df.select(*[cast_expr(F.col(f.name), types[f.name]).alias(f.name)
-                       if f.name in types else F.col(f.name) for f in df.schema.fields])
+    return df.select(*[cast_expr(qcol(f.name), types[f.name]).alias(f.name)
+                       if f.name in types else qcol(f.name) for f in df.schema.fields])
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -94,12 +96,37 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------- S1 -------
+def dedupe_names(names: list[str]) -> list[str]:
+    """Repeated header names become ``a, a.1, a.2`` (as a pandas read names
+    them), not Spark's ``a0, a4``."""
+    seen: dict[str, int] = {}
+    taken = set(names)
+    out = []
+    for n in names:
+        if n not in seen:
+            seen[n] = 0
+            out.append(n)
+            continue
+        k = seen[n] + 1
+        while f"{n}.{k}" in taken:
+            k += 1
+        seen[n] = k
+        taken.add(f"{n}.{k}")
+        out.append(f"{n}.{k}")
+    return out
+
+
 def read_csv_text_columns(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Header row, every field as text.  ``multiline`` allows quoted line
     breaks but makes each file a single split: only switch it on when needed."""
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("escape", '"').option("multiLine", multiline)
-            .option("enforceSchema", False).csv(path))
+    df = (spark.read.option("header", True).option("inferSchema", False)
+          .option("escape", '"').option("multiLine", multiline).csv(path))
+    first = spark.read.text(path).limit(1).collect()   # one header line: metadata
+    if first:
+        names = _split_fields(first[0]["value"])
+        if len(names) == len(df.columns) and len(set(names)) < len(names):
+            df = df.toDF(*dedupe_names(names))
+    return df
 
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -117,12 +144,12 @@ def _split_fields(header: str) -> list[str]:
 def parse_csv_lines(lines: DataFrame, header: str, value: str = "value") -> DataFrame:
     """Data lines (one CSV record per row) + their header -> typed frame.
     Parsing is ``from_csv`` on the JVM; no Python per row."""
-    names = _split_fields(header)
+    names = dedupe_names(_split_fields(header))
     ddl = ", ".join(f"`_c{i}` STRING" for i in range(len(names)))
-    parsed = lines.select(F.from_csv(F.col(value), ddl).alias("_r"))
-    raw = parsed.select(*[F.col(f"_r._c{i}").alias(n) for i, n in enumerate(names)])
+    parsed = lines.select(F.from_csv(qcol(value), ddl).alias("_r"))
+    raw = parsed.select(*[F.col("_r")[f"_c{i}"].alias(n) for i, n in enumerate(names)])
     # from_csv keeps empty fields as empty strings; a CSV read makes them NULL
-    raw = raw.select(*[F.when(F.col(n) == "", None).otherwise(F.col(n)).alias(n) for n in names])
+    raw = raw.select(*[F.when(qcol(n) == "", None).otherwise(qcol(n)).alias(n) for n in names])
     return infer_types(normalize_na(raw))
 
 
@@ -191,7 +218,7 @@ def snapshot_text_records(spark: SparkSession, path: str) -> tuple[DataFrame, Da
     ddl = ", ".join(f"`_c{i}` STRING" for i in range(width))
     data = chunks.filter(~F.col("is_header")).select(
         "snapshot", F.from_csv(F.col("value"), ddl).alias("_r"))
-    cells = data.select("snapshot", F.posexplode(F.array(*[F.col(f"_r._c{i}") for i in range(width)]))
+    cells = data.select("snapshot", F.posexplode(F.array(*[F.col("_r")[f"_c{i}"] for i in range(width)]))
                         .alias("idx", "v"))
     cells = cells.join(F.broadcast(hdr), ["snapshot", "idx"])  # drop fields beyond the header
     cells = cells.withColumn("v", F.when(F.col("v").isin(K.NA_TOKENS) | (F.col("v") == ""), None)

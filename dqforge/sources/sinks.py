@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dqforge.functions.names import qcol
+
 from ..functions import constants as K
 
 
@@ -28,4 +30,4 @@ def append_field_history(fields: DataFrame, path: str) -> None:
 def preview(df: DataFrame, order_by: list[str] | str, n: int = K.PREVIEW_ROWS) -> DataFrame:
     """The first ``n`` rows in an explicit order (a top-k: the feature)."""
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    return df.orderBy(*[F.col(k) for k in keys]).limit(n)
+    return df.orderBy(*[qcol(k) for k in keys]).limit(n)

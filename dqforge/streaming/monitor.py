@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from dqforge.functions.names import qcol
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import constants as K
@@ -28,7 +30,7 @@ def running_scorecard(stream: DataFrame, rules: list[R.Rule]) -> DataFrame:
     if any(r.is_group for r in rules):
         raise ValueError("uniqueness rules need per-batch evaluation: use monitor()")
     used = sorted({c for r in rules for c in r.columns})
-    src = P.normalize_nan(stream.select(*used))
+    src = P.normalize_nan(stream.select(*[qcol(c) for c in used]))
     flags = {}
     for i, r in enumerate(rules):
         bad, counted = R._failed_and_total(src, r)
@@ -38,8 +40,8 @@ def running_scorecard(stream: DataFrame, rules: list[R.Rule]) -> DataFrame:
     agg = src.agg(F.count(F.lit(1)).alias("_dqn"), *[F.sum(e).alias(n) for n, e in flags.items()])
     items = []
     for i, r in enumerate(rules):
-        tot = F.col(f"_dqt{i}") if f"_dqt{i}" in flags else F.col("_dqn")
-        failed = F.coalesce(F.col(f"_dqf{i}"), F.lit(0)).cast("long")
+        tot = qcol(f"_dqt{i}") if f"_dqt{i}" in flags else F.col("_dqn")
+        failed = F.coalesce(qcol(f"_dqf{i}"), F.lit(0)).cast("long")
         total = F.coalesce(tot, F.lit(0)).cast("long")
         items.append(F.struct(F.lit(i).alias("seq"), F.lit(r.column_label).alias("column"),
                               F.lit(r.label).alias("rule"), total.alias("total"),
@@ -80,7 +82,7 @@ def tracking_entry(batch: DataFrame, results: DataFrame, dataset_name: str,
     """U6 for one micro-batch: score (average rate, 100.0 with no rules),
     rules at or above 90, rows, columns, cell completeness."""
     ncols = len(batch.columns)
-    nulls = [F.count_if(F.col(c).isNull()) for c in batch.columns]
+    nulls = [F.count_if(qcol(c).isNull()) for c in batch.columns]
     null_cells = nulls[0]
     for e in nulls[1:]:
         null_cells = null_cells + e
