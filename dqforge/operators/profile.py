@@ -238,11 +238,16 @@ def _meta_df(spark, infos: list[ColumnInfo]) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = True,
-            sample_values: int = K.SAMPLE_VALUES, materialize: str = "checkpoint") -> DataFrame:
+            sample_values: int = K.SAMPLE_VALUES, materialize: str = "checkpoint",
+            sample_key: str | None = None, text_sample: int = K.TEXT_SAMPLE_SIZE,
+            type_sample: int = K.TYPE_SAMPLE_SIZE) -> DataFrame:
     """One row per column with counts, statistics, labels and consistency scores.
 
     Scores are unrounded doubles (0-100); presentation rounding is left to the
-    caller (``bround``).  Text measures use the whole column.
+    caller (``bround``).  Text measures use the whole column, unless
+    ``sample_key`` names a column that orders the rows (e.g. a file position):
+    then they use the first ``text_sample`` non-null values by that key (the
+    text-as-boolean label the first ``type_sample``), as the original does.
 
     The frequency table feeds five aggregates.  ``materialize`` decides how it
     is shared: ``"checkpoint"`` (default) writes it once to the session's
@@ -330,9 +335,61 @@ def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = T
               .join(second.withColumnRenamed("ci", "_ci2"), F.col("ordinal") == F.col("_ci2"), "left")
               .join(qwide.withColumnRenamed("ci", "_ci3"), F.col("ordinal") == F.col("_ci3"), "left")
               .join(samples.withColumnRenamed("ci", "_ci5"), F.col("ordinal") == F.col("_ci5"), "left"))
+    if sample_key and text_ids:
+        keyed = _keyed_text_measures(src, infos, sample_key, text_sample, type_sample)
+        joined = (joined.drop(*_TEXT_MEASURES)
+                  .join(keyed.withColumnRenamed("ci", "_ci6"), F.col("ordinal") == F.col("_ci6"),
+                        "left"))
+    else:
+        joined = joined.withColumn("_n_text", F.lit(None).cast("long"))
     return _finish(joined)
 
 
+_TEXT_MEASURES = ["_any_at", "_bad_email", "_ws", "_len_mean", "_len_dev", "_up", "_low", "_title",
+                  "_mixed", "_boolish"]
+
+
+def _case_flags(text: Column) -> tuple[Column, Column, Column, Column]:
+    alpha = text.rlike(ALPHA_PATTERN)
+    is_up = alpha & (F.upper(text) == text) & (F.lower(text) != text)
+    is_low = alpha & ~is_up & (F.lower(text) == text) & (F.upper(text) != text)
+    is_title = alpha & ~is_up & ~is_low & (F.initcap(text) == text)
+    is_mixed = alpha & ~is_up & ~is_low & ~is_title
+    return is_up, is_low, is_title, is_mixed
+
+
+def _keyed_text_measures(src: DataFrame, infos: list[ColumnInfo], key: str, text_n: int,
+                         type_n: int) -> DataFrame:
+    """Text measures over the first ``text_n`` non-null values of each text
+    column in ``key`` order (label A over the first ``type_n``), as the
+    original scores them.  ``row_number() <= n`` is cut to ``n`` rows per
+    column and task before the exchange, so a column never lands whole in
+    one task."""
+    recs = [F.struct(F.lit(i.ordinal).alias("ci"), qcol(i.name).alias("v"))
+            for i in infos if i.kind == "text"]
+    rows = src.select(qcol(key).alias("_key"), F.inline(F.array(*recs))) \
+        .filter(F.col("v").isNotNull())
+    w = Window.partitionBy("ci").orderBy("_key")
+    samp = rows.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= text_n)
+    v = F.col("v")
+    up, low, title, mixed = _case_flags(v)
+    has_at = v.contains("@")
+    m = samp.groupBy("ci").agg(
+        F.count(F.lit(1)).alias("_n_text"),
+        F.bool_or((F.col("_rk") <= 5) & has_at).alias("_any_at"),
+        F.count_if(has_at & ~v.rlike(K.EMAIL_PATTERN)).alias("_bad_email"),
+        F.count_if(v.rlike(WS_PATTERN)).alias("_ws"),
+        F.avg(F.length(v)).alias("_len_mean"),
+        F.count_if(up).alias("_up"), F.count_if(low).alias("_low"),
+        F.count_if(title).alias("_title"), F.count_if(mixed).alias("_mixed"),
+        F.bool_and(F.when(F.col("_rk") <= type_n, F.lower(v).isin(K.BOOLEAN_TEXT_VALUES)))
+        .alias("_boolish"))
+    dev = samp.join(F.broadcast(m.select("ci", "_len_mean")), "ci").groupBy("ci").agg(
+        F.count_if(F.abs(F.length(v) - F.col("_len_mean"))
+                   > F.col("_len_mean") * K.LENGTH_DEVIATION_SHARE).alias("_len_dev"))
+    return m.join(dev, "ci", "left")
+
+
 def _ts_from_micros(micros: Column, is_ltz: Column) -> Column:
     """Datetime statistics are reported as wall-clock ``timestamp_ntz``."""
     epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
@@ -350,10 +407,13 @@ def _finish(j: DataFrame) -> DataFrame:
     is_num = kind.isin("numeric", "boolean")
     std = F.when(is_num & (nonnull > 1), F.sqrt(F.col("_ss") / (nonnull - 1)))
 
+    # text measures are over the whole column, or over the keyed sample
+    ntext = F.coalesce(F.col("_n_text"), nonnull)
+
     # K1 pieces
     email_check = F.lower(F.col("column")).contains("email") | F.coalesce(F.col("_any_at"), F.lit(False))
     email_issues = F.when(email_check, F.col("_bad_email")).otherwise(F.lit(0))
-    text_score = F.greatest(F.lit(0.0), 100 - email_issues / nonnull * 100)
+    text_score = F.greatest(F.lit(0.0), 100 - email_issues / ntext * 100)
     out_pct = F.col("outliers") / nonnull * 100
     num_score = F.when(nonnull > 2, F.greatest(F.lit(float(K.NUMERIC_CONSISTENCY_FLOOR)),
                                                100 - out_pct * K.OUTLIER_PENALTY)) \
@@ -366,19 +426,19 @@ def _finish(j: DataFrame) -> DataFrame:
           .otherwise(F.lit(K.OTHER_TYPE_CONSISTENCY)))
 
     # K2 = K1 + length and case penalties for text
-    len_issues = F.when((nonnull > K.LENGTH_MIN_SAMPLE) & (F.col("_len_mean") > K.LENGTH_MIN_MEAN),
+    len_issues = F.when((ntext > K.LENGTH_MIN_SAMPLE) & (F.col("_len_mean") > K.LENGTH_MIN_MEAN),
                         F.col("_len_dev") * K.LENGTH_PENALTY).otherwise(F.lit(0.0))
     alpha_total = F.col("_up") + F.col("_low") + F.col("_title") + F.col("_mixed")
     used = sum((qcol(c) > 0).cast("int") for c in ("_up", "_low", "_title", "_mixed"))
     case_issues = F.when((alpha_total > K.CASE_MIN_ALPHA) & (used > K.CASE_MAX_PATTERNS),
                          alpha_total * K.CASE_PENALTY).otherwise(F.lit(0.0))
     text_score2 = F.greatest(F.lit(0.0),
-                             100 - (email_issues + len_issues + case_issues) / nonnull * 100)
+                             100 - (email_issues + len_issues + case_issues) / ntext * 100)
     k2 = F.when((nonnull > 0) & (kind == "text"), text_score2).otherwise(k1)
 
     # K4: leading/trailing whitespace in text
     k4 = (F.when(nonnull == 0, F.lit(0.0))
-          .when(kind == "text", F.greatest(F.lit(0.0), 100 - F.col("_ws") / nonnull * 100))
+          .when(kind == "text", F.greatest(F.lit(0.0), 100 - F.col("_ws") / ntext * 100))
           .otherwise(F.lit(100.0)))
 
     label_a = F.coalesce(F.col("label_a"),
