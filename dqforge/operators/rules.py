@@ -352,6 +352,7 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
     ``by`` evaluates the rules separately per group (snapshot, version, day)
     in the same single job: the group columns just join the grouping keys."""
     by = list(by or [])
+    byc = [qcol(b) for b in by]
     pred = [(i, r) for i, r in enumerate(rules) if not r.is_group]
     grp = [(i, r) for i, r in enumerate(rules) if r.is_group]
 
@@ -369,13 +370,13 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
             tot = sums.get(f"_dqt{i}", qcol(total_col))
             items.append(F.struct(F.lit(i).alias("seq"), tot.cast("long").alias("total"),
                                   sums[f"_dqf{i}"].cast("long").alias("failed")))
-        return src.select(*by, F.inline(F.array(*items)))
+        return src.select(*byc, F.inline(F.array(*items)))
 
     if not grp:
         # one aggregate over the whole input; partial agg on every map task
         aggs = [F.count(F.lit(1)).alias("_dqn")]
         aggs += [F.sum(e).alias(n) for n, e in flag_exprs.items()]
-        one = df.groupBy(*by).agg(*aggs)
+        one = df.groupBy(*byc).agg(*aggs)
         return long_rows(one, "_dqn", {n: qcol(n) for n in flag_exprs})
 
     # distinct key columns over all uniqueness rules, one typed field each
@@ -417,11 +418,11 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
     if pred:
         records.append(record(-1, (), True))
     records += [record(i, r.columns, False) for i, r in grp]
-    exploded = df.select(*by, F.inline(F.array(*records)))
+    exploded = df.select(*byc, F.inline(F.array(*records)))
 
     kf = [key_field[c] for c in key_cols]
     bw = [f"_dqb{w}" for w in range(n_words)]
-    stage1 = exploded.groupBy(*by, "_dqr", *kf, *bw).agg(F.count(F.lit(1)).alias("_dqn"))
+    stage1 = exploded.groupBy(*byc, "_dqr", *kf, *bw).agg(F.count(F.lit(1)).alias("_dqn"))
 
     def unpacked(n: str) -> Column:
         w, b = word_of[n]
@@ -437,7 +438,7 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
                 F.col("_dqr") == i, e)
     counts_dup = F.lit(True) if cond is None else cond.otherwise(F.lit(True))
     dup = F.when((F.col("_dqn") > 1) & counts_dup, F.col("_dqn")).otherwise(F.lit(0))
-    stage2 = stage1.groupBy(*by, "_dqr").agg(
+    stage2 = stage1.groupBy(*byc, "_dqr").agg(
         F.sum("_dqn").alias("_dqrows"), F.sum(dup).alias("_dqdup"),
         *[F.sum(unpacked(n)).alias(n) for n in flag_exprs])
 
@@ -453,7 +454,7 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
         arr = F.when(F.col("_dqr") == -1, F.array(*items)).otherwise(group_item)
     else:
         arr = group_item
-    return stage2.select(*by, F.inline(arr))
+    return stage2.select(*byc, F.inline(arr))
 
 
 def evaluate(df: DataFrame, rules: list[Rule], normalize: bool = True,
@@ -484,7 +485,7 @@ def evaluate(df: DataFrame, rules: list[Rule], normalize: bool = True,
     total = F.coalesce(F.col("total"), F.lit(0)).cast("long")
     failed = F.coalesce(F.col("failed"), F.lit(0)).cast("long")
     return out.select(
-        *by, "seq", "column", "rule",
+        *[qcol(b) for b in by], "seq", "column", "rule",
         total.alias("total"), (total - failed).alias("passed"), failed.alias("failed"),
         success_rate(total - failed, total).alias("success_rate"),
         "details",
