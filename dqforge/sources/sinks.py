@@ -12,8 +12,14 @@ from ..functions import constants as K
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Results / enhanced rows / comparisons as CSV with a header.
-    Written by all tasks in parallel (one part file each)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    Written by all tasks in parallel (one part file each).  Nested columns
+    (e.g. the ``details`` map of rule results) are written as JSON text."""
+    from pyspark.sql import types as T
+    cols = [F.to_json(qcol(f.name)).alias(f.name)
+            if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else qcol(f.name)
+            for f in df.schema.fields]
+    # quotes inside fields are doubled (RFC 4180, as pandas writes them)
+    df.select(*cols).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def append_history(flat: DataFrame, path: str) -> None:
