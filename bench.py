@@ -20,8 +20,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from dqforge.operators import profile as PR  # noqa: E402
 from dqforge.operators import rowflags as RF  # noqa: E402
 from dqforge.operators import rules as R  # noqa: E402
@@ -110,5 +108,4 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    _ = F
     main()

@@ -23,8 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqforge.functions.names import qcol
-
+from ..functions.names import qcol
 from ..session import shuffle_partitions
 
 DEFAULT_HOT_THRESHOLD = 1_000_000

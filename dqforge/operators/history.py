@@ -17,9 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqforge.functions.names import qcol
 from pyspark.sql import types as T
 
+from ..functions.names import qcol
 from ..functions import constants as K
 from ..functions import predicates as P
 from ..functions.ordered import ordered_mean

@@ -13,8 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqforge.functions.names import qcol
-
+from ..functions.names import qcol
 from ..functions import predicates as P
 from .duplicates import mark_duplicates
 

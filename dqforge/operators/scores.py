@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqforge.functions.names import qcol
-
+from ..functions.names import qcol
 from ..functions import constants as K
 from ..functions.bands import health_status, rule_description, rule_title
 from ..functions.ordered import ordered_mean

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bands import health_status
 from ..operators import scores as S
 from ..operators.profile import dataset_metrics, profile as build_profile
 
@@ -156,6 +155,3 @@ def field_summary(df: DataFrame, title: str = "Data Quality Report",
         F.when(nonempty, F.col("min")).alias("min"), F.when(nonempty, F.col("max")).alias("max"),
         "ordinal")
 
-
-def health_of(rate):
-    return health_status(rate)

@@ -16,9 +16,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqforge.functions.names import qcol
 from pyspark.sql import types as T
 
+from ..functions.names import qcol
 from ..functions import constants as K
 from ..functions import predicates as P
 from ..functions.prefix import running_count, with_position
@@ -238,12 +238,10 @@ def snapshot_text_records(spark: SparkSession, path: str) -> tuple[DataFrame, Da
              .when(ty == "boolean", (F.lower(v) == "true").cast("string"))
              .otherwise(v))
     records = cells.select(F.col("snapshot").alias("seq"), "column", canon.alias("v"))
-    name_of = {h["snapshot"]: h["name"] for h in heads}
     schema_rows = []
     for (s, n, i, c) in header_rows:
         dt = T._parse_datatype_string(types.get((s, c), "string"))
         schema_rows.append((s, n, c, dt.simpleString(), label_c(dt), i))
-    _ = name_of
     return records, spark.createDataFrame(schema_rows, SCHEMA_TABLE)
 
 

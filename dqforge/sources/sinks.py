@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqforge.functions.names import qcol
-
+from ..functions.names import qcol
 from ..functions import constants as K
 
 

@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqforge.functions.names import qcol
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.names import qcol
 from ..functions import constants as K
 from ..functions import predicates as P
 from ..operators import rules as R
