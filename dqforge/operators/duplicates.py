@@ -6,9 +6,12 @@ single task.  Instead:
 
 1. ``groupBy(keys).count()`` with map-side partial counts -> the duplicated
    keys ``D`` (one row per key, however hot).
-2. Keys with at least ``hot_threshold`` rows form ``H``.  ``|H| <= rows /
-   hot_threshold`` by construction, so broadcasting it is size-bounded.
-   A broadcast hash join marks the rows of hot keys: no shuffle.
+2. Keys with at least ``hot_threshold`` rows form ``H`` (``|H| <= rows /
+   hot_threshold``).  A join marks the rows of hot keys.  It carries no
+   broadcast hint: adaptive execution measures ``H`` at run time and
+   broadcasts it only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``
+   (the usual case: few keys are hot); above that it stays a shuffle join
+   whose skewed partitions AQE splits.
 3. The remaining duplicated keys join through a shuffle on ``(keys, salt)``.
    Hot rows carry a random salt in ``[1, buckets]`` (cold rows and ``D``
    carry 0), so they spread over ``buckets`` tasks and never match ``D``.
@@ -51,7 +54,7 @@ def mark_duplicates(df: DataFrame, keys: list[str], flag: str = "is_duplicate",
 
     on_hot = reduce(lambda a, b: a & b,
                     [qcol(k).eqNullSafe(qcol(f"_dqh_{i}")) for i, k in enumerate(keys)])
-    marked = df.join(F.broadcast(hot), on_hot, "left")
+    marked = df.join(hot, on_hot, "left")   # broadcast decided at run time, by measured size
     salt = F.when(F.col("_dq_hot"), (F.floor(F.rand(17) * buckets) + 1).cast("int")) \
         .otherwise(F.lit(0))
     marked = marked.withColumn("_dq_salt", salt)
