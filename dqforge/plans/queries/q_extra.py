@@ -98,8 +98,8 @@ RES_SQL = "WITH res AS (" + FLAGSHIP_SQL.strip() + ")\n"
 
 
 @register("sort_results_lineitem", RES_SQL + """
-SELECT seq, row_number() OVER (ORDER BY success_rate DESC, seq) AS by_rate,
-       row_number() OVER (ORDER BY "column", seq) AS by_column FROM res""")
+SELECT seq, CAST(row_number() OVER (ORDER BY success_rate DESC, seq) AS INTEGER) AS by_rate,
+       CAST(row_number() OVER (ORDER BY "column", seq) AS INTEGER) AS by_column FROM res""")
 def sort_results_lineitem(spark, sf):
     res = evaluate(lineitem_nulls(spark, sf), FLAGSHIP_RULES).select("seq", "column", "success_rate")
     # the results table has one row per rule: numbering it in one task is fine

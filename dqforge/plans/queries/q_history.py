@@ -51,7 +51,7 @@ def snapshots(spark, sf):
 
 YEARS_SQL = """
 s AS (
-  SELECT year(o_orderdate) AS yr, o_orderkey,
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderkey,
          CASE WHEN o_orderkey % (year(o_orderdate) - 1990) = 0 THEN NULL ELSE o_custkey END AS o_custkey,
          o_orderstatus,
          CASE WHEN o_orderkey % 7 < (year(o_orderdate) - 1995) % 4 THEN NULL ELSE o_totalprice END AS o_totalprice,

@@ -83,7 +83,7 @@ def csv_text_lines_orders(spark, sf):
 
 YEAR_SQL = """
 y AS (
-  SELECT year(o_orderdate) AS yr, o_orderkey,
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderkey,
          CASE WHEN o_orderkey % (year(o_orderdate) - 1990) = 0 THEN NULL ELSE o_custkey END AS o_custkey,
          o_orderstatus, o_orderpriority FROM orders),
 pc AS (

@@ -171,9 +171,10 @@ def report_quality_orders(spark, sf):
 
 # ------------------------------------------------------------ W7 ----------
 @register("field_order_orders", "WITH " + PERCOL_SQL + """
-SELECT "column", row_number() OVER (
+SELECT "column", CAST(row_number() OVER (
     ORDER BY (completeness >= 80 AND (CAST(total_count - null_count AS DOUBLE) / total_count) >= 0.7
-              AND null_count < total_count * 0.5) DESC, round_even(completeness, 1) DESC, ordinal) AS position
+              AND null_count < total_count * 0.5) DESC, round_even(completeness, 1) DESC, ordinal)
+    AS INTEGER) AS position
 FROM pc""")
 def field_order_orders(spark, sf):
     p = S.with_critical(bands_profile(spark, sf))
