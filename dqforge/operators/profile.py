@@ -303,12 +303,15 @@ def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = T
     )
 
     # exact quartiles of numbers and medians of datetimes
-    qsrc = freq.select("ci", F.coalesce(vn, vt.cast("double")).alias("qv"), "cnt")
-    quants = exact_quantiles(qsrc, ["ci"], "qv", "cnt", [0.25, 0.5, 0.75])
-    qwide = quants.groupBy("ci").agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
+    if any(i.kind in ("numeric", "boolean", "datetime") for i in infos):
+        qsrc = freq.select("ci", F.coalesce(vn, vt.cast("double")).alias("qv"), "cnt")
+        quants = exact_quantiles(qsrc, ["ci"], "qv", "cnt", [0.25, 0.5, 0.75])
+        qwide = quants.groupBy("ci").agg(
+            F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
+            F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
+            F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
+    else:  # text-only input: no ordering work at all
+        qwide = spark.createDataFrame([], "ci int, q1 double, median double, q3 double")
 
     # second pass, with the per-column means and IQR bounds broadcast (one row
     # per column): spread around the means (std, length deviation) and outliers
