@@ -21,6 +21,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from dqforge.operators import profile as PR  # noqa: E402
+from dqforge.operators.profile_approx import profile_approx  # noqa: E402
 from dqforge.operators import rowflags as RF  # noqa: E402
 from dqforge.operators import rules as R  # noqa: E402
 from dqforge.operators import similarity as SM  # noqa: E402
@@ -78,6 +79,7 @@ def main() -> None:
             R.expect_column_values_to_be_unique("l_orderkey"),
             R.expect_columns_values_to_be_unique(["l_orderkey", "l_linenumber"])]),
         "profile_lineitem": lambda: PR.profile(li()),
+        "profile_lineitem_approx": lambda: profile_approx(li()),
         "row_flags_lineitem": lambda: RF.enhanced_dataset(lineitem_nulls(spark, SF_DIR), row_cfg),
         "similarity_part": lambda: SM.summary(table(spark, SF_DIR, "part"), "p_brand", "p_type"),
         "similarity_orders": lambda: SM.summary(table(spark, SF_DIR, "orders"),

@@ -108,3 +108,15 @@ def sort_results_lineitem(spark, sf):
         Window.orderBy(F.desc(F.coalesce(F.col("success_rate"), F.lit(0.0))), "seq")))
     r2 = r1.withColumn("by_column", F.row_number().over(Window.orderBy(F.col("column"), "seq")))
     return r2.select("seq", "by_rate", "by_column")
+
+
+# ------------------------------------------- G1/G4 approximate (opt-in) ---
+@register("profile_approx_lineitem")
+def profile_approx_lineitem(spark, sf):
+    # HyperLogLog distincts and approximate quartiles: two scans, no value
+    # shuffle; values are approximate, so this entry is checked on rows only
+    from ...operators.profile_approx import profile_approx
+    from ...sources.tables import table
+    return profile_approx(table(spark, sf, "lineitem")).select(
+        "column", "total_count", "null_count", "distinct_count", "completeness", "uniqueness",
+        "consistency_standard")
