@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ["q_rules", "q_rowflags", "q_profile", "q_scores", "q_similarity", "q_history", "q_io", "q_stream",
-            "q_extra", "q_keyed"]
+            "q_extra", "q_keyed", "q_snapshot_sql"]
 
 
 def _load():
