@@ -64,9 +64,21 @@ def pair_table(df: DataFrame, column1: str, column2: str) -> DataFrame:
                         ratio_expr(F.col("value1"), F.col("value2"), d).alias("ratio"))
 
 
-def summary(df: DataFrame, column1: str, column2: str, threshold: float = 0.8) -> DataFrame:
-    """L4 + L5: one row of counts, statistics and distribution buckets."""
-    pt = pair_table(df, column1, column2)
+def summary(df: DataFrame, column1: str, column2: str, threshold: float = 0.8,
+            dedupe_pairs: bool = True) -> DataFrame:
+    """L4 + L5: one row of counts, statistics and distribution buckets.
+
+    ``dedupe_pairs`` (default) computes each distinct value pair once after a
+    map-side combined ``groupBy``: best when pairs repeat.  With ``False``
+    every row gets its own distance and the aggregates stay map-side partial
+    with no shuffle at all: best for mostly-unique pairs."""
+    if dedupe_pairs:
+        pt = pair_table(df, column1, column2)
+    else:
+        v1, v2 = _text(column1), _text(column2)
+        d0 = F.levenshtein(v1, v2)
+        pt = df.select(v1.alias("value1"), v2.alias("value2"), F.lit(1).cast("long").alias("n"),
+                       d0.alias("distance"), ratio_expr(v1, v2, d0).alias("ratio"))
     n, r, d = F.col("n"), F.col("ratio"), F.col("distance")
 
     def w(cond: Column) -> Column:
