@@ -104,6 +104,7 @@ def main() -> None:
         results[name] = round(statistics.median(times), 4)
     out = {"metric": "dq_total_sec", "value": round(sum(results.values()), 4), "unit": "sec",
            "queries": results, "sf": _sf_value(SF_DIR), "cpus": int(CPUS), "runs": RUNS,
+           "driver_memory": spark.sparkContext.getConf().get("spark.driver.memory", ""),
            "spark": spark.version}
     print(json.dumps(out))
     spark.stop()

@@ -1,6 +1,6 @@
 """Fixed values that results depend on.
 
-Everything in this module must equal the values the original toolkit uses
+Everything in this module must equal the values the original application uses
 (labels, thresholds, word lists, patterns); keep them as plain text, in
 natural order, together.
 """

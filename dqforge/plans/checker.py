@@ -1,4 +1,4 @@
-"""``QualityChecker``: the original toolkit's object interface over Spark.
+"""``QualityChecker``: the original application's object interface over Spark.
 
 The method names are those of the original checker, so existing rule code
 and rule JSON keep working.  The difference is that expectations are
