@@ -372,3 +372,30 @@ def append_entry(history: DataFrame | None, entry: DataFrame, keep: int = K.HIST
     """U2 + W4: append and keep the last ``keep`` entries."""
     out = entry if history is None else history.unionByName(entry, allowMissingColumns=True)
     return keep_last(out, keep)
+
+
+def tracking_entry(df: DataFrame, results: DataFrame, dataset_name: str,
+                   dataset_version: str = "v1.0", detailed: bool = True,
+                   timestamp: str | None = None) -> DataFrame:
+    """U6 for one run over ``df``: the entry the history table appends.
+
+    ``results`` is the run's rule-result table (``rules.evaluate``).  With
+    ``detailed`` the entry carries the field statistics (U7, JSON text) and
+    the schema fingerprint (U8); otherwise both are empty."""
+    recs, schema = snapshot_records_from_frames([(dataset_name, df)])   # one snapshot, seq 1
+    snaps = snapshot_table(recs, schema)
+    res = results.withColumnRenamed("seq", "rule_seq").withColumn("seq", F.lit(1))
+    spark = df.sparkSession
+    if detailed:
+        fps = schema_fingerprint(schema)
+        fj = field_statistics_json(field_statistics(recs, schema))
+    else:
+        fps = spark.createDataFrame([(1, "")], "seq int, schema_fingerprint string")
+        fj = None
+    ts = (F.lit(timestamp) if timestamp is not None
+          else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+    stamps = spark.range(1).select(F.lit(1).alias("seq"), ts.alias("timestamp"))
+    entry = tracking_entries(res, snaps, fps, dataset_name, timestamps=stamps, field_json=fj)
+    stamp = F.regexp_replace(F.regexp_replace(F.col("timestamp"), "[-:]", ""), " ", "_")
+    return entry.withColumn("dataset_version", F.lit(dataset_version)).withColumn(
+        "snapshot_id", F.concat_ws("_", F.lit(dataset_name), F.lit(dataset_version), stamp))

@@ -212,3 +212,13 @@ def bar_chart_data(results: DataFrame) -> DataFrame:
     color = color.otherwise(F.lit(BAR_COLOR_FLOOR))
     return results.select("seq", "column", rate.alias("success_rate"),
                           health_status(rate).alias("band"), color.alias("color"))
+
+
+def app_quality(profile: DataFrame) -> DataFrame:
+    """H7 + H8 + G17 (label C) in one row: the app's overall data quality of a
+    frame, with its type distribution as a map."""
+    q = overall_quality(profile, consistency="consistency_whitespace")
+    types = profile.groupBy("data_type_c").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.map_from_entries(F.collect_list(F.struct("data_type_c", "n"))).alias("type_distribution"))
+    return q.crossJoin(types).withColumn(            # one row each
+        "snapshot_score", snapshot_score(F.col("completeness"), F.col("uniqueness")))

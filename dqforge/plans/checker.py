@@ -129,6 +129,20 @@ class QualityChecker:
         SK.append_field_history(SN.field_summary(self.df, title, self.dataset_name), path)
         return path
 
+    def generate_data_docs(self, title: str = "Data Quality Report",
+                           dataset_name: str | None = None) -> dict[str, DataFrame]:
+        """The report's tables (no HTML): see ``plans.report.report_tables``."""
+        from .report import report_tables
+        _ = (title, dataset_name)
+        return report_tables(self.df, self.get_results(), self.user_specified_critical_columns)
+
+    def tracking_entry(self, dataset_version: str = "v1.0", detailed: bool = True) -> DataFrame:
+        """This run as one history entry (append it with
+        ``operators.history.append_entry`` or a parquet append)."""
+        from ..operators.history import tracking_entry
+        return tracking_entry(self.df, self.get_results(), self.dataset_name, dataset_version,
+                              detailed=detailed)
+
 
 def _add_expectations() -> None:
     """Every rule constructor becomes a checker method of the same name."""
