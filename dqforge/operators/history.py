@@ -67,21 +67,47 @@ def snapshot_records_from_frames(frames: list[tuple[str, DataFrame]]) -> tuple[D
 SCHEMA_TABLE = "seq int, snapshot string, column string, dtype string, data_type string, ordinal int"
 
 
+def snapshot_freq(records: DataFrame, materialize: str = "none") -> DataFrame:
+    """``(seq, column, v, cnt)``: value counts per snapshot and column (one
+    shuffle, map-side combined).  ``materialize="checkpoint"`` writes it once
+    to the session's checkpoint folder so that every statistic derived from
+    it reads the checkpoint instead of scanning the source again."""
+    freq = records.groupBy("seq", "column", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    if materialize == "checkpoint":
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(records.sparkSession)
+        return freq.checkpoint(eager=True)
+    if materialize == "persist":
+        from pyspark import StorageLevel
+        return freq.persist(StorageLevel.MEMORY_AND_DISK)
+    return freq
+
+
+def _as_freq(records_or_freq: DataFrame) -> DataFrame:
+    """Accept either raw records or an already-built frequency table."""
+    if "cnt" in records_or_freq.columns:
+        return records_or_freq
+    return snapshot_freq(records_or_freq)
+
+
 def snapshot_records_from_column(df: DataFrame, seq: Column, prefix: str = "snapshot_",
-                                 absent: dict[str, list[int]] | None = None
-                                 ) -> tuple[DataFrame, DataFrame]:
+                                 absent: dict[str, list[int]] | None = None,
+                                 materialize: str = "checkpoint") -> tuple[DataFrame, DataFrame]:
     """Snapshots held in one table, told apart by the integer ``seq``
-    expression (one scan).  ``absent[c]`` lists the snapshots without column
-    ``c``; snapshot names are ``prefix + seq``.  The snapshot list comes from
-    the data (a distinct over ``seq``: one row per snapshot)."""
+    expression.  ``absent[c]`` lists the snapshots without column ``c``;
+    snapshot names are ``prefix + seq``.
+
+    Returns ``(freq, schema)``: the snapshot frequency table (checkpointed by
+    default, so the source is scanned once) and the snapshot schema table,
+    whose snapshot list is read from that frequency table."""
     df = P.normalize_nan(df)
     cols = [(f.name, f.dataType) for f in df.schema.fields]
-    records = _records(df, seq, cols, absent)
+    freq = snapshot_freq(_records(df, seq, cols, absent), materialize)
     spark = df.sparkSession
     col_rows = [(f.name, f.dataType.simpleString(), label_c(f.dataType), j)
                 for j, f in enumerate(df.schema.fields)]
     colmeta = spark.createDataFrame(col_rows, "column string, dtype string, data_type string, _o int")
-    seqs = df.select(seq.cast("int").alias("seq")).distinct()
+    seqs = freq.select(F.col("seq").cast("int").alias("seq")).distinct()
     schema = seqs.crossJoin(F.broadcast(colmeta))  # snapshots x columns, both metadata-sized
     for c, drop in (absent or {}).items():
         schema = schema.filter(~((F.col("column") == c) & F.col("seq").isin(drop)))
@@ -89,16 +115,16 @@ def snapshot_records_from_column(df: DataFrame, seq: Column, prefix: str = "snap
     schema = schema.select(
         "seq", F.concat(F.lit(prefix), F.col("seq").cast("string")).alias("snapshot"),
         "column", "dtype", "data_type", (F.row_number().over(w) - 1).cast("int").alias("ordinal"))
-    return records, schema
+    return freq, schema
 
 
 # --------------------------------------------------------------------------
 # Per-snapshot metrics (U4, U5, H8, G17/G18 per snapshot)
 # --------------------------------------------------------------------------
 def snapshot_column_stats(records: DataFrame) -> DataFrame:
-    """``(seq, column, total, nulls, distinct)`` from the records (one shuffle
-    for the value counts, partial aggregation throughout)."""
-    freq = records.groupBy("seq", "column", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    """``(seq, column, total, nulls, distinct)`` from the records or their
+    frequency table (partial aggregation throughout)."""
+    freq = _as_freq(records)
     return freq.groupBy("seq", "column").agg(
         F.sum("cnt").alias("total"),
         F.sum(F.when(F.col("v").isNull(), F.col("cnt")).otherwise(F.lit(0))).alias("nulls"),
@@ -205,7 +231,7 @@ def field_statistics(records: DataFrame, schema: DataFrame) -> DataFrame:
     """Per snapshot and column: type, nulls, uniques, null % (2 dp) and for
     numeric columns mean / median / std (2 dp); plus the JSON text form."""
     from ..functions.quantile import exact_quantiles
-    freq = records.groupBy("seq", "column", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    freq = _as_freq(records)
     numeric = schema.filter(F.col("data_type").isin(K.TYPE_INTEGER, K.TYPE_DECIMAL)) \
         .select("seq", "column", F.lit(True).alias("_num"))
     f = freq.join(F.broadcast(numeric), ["seq", "column"], "left") \
@@ -383,6 +409,8 @@ def tracking_entry(df: DataFrame, results: DataFrame, dataset_name: str,
     ``detailed`` the entry carries the field statistics (U7, JSON text) and
     the schema fingerprint (U8); otherwise both are empty."""
     recs, schema = snapshot_records_from_frames([(dataset_name, df)])   # one snapshot, seq 1
+    # two consumers (table, field statistics): materialise the counts once
+    recs = snapshot_freq(recs, materialize="checkpoint" if detailed else "none")
     snaps = snapshot_table(recs, schema)
     res = results.withColumnRenamed("seq", "rule_seq").withColumn("seq", F.lit(1))
     spark = df.sparkSession
