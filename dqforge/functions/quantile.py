@@ -5,12 +5,16 @@ holding a whole column.
 and ``percentile_approx`` is not exact.  Here the work is spread out:
 
 1. the input is already a frequency table ``(group, value, cnt)``;
-2. ``repartitionByRange(group, value)`` cuts it into ordered slices;
-3. a running count inside each slice (window over ``(group, slice)``, bounded
-   by the slice size) plus per-slice offsets (a table of
-   ``#slices x #groups`` rows, broadcast) give every value its global rank
-   interval ``[start, end)``;
-4. a broadcast join against the wanted ranks picks the two neighbours of each
+2. ``repartitionByRange(group, value)`` cuts it into ordered slices; the
+   slice ids are checkpointed once so that every later step sees the same
+   slices (the shared ``spark.checkpoint.dir``; survives lost executors);
+3. per-slice totals and their running offsets (a table of
+   ``#slices x #groups`` rows) tell which slices hold a wanted rank -- at most
+   two per quantile and group;
+4. only those slices get a running count (window over ``(group, slice)``,
+   bounded by the slice size), giving their values global rank intervals
+   ``[start, end)``;
+5. a broadcast join against the wanted ranks picks the two neighbours of each
    quantile position and interpolates.
 """
 
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 
 
 def exact_quantiles(freq: DataFrame, group: list[str], value: str, cnt: str,
@@ -40,16 +44,30 @@ def exact_quantiles(freq: DataFrame, group: list[str], value: str, cnt: str,
                .withColumn("_rhi", F.least(F.col("_rlo") + 1, F.col("_qn") - 1))
                .withColumn("_frac", F.col("_h") - F.col("_rlo")))
 
+    # Slice ids are written once: every consumer below reads the same ids.
+    # (Two separate range exchanges would each sample their own bounds.)
     ranged = src.repartitionByRange(slices, *group, "_qv") \
         .withColumn("_qs", F.spark_partition_id())
-    w_local = Window.partitionBy(*group, "_qs").orderBy("_qv") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_ql", F.sum("_qc").over(w_local))
-    per_slice = local.groupBy(*group, "_qs").agg(F.sum("_qc").alias("_qsn"))
+    ensure_checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
+
+    # per-slice totals and offsets: #groups x #slices rows, no sorting
+    per_slice = ranged.groupBy(*group, "_qs").agg(F.sum("_qc").alias("_qsn"))
     w_off = Window.partitionBy(*group).orderBy("_qs") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.withColumn("_qo", F.coalesce(F.sum("_qsn").over(w_off), F.lit(0)))
-    ranked = (local.join(F.broadcast(offsets.select(*group, "_qs", "_qo")), [*group, "_qs"])
+    offsets = (per_slice.withColumn("_qo", F.coalesce(F.sum("_qsn").over(w_off), F.lit(0)))
+               .withColumn("_qe", F.col("_qo") + F.col("_qsn")))
+
+    # only the slices holding a wanted rank (at most two per quantile and
+    # group) are ordered; all other slices are never sorted or shuffled again
+    inside = lambda r: (F.col(r) >= F.col("_qo")) & (F.col(r) < F.col("_qe"))
+    need = (offsets.join(F.broadcast(targets.select(*group, "_rlo", "_rhi")), group)
+            .filter(inside("_rlo") | inside("_rhi"))
+            .select(*group, "_qs", "_qo").distinct())
+    local = ranged.join(F.broadcast(need), [*group, "_qs"])
+    w_local = Window.partitionBy(*group, "_qs").orderBy("_qv") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (local.withColumn("_ql", F.sum("_qc").over(w_local))
               .withColumn("_qend", F.col("_qo") + F.col("_ql"))
               .withColumn("_qstart", F.col("_qend") - F.col("_qc")))
 
