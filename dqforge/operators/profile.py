@@ -372,7 +372,9 @@ def _keyed_text_measures(src: DataFrame, infos: list[ColumnInfo], key: str, text
             for i in infos if i.kind == "text"]
     rows = src.select(qcol(key).alias("_key"), F.inline(F.array(*recs))) \
         .filter(F.col("v").isNotNull())
-    w = Window.partitionBy("ci").orderBy("_key")
+    # a total order (key, then value): every consumer of the sample sees the
+    # same rows even when keys tie at the cut-off
+    w = Window.partitionBy("ci").orderBy("_key", "v")
     samp = rows.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= text_n)
     v = F.col("v")
     up, low, title, mixed = _case_flags(v)
