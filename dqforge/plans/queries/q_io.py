@@ -145,7 +145,11 @@ def snapshot_text_orders(spark, sf):
     return t.select("row_count", "column_count", "completeness", "uniqueness", "overall_score")
 
 
-@register("history_append_orders")
+@register("history_append_orders", """
+SELECT CAST(2 AS BIGINT) AS runs, CAST(COUNT(*) AS BIGINT) AS total_records,
+       'orders' AS dataset_name,
+       CAST(2 * (SELECT COUNT(*) FROM (DESCRIBE SELECT * FROM orders)) AS BIGINT) AS field_rows
+FROM orders""")
 def history_append_orders(spark, sf):
     # S12 + S13: append two runs to the dataset and field histories, read back
     from ...plans import snapshot as SN
