@@ -120,12 +120,15 @@ def summary(df: DataFrame, column1: str, column2: str, threshold: float = 0.8,
         *[name for name, _, _ in K.SIMILARITY_BUCKETS])
 
 
-def as_rule_result(summ: DataFrame, seq: int = 0) -> DataFrame:
-    """The similarity summary recorded as a rule result (rate = similar %)."""
+def as_rule_result(summ: DataFrame, seq: int = 0, threshold: float | None = None) -> DataFrame:
+    """The similarity summary recorded as a rule result (rate = similar %).
+    Pass ``threshold`` to label it exactly as written (``1`` stays ``1``)."""
+    label = F.lit(rule_label(threshold)) if threshold is not None else F.concat(
+        F.lit(K.RULE_SIMILARITY + " (threshold: "),
+        F.col("similarity_threshold").cast("string"), F.lit(")"))
     return summ.select(
         F.lit(seq).alias("seq"), F.col("column_pair").alias("column"),
-        F.concat(F.lit(K.RULE_SIMILARITY + " (threshold: "),
-                 F.col("similarity_threshold").cast("string"), F.lit(")")).alias("rule"),
+        label.alias("rule"),
         F.col("total_comparisons").alias("total"), F.col("similar_pairs").alias("passed"),
         (F.col("total_comparisons") - F.col("similar_pairs")).alias("failed"),
         F.col("similarity_percentage").alias("success_rate"))

@@ -69,7 +69,7 @@ class QualityChecker:
             parts.append(R.evaluate(self.df, self.rules).drop("details"))
         for j, (c1, c2, t) in enumerate(self.similarities):
             summ = SM.summary(self.df, c1, c2, t)
-            parts.append(SM.as_rule_result(summ, seq=len(self.rules) + j))
+            parts.append(SM.as_rule_result(summ, seq=len(self.rules) + j, threshold=t))
         if not parts:
             return self.df.sparkSession.createDataFrame(
                 [], "seq int, column string, rule string, total long, passed long, failed long, "
