@@ -63,6 +63,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20
+                 ) -> dict[str, str]:
+    """Settings sized to the data for a cluster session (pass them to the
+    session builder or ``spark-submit --conf``).
+
+    * input splits of ``target_partition_bytes`` (256 MB): a task's slice of a
+      scan fits comfortably in executor memory;
+    * shuffle partitions so that the widest shuffle here (the value counts of
+      a profile, about the size of the input columns) lands near the same
+      size per task, and never fewer than three waves of the cluster's cores;
+    * AQE coalesces small partitions toward 128 MB and splits skewed ones
+      above 4x the median (and 512 MB).
+    """
+    parts = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    }
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     try:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
