@@ -8,8 +8,9 @@ and ``percentile_approx`` is not exact.  Here the work is spread out:
 2. ``repartitionByRange(group, value)`` cuts it into ordered slices; the
    slice ids are checkpointed once so that every later step sees the same
    slices (the shared ``spark.checkpoint.dir``; survives lost executors);
-3. per-slice totals and their running offsets (a table of
-   ``#slices x #groups`` rows) tell which slices hold a wanted rank -- at most
+3. per-slice totals and their running offsets (at most ``#slices + #groups``
+   rows: slices are contiguous in (group, value) order, so each boundary
+   splits at most one group) tell which slices hold a wanted rank -- at most
    two per quantile and group;
 4. only those slices get a running count (window over ``(group, slice)``,
    bounded by the slice size), giving their values global rank intervals
@@ -51,7 +52,7 @@ def exact_quantiles(freq: DataFrame, group: list[str], value: str, cnt: str,
     ensure_checkpoint_dir(spark)
     ranged = ranged.checkpoint(eager=True)
 
-    # per-slice totals and offsets: #groups x #slices rows, no sorting
+    # per-slice totals and offsets: at most #slices + #groups rows, no sorting
     per_slice = ranged.groupBy(*group, "_qs").agg(F.sum("_qc").alias("_qsn"))
     w_off = Window.partitionBy(*group).orderBy("_qs") \
         .rowsBetween(Window.unboundedPreceding, -1)
