@@ -38,14 +38,39 @@ def duplicated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
             .filter(F.col("_dq_n") > 1))
 
 
+def duplicated_values_per_column(df: DataFrame, columns: list[str],
+                                 materialize: bool = True) -> dict[str, DataFrame]:
+    """Duplicated values of several columns from ONE aggregation: every row is
+    expanded into one typed record per column and a single ``groupBy``
+    (map-side combined) counts them all.  The result -- duplicated values
+    only -- is checkpointed once, and each column's slice is returned as a
+    ``(column, _dq_n)`` table ready for ``mark_duplicates(dups=...)``."""
+    fields = {c: f"_dqv{i}" for i, c in enumerate(columns)}
+    types = {c: df.schema[c].dataType for c in columns}
+    recs = [F.struct(F.lit(i).alias("_dqi"),
+                     *[(qcol(c) if c == own else F.lit(None).cast(types[c])).alias(fields[c])
+                       for c in columns])
+            for i, own in enumerate(columns)]
+    counted = (df.select(F.inline(F.array(*recs)))
+               .groupBy("_dqi", *fields.values()).agg(F.count(F.lit(1)).alias("_dq_n"))
+               .filter(F.col("_dq_n") > 1))
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        counted = counted.checkpoint(eager=True)
+    return {c: counted.filter(F.col("_dqi") == i).select(F.col(fields[c]).alias(c), "_dq_n")
+            for i, c in enumerate(columns)}
+
+
 def mark_duplicates(df: DataFrame, keys: list[str], flag: str = "is_duplicate",
                     hot_threshold: int = DEFAULT_HOT_THRESHOLD,
-                    buckets: int | None = None) -> DataFrame:
-    """Add boolean ``flag``: the row's key tuple occurs more than once."""
+                    buckets: int | None = None, dups: DataFrame | None = None) -> DataFrame:
+    """Add boolean ``flag``: the row's key tuple occurs more than once.
+    ``dups`` may supply the duplicated keys (with ``_dq_n``) already counted."""
     keys = list(keys)
     spark = df.sparkSession
     buckets = buckets or shuffle_partitions(spark)
-    dups = duplicated_keys(df, keys)
+    dups = dups if dups is not None else duplicated_keys(df, keys)
     hot = dups.filter(F.col("_dq_n") >= hot_threshold).select(
         *[qcol(k).alias(f"_dqh_{i}") for i, k in enumerate(keys)], F.lit(True).alias("_dq_hot"))
     cold = dups.filter(F.col("_dq_n") < hot_threshold).select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import qcol
 from ..functions import predicates as P
-from .duplicates import mark_duplicates
+from .duplicates import duplicated_values_per_column, mark_duplicates
 
 SUMMARY_COLUMNS = ["total_validations", "passed_validations", "validation_success_rate",
                    "all_validations_pass"]
@@ -36,10 +36,13 @@ def enhanced_dataset(df: DataFrame, config: dict, normalize: bool = True) -> Dat
         if c in cols:
             flags.append((f"{c}_not_null_pass", qcol(c).isNotNull()))
 
-    uniques = [c for c in config.get("unique", []) if c in cols]
+    uniques = list(dict.fromkeys(c for c in config.get("unique", []) if c in cols))
+    # several unique checks: all duplicated values come from one aggregation
+    # over the input (not from the output of the previous check's joins)
+    dup_tables = duplicated_values_per_column(src, uniques) if len(uniques) > 1 else {}
     for c in uniques:
         # NULL passes; duplicated non-null values fail (all instances)
-        src = mark_duplicates(src, [c], flag=f"_dq_dup_{c}")
+        src = mark_duplicates(src, [c], flag=f"_dq_dup_{c}", dups=dup_tables.get(c))
         flags.append((f"{c}_unique_pass", ~qcol(f"_dq_dup_{c}") | qcol(c).isNull()))
 
     for c, (lo, hi) in config.get("ranges", {}).items():

@@ -120,3 +120,26 @@ def profile_approx_lineitem(spark, sf):
     return profile_approx(table(spark, sf, "lineitem")).select(
         "column", "total_count", "null_count", "distinct_count", "completeness", "uniqueness",
         "consistency_standard")
+
+
+# -------------------------------------- P3: several unique flags at once ---
+@register("row_flags_multi_unique_orders", f"""
+WITH {ORDERS_NULLS_SQL},
+dc AS (SELECT o_custkey FROM o WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING COUNT(*) > 1),
+dd AS (SELECT o_orderdate FROM o WHERE o_orderdate IS NOT NULL GROUP BY o_orderdate HAVING COUNT(*) > 1),
+dp AS (SELECT o_totalprice FROM o WHERE o_totalprice IS NOT NULL GROUP BY o_totalprice HAVING COUNT(*) > 1)
+SELECT o.o_orderkey,
+       dc.o_custkey IS NULL OR o.o_custkey IS NULL AS o_custkey_unique_pass,
+       dd.o_orderdate IS NULL OR o.o_orderdate IS NULL AS o_orderdate_unique_pass,
+       dp.o_totalprice IS NULL OR o.o_totalprice IS NULL AS o_totalprice_unique_pass,
+       CAST(dc.o_custkey IS NULL OR o.o_custkey IS NULL AS INTEGER)
+         + CAST(dd.o_orderdate IS NULL OR o.o_orderdate IS NULL AS INTEGER)
+         + CAST(dp.o_totalprice IS NULL OR o.o_totalprice IS NULL AS INTEGER) AS passed_validations
+FROM o LEFT JOIN dc ON o.o_custkey = dc.o_custkey LEFT JOIN dd ON o.o_orderdate = dd.o_orderdate
+       LEFT JOIN dp ON o.o_totalprice = dp.o_totalprice""")
+def row_flags_multi_unique_orders(spark, sf):
+    # three unique checks: their duplicated values come from one aggregation
+    enh = RF.enhanced_dataset(orders_nulls(spark, sf),
+                              {"unique": ["o_custkey", "o_orderdate", "o_totalprice"]})
+    return enh.select("o_orderkey", "o_custkey_unique_pass", "o_orderdate_unique_pass",
+                      "o_totalprice_unique_pass", "passed_validations")
