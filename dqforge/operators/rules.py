@@ -387,6 +387,10 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
                 key_cols.append(c)
     key_field = {c: f"_dqk{j}" for j, c in enumerate(key_cols)}
     key_type = {c: P.column_type(df, c) for c in key_cols}
+    # maps cannot be grouped on: their JSON text stands in for them
+    key_expr = {c: F.to_json(qcol(c)) if isinstance(key_type[c], T.MapType) else qcol(c)
+                for c in key_cols}
+    key_type = {c: T.StringType() if isinstance(t, T.MapType) else t for c, t in key_type.items()}
 
     # The per-row predicate outcomes are packed into bit words that join the
     # grouping key: stage 1 is then a plain count (a handful of distinct bit
@@ -408,7 +412,7 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
     def record(rule_id: int, keys: tuple, with_flags: bool) -> Column:
         parts = [F.lit(rule_id).alias("_dqr")]
         for c in key_cols:
-            v = qcol(c) if c in keys else F.lit(None).cast(key_type[c])
+            v = key_expr[c] if c in keys else F.lit(None).cast(key_type[c])
             parts.append(v.alias(key_field[c]))
         for w in range(n_words):
             parts.append((words[w] if with_flags else F.lit(None).cast("long")).alias(f"_dqb{w}"))
