@@ -32,9 +32,16 @@ from ..session import shuffle_partitions
 DEFAULT_HOT_THRESHOLD = 1_000_000
 
 
+def _key(df: DataFrame, k: str):
+    """A key column as compared: maps (not groupable) by their JSON text."""
+    from pyspark.sql import types as T
+    return F.to_json(qcol(k)) if isinstance(df.schema[k].dataType, T.MapType) else qcol(k)
+
+
 def duplicated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys occurring more than once, with their count ``_dq_n``."""
-    return (df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_dq_n"))
+    return (df.groupBy(*[_key(df, k).alias(k) for k in keys])
+            .agg(F.count(F.lit(1)).alias("_dq_n"))
             .filter(F.col("_dq_n") > 1))
 
 
@@ -46,9 +53,11 @@ def duplicated_values_per_column(df: DataFrame, columns: list[str],
     only -- is checkpointed once, and each column's slice is returned as a
     ``(column, _dq_n)`` table ready for ``mark_duplicates(dups=...)``."""
     fields = {c: f"_dqv{i}" for i, c in enumerate(columns)}
-    types = {c: df.schema[c].dataType for c in columns}
+    from pyspark.sql import types as T
+    types = {c: (T.StringType() if isinstance(df.schema[c].dataType, T.MapType)
+                 else df.schema[c].dataType) for c in columns}
     recs = [F.struct(F.lit(i).alias("_dqi"),
-                     *[(qcol(c) if c == own else F.lit(None).cast(types[c])).alias(fields[c])
+                     *[(_key(df, c) if c == own else F.lit(None).cast(types[c])).alias(fields[c])
                        for c in columns])
             for i, own in enumerate(columns)]
     counted = (df.select(F.inline(F.array(*recs)))
@@ -78,13 +87,13 @@ def mark_duplicates(df: DataFrame, keys: list[str], flag: str = "is_duplicate",
         F.lit(0).alias("_dqc_salt"), F.lit(True).alias("_dq_cold"))
 
     on_hot = reduce(lambda a, b: a & b,
-                    [qcol(k).eqNullSafe(qcol(f"_dqh_{i}")) for i, k in enumerate(keys)])
+                    [_key(df, k).eqNullSafe(qcol(f"_dqh_{i}")) for i, k in enumerate(keys)])
     marked = df.join(hot, on_hot, "left")   # broadcast decided at run time, by measured size
     salt = F.when(F.col("_dq_hot"), (F.floor(F.rand(17) * buckets) + 1).cast("int")) \
         .otherwise(F.lit(0))
     marked = marked.withColumn("_dq_salt", salt)
     on_cold = reduce(lambda a, b: a & b,
-                     [qcol(k).eqNullSafe(qcol(f"_dqc_{i}")) for i, k in enumerate(keys)]
+                     [_key(df, k).eqNullSafe(qcol(f"_dqc_{i}")) for i, k in enumerate(keys)]
                      + [F.col("_dq_salt") == F.col("_dqc_salt")])
     joined = marked.join(cold, on_cold, "left")
     out = F.coalesce(F.col("_dq_hot"), F.col("_dq_cold"), F.lit(False)).alias(flag)
