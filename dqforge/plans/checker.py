@@ -133,8 +133,10 @@ class QualityChecker:
                            dataset_name: str | None = None) -> dict[str, DataFrame]:
         """The report's tables (no HTML): see ``plans.report.report_tables``."""
         from .report import report_tables
-        _ = (title, dataset_name)
-        return report_tables(self.df, self.get_results(), self.user_specified_critical_columns)
+        tables = report_tables(self.df, self.get_results(), self.user_specified_critical_columns)
+        tables["metadata"] = self.df.sparkSession.createDataFrame(
+            [(title, dataset_name or self.dataset_name)], "title string, dataset_name string")
+        return tables
 
     def tracking_entry(self, dataset_version: str = "v1.0", detailed: bool = True) -> DataFrame:
         """This run as one history entry (append it with
