@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
+from ..functions.onerow import beside
 from ..functions.names import qcol
 from ..functions import constants as K
 from ..functions import predicates as P
@@ -107,10 +108,10 @@ def snapshot_records_from_column(df: DataFrame, seq: Column, prefix: str = "snap
     col_rows = [(f.name, f.dataType.simpleString(), label_c(f.dataType), j)
                 for j, f in enumerate(df.schema.fields)]
     colmeta = spark.createDataFrame(col_rows, "column string, dtype string, data_type string, _o int")
-    seqs = freq.select(F.col("seq").cast("int").alias("seq")).distinct()
-    schema = seqs.crossJoin(F.broadcast(colmeta))  # snapshots x columns, both metadata-sized
-    for c, drop in (absent or {}).items():
-        schema = schema.filter(~((F.col("column") == c) & F.col("seq").isin(drop)))
+    # every (snapshot, present column) pair has records in freq (absent columns
+    # were dropped before counting); colmeta is one row per column
+    present = freq.select(F.col("seq").cast("int").alias("seq"), "column").distinct()
+    schema = present.join(F.broadcast(colmeta), "column")
     w = Window.partitionBy("seq").orderBy("_o")
     schema = schema.select(
         "seq", F.concat(F.lit(prefix), F.col("seq").cast("string")).alias("snapshot"),
@@ -206,15 +207,19 @@ def first_last(snapshots: DataFrame) -> DataFrame:
 
 def pair_diff(snapshots: DataFrame, name_a: str, name_b: str) -> DataFrame:
     """Score, completeness, uniqueness and row deltas between two snapshots."""
-    a = snapshots.filter(F.col("snapshot") == name_a).alias("a")
-    b = snapshots.filter(F.col("snapshot") == name_b).alias("b")
-    j = a.crossJoin(b)  # one row each (names are unique)
+    fields = ["snapshot", "overall_score", "completeness", "uniqueness", "row_count"]
+
+    def side(name, tag):
+        return snapshots.filter(F.col("snapshot") == name).select(
+            *[F.col(f).alias(f"{tag}_{f}") for f in fields])
+
+    j = beside(side(name_a, "a"), side(name_b, "b"))  # one row each (names are unique)
     return j.select(
-        F.col("a.snapshot").alias("snapshot_a"), F.col("b.snapshot").alias("snapshot_b"),
-        (F.col("b.overall_score") - F.col("a.overall_score")).alias("score_change"),
-        (F.col("b.completeness") - F.col("a.completeness")).alias("completeness_change"),
-        (F.col("b.uniqueness") - F.col("a.uniqueness")).alias("uniqueness_change"),
-        (F.col("b.row_count") - F.col("a.row_count")).alias("row_change"))
+        F.col("a_snapshot").alias("snapshot_a"), F.col("b_snapshot").alias("snapshot_b"),
+        (F.col("b_overall_score") - F.col("a_overall_score")).alias("score_change"),
+        (F.col("b_completeness") - F.col("a_completeness")).alias("completeness_change"),
+        (F.col("b_uniqueness") - F.col("a_uniqueness")).alias("uniqueness_change"),
+        (F.col("b_row_count") - F.col("a_row_count")).alias("row_change"))
 
 
 # --------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.onerow import beside
 from ..functions.names import qcol
 from ..functions import constants as K
 from ..functions.bands import health_status, rule_description, rule_title
@@ -129,7 +130,7 @@ def report_quality(profile: DataFrame, metrics: DataFrame) -> DataFrame:
         ordered_mean(F.when(F.col("distinct_count") > 0, F.col("uniqueness")), F.col("ordinal"))
         .alias("_u"),
         ordered_mean(F.col("consistency_type_share"), F.col("ordinal")).alias("_k"))
-    j = metrics.select("cell_completeness").crossJoin(u)  # 1 x 1 rows
+    j = beside(metrics.select("cell_completeness"), u)  # one row each
     uu = F.coalesce(F.col("_u"), F.lit(0.0))
     kk = F.coalesce(F.col("_k"), F.lit(100.0))
     return j.select(F.col("cell_completeness").alias("completeness"), uu.alias("uniqueness"),
@@ -149,7 +150,7 @@ def type_distribution(profile: DataFrame, label: str = "data_type") -> DataFrame
     """G17 + G18: columns per type label and their share of all columns."""
     n = profile.groupBy(qcol(label).alias("data_type")).agg(F.count(F.lit(1)).alias("count"))
     tot = profile.agg(F.count(F.lit(1)).alias("_n"))
-    return n.crossJoin(tot).select(
+    return beside(n, tot).select(
         "data_type", "count", r1(F.col("count") / F.col("_n") * 100).alias("percentage"))
 
 
@@ -220,5 +221,5 @@ def app_quality(profile: DataFrame) -> DataFrame:
     q = overall_quality(profile, consistency="consistency_whitespace")
     types = profile.groupBy("data_type_c").agg(F.count(F.lit(1)).alias("n")).agg(
         F.map_from_entries(F.collect_list(F.struct("data_type_c", "n"))).alias("type_distribution"))
-    return q.crossJoin(types).withColumn(            # one row each
+    return beside(q, types).withColumn(               # one row each
         "snapshot_score", snapshot_score(F.col("completeness"), F.col("uniqueness")))

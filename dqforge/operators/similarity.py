@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.onerow import beside
 from ..functions.names import qcol
 from ..functions import constants as K
 
@@ -98,11 +99,11 @@ def summary(df: DataFrame, column1: str, column2: str, threshold: float = 0.8,
             & ((r < hi) if hi is not None else F.lit(True))).alias(name)
           for name, lo, hi in K.SIMILARITY_BUCKETS])
     # population std: second pass over the (small) pair table, mean broadcast
-    spread = pt.crossJoin(F.broadcast(first.select("average_similarity"))).agg(
+    spread = beside(pt, first.select("average_similarity")).agg(
         F.sum(n * (r - F.col("average_similarity")) * (r - F.col("average_similarity")))
         .alias("_ss"))
     tot = F.col("total_comparisons")
-    out = first.crossJoin(spread)  # one row each
+    out = beside(first, spread)  # one row each
     zero = F.lit(0.0)
     return out.select(
         F.lit(f"{column1} vs {column2}").alias("column_pair"),

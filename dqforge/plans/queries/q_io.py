@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions.onerow import beside
 from ...operators import history as HI
 from ...operators import profile as PR
 from ...plans import sqldemo as SQ
@@ -165,7 +166,7 @@ def history_append_orders(spark, sf):
     h = spark.read.parquet(hist).agg(F.count(F.lit(1)).alias("runs"),
                                      F.max("total_records").alias("total_records"))
     fh = spark.read.parquet(fhist).groupBy("dataset_name").agg(F.count(F.lit(1)).alias("field_rows"))
-    return h.crossJoin(fh)
+    return beside(h, fh)
 
 
 @register("preview_orders", """

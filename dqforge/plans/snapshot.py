@@ -2,7 +2,8 @@
 summary (H17).
 
 All pieces are one-row aggregates of the small profile/results tables; the
-nested row is assembled with ``crossJoin`` of single-row frames, and the
+nested row is assembled from single-row frames as scalar subqueries
+(``functions.onerow.beside``, no join), and the
 per-column/per-rule arrays are ``collect_list`` of tables bounded by the
 number of columns or rules, never by the data.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.onerow import beside
 from ..operators import scores as S
 from ..operators.profile import dataset_metrics, profile as build_profile
 
@@ -61,8 +63,7 @@ def comprehensive_snapshot(df: DataFrame, results: DataFrame | None, title: str
     detailed = results.agg(F.array_sort(F.collect_list(F.struct(
         "seq", "column", "rule", "success_rate", "total", "passed", "failed"))).alias("detailed_results"))
 
-    one = (metrics.crossJoin(health).crossJoin(quality).crossJoin(dist).crossJoin(cols)
-           .crossJoin(types).crossJoin(detailed))  # every frame here has exactly one row
+    one = beside(metrics, health, quality, dist, cols, types, detailed)  # one row each
     crit = F.transform(F.col("_crit"), lambda s: s["e"])
     other = F.transform(F.col("_other"), lambda s: s["e"])
     return one.select(

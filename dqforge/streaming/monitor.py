@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.onerow import beside
 from ..functions.names import qcol
 from ..functions import constants as K
 from ..functions import predicates as P
@@ -91,7 +92,7 @@ def tracking_entry(batch: DataFrame, results: DataFrame, dataset_name: str,
                     F.count_if(F.col("success_rate") >= K.PASSED_RULE_RATE).alias("passed_validations"),
                     F.avg("success_rate").alias("_score"))
     cells = F.col("row_count") * ncols
-    return size.crossJoin(v).select(  # one row each
+    return beside(size, v).select(  # one row each
         F.lit(batch_id).cast("long").alias("batch_id"), F.lit(dataset_name).alias("dataset_name"),
         F.bround(F.coalesce(F.col("_score"), F.lit(100.0)), 1).alias("overall_quality_score"),
         "total_validations", "passed_validations", "row_count",
