@@ -348,28 +348,27 @@ def version_diff(history: DataFrame, version_a: str, version_b: str) -> DataFram
     """Latest entry of each version and the deltas; a row with
     ``available = false`` when either version is missing."""
     latest = latest_per_version(history.filter(F.col("dataset_version").isin(version_a, version_b)))
-    a = latest.filter(F.col("dataset_version") == version_a).alias("a")
-    b = latest.filter(F.col("dataset_version") == version_b).alias("b")
-    # at most one row per side after W3
-    j = a.join(b, F.lit(True), "full_outer")
-    avail = F.col("a.seq").isNotNull() & F.col("b.seq").isNotNull()
-    out = j.select(
-        F.lit(version_a).alias("version_a"), F.lit(version_b).alias("version_b"),
-        avail.alias("available"),
-        (F.col("b.overall_quality_score") - F.col("a.overall_quality_score")).alias("quality_diff"),
-        (F.col("b.row_count") - F.col("a.row_count")).alias("row_diff"),
-        (F.col("b.column_count") - F.col("a.column_count")).alias("column_diff"),
-        (F.col("b.data_completeness") - F.col("a.data_completeness")).alias("completeness_diff"),
-        (F.col("a.schema_fingerprint") != F.col("b.schema_fingerprint")).alias("schema_changed"))
-    empty = history.sparkSession.range(1).select(
+    # at most one row per version after W3: one global aggregation picks each
+    # side's values (and yields exactly one row, also when a side is missing)
+    ver = F.col("dataset_version")
+    fields = ["overall_quality_score", "row_count", "column_count", "data_completeness",
+              "schema_fingerprint"]
+    sides = latest.agg(
+        F.count_if(ver == version_a).alias("_na"), F.count_if(ver == version_b).alias("_nb"),
+        *[F.max(F.when(ver == v, F.col(c))).alias(f"{tag}_{c}")
+          for tag, v in (("a", version_a), ("b", version_b)) for c in fields])
+
+    def diff(c, t):
+        return (F.col(f"b_{c}") - F.col(f"a_{c}")).cast(t)
+
+    return sides.select(
         F.lit(version_a).alias("version_a"), F.lit(version_b).alias("version_b"),
-        F.lit(False).alias("available"), *[F.lit(None).cast(t).alias(c) for c, t in [
-            ("quality_diff", "double"), ("row_diff", "bigint"), ("column_diff", "bigint"),
-            ("completeness_diff", "double"), ("schema_changed", "boolean")]])
-    both = out.unionByName(empty)
-    # keep the real row if there is one, else the "not available" row
-    w = Window.orderBy(F.desc("available"))
-    return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+        ((F.col("_na") > 0) & (F.col("_nb") > 0)).alias("available"),
+        diff("overall_quality_score", "double").alias("quality_diff"),
+        diff("row_count", "bigint").alias("row_diff"),
+        diff("column_count", "bigint").alias("column_diff"),
+        diff("data_completeness", "double").alias("completeness_diff"),
+        (F.col("a_schema_fingerprint") != F.col("b_schema_fingerprint")).alias("schema_changed"))
 
 
 FIELD_STATS_SCHEMA = T.MapType(T.StringType(), T.StructType([
