@@ -181,12 +181,12 @@ def type_pivot(schema: DataFrame, types: list[str] | None = None) -> DataFrame:
 
 def schema_diff(schema: DataFrame, seq_a: int, seq_b: int) -> DataFrame:
     """Common / added / removed columns between two snapshots."""
-    a = schema.filter(F.col("seq") == seq_a).select(F.col("column").alias("a"))
-    b = schema.filter(F.col("seq") == seq_b).select(F.col("column").alias("b"))
-    j = a.join(b, a["a"] == b["b"], "full_outer")
-    return j.select(F.coalesce("a", "b").alias("column"),
-                    F.when(F.col("a").isNull(), F.lit("added"))
-                    .when(F.col("b").isNull(), F.lit("removed"))
+    seq = F.col("seq")
+    g = (schema.filter(seq.isin(seq_a, seq_b)).groupBy("column")
+         .agg(F.max(seq == seq_a).alias("_a"), F.max(seq == seq_b).alias("_b")))
+    return g.select("column",
+                    F.when(~F.col("_a"), F.lit("added"))
+                    .when(~F.col("_b"), F.lit("removed"))
                     .otherwise(F.lit("common")).alias("status"))
 
 
@@ -386,11 +386,14 @@ def field_diff(history: DataFrame, version_a: str, version_b: str) -> DataFrame:
     def fields(v: str, tag: str) -> DataFrame:
         e = latest.filter(F.col("dataset_version") == v).select(
             F.explode(F.from_json("field_statistics", FIELD_STATS_SCHEMA)).alias("field", "s"))
-        return e.select("field", F.col("s.data_type").alias(f"type_{tag}"),
-                        F.col("s.null_percentage").alias(f"null_{tag}"),
-                        F.col("s.unique_count").alias(f"unique_{tag}"))
-
-    j = fields(version_a, "a").join(fields(version_b, "b"), "field", "full_outer")
+        return e.select(F.lit(tag).alias("_t"), "field", "s")
+
+    # one row per field of either version: one grouping instead of a join
+    t = F.col("_t")
+    j = fields(version_a, "a").unionByName(fields(version_b, "b")).groupBy("field").agg(
+        *[F.max(F.when(t == tag, F.col(f"s.{k}"))).alias(f"{n}_{tag}") for tag in ("a", "b")
+          for k, n in (("data_type", "type"), ("null_percentage", "null"),
+                       ("unique_count", "unique"))])
     return j.select(
         "field", F.coalesce("type_a", F.lit("N/A")).alias("version_a_type"),
         F.coalesce("type_b", F.lit("N/A")).alias("version_b_type"),
