@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import decontaminate as D4
+from . import lm_scoring as L2
+from . import simhash as S3
+from . import suffix_dedup as S9
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -45,3 +48,32 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 @register("op4_decontamination", OP4_SQL)
 def op4_decontamination(spark, sf):
     return D4.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register("op2_lm_scoring")
+def op2_lm_scoring(spark, sf):
+    return L2.scores(table(spark, sf, "documents"))
+
+
+@register("op3_simhash")
+def op3_simhash(spark, sf):
+    return S3.near_duplicates(table(spark, sf, "documents"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, len(w) AS n, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS run
+         FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) AS i FROM d)),
+shared AS (SELECT run, min(doc_id) AS lead FROM runs GROUP BY run HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, n, i, lead, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM runs JOIN shared USING (run)),
+part AS (SELECT *, sum(CASE WHEN before IS NULL OR i - before > 50 THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY doc_id ORDER BY i) AS p FROM hit)
+SELECT doc_id, CAST(min(i) - 1 AS BIGINT) AS begin_word, CAST(max(i) + 49 AS BIGINT) AS end_word,
+       CAST(min(n) AS BIGINT) AS n_words, min(lead) AS first_doc_id
+FROM part GROUP BY doc_id, p"""
+
+
+@register("op9_suffix_dedup", OP9_SQL)
+def op9_suffix_dedup(spark, sf):
+    return S9.repeated_passages(table(spark, sf, "documents"))
