@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, cell_limit
               .join(vertices, "fp"))
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
     named = linked.join(least, "root").select(F.col("fp").alias("linked_fp"), "component")
-    known = (vertices.join(named, F.col("fp") == F.col("linked_fp"), "left")
-             .select(F.col("fp").alias("vertex"), F.coalesce("component", "rep").alias("component_id")))
+    # kept: the last join then has two plain shuffled sides, which AQE can split at a hot fingerprint
+    known = kept(vertices.join(named, F.col("fp") == F.col("linked_fp"), "left")
+                 .select(F.col("fp").alias("vertex"), F.coalesce("component", "rep").alias("component_id")), "simhash-named")
     return (rows.join(known, F.col("fp") == F.col("vertex"))
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
