@@ -234,19 +234,39 @@ def near_links(vertices: DataFrame, bits: int = 4, cell_limit: int = 4096) -> Da
             .mapInArrow(lambda it: _links(it, bits), "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, cell_limit: int = 4096,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
-    rows = kept(fingerprints(docs, shingle, id_col, text_col), "simhash")
+def _named(rows: DataFrame, bits: int, cell_limit: int) -> DataFrame:
+    """Of (doc_id, fp) rows: (vertex, component_id, root), one for each fingerprint."""
     vertices = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-vertices")
     member = components(near_links(vertices, bits, cell_limit))
     linked = (member.select(F.col("u").alias("fp"), F.col("v").alias("root"))
               .unionByName(member.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
               .join(vertices, "fp"))
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
-    named = linked.join(least, "root").select(F.col("fp").alias("linked_fp"), "component")
-    # kept: the last join then has two plain shuffled sides, which AQE can split at a hot fingerprint
-    known = kept(vertices.join(named, F.col("fp") == F.col("linked_fp"), "left")
-                 .select(F.col("fp").alias("vertex"), F.coalesce("component", "rep").alias("component_id")), "simhash-named")
+    named = linked.join(least, "root").select(F.col("fp").alias("linked_fp"), "root", "component")
+    # kept: a later join then has two plain shuffled sides, which AQE can split at a hot fingerprint
+    return kept(vertices.join(named, F.col("fp") == F.col("linked_fp"), "left")
+                .select(F.col("fp").alias("vertex"), F.coalesce("component", "rep").alias("component_id"),
+                        F.coalesce("root", "fp").alias("root")), "simhash-named")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, cell_limit: int = 4096,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
+    rows = kept(fingerprints(docs, shingle, id_col, text_col), "simhash")
+    known = _named(rows, bits, cell_limit)
     return (rows.join(known, F.col("fp") == F.col("vertex"))
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 4, bits: int = 4, cell_limit: int = 4096, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (a null id only where
+    the component has no other), of equal ids the first as stored.  All columns are kept."""
+    whole = kept(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-docs")
+    source = whole.select("__row", F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = kept(source.mapInArrow(lambda it: _fingerprints(it, shingle), "__row long, doc_id long, fp long"), "simhash")
+    known = _named(rows, bits, cell_limit)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    stay = (rows.groupBy("fp").agg(best.alias("best")).join(known, F.col("fp") == F.col("vertex"))
+            .groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__stays")))
+    return whole.join(kept(stay, "simhash-stay"), F.col("__row") == F.col("__stays"), "left_semi").drop("__row")
