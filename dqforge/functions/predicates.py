@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as _dt
 import math
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,11 +92,56 @@ def _is_null_value(v) -> bool:
     return v is None or (isinstance(v, float) and math.isnan(v))
 
 
-def in_set(col: Column, values) -> Column:
+def _as_type(v, dt: T.DataType):
+    """``v`` as a value of ``dt`` that it equals, or None if no value of the type does
+    (1.5 among integers, text among numbers).  ``True`` equals 1, as in Python."""
+    if is_string(dt):
+        return v if isinstance(v, str) else None
+    if is_boolean(dt):
+        return bool(v) if isinstance(v, (bool, int, float, Decimal)) and v in (0, 1) else None
+    if is_numeric(dt):
+        if not isinstance(v, (bool, int, float, Decimal)) or (isinstance(v, float) and math.isinf(v) and not isinstance(dt, FLOAT_TYPES)):
+            return None
+        if isinstance(dt, INTEGRAL_TYPES):
+            bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}[type(dt)]
+            return int(v) if v == int(v) and -(1 << bits) <= v < 1 << bits else None
+        if isinstance(dt, FLOAT_TYPES):
+            try:
+                return float(v) if float(v) == v else None
+            except OverflowError:
+                return None
+        exact = Decimal(repr(v)) if isinstance(v, float) else Decimal(int(v)) if isinstance(v, bool) else Decimal(v)
+        small = abs(exact) < Decimal(10) ** (dt.precision - dt.scale)
+        return exact if small and exact == round(exact, dt.scale) else None
+    if is_datetime(dt):
+        if not isinstance(v, (str, _dt.date)):
+            return None
+        try:
+            return _to_python_datetime(v)
+        except ValueError:
+            return None
+    return v
+
+
+def in_set(col: Column, values, dt: T.DataType) -> Column:
+    """Membership in a list of any length: every listed value is first taken as a value of the
+    column's type without loss, and dropped where no value of the type equals it."""
     values = list(values)
     allow_null = any(_is_null_value(v) for v in values)
-    non_null = [v for v in values if not _is_null_value(v)]
-    pred = col.isin(non_null) if non_null else F.lit(False)
+    typed = [_as_type(v, dt) for v in values if not _is_null_value(v)]
+    typed = [v for v in typed if v is not None]
+    if not typed:
+        pred = F.lit(False)
+    elif is_datetime(dt):
+        kind = T.TimestampNTZType() if isinstance(dt, T.DateType) else dt
+        pred = (col.cast("timestamp_ntz") if isinstance(dt, T.DateType) else col).isin(
+            [date_bounds(kind, v, v)[0] for v in dict.fromkeys(typed)])
+    else:
+        try:
+            typed = list(dict.fromkeys(typed))
+        except TypeError:                       # unhashable values (arrays, structs)
+            pass
+        pred = (col.cast("double") if isinstance(dt, T.FloatType) else col).isin(typed)
     if allow_null:
         # a listed None/NaN matches missing values (pandas isin semantics)
         pred = col.isNull() | F.coalesce(pred, F.lit(False))
@@ -123,7 +169,7 @@ def java_regex(pattern: str) -> str:
     """
     p = _NAMED_GROUP.sub(r"(?<\1>", pattern)
     p = _NAMED_BACKREF.sub(r"\\k<\1>", p)
-    p = p.replace(r"\Z", r"\z")
+    p = re.sub(r"\\(.)", lambda m: r"\z" if m.group(1) == "Z" else m.group(0), p, flags=re.S)
     return "(?dU)^(?:" + p + ")"
 
 
@@ -136,7 +182,7 @@ def regex_match(col: Column, pattern: str) -> Column:
 # Ranges (R5, R11)
 # --------------------------------------------------------------------------
 def _is_number(v) -> bool:
-    return isinstance(v, (int, float)) and not isinstance(v, bool)
+    return isinstance(v, (int, float, Decimal)) and not isinstance(v, bool)
 
 
 def range_comparable(dt: T.DataType, lo, hi) -> bool:

@@ -5,16 +5,15 @@ key that holds a third of the table would then be one third of the job in a
 single task.  Instead:
 
 1. ``groupBy(keys).count()`` with map-side partial counts -> the duplicated
-   keys ``D`` (one row per key, however hot).
-2. Keys with at least ``hot_threshold`` rows form ``H`` (``|H| <= rows /
-   hot_threshold``).  A join marks the rows of hot keys.  It carries no
-   broadcast hint: adaptive execution measures ``H`` at run time and
-   broadcasts it only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``
-   (the usual case: few keys are hot); above that it stays a shuffle join
-   whose skewed partitions AQE splits.
-3. The remaining duplicated keys join through a shuffle on ``(keys, salt)``.
-   Hot rows carry a random salt in ``[1, buckets]`` (cold rows and ``D``
-   carry 0), so they spread over ``buckets`` tasks and never match ``D``.
+   keys ``D`` with their counts (one row per key, however hot).
+2. A key is hot when it holds more than ``1 / (HOT_SHARE * buckets)`` of the
+   rows, so there are at most ``HOT_SHARE * buckets`` hot keys: a list of
+   proven size, collected and used as a literal test on the rows.
+3. One join on ``(key, salt)``.  Rows of hot keys draw a salt in
+   ``[0, buckets)``, all others have a salt from their key's hash; ``D`` holds a
+   hot key once for every salt and any other key once, with the same hash.
+   Salts come from data on both sides, so the exchange is on (key, salt) and a
+   hot key's rows spread over all buckets.
 
 Equality is NULL-safe (pandas ``duplicated`` treats missing values as equal).
 """
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.names import qcol
 from ..session import shuffle_partitions
 
-DEFAULT_HOT_THRESHOLD = 1_000_000
+HOT_SHARE = 4
 
 
 def _key(df: DataFrame, k: str):
@@ -72,29 +71,32 @@ def duplicated_values_per_column(df: DataFrame, columns: list[str],
 
 
 def mark_duplicates(df: DataFrame, keys: list[str], flag: str = "is_duplicate",
-                    hot_threshold: int = DEFAULT_HOT_THRESHOLD,
                     buckets: int | None = None, dups: DataFrame | None = None) -> DataFrame:
     """Add boolean ``flag``: the row's key tuple occurs more than once.
     ``dups`` may supply the duplicated keys (with ``_dq_n``) already counted."""
     keys = list(keys)
     spark = df.sparkSession
     buckets = buckets or shuffle_partitions(spark)
-    dups = dups if dups is not None else duplicated_keys(df, keys)
-    hot = dups.filter(F.col("_dq_n") >= hot_threshold).select(
-        *[qcol(k).alias(f"_dqh_{i}") for i, k in enumerate(keys)], F.lit(True).alias("_dq_hot"))
-    cold = dups.filter(F.col("_dq_n") < hot_threshold).select(
-        *[qcol(k).alias(f"_dqc_{i}") for i, k in enumerate(keys)],
-        F.lit(0).alias("_dqc_salt"), F.lit(True).alias("_dq_cold"))
-
-    on_hot = reduce(lambda a, b: a & b,
-                    [_key(df, k).eqNullSafe(qcol(f"_dqh_{i}")) for i, k in enumerate(keys)])
-    marked = df.join(hot, on_hot, "left")   # broadcast decided at run time, by measured size
-    salt = F.when(F.col("_dq_hot"), (F.floor(F.rand(17) * buckets) + 1).cast("int")) \
-        .otherwise(F.lit(0))
-    marked = marked.withColumn("_dq_salt", salt)
-    on_cold = reduce(lambda a, b: a & b,
-                     [_key(df, k).eqNullSafe(qcol(f"_dqc_{i}")) for i, k in enumerate(keys)]
-                     + [F.col("_dq_salt") == F.col("_dqc_salt")])
-    joined = marked.join(cold, on_cold, "left")
-    out = F.coalesce(F.col("_dq_hot"), F.col("_dq_cold"), F.lit(False)).alias(flag)
-    return joined.select(*[qcol(c) for c in df.columns], out)
+    if dups is None:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        dups = duplicated_keys(df, keys).checkpoint(eager=True)
+    names = [f"_dqk_{i}" for i in range(len(keys))]
+    table = dups.select(*[qcol(k).alias(n) for k, n in zip(keys, names)], "_dq_n")
+    print_of = lambda cols: F.xxhash64(*cols)
+    # at most HOT_SHARE * buckets keys can hold that share of the rows
+    total = table.agg(F.sum("_dq_n")).first()[0] or 0
+    hot = [r[0] for r in table.filter(F.col("_dq_n") * (HOT_SHARE * buckets) > total)
+           .select(print_of(names)).collect()]
+    is_hot = lambda cols: print_of(cols).isin(hot) if hot else F.lit(False)
+    own = lambda cols: F.pmod(print_of(cols), F.lit(buckets))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))
+    table = table.withColumn("_dqk_salt", F.explode(F.when(is_hot(names), every).otherwise(F.array(own(names)))))
+    row_keys = [_key(df, k) for k in keys]
+    salt = F.when(is_hot(row_keys), F.floor(F.rand(17) * buckets)).otherwise(own(row_keys))
+    marked = df.withColumn("_dq_salt", salt)
+    on = reduce(lambda a, b: a & b,
+                [_key(marked, k).eqNullSafe(qcol(n)) for k, n in zip(keys, names)]
+                + [F.col("_dq_salt") == F.col("_dqk_salt")])
+    joined = marked.join(table.withColumn("_dq_dup", F.lit(True)), on, "left")
+    return joined.select(*[qcol(c) for c in df.columns], F.coalesce(F.col("_dq_dup"), F.lit(False)).alias(flag))

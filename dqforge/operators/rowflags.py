@@ -57,7 +57,7 @@ def enhanced_dataset(df: DataFrame, config: dict, normalize: bool = True) -> Dat
     for c, vals in config.get("allowed_values", {}).items():
         if c in cols and vals:
             flags.append((f"{c}_allowed_values_pass",
-                          P.flagged(P.in_set(qcol(c), vals), qcol(c))))
+                          P.flagged(P.in_set(qcol(c), vals, P.column_type(src, c)), qcol(c))))
 
     for c, pat in config.get("patterns", {}).items():
         if c in cols and pat:

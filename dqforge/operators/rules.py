@@ -1,17 +1,16 @@
 """Validation rules (R1-R17) and the rule compiler.
 
-A rule list compiles into **one scan and one shuffle**:
-
-* predicate rules (not null, allowed set, regex, range, date range and their
-  multi-column forms) become per-row 0/1 failure flags;
-* uniqueness rules (single column, combination) become grouping keys.
-
-Each input row is expanded into one "predicate" record plus one record per
-uniqueness rule (``inline`` of a fixed-size array, no data-dependent fan-out).
-A single ``groupBy(rule, keys)`` then counts key occurrences *and* sums the
-flags; partial aggregation collapses both before the exchange, so a hot key
-(or the one predicate group) costs one row per map task.  A second, tiny
-``groupBy(rule)`` turns key counts into duplicate counts.
+* Predicate rules (not null, allowed set, regex, range, date range and their
+  multi-column forms) become per-row 0/1 failure flags, summed in one plain
+  aggregate: one row leaves each map task.
+* Uniqueness rules (single column, combination) become grouping keys.  Each row
+  is expanded into one record per such rule (``inline`` of a fixed-size array)
+  and one ``groupBy(rule, keys)`` counts the keys; partial aggregation collapses
+  a hot key to one row per map task.  A second, tiny ``groupBy(rule)`` turns key
+  counts into duplicate counts.
+
+Both parts are column-pruned scans of their own: the predicates read their
+columns, the uniqueness rules read only the keys.
 """
 
 from __future__ import annotations
@@ -252,14 +251,7 @@ def _failed_and_total(df: DataFrame, rule: Rule) -> tuple[Column, Column | None]
     if k == "not_null":
         return c.isNull(), None
     if k == "in_set":
-        member = p.get("_member_col")
-        if member:
-            # large set: membership came from a broadcast join (see ``_join_large_sets``)
-            ok = qcol(member).isNotNull()
-            if any(P._is_null_value(v) for v in p["allowed_values"]):
-                ok = ok | c.isNull()
-            return ~ok, None
-        return ~P.scored(P.in_set(c, p["allowed_values"])), None
+        return ~P.scored(P.in_set(c, p["allowed_values"], dt)), None
     if k == "regex":
         return ~P.scored(P.regex_match(c, p["pattern"])), None
     if k == "in_range":
@@ -279,7 +271,7 @@ def _failed_and_total(df: DataFrame, rule: Rule) -> tuple[Column, Column | None]
         bad = F.lit(False)
         for name in cols:
             if name in p["allowed_values"]:
-                bad = bad | ~P.scored(P.in_set(qcol(name), p["allowed_values"][name]))
+                bad = bad | ~P.scored(P.in_set(qcol(name), p["allowed_values"][name], P.column_type(df, name)))
         return bad, None
     if k == "all_match":
         bad = F.lit(False)
@@ -308,32 +300,6 @@ def _failed_and_total(df: DataFrame, rule: Rule) -> tuple[Column, Column | None]
     raise ValueError(f"unknown rule kind {k!r}")
 
 
-LARGE_SET = 10_000
-
-
-def _join_large_sets(src: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[Rule]]:
-    """Allowed sets above ``LARGE_SET`` values become a broadcast left join
-    against the (de-duplicated) value list instead of a huge ``IN`` literal.
-    The broadcast side is exactly the user's list: its size is known here."""
-    out = []
-    for i, r in enumerate(rules):
-        vals = r.params.get("allowed_values") if r.kind == "in_set" else None
-        if vals is None or len(vals) <= LARGE_SET:
-            out.append(r)
-            continue
-        col = r.columns[0]
-        dt = P.column_type(src, col)
-        uniq = sorted({v for v in vals if not P._is_null_value(v)}, key=repr)
-        name = f"_dqm{i}"
-        lookup = src.sparkSession.createDataFrame([(v,) for v in uniq], ["_dqv"]) \
-            .select(F.col("_dqv").cast(dt).alias(f"{name}_v")).distinct() \
-            .withColumn(name, F.lit(True))
-        src = src.join(F.broadcast(lookup), src[col] == qcol(f"{name}_v"), "left") \
-            .drop(f"{name}_v")
-        out.append(Rule(r.kind, r.columns, {**r.params, "_member_col": name}))
-    return src, out
-
-
 def _meta(spark, rules: list[Rule]) -> DataFrame:
     rows = [(i, r.column_label, r.label, r.details) for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, RESULT_SCHEMA)
@@ -346,11 +312,11 @@ def _check_columns(df: DataFrame, rules: list[Rule]) -> None:
 
 
 def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -> DataFrame:
-    """(by..., seq, total, failed) for every rule, in one scan.  Rules whose
+    """(by..., seq, total, failed) for every rule.  Rules whose
     input is empty produce no row here; ``evaluate`` fills them with zeros.
 
     ``by`` evaluates the rules separately per group (snapshot, version, day)
-    in the same single job: the group columns just join the grouping keys."""
+    in the same job: the group columns just join the grouping keys."""
     by = list(by or [])
     byc = [qcol(b) for b in by]
     pred = [(i, r) for i, r in enumerate(rules) if not r.is_group]
@@ -372,12 +338,13 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
                                   sums[f"_dqf{i}"].cast("long").alias("failed")))
         return src.select(*byc, F.inline(F.array(*items)))
 
-    if not grp:
-        # one aggregate over the whole input; partial agg on every map task
+    if pred:
+        # sums over the whole input: one row leaves each map task, whatever the flags are
         aggs = [F.count(F.lit(1)).alias("_dqn")]
         aggs += [F.sum(e).alias(n) for n, e in flag_exprs.items()]
-        one = df.groupBy(*byc).agg(*aggs)
-        return long_rows(one, "_dqn", {n: qcol(n) for n in flag_exprs})
+        plain = long_rows(df.groupBy(*byc).agg(*aggs), "_dqn", {n: qcol(n) for n in flag_exprs})
+    if not grp:
+        return plain
 
     # distinct key columns over all uniqueness rules, one typed field each
     key_cols: list[str] = []
@@ -392,46 +359,15 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
                 for c in key_cols}
     key_type = {c: T.StringType() if isinstance(t, T.MapType) else t for c, t in key_type.items()}
 
-    # The per-row predicate outcomes are packed into bit words that join the
-    # grouping key: stage 1 is then a plain count (a handful of distinct bit
-    # patterns for the predicate record) and the bits are unpacked in the
-    # small stage 2.  Keeping one sum buffer per flag in every key group
-    # instead would widen the hash map for all the uniqueness keys.
-    names = list(flag_exprs)
-    word_of = {n: (j // 62, j % 62) for j, n in enumerate(names)}
-    n_words = (len(names) + 61) // 62
-    words = []
-    for w in range(n_words):
-        terms = [F.shiftleft(flag_exprs[n].cast("long"), b) for n, (ww, b) in word_of.items()
-                 if ww == w]
-        acc = terms[0]
-        for t in terms[1:]:
-            acc = acc + t
-        words.append(acc)
-
-    def record(rule_id: int, keys: tuple, with_flags: bool) -> Column:
+    def record(rule_id: int, keys: tuple) -> Column:
         parts = [F.lit(rule_id).alias("_dqr")]
         for c in key_cols:
             v = key_expr[c] if c in keys else F.lit(None).cast(key_type[c])
             parts.append(v.alias(key_field[c]))
-        for w in range(n_words):
-            parts.append((words[w] if with_flags else F.lit(None).cast("long")).alias(f"_dqb{w}"))
         return F.struct(*parts)
 
-    records = []
-    if pred:
-        records.append(record(-1, (), True))
-    records += [record(i, r.columns, False) for i, r in grp]
-    exploded = df.select(*byc, F.inline(F.array(*records)))
-
-    kf = [key_field[c] for c in key_cols]
-    bw = [f"_dqb{w}" for w in range(n_words)]
-    stage1 = exploded.groupBy(*byc, "_dqr", *kf, *bw).agg(F.count(F.lit(1)).alias("_dqn"))
-
-    def unpacked(n: str) -> Column:
-        w, b = word_of[n]
-        hit = qcol(f"_dqb{w}").bitwiseAND(F.lit(1 << b)) != 0
-        return F.when(hit, F.col("_dqn")).otherwise(F.lit(0))
+    exploded = df.select(*byc, F.inline(F.array(*[record(i, r.columns) for i, r in grp])))
+    stage1 = exploded.groupBy(*byc, "_dqr", *key_field.values()).agg(F.count(F.lit(1)).alias("_dqn"))
 
     # A single-column rule never fails on NULL; N4: combinations do
     cond = None
@@ -442,23 +378,10 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
                 F.col("_dqr") == i, e)
     counts_dup = F.lit(True) if cond is None else cond.otherwise(F.lit(True))
     dup = F.when((F.col("_dqn") > 1) & counts_dup, F.col("_dqn")).otherwise(F.lit(0))
-    stage2 = stage1.groupBy(*byc, "_dqr").agg(
-        F.sum("_dqn").alias("_dqrows"), F.sum(dup).alias("_dqdup"),
-        *[F.sum(unpacked(n)).alias(n) for n in flag_exprs])
-
-    group_item = F.array(F.struct(F.col("_dqr").alias("seq"),
-                                  F.col("_dqrows").cast("long").alias("total"),
-                                  F.col("_dqdup").cast("long").alias("failed")))
-    if pred:
-        items = []
-        for i, _ in pred:
-            tot = qcol(f"_dqt{i}") if f"_dqt{i}" in flag_exprs else F.col("_dqrows")
-            items.append(F.struct(F.lit(i).alias("seq"), tot.cast("long").alias("total"),
-                                  qcol(f"_dqf{i}").cast("long").alias("failed")))
-        arr = F.when(F.col("_dqr") == -1, F.array(*items)).otherwise(group_item)
-    else:
-        arr = group_item
-    return stage2.select(*byc, F.inline(arr))
+    keyed = stage1.groupBy(*byc, "_dqr").agg(F.sum("_dqn").alias("total"), F.sum(dup).alias("failed"))
+    keyed = keyed.select(*byc, F.col("_dqr").alias("seq"), F.col("total").cast("long").alias("total"),
+                         F.col("failed").cast("long").alias("failed"))
+    return plain.unionByName(keyed) if pred else keyed
 
 
 def evaluate(df: DataFrame, rules: list[Rule], normalize: bool = True,
@@ -467,7 +390,7 @@ def evaluate(df: DataFrame, rules: list[Rule], normalize: bool = True,
 
     Columns: ``[by...,] seq, column, rule, total, passed, failed, success_rate,
     details``.  ``success_rate`` is ``100 * passed / total`` and 0.0 for an
-    empty input.  With ``by``, one result set per group, from the same scan.
+    empty input.  With ``by``, one result set per group, from the same job.
     """
     by = list(by or [])
     rules = list(rules)
@@ -478,14 +401,13 @@ def evaluate(df: DataFrame, rules: list[Rule], normalize: bool = True,
     src = df.select(*[qcol(c) for c in used])
     if normalize:
         src = P.normalize_nan(src, [c for c in used if c not in by])
-    src, rules = _join_large_sets(src, rules)
     counts = rule_counts(src, rules, by)
     meta = _meta(df.sparkSession, rules)
     if by:
         # every group with rows yields every rule; meta is ~#rules rows
-        out = counts.join(F.broadcast(meta), "seq")
+        out = counts.join(meta, "seq")
     else:
-        out = meta.join(F.broadcast(counts), "seq", "left")  # both sides ~#rules rows
+        out = meta.join(counts, "seq", "left")  # both sides ~#rules rows
     total = F.coalesce(F.col("total"), F.lit(0)).cast("long")
     failed = F.coalesce(F.col("failed"), F.lit(0)).cast("long")
     return out.select(

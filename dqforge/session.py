@@ -50,7 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared, fault-tolerant folder and we use
-    it as is.  Only when it is unset (local tests) do we create a scratch one.
+    it as is.  Where it is unset, a local session gets a scratch folder (driver
+    and tasks share one disk there); any other master raises, because its
+    executors would write to disks of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="dqforge-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return configured
