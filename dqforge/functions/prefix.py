@@ -4,8 +4,8 @@
 ``monotonically_increasing_id`` grows with the partition id, so the position
 of a line is ``(file, id)``.  A running count over a whole file must not run
 as one task per file: each partition counts locally (window bounded by the
-partition) and per-partition totals -- a table of ``#partitions`` rows,
-broadcast -- supply the offsets.
+partition) and per-partition totals -- a table of ``#partitions`` rows --
+supply the offsets.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ def with_position(df: DataFrame) -> DataFrame:
 
 
 def running_count(df: DataFrame, flag: Column, name: str = "_before") -> DataFrame:
-    """Number of rows with ``flag`` strictly before each row in its file."""
-    d = df.withColumn("_f", flag.cast("int"))
+    """Sum of ``flag`` (a condition or a count) over the rows strictly before each row in its file."""
+    d = df.withColumn("_f", flag.cast("long"))
     w = Window.partitionBy("_file", "_slice").orderBy("_pos") \
         .rowsBetween(Window.unboundedPreceding, -1)
     local = d.withColumn("_lc", F.coalesce(F.sum("_f").over(w), F.lit(0)))
     per = d.groupBy("_file", "_slice").agg(F.sum("_f").alias("_ps"))
     w2 = Window.partitionBy("_file").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     off = per.withColumn("_off", F.coalesce(F.sum("_ps").over(w2), F.lit(0))).drop("_ps")
-    out = local.join(F.broadcast(off), ["_file", "_slice"])
+    out = local.join(off, ["_file", "_slice"])
     return out.withColumn(name, (F.col("_off") + F.col("_lc")).cast("long")).drop("_f", "_lc", "_off")

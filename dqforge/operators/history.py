@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.onerow import beside
 from ..functions.names import qcol
+from ..functions.topk import first_rows
 from ..functions import constants as K
 from ..functions import predicates as P
 from ..functions.ordered import ordered_mean
@@ -322,13 +323,10 @@ def latest_per_version(history: DataFrame, version: str = "dataset_version",
     return history.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def keep_last(history: DataFrame, n: int = K.HISTORY_KEEP, order: str = "seq",
+def keep_last(history: DataFrame, n: int, order: str = "seq",
               partition: list[str] | None = None) -> DataFrame:
-    """The last ``n`` entries by ``order`` (per ``partition``).
-    ``row_number() <= n`` is cut to ``n`` rows per task before the exchange."""
-    w = Window.partitionBy(*(partition or [])).orderBy(F.desc(order)) if partition \
-        else Window.orderBy(F.desc(order))
-    return history.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    """The last ``n`` entries by ``order`` (per ``partition``)."""
+    return first_rows(history, list(partition or []), [F.desc(order)], n, "_rn").drop("_rn")
 
 
 def snapshot_sample(df: DataFrame, key: str | list[str], n: int = K.SNAPSHOT_SAMPLE_ROWS) -> DataFrame:
@@ -401,10 +399,10 @@ def field_diff(history: DataFrame, version_a: str, version_b: str) -> DataFrame:
         (F.coalesce("unique_b", F.lit(0)) - F.coalesce("unique_a", F.lit(0))).alias("unique_count_change"))
 
 
-def append_entry(history: DataFrame | None, entry: DataFrame, keep: int = K.HISTORY_KEEP) -> DataFrame:
-    """U2 + W4: append and keep the last ``keep`` entries."""
+def append_entry(history: DataFrame | None, entry: DataFrame, keep: int | None = None) -> DataFrame:
+    """Append; with ``keep`` also W4: keep the last ``keep`` entries."""
     out = entry if history is None else history.unionByName(entry, allowMissingColumns=True)
-    return keep_last(out, keep)
+    return out if keep is None else keep_last(out, keep)
 
 
 def tracking_entry(df: DataFrame, results: DataFrame, dataset_name: str,

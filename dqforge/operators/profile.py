@@ -1,18 +1,15 @@
-"""Column profiling (G1-G18, K1-K4, P1, P2) from one frequency table.
-
-One scan explodes every column into ``(ci, v)`` records (``v`` = the value as
-text) and one ``groupBy(ci, v).count()`` -- map-side combined -- builds the
-frequency table (G2).  Everything else is derived from that table, which is
-never larger than the number of distinct values:
-
-* counts, nulls, distincts, min/max, mean, mode, samples, text measures
-  (one ``groupBy(ci)``, partial aggregation);
-* standard deviation, length deviation and IQR outliers (second pass over
-  the table with per-column means and quartile bounds broadcast: one row per
-  column);
-* exact median and quartiles (``functions.quantile``);
-
-The frequency table is materialised once (see ``profile(materialize=...)``).
+"""Column profiling.
+
+A profile is put together from parts, and only the parts that the wanted output
+columns need are planned (``profile(only=[...])``); nothing runs before an action.
+
+* counts, min/max, mean, deviation, text measures, text-as-boolean: one plain
+  ``agg`` -- one row leaves each task, no value is shuffled;
+* quartiles: counting passes that narrow a value range (``quartile_ranges``);
+* outliers and length deviations: a second plain ``agg`` with the means and
+  quartiles as one-row scalar subqueries;
+* distinct counts: ``groupBy(column, value)``, long texts by a 128-bit digest;
+* mode and samples: the frequency table (G2) of whole values.
 """
 
 from __future__ import annotations
@@ -27,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions.names import qcol
 from ..functions import constants as K
 from ..functions import predicates as P
-from ..functions.quantile import exact_quantiles
+from ..functions.topk import first_rows
 
 WS_PATTERN = r"(?U)(^\s|\s\z)"
 ALPHA_PATTERN = r"^\p{L}+$"
@@ -187,18 +184,24 @@ def _render(infos: list[ColumnInfo]) -> tuple[Column, Column, Column]:
     return v, vn, vt
 
 
-def frequency_table(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
-    """``(ci, v, cnt, vn, vt)``: occurrences of each value (NULL included) per
-    column, with the value as text, as a number and as a datetime."""
+def _records(infos: list[ColumnInfo], digest: bool = False) -> Column:
     recs = []
     for i in infos:
-        s, d, l = _typed_fields(i)
-        recs.append(F.struct(F.lit(i.ordinal).alias("ci"), s.alias("s"), d.alias("d"),
-                             l.alias("l")))
-    exploded = df.select(F.inline(F.array(*recs)))
-    freq = exploded.groupBy("ci", "s", "d", "l").agg(F.count(F.lit(1)).alias("cnt"))
+        t, d, l = _typed_fields(i)
+        if digest:
+            # 128 bits stand for a long text; shorter ones are told apart from digests by length
+            t = F.when(F.length(t) > 40, F.concat(F.hex(F.xxhash64(t)), F.hex(F.xxhash64(F.lit(1), t)), F.lit("#" * 16))) \
+                .otherwise(t)
+        recs.append(F.struct(F.lit(i.ordinal).alias("ci"), t.alias("s"), d.alias("d"), l.alias("l")))
+    return F.inline(F.array(*recs))
+
+
+def frequency_table(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
+    """``(ci, v, cnt, vn, vt, d, l)``: occurrences of each value (NULL included) per
+    column, with the value as text, as a number and as a datetime, and typed."""
+    freq = df.select(_records(infos)).groupBy("ci", "s", "d", "l").agg(F.count(F.lit(1)).alias("cnt"))
     v, vn, vt = _render(infos)
-    return freq.select("ci", v.alias("v"), "cnt", vn.alias("vn"), vt.alias("vt"))
+    return freq.select("ci", v.alias("v"), "cnt", vn.alias("vn"), vt.alias("vt"), "d", "l")
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None,
@@ -209,7 +212,7 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None,
     names = src.sparkSession.createDataFrame([(i.ordinal, i.name) for i in infos],
                                              "ci int, column string")
     freq = frequency_table(src.select(*[qcol(i.name) for i in infos]), infos)
-    return (freq.join(F.broadcast(names), "ci")
+    return (freq.join(names, "ci")
             .select("column", F.col("v").alias("value"), F.col("cnt").alias("count")))
 
 
@@ -220,7 +223,7 @@ PROFILE_COLUMNS = [
     "ordinal", "column", "spark_type", "kind", "data_type", "data_type_b", "data_type_c",
     "total_count", "null_count", "non_null_count", "distinct_count",
     "completeness", "uniqueness",
-    "mean", "median", "std", "min", "max", "q1", "q3", "outliers",
+    "mean", "median", "std", "min", "max", "min_value", "max_value", "q1", "q3", "outliers",
     "date_min", "date_max", "date_median", "date_range_days",
     "mode", "mode_count", "sample_values",
     "consistency_standard", "consistency_extended", "consistency_whitespace",
@@ -237,122 +240,212 @@ def _meta_df(spark, infos: list[ColumnInfo]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+#: output columns -> the parts they need
+_NEEDS = {
+    "distinct": {"distinct_count", "uniqueness"},
+    "numbers": {"mean", "std", "min", "max", "min_value", "max_value", "date_min", "date_max", "date_range_days"},
+    "quartiles": {"median", "q1", "q3", "outliers", "date_median", "consistency_standard", "consistency_extended"},
+    "outliers": {"outliers", "consistency_standard", "consistency_extended"},
+    "text": {"consistency_standard", "consistency_extended", "consistency_whitespace"},
+    "lengths": {"consistency_extended"},
+    "labels": {"data_type"},
+    "mode": {"mode", "mode_count"},
+    "samples": {"sample_values"},
+}
+
+
 def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = True,
-            sample_values: int = K.SAMPLE_VALUES, materialize: str = "checkpoint",
-            sample_key: str | None = None, text_sample: int = K.TEXT_SAMPLE_SIZE,
-            type_sample: int = K.TYPE_SAMPLE_SIZE) -> DataFrame:
+            sample_values: int = K.SAMPLE_VALUES, only: list[str] | None = None) -> DataFrame:
     """One row per column with counts, statistics, labels and consistency scores.
 
     Scores are unrounded doubles (0-100); presentation rounding is left to the
-    caller (``bround``).  Text measures use the whole column, unless
-    ``sample_key`` names a column that orders the rows (e.g. a file position):
-    then they use the first ``text_sample`` non-null values by that key (the
-    text-as-boolean label the first ``type_sample``), as the original does.
-
-    The frequency table feeds five aggregates.  ``materialize`` decides how it
-    is shared: ``"checkpoint"`` (default) writes it once to the session's
-    checkpoint folder -- one scan of the input, lineage cut, survives lost
-    executors -- and runs that job now; ``"persist"`` caches it (memory and
-    disk) until the caller unpersists; ``"none"`` leaves sharing to the plan.
+    caller (``bround``).  Text measures use the whole column.  ``only`` names the
+    output columns wanted: what no wanted column needs is not planned.  Lazy.
     """
     src = P.normalize_nan(df) if normalize else df
     infos = columns_info(src, columns)
-    spark = src.sparkSession
-    meta = _meta_df(spark, infos)
-    freq = frequency_table(src.select(*[qcol(i.name) for i in infos]), infos)
-    if materialize == "checkpoint":
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        freq = freq.checkpoint(eager=True)
-    elif materialize == "persist":
-        from pyspark import StorageLevel
-        freq = freq.persist(StorageLevel.MEMORY_AND_DISK)
-
-    v, cnt, vn, vt = F.col("v"), F.col("cnt"), F.col("vn"), F.col("vt")
-    nn = v.isNotNull()
-    # text measures (regexes, lengths, case) are evaluated for text columns only
-    text_ids = [i.ordinal for i in infos if i.kind == "text"]
-    text = F.when(F.col("ci").isin(text_ids), v) if text_ids else F.lit(None).cast("string")
-    has_at = text.contains("@")
-    alpha = text.rlike(ALPHA_PATTERN)
-    is_up = alpha & (F.upper(text) == text) & (F.lower(text) != text)
-    is_low = alpha & ~is_up & (F.lower(text) == text) & (F.upper(text) != text)
-    is_title = alpha & ~is_up & ~is_low & (F.initcap(text) == text)
-    is_mixed = alpha & ~is_up & ~is_low & ~is_title
-
-    def wsum(cond: Column) -> Column:
-        return F.sum(F.when(cond, cnt).otherwise(F.lit(0)))
-
-    stats = freq.groupBy("ci").agg(
-        F.sum(cnt).alias("total_count"),
-        wsum(v.isNull()).alias("null_count"),
-        F.count(v).alias("distinct_count"),
-        F.min(vn).alias("min"), F.max(vn).alias("max"),
-        (F.sum(vn * cnt) / F.sum(F.when(vn.isNotNull(), cnt))).alias("mean"),
-        F.min(vt).alias("_tmin"), F.max(vt).alias("_tmax"),
-        F.min_by(v, F.when(nn, F.struct((-cnt).alias("a"), vn.alias("b"), vt.alias("c"),
-                                        v.alias("d")))).alias("_mode"),
-        F.max(F.when(nn, cnt)).alias("mode_count"),
-        F.bool_or(F.coalesce(has_at, F.lit(False))).alias("_any_at"),
-        wsum(has_at & ~text.rlike(K.EMAIL_PATTERN)).alias("_bad_email"),
-        wsum(text.rlike(WS_PATTERN)).alias("_ws"),
-        (F.sum(F.length(text) * cnt) / F.sum(F.when(nn, cnt))).alias("_len_mean"),
-        wsum(is_up).alias("_up"), wsum(is_low).alias("_low"),
-        wsum(is_title).alias("_title"), wsum(is_mixed).alias("_mixed"),
-        F.bool_and(F.when(nn, F.lower(text).isin(K.BOOLEAN_TEXT_VALUES))).alias("_boolish"),
-    )
-
-    # exact quartiles of numbers and medians of datetimes
-    if any(i.kind in ("numeric", "boolean", "datetime") for i in infos):
-        qsrc = freq.select("ci", F.coalesce(vn, vt.cast("double")).alias("qv"), "cnt")
-        quants = exact_quantiles(qsrc, ["ci"], "qv", "cnt", [0.25, 0.5, 0.75])
-        qwide = quants.groupBy("ci").agg(
-            F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
-            F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
-            F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
-    else:  # text-only input: no ordering work at all
-        qwide = spark.createDataFrame([], "ci int, q1 double, median double, q3 double")
-
-    # second pass, with the per-column means and IQR bounds broadcast (one row
-    # per column): spread around the means (std, length deviation) and outliers
-    per_col = stats.select("ci", "mean", "_len_mean").join(qwide.select(
-        "ci",
-        (F.col("q1") - K.IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("_lo"),
-        (F.col("q3") + K.IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("_hi")), "ci", "left")
-    second = (freq.join(F.broadcast(per_col), "ci")
-              .groupBy("ci").agg(
-                  F.sum(cnt * (vn - F.col("mean")) * (vn - F.col("mean"))).alias("_ss"),
-                  wsum(F.abs(F.length(text) - F.col("_len_mean"))
-                       > F.col("_len_mean") * K.LENGTH_DEVIATION_SHARE).alias("_len_dev"),
-                  wsum(vn.isNotNull() & ((vn < F.col("_lo")) | (vn > F.col("_hi"))))
-                  .alias("outliers")))
-
-    # First distinct values in value order (numbers numerically)
-    w = Window.partitionBy("ci").orderBy(vn.asc_nulls_last(), vt.asc_nulls_last(), v)
-    samples = (freq.filter(nn).withColumn("_rk", F.row_number().over(w))
-               .filter(F.col("_rk") <= sample_values)
-               .groupBy("ci").agg(F.array_sort(F.collect_list(F.struct("_rk", "v")))
-                                  .alias("_samp")))
-
-    joined = (meta.join(stats, meta.ordinal == stats.ci, "left").drop("ci")
-              .join(second.withColumnRenamed("ci", "_ci2"), F.col("ordinal") == F.col("_ci2"), "left")
-              .join(qwide.withColumnRenamed("ci", "_ci3"), F.col("ordinal") == F.col("_ci3"), "left")
-              .join(samples.withColumnRenamed("ci", "_ci5"), F.col("ordinal") == F.col("_ci5"), "left"))
-    if sample_key and text_ids:
-        keyed = _keyed_text_measures(src, infos, sample_key, text_sample, type_sample)
-        joined = (joined.drop(*_TEXT_MEASURES)
-                  .join(keyed.withColumnRenamed("ci", "_ci6"), F.col("ordinal") == F.col("_ci6"),
-                        "left"))
-    else:
-        joined = joined.withColumn("_n_text", F.lit(None).cast("long"))
-    return _finish(joined)
-
-
-_TEXT_MEASURES = ["_any_at", "_bad_email", "_ws", "_len_mean", "_len_dev", "_up", "_low", "_title",
-                  "_mixed", "_boolish"]
-
-
-def _case_flags(text: Column) -> tuple[Column, Column, Column, Column]:
+    src = src.select(*[qcol(i.name) for i in infos])
+    wanted = set(only or PROFILE_COLUMNS)
+    parts = {p for p, cols in _NEEDS.items() if cols & wanted}
+    meta = _meta_df(src.sparkSession, infos)
+    wide = src.agg(*_plain_aggregates(infos, parts))
+    out = meta.join(wide.select(F.inline(F.array(*[_plain_row(i, parts) for i in infos]))), F.col("ordinal") == F.col("ci")).drop("ci")
+
+    def add(table: DataFrame | None, fields: str) -> None:
+        nonlocal out
+        if table is not None:
+            out = out.join(table.withColumnRenamed("ci", "_ci"), F.col("ordinal") == F.col("_ci"), "left").drop("_ci")
+        else:
+            for f in fields.split(", "):
+                n, t = f.split(" ")
+                out = out.withColumn(n, F.lit(None).cast(t))
+
+    ranked = [i for i in infos if i.kind in ("numeric", "boolean", "datetime")]
+    quart = quartiles(src, ranked) if "quartiles" in parts and ranked else None
+    add(quart, "q1 double, median double, q3 double")
+    add(_spread(src, infos, quart, parts), "outliers long, _len_dev long")
+    add(_distinct(src, infos) if "distinct" in parts else None, "distinct_count long")
+    freq = frequency_table(src, infos).filter(F.col("v").isNotNull()) if parts & {"mode", "samples"} else None
+    order = F.struct((-F.col("cnt")).alias("a"), "l", "d", "vn", "v")
+    add(freq.groupBy("ci").agg(F.min_by("v", order).alias("_mode"), F.max("cnt").alias("mode_count")) if "mode" in parts else None,
+        "_mode string, mode_count long")
+    add(_samples(freq, sample_values) if "samples" in parts else None, "_samp array<string>")
+    out = _finish(out)
+    return out.select(*only) if only else out
+
+
+def _number(i: ColumnInfo) -> Column:
+    """A number, boolean or datetime as the double that is ranked."""
+    c = qcol(i.name)
+    if i.kind == "boolean":
+        return c.cast("int").cast("double")
+    if i.kind == "datetime":
+        return _typed_fields(i)[2].cast("double")
+    return c.cast("double")
+
+
+def _plain_aggregates(infos: list[ColumnInfo], parts: set) -> list[Column]:
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i in infos:
+        c, p = qcol(i.name), f"_{i.ordinal}_"
+        aggs.append(F.count(c).alias(p + "nn"))
+        if "numbers" in parts and i.kind in ("numeric", "boolean"):
+            x = _number(i)
+            aggs += [F.avg(x).alias(p + "mean"), F.stddev_samp(x).alias(p + "std"), F.min(c).alias(p + "min"), F.max(c).alias(p + "max")]
+        if parts & {"numbers"} and i.kind == "datetime":
+            m = _typed_fields(i)[2]
+            aggs += [F.min(m).alias(p + "tmin"), F.max(m).alias(p + "tmax")]
+        if i.kind == "text":
+            if "labels" in parts:
+                aggs.append(F.bool_and(F.lower(c).isin(K.BOOLEAN_TEXT_VALUES)).alias(p + "bool"))
+            if "text" in parts:
+                has_at = c.contains("@")
+                aggs += [F.bool_or(has_at).alias(p + "at"), F.count_if(has_at & ~c.rlike(K.EMAIL_PATTERN)).alias(p + "bad"),
+                         F.count_if(c.rlike(WS_PATTERN)).alias(p + "ws")]
+            if "lengths" in parts:
+                aggs.append(F.avg(F.length(c)).alias(p + "len"))
+                aggs += [F.count_if(f).alias(p + n) for n, f in zip(("up", "low", "title", "mixed"), case_flags(c))]
+    return aggs
+
+
+def _plain_row(i: ColumnInfo, parts: set) -> Column:
+    """The column's numbers as one struct of a common shape."""
+    p = f"_{i.ordinal}_"
+    num, dt, text = i.kind in ("numeric", "boolean"), i.kind == "datetime", i.kind == "text"
+
+    def take(name: str, have: bool, kind: str, out: str, boolean: bool = False) -> Column:
+        if not have:
+            return F.lit(None).cast(kind).alias(out)
+        c = F.col(p + name)
+        return (c.cast("int").cast(kind) if boolean else c.cast(kind)).alias(out)
+    n, t = num and "numbers" in parts, text and "text" in parts
+    flag = i.kind == "boolean"
+    return F.struct(
+        F.lit(i.ordinal).alias("ci"), F.col("_rows").alias("total_count"), (F.col("_rows") - F.col(p + "nn")).alias("null_count"),
+        take("mean", n, "double", "mean"), take("std", n, "double", "std"),
+        take("min", n, "double", "min", flag), take("max", n, "double", "max", flag),
+        take("min", n, "string", "min_value"), take("max", n, "string", "max_value"),
+        take("tmin", dt and "numbers" in parts, "long", "_tmin"), take("tmax", dt and "numbers" in parts, "long", "_tmax"),
+        take("at", t, "boolean", "_any_at"), take("bad", t, "long", "_bad_email"), take("ws", t, "long", "_ws"),
+        take("len", text and "lengths" in parts, "double", "_len_mean"),
+        *[take(k, text and "lengths" in parts, "long", f"_{k}") for k in ("up", "low", "title", "mixed")],
+        take("bool", text and "labels" in parts, "boolean", "_boolish"))
+
+
+def _spread(src: DataFrame, infos: list[ColumnInfo], quart: DataFrame | None, parts: set) -> DataFrame | None:
+    """Outliers and length deviations: one more plain aggregate; means and quartiles come as
+    one-row scalar subqueries."""
+    texts = [i for i in infos if i.kind == "text"] if "lengths" in parts else []
+    ranked = [i for i in infos if i.kind in ("numeric", "boolean")] if "outliers" in parts and quart is not None else []
+    if not texts and not ranked:
+        return None
+    aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
+    if texts:
+        means = src.agg(*[F.avg(F.length(qcol(i.name))).alias(f"_{i.ordinal}") for i in texts])
+        src = src.select("*", means.select(F.struct("*").alias("s")).scalar().alias("_mean"))
+    if ranked:
+        step = K.IQR_FACTOR * (F.col("q3") - F.col("q1"))
+        bounds = quart.groupBy().agg(*[F.max(F.when(F.col("ci") == i.ordinal, F.struct((F.col("q1") - step).alias("lo"), (F.col("q3") + step).alias("hi"))))
+                                       .alias(f"_{i.ordinal}") for i in ranked])
+        src = src.select("*", bounds.select(F.struct("*").alias("s")).scalar().alias("_bound"))
+    for i in texts:
+        m = F.col("_mean")[f"_{i.ordinal}"]
+        aggs.append(F.count_if(F.abs(F.length(qcol(i.name)) - m) > m * K.LENGTH_DEVIATION_SHARE).alias(f"_{i.ordinal}_dev"))
+        rows.append(F.struct(F.lit(i.ordinal).alias("ci"), F.lit(None).cast("long").alias("outliers"), F.col(f"_{i.ordinal}_dev").alias("_len_dev")))
+    for i in ranked:
+        x, b = _number(i), F.col("_bound")[f"_{i.ordinal}"]
+        aggs.append(F.count_if((x < b["lo"]) | (x > b["hi"])).alias(f"_{i.ordinal}_out"))
+        rows.append(F.struct(F.lit(i.ordinal).alias("ci"), F.col(f"_{i.ordinal}_out").alias("outliers"), F.lit(None).cast("long").alias("_len_dev")))
+    return src.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def _distinct(src: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
+    filled = F.coalesce(F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("l").isNotNull(), F.lit(False))
+    return (src.select(_records(infos, digest=True)).groupBy("ci", "s", "d", "l").agg(F.lit(1).alias("_one"))
+            .groupBy("ci").agg(F.count_if(filled).alias("distinct_count")))
+
+
+def _samples(freq: DataFrame, k: int) -> DataFrame:
+    """First distinct values in value order (numbers numerically)."""
+    order = [F.col(c).asc_nulls_last() for c in ("l", "d", "vn")] + [F.col("v")]
+    top = first_rows(freq, ["ci"], order, k, rank="_rk")
+    return top.groupBy("ci").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rk", "v"))), lambda x: x["v"]).alias("_samp"))
+
+
+def quartiles(src: DataFrame, infos: list[ColumnInfo], bins: int = 4096, passes: int = 2) -> DataFrame:
+    """``(ci, q1, median, q3)`` with linear interpolation, exact.
+
+    Each counting pass splits the value range of each quartile into ``bins`` and keeps the bin (with
+    the true least and largest value in it) that holds its ranks, so no value is shuffled: a pass
+    moves at most ``bins`` counts for each quartile, column and task.  After the passes the few
+    values left in each range are counted one by one.
+    """
+    probs = (0.25, 0.5, 0.75)
+    names = [f"q{k}" for k in range(len(probs))]
+    holds = lambda r: (F.col(r) >= F.col("begin")) & (F.col(r) < F.col("begin") + F.col("cnt"))
+    values = src.select(F.inline(F.array(*[F.struct(F.lit(i.ordinal).alias("c"), _number(i).alias("x")) for i in infos]))).filter("x is not null")
+
+    # the first range of a column is all of it
+    ranges = values.groupBy("c").agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"), F.lit(0).cast("long").alias("before"),
+                                              F.count("x").alias("all")).alias("q0"))
+    ranges = ranges.select("c", *[F.col("q0").alias(n) for n in names])
+
+    def found(ranges: DataFrame, split: bool, whole: bool) -> DataFrame:
+        """The bins (or values) that hold the ranks of each quartile: c, t, lo, hi, cnt, begin, all, spot."""
+        known = ranges.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct(*names)))).alias("m")).scalar()
+        rows = values.select("c", "x", F.element_at(known, F.col("c")).alias("r"))
+        recs = []
+        for q, n in enumerate(names[:1] if whole else names):      # at first all quartiles share one range
+            r, x = F.col("r")[n], F.col("x")
+            place = F.when(r["hi"] > r["lo"], F.least(F.floor((x - r["lo"]) / (r["hi"] - r["lo"]) * bins), F.lit(bins - 1).cast("long"))) \
+                .otherwise(F.lit(0).cast("long"))
+            recs.append(F.struct(F.when((x >= r["lo"]) & (x <= r["hi"]), F.lit(q)).alias("q"), (place.cast("double") if split else x).alias("key"),
+                                 r["before"].alias("before"), r["all"].alias("all")))
+        rows = rows.select("c", "x", F.inline(F.array(*recs))).filter("q is not null")
+        table = rows.groupBy("c", "q", "key").agg(F.count(F.lit(1)).alias("cnt"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                                  F.max("before").alias("before"), F.max("all").alias("all"))
+        w = Window.partitionBy("c", "q").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+        table = table.withColumn("begin", F.col("before") + F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+        table = table.withColumn("t", F.explode(F.array(*[F.lit(q) for q in range(len(probs))])) if whole else F.col("q"))
+        spot = F.element_at(F.array(*[F.lit(v) for v in probs]), F.col("t") + 1) * (F.col("all") - 1)
+        return (table.withColumn("spot", spot).withColumn("r0", F.floor("spot")).withColumn("r1", F.least(F.col("r0") + 1, F.col("all") - 1))
+                .filter(holds("r0") | holds("r1")))
+
+    whole = True
+    for _ in range(passes):
+        per = found(ranges, True, whole).groupBy("c", "t").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("begin").alias("before"),
+                                                             F.max("all").alias("all"))
+        ranges = per.groupBy("c").agg(*[F.max(F.when(F.col("t") == q, F.struct("lo", "hi", "before", "all"))).alias(n) for q, n in enumerate(names)])
+        whole = False
+    ends = found(ranges, False, False).groupBy("c", "t").agg(
+        F.max(F.when(holds("r0"), F.col("lo"))).alias("a"), F.max(F.when(holds("r1"), F.col("lo"))).alias("b"), F.max("spot").alias("spot"))
+    # numpy's linear interpolation, written as numpy writes it
+    part, diff = F.col("spot") - F.floor("spot"), F.col("b") - F.col("a")
+    value = F.when(part >= 0.5, F.col("b") - diff * (1 - part)).otherwise(F.col("a") + diff * part)
+    return ends.groupBy(F.col("c").alias("ci")).agg(*[F.max(F.when(F.col("t") == q, value)).alias(n) for q, n in enumerate(("q1", "median", "q3"))])
+
+
+def case_flags(text: Column) -> tuple[Column, Column, Column, Column]:
     alpha = text.rlike(ALPHA_PATTERN)
     is_up = alpha & (F.upper(text) == text) & (F.lower(text) != text)
     is_low = alpha & ~is_up & (F.lower(text) == text) & (F.upper(text) != text)
@@ -361,40 +454,6 @@ def _case_flags(text: Column) -> tuple[Column, Column, Column, Column]:
     return is_up, is_low, is_title, is_mixed
 
 
-def _keyed_text_measures(src: DataFrame, infos: list[ColumnInfo], key: str, text_n: int,
-                         type_n: int) -> DataFrame:
-    """Text measures over the first ``text_n`` non-null values of each text
-    column in ``key`` order (label A over the first ``type_n``), as the
-    original scores them.  ``row_number() <= n`` is cut to ``n`` rows per
-    column and task before the exchange, so a column never lands whole in
-    one task."""
-    recs = [F.struct(F.lit(i.ordinal).alias("ci"), qcol(i.name).alias("v"))
-            for i in infos if i.kind == "text"]
-    rows = src.select(qcol(key).alias("_key"), F.inline(F.array(*recs))) \
-        .filter(F.col("v").isNotNull())
-    # a total order (key, then value): every consumer of the sample sees the
-    # same rows even when keys tie at the cut-off
-    w = Window.partitionBy("ci").orderBy("_key", "v")
-    samp = rows.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= text_n)
-    v = F.col("v")
-    up, low, title, mixed = _case_flags(v)
-    has_at = v.contains("@")
-    m = samp.groupBy("ci").agg(
-        F.count(F.lit(1)).alias("_n_text"),
-        F.bool_or((F.col("_rk") <= 5) & has_at).alias("_any_at"),
-        F.count_if(has_at & ~v.rlike(K.EMAIL_PATTERN)).alias("_bad_email"),
-        F.count_if(v.rlike(WS_PATTERN)).alias("_ws"),
-        F.avg(F.length(v)).alias("_len_mean"),
-        F.count_if(up).alias("_up"), F.count_if(low).alias("_low"),
-        F.count_if(title).alias("_title"), F.count_if(mixed).alias("_mixed"),
-        F.bool_and(F.when(F.col("_rk") <= type_n, F.lower(v).isin(K.BOOLEAN_TEXT_VALUES)))
-        .alias("_boolish"))
-    dev = samp.join(F.broadcast(m.select("ci", "_len_mean")), "ci").groupBy("ci").agg(
-        F.count_if(F.abs(F.length(v) - F.col("_len_mean"))
-                   > F.col("_len_mean") * K.LENGTH_DEVIATION_SHARE).alias("_len_dev"))
-    return m.join(dev, "ci", "left")
-
-
 def _ts_from_micros(micros: Column, is_ltz: Column) -> Column:
     """Datetime statistics are reported as wall-clock ``timestamp_ntz``."""
     epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
@@ -410,10 +469,8 @@ def _finish(j: DataFrame) -> DataFrame:
     completeness = F.coalesce(F.try_divide(nonnull, total) * 100, F.lit(0.0))
     uniqueness = F.coalesce(F.try_divide(distinct, total) * 100, F.lit(0.0))
     is_num = kind.isin("numeric", "boolean")
-    std = F.when(is_num & (nonnull > 1), F.sqrt(F.col("_ss") / (nonnull - 1)))
-
-    # text measures are over the whole column, or over the keyed sample
-    ntext = F.coalesce(F.col("_n_text"), nonnull)
+    std = F.when(is_num & (nonnull > 1), F.col("std"))
+    ntext = nonnull
 
     # K1 pieces
     email_check = F.lower(F.col("column")).contains("email") | F.coalesce(F.col("_any_at"), F.lit(False))
@@ -472,6 +529,8 @@ def _finish(j: DataFrame) -> DataFrame:
         std.alias("std"),
         F.when(is_num, F.col("min")).alias("min"),
         F.when(is_num, F.col("max")).alias("max"),
+        F.when(is_num, F.col("min_value")).alias("min_value"),
+        F.when(is_num, F.col("max_value")).alias("max_value"),
         F.when(is_num, F.col("q1")).alias("q1"),
         F.when(is_num, F.col("q3")).alias("q3"),
         F.when(is_num, F.coalesce(F.col("outliers"), F.lit(0))).cast("long").alias("outliers"),
@@ -481,8 +540,7 @@ def _finish(j: DataFrame) -> DataFrame:
         F.when(is_dt, F.timestamp_diff("DAY", dmin, dmax)).alias("date_range_days"),
         mode.alias("mode"),
         F.coalesce(F.col("mode_count"), F.lit(0)).cast("long").alias("mode_count"),
-        F.transform(F.coalesce(F.col("_samp"), F.array().cast("array<struct<_rk:int,v:string>>")),
-                    lambda s: s["v"]).alias("sample_values"),
+        F.coalesce(F.col("_samp"), F.array().cast("array<string>")).alias("sample_values"),
         k1.alias("consistency_standard"), k2.alias("consistency_extended"),
         k4.alias("consistency_whitespace"), F.lit(100.0).alias("consistency_type_share"),
     )
@@ -490,7 +548,7 @@ def _finish(j: DataFrame) -> DataFrame:
 
 def column_info_table(df: DataFrame) -> DataFrame:
     """Column, type, non-null, null and unique counts."""
-    p = profile(df)
+    p = profile(df, only=["column", "spark_type", "non_null_count", "null_count", "distinct_count"])
     return p.select(F.col("column"), F.col("spark_type").alias("data_type"),
                     F.col("non_null_count"), F.col("null_count"),
                     F.col("distinct_count").alias("unique_values"))

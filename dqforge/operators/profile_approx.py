@@ -25,15 +25,7 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions import predicates as P
 from ..functions.names import qcol
-from .profile import ALPHA_PATTERN, WS_PATTERN, columns_info, label_a_static, label_b, label_c
-
-
-def _case(v: Column):
-    alpha = v.rlike(ALPHA_PATTERN)
-    up = alpha & (F.upper(v) == v) & (F.lower(v) != v)
-    low = alpha & ~up & (F.lower(v) == v) & (F.upper(v) != v)
-    title = alpha & ~up & ~low & (F.initcap(v) == v)
-    return up, low, title, alpha & ~up & ~low & ~title
+from .profile import WS_PATTERN, _finish, _meta_df, case_flags, columns_info
 
 
 def profile_approx(df: DataFrame, columns: list[str] | None = None, rsd: float = 0.05,
@@ -59,7 +51,7 @@ def profile_approx(df: DataFrame, columns: list[str] | None = None, rsd: float =
             aggs += [F.min(x).alias(p + "tmin"), F.max(x).alias(p + "tmax"),
                      F.percentile_approx(x, [0.5], accuracy).alias(p + "tq")]
         elif k == "text":
-            up, low, title, mixed = _case(c)
+            up, low, title, mixed = case_flags(c)
             aggs += [F.bool_or(c.contains("@")).alias(p + "at"),
                      F.count_if(c.contains("@") & ~c.rlike(K.EMAIL_PATTERN)).alias(p + "bad"),
                      F.count_if(c.rlike(WS_PATTERN)).alias(p + "ws"),
@@ -84,72 +76,23 @@ def profile_approx(df: DataFrame, columns: list[str] | None = None, rsd: float =
     extra = src.agg(*second).first()        # one row: outliers, length deviations
 
     rows = []
-    total = first["_rows"]
     for i in infos:
-        p, k = f"_{i.ordinal}_", i.kind
-        nn = first[p + "nn"]
-        nd = first[p + "nd"]
-        g = lambda name: first[p + name] if (p + name) in first.asDict() else None
+        p = f"_{i.ordinal}_"
+        g = lambda name, row=first: row[p + name] if (p + name) in row.asDict() else None
         q = g("q") or [None, None, None]
-        out = extra[p + "out"] if (p + "out") in extra.asDict() else None
-        label_a = label_a_static(i.dtype) or ("Boolean" if nn and g("bool") else K.TYPE_TEXT)
-        rows.append((i.ordinal, i.name, i.spark_type, k, label_a, label_b(i.dtype), label_c(i.dtype),
-                     total, total - nn, nn, nd, g("mean"), q[1], g("std"), g("min"), g("max"),
-                     q[0], q[2], out, g("tmin"), g("tmax"),
-                     None if not g("tq") else float(g("tq")[0]),
-                     g("at"), g("bad"), g("ws"), g("len"),
-                     extra[p + "dev"] if (p + "dev") in extra.asDict() else None,
-                     g("up"), g("low"), g("title"), g("mixed")))
-    schema = ("ordinal int, column string, spark_type string, kind string, data_type string, "
-              "data_type_b string, data_type_c string, total_count long, null_count long, "
-              "non_null_count long, distinct_count long, mean double, median double, std double, "
-              "min double, max double, q1 double, q3 double, outliers long, _tmin long, _tmax long, "
-              "_tmed double, _any_at boolean, _bad_email long, _ws long, _len_mean double, "
-              "_len_dev long, _up long, _low long, _title long, _mixed long")
-    return _finish_approx(spark.createDataFrame(rows, schema))
-
-
-def _finish_approx(t: DataFrame) -> DataFrame:
-    """Scores as in ``profile`` (same formulas), from the per-column numbers."""
-    kind, nonnull, total = F.col("kind"), F.col("non_null_count"), F.col("total_count")
-    epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
-    ts = lambda c: F.timestamp_add("MICROSECOND", c, epoch)
-    email = F.lower(F.col("column")).contains("email") | F.coalesce(F.col("_any_at"), F.lit(False))
-    email_issues = F.when(email, F.col("_bad_email")).otherwise(F.lit(0))
-    out_pct = F.col("outliers") / nonnull * 100
-    k1 = (F.when(nonnull == 0, F.lit(0.0))
-          .when(kind == "text", F.greatest(F.lit(0.0), 100 - email_issues / nonnull * 100))
-          .when(kind == "numeric", F.when(nonnull > 2, F.greatest(
-              F.lit(float(K.NUMERIC_CONSISTENCY_FLOOR)), 100 - out_pct * K.OUTLIER_PENALTY))
-              .otherwise(F.lit(100.0)))
-          .when(kind == "boolean", F.when(nonnull > 2, F.lit(K.OTHER_TYPE_CONSISTENCY))
-                .otherwise(F.lit(100.0)))
-          .otherwise(F.lit(K.OTHER_TYPE_CONSISTENCY)))
-    len_issues = F.when((nonnull > K.LENGTH_MIN_SAMPLE) & (F.col("_len_mean") > K.LENGTH_MIN_MEAN),
-                        F.col("_len_dev") * K.LENGTH_PENALTY).otherwise(F.lit(0.0))
-    alpha = F.col("_up") + F.col("_low") + F.col("_title") + F.col("_mixed")
-    used = sum((F.col(c) > 0).cast("int") for c in ("_up", "_low", "_title", "_mixed"))
-    case_issues = F.when((alpha > K.CASE_MIN_ALPHA) & (used > K.CASE_MAX_PATTERNS),
-                         alpha * K.CASE_PENALTY).otherwise(F.lit(0.0))
-    k2 = F.when((nonnull > 0) & (kind == "text"), F.greatest(
-        F.lit(0.0), 100 - (email_issues + len_issues + case_issues) / nonnull * 100)).otherwise(k1)
-    k4 = (F.when(nonnull == 0, F.lit(0.0))
-          .when(kind == "text", F.greatest(F.lit(0.0), 100 - F.col("_ws") / nonnull * 100))
-          .otherwise(F.lit(100.0)))
-    is_dt = kind == "datetime"
-    return t.select(
-        "ordinal", "column", "spark_type", "kind", "data_type", "data_type_b", "data_type_c",
-        "total_count", "null_count", "non_null_count", "distinct_count",
-        F.coalesce(F.try_divide(nonnull, total) * 100, F.lit(0.0)).alias("completeness"),
-        F.coalesce(F.try_divide(F.col("distinct_count"), total) * 100, F.lit(0.0)).alias("uniqueness"),
-        "mean", "median", "std", "min", "max", "q1", "q3", "outliers",
-        F.when(is_dt, ts(F.col("_tmin"))).alias("date_min"),
-        F.when(is_dt, ts(F.col("_tmax"))).alias("date_max"),
-        F.when(is_dt, ts(F.round(F.col("_tmed")).cast("long"))).alias("date_median"),
-        F.when(is_dt, F.timestamp_diff("DAY", ts(F.col("_tmin")), ts(F.col("_tmax"))))
-        .alias("date_range_days"),
-        F.lit(None).cast("string").alias("mode"), F.lit(None).cast("long").alias("mode_count"),
-        F.lit(None).cast("array<string>").alias("sample_values"),
-        k1.alias("consistency_standard"), k2.alias("consistency_extended"),
-        k4.alias("consistency_whitespace"), F.lit(100.0).alias("consistency_type_share"),
-        F.lit(True).alias("approximate"))
+        low, high = g("min"), g("max")
+        rows.append((i.ordinal, first["_rows"], first["_rows"] - g("nn"), g("nd"), g("mean"), g("std"), low, high,
+                     None if low is None else str(low), None if high is None else str(high),
+                     q[0], q[1] if g("tq") is None else float(g("tq")[0]), q[2], g("out", extra), g("tmin"), g("tmax"),
+                     g("at"), g("bad"), g("ws"), g("len"), g("dev", extra), g("up"), g("low"), g("title"), g("mixed"), g("bool")))
+    schema = ("ci int, total_count long, null_count long, distinct_count long, mean double, std double, min double, max double, "
+              "min_value string, max_value string, q1 double, median double, q3 double, outliers long, _tmin long, _tmax long, "
+              "_any_at boolean, _bad_email long, _ws long, _len_mean double, _len_dev long, _up long, _low long, _title long, "
+              "_mixed long, _boolish boolean")
+    numbers = spark.createDataFrame(rows, schema)
+    for name, kind in (("_mode", "string"), ("mode_count", "long"), ("_samp", "array<string>")):
+        numbers = numbers.withColumn(name, F.lit(None).cast(kind))
+    whole = _finish(_meta_df(spark, infos).join(numbers, F.col("ordinal") == F.col("ci")).drop("ci"))
+    # no value table: modes and samples are unknown here
+    return (whole.withColumn("mode", F.lit(None).cast("string")).withColumn("mode_count", F.lit(None).cast("long"))
+            .withColumn("sample_values", F.lit(None).cast("array<string>")).withColumn("approximate", F.lit(True)))

@@ -401,8 +401,13 @@ def evaluate(df: DataFrame, rules: list[Rule], normalize: bool = True,
     src = df.select(*[qcol(c) for c in used])
     if normalize:
         src = P.normalize_nan(src, [c for c in used if c not in by])
-    counts = rule_counts(src, rules, by)
-    meta = _meta(df.sparkSession, rules)
+    return result_table(df.sparkSession, rules, rule_counts(src, rules, by), by)
+
+
+def result_table(spark, rules: list[Rule], counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The rule-result table from (by..., seq, total, failed)."""
+    by = list(by or [])
+    meta = _meta(spark, rules)
     if by:
         # every group with rows yields every rule; meta is ~#rules rows
         out = counts.join(meta, "seq")

@@ -93,12 +93,13 @@ def profile_section(profile: DataFrame, section: str = "all",
     return out
 
 
-def sort_table(df: DataFrame, column: str, numeric: bool = True, ascending: bool = True) -> DataFrame:
+def sort_table(df: DataFrame, column: str, numeric: bool = True, ascending: bool = True,
+               ties: list[str] | None = None) -> DataFrame:
     """Sort a report table by one column, as numbers (text that is not a
-    number sorts as 0) or as text."""
+    number sorts as 0) or as text; ``ties`` orders equal values."""
     key = F.coalesce(qcol(column).cast("string").try_cast("double"), F.lit(0.0)) if numeric \
         else qcol(column).cast("string")
-    return df.orderBy(key.asc() if ascending else key.desc())
+    return df.orderBy(key.asc() if ascending else key.desc(), *[qcol(t) for t in ties or []])
 
 
 def field_order(profile: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ...sources.tables import table
 from ...functions.bands import score_color
 from ...functions import constants as K
 from ...operators import history as HI
@@ -14,7 +15,7 @@ from ...operators.rules import evaluate
 from .q_history import VAL_SQL, YEARS_SQL, history
 from .q_rowflags import ORDERS_NULLS_SQL, orders_nulls
 from .q_rules import FLAGSHIP_RULES, FLAGSHIP_SQL, lineitem_nulls
-from .q_scores import PERCOL_SQL, bands_profile
+from .q_scores import PERCOL_SQL, bands_profile, places
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -86,11 +87,14 @@ def score_colors_orders(spark, sf):
 
 
 # ----------------------------------------------------------------- W5 -----
-@register("snapshot_retention_orders", "WITH " + YEARS_SQL + VAL_SQL + f"""
-SELECT seq, timestamp FROM h ORDER BY timestamp DESC LIMIT {K.SNAPSHOTS_KEEP}""")
+@register("snapshot_retention_orders", f"""
+SELECT snapshot, CAST(COUNT(*) AS BIGINT) AS row_count FROM (SELECT strftime(o_orderdate, '%Y-%m') AS snapshot FROM orders)
+GROUP BY snapshot ORDER BY snapshot DESC LIMIT {K.SNAPSHOTS_KEEP}""")
 def snapshot_retention_orders(spark, sf):
-    h = history(spark, sf, with_fields=False)
-    return HI.keep_last(h, K.SNAPSHOTS_KEEP, order="timestamp").select("seq", "timestamp")
+    # One snapshot for each month (about 80), the last ten stay
+    months = (table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("snapshot"))
+              .agg(F.count(F.lit(1)).alias("row_count")))
+    return HI.keep_last(months, K.SNAPSHOTS_KEEP, order="snapshot")
 
 
 # ----------------------------------------------------------------- W9 -----
@@ -101,13 +105,11 @@ RES_SQL = "WITH res AS (" + FLAGSHIP_SQL.strip() + ")\n"
 SELECT seq, CAST(row_number() OVER (ORDER BY success_rate DESC, seq) AS INTEGER) AS by_rate,
        CAST(row_number() OVER (ORDER BY "column", seq) AS INTEGER) AS by_column FROM res""")
 def sort_results_lineitem(spark, sf):
+    # the place of a row in the sorted table; one row per rule, so numbering in one task is fine
     res = evaluate(lineitem_nulls(spark, sf), FLAGSHIP_RULES).select("seq", "column", "success_rate")
-    # the results table has one row per rule: numbering it in one task is fine
-    by_rate = S.sort_table(res, "success_rate", numeric=True, ascending=False)
-    r1 = by_rate.withColumn("by_rate", F.row_number().over(
-        Window.orderBy(F.desc(F.coalesce(F.col("success_rate"), F.lit(0.0))), "seq")))
-    r2 = r1.withColumn("by_column", F.row_number().over(Window.orderBy(F.col("column"), "seq")))
-    return r2.select("seq", "by_rate", "by_column")
+    by_rate = places(S.sort_table(res, "success_rate", numeric=True, ascending=False, ties=["seq"]), "by_rate")
+    by_column = places(S.sort_table(res, "column", numeric=False, ties=["seq"]), "by_column")
+    return by_rate.join(by_column, "seq")
 
 
 # ------------------------------------------- G1/G4 approximate (opt-in) ---

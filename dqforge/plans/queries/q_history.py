@@ -208,10 +208,12 @@ def history_recent_orders(spark, sf):
 
 
 @register("history_retention_orders", "WITH " + YEARS_SQL + VAL_SQL + """
-SELECT seq, dataset_version FROM h ORDER BY seq DESC LIMIT 100""")
+SELECT seq, dataset_version FROM h ORDER BY seq DESC LIMIT 4""")
 def history_retention_orders(spark, sf):
+    # Seven yearly entries, the last four stay
     h = history(spark, sf, with_fields=False)
-    return HI.append_entry(None, h).select("seq", "dataset_version")
+    early, late = h.filter("seq < 1996"), h.filter("seq >= 1996")
+    return HI.append_entry(early, late, keep=4).select("seq", "dataset_version")
 
 
 @register("latest_per_version_orders", "WITH " + YEARS_SQL + VAL_SQL + """,
@@ -244,23 +246,25 @@ def version_diff_missing_orders(spark, sf):
     return HI.version_diff(history(spark, sf, with_fields=False), "v1996", "v1980")
 
 
+TEXTS = ("o_orderstatus", "o_orderpriority")
+
+
 @register("field_statistics_orders", "WITH " + YEARS_SQL.split(",\npc AS")[0] + """,
 f AS (
 """ + "\n  UNION ALL\n".join(
     f"""  SELECT yr AS seq, '{c}' AS "column", CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS null_count,
          CAST(COUNT(DISTINCT {c}) AS BIGINT) AS unique_count,
          round_even(CAST(COUNT(*) - COUNT({c}) AS DOUBLE) / COUNT(*) * 100, 2) AS null_percentage,
-         {"round_even(avg(" + c + "), 2)" if c != "o_orderstatus" else "CAST(NULL AS DOUBLE)"} AS mean,
-         {"round_even(median(" + c + "), 2)" if c != "o_orderstatus" else "CAST(NULL AS DOUBLE)"} AS median,
-         {"round_even(stddev_samp(" + c + "), 2)" if c != "o_orderstatus" else "CAST(NULL AS DOUBLE)"} AS std
-  FROM s GROUP BY yr"""
-    for c in ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]) + """)
+         {"round_even(avg(" + c + "), 2)" if c not in TEXTS else "CAST(NULL AS DOUBLE)"} AS mean,
+         {"round_even(median(" + c + "), 2)" if c not in TEXTS else "CAST(NULL AS DOUBLE)"} AS median,
+         {"round_even(stddev_samp(" + c + "), 2)" if c not in TEXTS else "CAST(NULL AS DOUBLE)"} AS std
+  FROM s {"WHERE yr < 1999" if c == "o_orderpriority" else ""} GROUP BY yr"""
+    for c in ["yr", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]) + """)
 SELECT * FROM f""")
 def field_statistics_orders(spark, sf):
     _, recs, schema = snapshots(spark, sf)
     fs = HI.field_statistics(recs, schema)
-    return fs.filter(F.col("column").isin("o_orderkey", "o_custkey", "o_orderstatus",
-                                          "o_totalprice")).drop("data_type")
+    return fs.drop("data_type")
 
 
 @register("field_diff_orders", TW.field_diff_orders(YEARS_SQL.split(",\npc AS")[0].strip()))

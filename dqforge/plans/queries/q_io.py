@@ -216,3 +216,35 @@ def sql_large_query_customers(spark, sf):
 def dataframe_large_query_customers(spark, sf):
     df = SQ.avg_salary_by_department(employees_view(spark, sf))
     return df.withColumn("avg_salary", F.bround("avg_salary", 9))
+
+
+@register("csv_quoted_records_orders", """
+SELECT o_orderkey, 'say "' || o_orderstatus || '", then' || chr(10) || o_orderpriority AS note,
+       CAST(CAST(o_orderkey AS VARCHAR) || '00000000000000000000001' AS DOUBLE) AS wide FROM orders""")
+def csv_quoted_records_orders(spark, sf):
+    # S1 + S3: doubled quotes, commas and line breaks in quoted fields; integers beyond 64 bits
+    o = table(spark, sf, "orders")
+    base = CS.scratch_dir(spark, "quoted")
+    (o.select("o_orderkey", F.concat(F.lit('say "'), "o_orderstatus", F.lit('", then\n'), "o_orderpriority").alias("note"),
+              F.concat(F.col("o_orderkey").cast("string"), F.lit("00000000000000000000001")).alias("wide"))
+     .write.option("header", True).option("escape", '"').csv(base))
+    return CS.read_csv(spark, base, multiline=True)
+
+
+@register("snapshot_text_quoted_orders", """
+SELECT YEAR(o_orderdate) - (SELECT min(YEAR(o_orderdate)) FROM orders) + 1 AS seq, 'note' AS "column",
+       'say "' || o_orderstatus || '", then' || chr(10) || o_orderpriority AS v, COUNT(*) AS cnt
+FROM orders GROUP BY ALL""")
+def snapshot_text_quoted_orders(spark, sf):
+    # A record whose quoted field holds a doubled quote, a comma and a line break
+    o = table(spark, sf, "orders")
+    yr = F.year("o_orderdate").alias("yr")
+    note = F.concat(F.lit('"say ""'), "o_orderstatus", F.lit('"", then\n'), "o_orderpriority", F.lit('"'))
+    years = o.select(yr).distinct()
+    data = o.select(yr, F.lit(1).alias("kind"), F.col("o_orderkey").alias("k"), note.alias("value"))
+    edge = lambda kind, text: years.select("yr", F.lit(kind).alias("kind"), F.lit(-1).cast("bigint").alias("k"), F.lit(text).alias("value"))
+    path = CS.scratch_dir(spark, "snapquoted")
+    (data.unionByName(edge(0, "note")).unionByName(edge(2, CS.SNAPSHOT_DELIMITER))
+     .repartitionByRange(4, "yr").sortWithinPartitions("yr", "kind", "k").select("value").write.text(path))
+    recs, _ = CS.snapshot_text_records(spark, path)
+    return recs.groupBy("seq", "column", "v").agg(F.count(F.lit(1)).alias("cnt")).select(F.col("seq").cast("bigint").alias("seq"), "column", "v", "cnt")

@@ -291,3 +291,14 @@ def profile_consistency_customer(spark, sf):
                    columns=["c_email", "c_padded", "c_word", "c_mktsegment", "c_acctbal"])
     return p.select("column", "consistency_standard", "consistency_extended",
                     "consistency_whitespace")
+
+
+@register("profile_exact_integers_orders", """
+WITH o AS (SELECT 9007199254740993 + 2 * (o_custkey % 1000) AS big FROM orders)
+SELECT 'big' AS "column", CAST(min(big) AS VARCHAR) AS min_value, CAST(max(big) AS VARCHAR) AS max_value,
+       (SELECT CAST(big AS VARCHAR) FROM o GROUP BY big ORDER BY COUNT(*) DESC, big LIMIT 1) AS mode
+FROM o""")
+def profile_exact_integers_orders(spark, sf):
+    # Integers that a double cannot hold
+    o = table(spark, sf, "orders").select((F.lit(9007199254740993) + 2 * (F.col("o_custkey") % 1000)).alias("big"))
+    return PR.profile(o, only=["column", "min_value", "max_value", "mode"])

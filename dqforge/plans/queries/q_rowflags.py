@@ -97,23 +97,14 @@ def row_filter_orders(spark, sf):
                           rule_flag="o_totalprice_range_pass", status=False)
 
 
-@register("row_filter_any_column", FLAGS_SQL + """
-SELECT *, 5 AS total_validations,
-       ROUND(CAST(passed_validations AS DOUBLE) / 5 * 100, 1) AS validation_success_rate,
-       passed_validations = 5 AS all_validations_pass
-FROM g
-WHERE COALESCE(contains(lower(CAST(o_orderkey AS VARCHAR)), '77'), FALSE)
-   OR COALESCE(contains(lower(CAST(o_custkey AS VARCHAR)), '77'), FALSE)
-   OR COALESCE(contains(lower(o_orderpriority), '77'), FALSE)
-   OR COALESCE(contains(lower(o_orderstatus), '77'), FALSE)""")
+@register("row_filter_any_column", FLAGS_SQL + """,
+w AS (SELECT *, 5 AS total_validations,
+             ROUND(CAST(passed_validations AS DOUBLE) / 5 * 100, 1) AS validation_success_rate,
+             passed_validations = 5 AS all_validations_pass FROM g)
+SELECT * FROM w WHERE list_contains(list_transform([CAST(COLUMNS(*) AS VARCHAR)], lambda x: contains(lower(x), 'urg')), TRUE)""")
 def row_filter_any_column(spark, sf):
-    # text search over the key and text columns of the enhanced rows
-    enh = RF.enhanced_dataset(orders_nulls(spark, sf), ORDERS_CONFIG)
-    hit = None
-    for c in ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"]:
-        e = F.coalesce(F.lower(F.col(c).cast("string")).contains("77"), F.lit(False))
-        hit = e if hit is None else hit | e
-    return enh.filter(hit)
+    # P9 over every column of the enhanced rows
+    return RF.filter_rows(RF.enhanced_dataset(orders_nulls(spark, sf), ORDERS_CONFIG), needle="URG")
 
 
 @register("duplicates_lineitem_orderkey", """

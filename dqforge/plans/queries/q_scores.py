@@ -170,6 +170,12 @@ def report_quality_orders(spark, sf):
 
 
 # ------------------------------------------------------------ W7 ----------
+def places(ordered, name, key="seq"):
+    """Key and place of every row of a small sorted table, as it stands."""
+    whole = ordered.coalesce(1).withColumn("_p", F.monotonically_increasing_id())
+    return whole.select(key, F.row_number().over(Window.orderBy("_p")).alias(name))
+
+
 @register("field_order_orders", "WITH " + PERCOL_SQL + """
 SELECT "column", CAST(row_number() OVER (
     ORDER BY (completeness >= 80 AND (CAST(total_count - null_count AS DOUBLE) / total_count) >= 0.7
@@ -177,17 +183,13 @@ SELECT "column", CAST(row_number() OVER (
     AS INTEGER) AS position
 FROM pc""")
 def field_order_orders(spark, sf):
-    p = S.with_critical(bands_profile(spark, sf))
-    # tiny (one row per column): a global window is fine here
-    w = Window.orderBy(F.desc("is_critical"), F.desc(S.r1(F.col("completeness"))), "ordinal")
-    return p.select("column", F.row_number().over(w).alias("position"))
+    return places(S.field_order(S.with_critical(bands_profile(spark, sf))), "position", key="column")
 
 
 # ------------------------------------------------- G14-G18 (rows) ---------
 @register("type_labels_lineitem", TW.TYPE_LABELS_LINEITEM)
 def type_labels_lineitem(spark, sf):
-    p = PR.profile(table(spark, sf, "lineitem"))
-    return p.select("column", "spark_type", "data_type", "data_type_b", "data_type_c")
+    return PR.profile(table(spark, sf, "lineitem"), only=["column", "spark_type", "data_type", "data_type_b", "data_type_c"])
 
 
 @register("type_distribution_orders",
@@ -207,7 +209,7 @@ def numeric_and_text_columns_lineitem(spark, sf):
     rows = [(c, "numeric") for c in PR.numeric_columns(li)] + [(c, "text") for c in PR.text_columns(li)]
     # P1/P2 are schema selections; join to the profile so the answer is data-derived
     sel = spark.createDataFrame(rows, "column string, selection string")
-    return sel.join(PR.profile(li).select("column", "non_null_count"), "column")
+    return sel.join(PR.profile(li, only=["column", "non_null_count"]), "column")
 
 
 # ------------------------------------------------ rule summaries ----------
@@ -326,3 +328,37 @@ def critical_averages_orders(spark, sf):
 def field_summary_orders(spark, sf):
     return SN.field_summary(orders_bands(spark, sf), title="orders",
                             dataset_name="orders").drop("timestamp")
+
+
+@register("suggestion_order_orders", "WITH " + PERCOL_SQL + """,
+s AS (SELECT "column", ordinal, 3 + CASE WHEN completeness >= 95 THEN 2 WHEN completeness >= 90 THEN 1 ELSE 0 END
+                                  + CASE WHEN completeness >= 99 THEN 1 ELSE 0 END AS score
+      FROM pc WHERE completeness >= 80 AND null_count < total_count * 0.5)
+SELECT "column", CAST(row_number() OVER (ORDER BY score DESC, ordinal) AS INTEGER) AS position FROM s""")
+def suggestion_order_orders(spark, sf):
+    # The order in which columns are suggested
+    return places(S.suggestion_order(S.critical_suggestions(bands_profile(spark, sf))), "position", key="column")
+
+
+@register("snapshot_columns_orders", "WITH " + PERCOL_SQL + """
+SELECT "column" AS column_name, completeness >= 80 AND (CAST(total_count - null_count AS DOUBLE) / total_count) >= 0.7
+                 AND null_count < total_count * 0.5 AS critical,
+       round_even(completeness, 1) AS completeness, round_even(uniqueness, 1) AS uniqueness, round_even(k1, 1) AS consistency
+FROM pc""")
+def snapshot_columns_orders(spark, sf):
+    # The two column lists of the nested snapshot
+    snap = _orders_snapshot(spark, sf)
+    parts = [snap.select(F.inline(F.col(f"{g}.columns"))).withColumn("critical", F.lit(c))
+             for g, c in (("critical_data_elements", True), ("other_fields", False))]
+    name = "column" if "column" in parts[0].columns else parts[0].columns[0]
+    return parts[0].unionByName(parts[1]).select(F.col(name).alias("column_name"), "critical", "completeness", "uniqueness", "consistency")
+
+
+@register("snapshot_type_counts_orders", """
+SELECT 'columns_' || replace(replace(lower(t), '/', '_'), ' ', '_') || '_count' AS name, CAST(COUNT(*) AS BIGINT) AS n
+FROM (SELECT CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'Integer' WHEN column_type = 'DOUBLE' THEN 'Decimal'
+                  WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'Date/Time' ELSE 'Text' END AS t
+      FROM (DESCRIBE SELECT * FROM orders)) GROUP BY 1""")
+def snapshot_type_counts_orders(spark, sf):
+    # The type counts of the flat snapshot
+    return SN.flatten_snapshot(_orders_snapshot(spark, sf)).select(F.explode("type_counts").alias("name", "n"))

@@ -11,6 +11,7 @@ types the way a pandas CSV read does.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,8 @@ INT_RE = r"^[+-]?\d+$"
 FLOAT_RE = (r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?"
             r"|[iI]nf|INF|[iI]nfinity)$")
 SNAPSHOT_DELIMITER = "---SNAPSHOT---"
+# a doubled quote inside quotes is one quote
+_CSV_OPTIONS = {"escape": '"', "quote": '"'}
 
 
 # --------------------------------------------------------------- S2 -------
@@ -46,7 +49,8 @@ def normalize_na(df: DataFrame, tokens: list[str] | None = None) -> DataFrame:
 # --------------------------------------------------------------- S3 -------
 def _kind_tests(c: Column) -> list[Column]:
     ok = lambda e: F.bool_and(c.isNull() | e)
-    return [F.count(c), F.count(F.lit(1)), ok(c.isin(BOOL_TOKENS)), ok(c.rlike(INT_RE)),
+    return [F.count(c), F.count(F.lit(1)), ok(c.isin(BOOL_TOKENS)),
+            ok(c.rlike(INT_RE) & c.try_cast("bigint").isNotNull()),   # wider integers are floats
             ok(c.rlike(FLOAT_RE))]
 
 
@@ -146,16 +150,28 @@ def parse_csv_lines(lines: DataFrame, header: str, value: str = "value") -> Data
     Parsing is ``from_csv`` on the JVM; no Python per row."""
     names = dedupe_names(_split_fields(header))
     ddl = ", ".join(f"`_c{i}` STRING" for i in range(len(names)))
-    parsed = lines.select(F.from_csv(qcol(value), ddl).alias("_r"))
+    parsed = lines.select(F.from_csv(qcol(value), ddl, _CSV_OPTIONS).alias("_r"))
     raw = parsed.select(*[F.col("_r")[f"_c{i}"].alias(n) for i, n in enumerate(names)])
     # from_csv keeps empty fields as empty strings; a CSV read makes them NULL
     raw = raw.select(*[F.when(qcol(n) == "", None).otherwise(qcol(n)).alias(n) for n in names])
     return infer_types(normalize_na(raw))
 
 
+def _text_records(text: str) -> list[str]:
+    """Records of a pasted text: lines, joined while a quoted field is open."""
+    out, open_ = [], False
+    for line in re.split(r"\r\n|\n|\r", text):
+        if open_:
+            out[-1] += "\n" + line
+        else:
+            out.append(line)
+        open_ ^= line.count('"') % 2 == 1
+    return out
+
+
 def read_csv_from_text(spark: SparkSession, text: str) -> DataFrame:
     """CSV pasted as text (driver-side input typed by a user)."""
-    rows = [ln for ln in text.splitlines() if ln.strip() != ""]
+    rows = [r for r in _text_records(text) if r.strip() != ""]
     if not rows:
         raise ValueError("no CSV content")
     lines = spark.createDataFrame([(ln,) for ln in rows[1:]], "value string")
@@ -182,16 +198,25 @@ def snapshot_text_chunks(spark: SparkSession, path: str) -> DataFrame:
     1.. in (file, position) order.  Returns ``(snapshot, name, is_header,
     value)`` where the first non-blank line of a chunk is its header."""
     raw = with_position(spark.read.text(path))
-    delim = F.trim(F.col("value")) == SNAPSHOT_DELIMITER
-    counted = running_count(raw, delim, "_chunk").filter(~delim)
-    lines = counted.filter(F.trim(F.col("value")) != "")
+    # a line inside an open quoted field continues the record of the lines before it
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    opened = running_count(raw, quotes, "_quotes")
+    starts = opened.withColumn("_start", F.col("_quotes") % 2 == 0)
+    delim = F.col("_start") & (F.trim(F.col("value")) == SNAPSHOT_DELIMITER)
+    marked = running_count(starts.withColumn("_delim", delim), F.col("_start"), "_record")
+    record = F.col("_record") + F.col("_start").cast("long")
+    counted = running_count(marked.withColumn("_rec", record), F.col("_delim"), "_chunk").filter(~F.col("_delim"))
+    joined = (counted.groupBy("_file", "_chunk", "_rec")
+              .agg(F.min("_pos").alias("_pos"), F.array_sort(F.collect_list(F.struct("_pos", "value"))).alias("_parts"))
+              .withColumn("value", F.array_join(F.transform("_parts", lambda x: x["value"]), "\n")).drop("_parts", "_rec"))
+    lines = joined.filter(F.trim(F.col("value")) != "")
     first = lines.groupBy("_file", "_chunk").agg(F.min("_pos").alias("_hpos"))
     # one row per non-blank chunk: numbered in file / position order
     order = first.select("_file", "_chunk", "_hpos")
     from pyspark.sql import Window
     w = Window.orderBy("_file", "_chunk")  # one row per snapshot: tiny
     order = order.withColumn("snapshot", F.row_number().over(w))
-    j = lines.join(F.broadcast(order), ["_file", "_chunk"])
+    j = lines.join(order, ["_file", "_chunk"])
     return j.select("snapshot", F.concat(F.lit("Pasted_Snapshot_"), F.col("snapshot").cast("string"))
                     .alias("name"), (F.col("_pos") == F.col("_hpos")).alias("is_header"), "value")
 
@@ -217,10 +242,10 @@ def snapshot_text_records(spark: SparkSession, path: str) -> tuple[DataFrame, Da
     hdr = spark.createDataFrame(header_rows, "snapshot int, name string, idx int, column string")
     ddl = ", ".join(f"`_c{i}` STRING" for i in range(width))
     data = chunks.filter(~F.col("is_header")).select(
-        "snapshot", F.from_csv(F.col("value"), ddl).alias("_r"))
+        "snapshot", F.from_csv(F.col("value"), ddl, _CSV_OPTIONS).alias("_r"))
     cells = data.select("snapshot", F.posexplode(F.array(*[F.col("_r")[f"_c{i}"] for i in range(width)]))
                         .alias("idx", "v"))
-    cells = cells.join(F.broadcast(hdr), ["snapshot", "idx"])  # drop fields beyond the header
+    cells = cells.join(hdr, ["snapshot", "idx"])  # drop fields beyond the header
     cells = cells.withColumn("v", F.when(F.col("v").isin(K.NA_TOKENS) | (F.col("v") == ""), None)
                              .otherwise(F.col("v")))
     t = cells.groupBy("snapshot", "column").agg(*[e.alias(f"_k{j}") for j, e in
@@ -230,7 +255,7 @@ def snapshot_text_records(spark: SparkSession, path: str) -> tuple[DataFrame, Da
              for r in t.collect()}  # one row per (snapshot, column)
     type_rows = [(s, c, ty) for (s, c), ty in types.items()]
     tdf = spark.createDataFrame(type_rows, "snapshot int, column string, ty string")
-    cells = cells.join(F.broadcast(tdf), ["snapshot", "column"])
+    cells = cells.join(tdf, ["snapshot", "column"])
     ty = F.col("ty")
     v = F.col("v")
     canon = (F.when(ty == "double", v.cast("double").cast("string"))

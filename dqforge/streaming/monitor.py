@@ -3,18 +3,20 @@
 * ``running_scorecard`` keeps running totals of the predicate rules (not
   null, sets, patterns, ranges, dates and their multi-column forms) in
   Spark's state store: one streaming aggregate, complete output mode.
-  Uniqueness needs every key ever seen and is evaluated per micro-batch by
-  ``monitor`` instead.
-* ``monitor`` runs the full rule compiler on each micro-batch
-  (``foreachBatch``) and appends the rule results and one tracking entry per
-  batch to parquet tables.  Each batch writes its own ``batch_id=<n>``
-  folder in overwrite mode, so a replayed batch replaces itself (idempotent).
+  Uniqueness needs every key ever seen: ``monitor`` keeps key counts.
+* ``monitor`` judges each micro-batch (``foreachBatch``) and appends the rule
+  results and one tracking entry per batch to parquet tables.  Predicate rules
+  are about the batch; uniqueness rules are about all batches so far, from a
+  table of key counts that every batch adds to.  Each batch writes its own
+  ``batch_id=<n>`` folders in overwrite mode, so a replayed batch replaces
+  itself (idempotent).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pyspark.sql.streaming import StreamingQuery
 
@@ -66,7 +68,8 @@ def monitor(stream: DataFrame, rules: list[R.Rule], results_path: str, history_p
     """Append rule results and one tracking entry per micro-batch."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        res = R.evaluate(batch, rules).drop("details").withColumn("batch_id", F.lit(batch_id))
+        counts = _batch_counts(batch, rules, f"{results_path.rstrip('/')}_keys", batch_id)
+        res = R.result_table(batch.sparkSession, rules, counts).drop("details").withColumn("batch_id", F.lit(batch_id))
         res.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
         saved = batch.sparkSession.read.parquet(f"{results_path}/batch_id={batch_id}")
         entry = tracking_entry(batch, saved, dataset_name, batch_id)
@@ -78,6 +81,36 @@ def monitor(stream: DataFrame, rules: list[R.Rule], results_path: str, history_p
     return w.start()
 
 
+def _batch_counts(batch: DataFrame, rules: list[R.Rule], keys_path: str, batch_id: int) -> DataFrame:
+    """(seq, total, failed): predicates over the batch, uniqueness over all batches up to it."""
+    used = sorted({c for r in rules for c in r.columns})
+    src = P.normalize_nan(batch.select(*[qcol(c) for c in used]))
+    plain = [(i, r) for i, r in enumerate(rules) if not r.is_group]
+    out = None
+    if plain:
+        own = R.rule_counts(src, [r for _, r in plain])
+        place = F.array(*[F.lit(i) for i, _ in plain])
+        out = own.withColumn("seq", F.element_at(place, F.col("seq") + 1))
+    for i, r in enumerate(rules):
+        if not r.is_group:
+            continue
+        keys = [f"k{j}" for j in range(len(r.columns))]
+        values = [F.to_json(qcol(c)) if isinstance(src.schema[c].dataType, T.MapType) else qcol(c) for c in r.columns]
+        path = f"{keys_path}/rule_{i}"
+        (src.groupBy(*[v.alias(k) for v, k in zip(values, keys)]).agg(F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
+        seen = (batch.sparkSession.read.parquet(path).filter(F.col("batch_id") <= batch_id)
+                .groupBy(*keys).agg(F.sum("n").alias("n")))
+        twice = F.col("n") > 1
+        if r.kind == "unique":                        # a single-column rule never fails on NULL
+            twice = twice & F.col("k0").isNotNull()
+        one = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"),
+                       F.coalesce(F.sum(F.when(twice, F.col("n"))), F.lit(0)).cast("long").alias("failed"))
+        one = one.select(F.lit(i).alias("seq"), "total", "failed")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def tracking_entry(batch: DataFrame, results: DataFrame, dataset_name: str,
                    batch_id: int) -> DataFrame:
     """U6 for one micro-batch: score (average rate, 100.0 with no rules),
