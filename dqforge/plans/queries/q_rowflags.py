@@ -101,7 +101,10 @@ def row_filter_orders(spark, sf):
 w AS (SELECT *, 5 AS total_validations,
              ROUND(CAST(passed_validations AS DOUBLE) / 5 * 100, 1) AS validation_success_rate,
              passed_validations = 5 AS all_validations_pass FROM g)
-SELECT * FROM w WHERE list_contains(list_transform([CAST(COLUMNS(*) AS VARCHAR)], lambda x: contains(lower(x), 'urg')), TRUE)""")
+SELECT * FROM w WHERE contains(lower(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+  o_orderpriority, o_totalprice_not_null_pass, o_custkey_unique_pass, o_totalprice_range_pass,
+  o_orderstatus_allowed_values_pass, o_orderpriority_pattern_pass, passed_validations, total_validations,
+  validation_success_rate, all_validations_pass)), 'urg')""")
 def row_filter_any_column(spark, sf):
     # P9 over every column of the enhanced rows
     return RF.filter_rows(RF.enhanced_dataset(orders_nulls(spark, sf), ORDERS_CONFIG), needle="URG")

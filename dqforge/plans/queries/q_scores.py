@@ -357,7 +357,7 @@ def snapshot_columns_orders(spark, sf):
 @register("snapshot_type_counts_orders", """
 SELECT 'columns_' || replace(replace(lower(t), '/', '_'), ' ', '_') || '_count' AS name, CAST(COUNT(*) AS BIGINT) AS n
 FROM (SELECT CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'Integer' WHEN column_type = 'DOUBLE' THEN 'Decimal'
-                  WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'Date/Time' ELSE 'Text' END AS t
+                  WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'Date/Time' ELSE 'Text/String' END AS t
       FROM (DESCRIBE SELECT * FROM orders)) GROUP BY 1""")
 def snapshot_type_counts_orders(spark, sf):
     # The type counts of the flat snapshot
