@@ -62,10 +62,10 @@ def exact_quantiles(freq: DataFrame, group: list[str], value: str, cnt: str,
     # only the slices holding a wanted rank (at most two per quantile and
     # group) are ordered; all other slices are never sorted or shuffled again
     inside = lambda r: (F.col(r) >= F.col("_qo")) & (F.col(r) < F.col("_qe"))
-    need = (offsets.join(F.broadcast(targets.select(*group, "_rlo", "_rhi")), group)
+    need = (offsets.join(targets.select(*group, "_rlo", "_rhi"), group)
             .filter(inside("_rlo") | inside("_rhi"))
             .select(*group, "_qs", "_qo").distinct())
-    local = ranged.join(F.broadcast(need), [*group, "_qs"])
+    local = ranged.join(need, [*group, "_qs"])
     w_local = Window.partitionBy(*group, "_qs").orderBy("_qv") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (local.withColumn("_ql", F.sum("_qc").over(w_local))
@@ -80,7 +80,7 @@ def exact_quantiles(freq: DataFrame, group: list[str], value: str, cnt: str,
     on = cond[0]
     for c in cond[1:]:
         on = on & c
-    picked = (r.join(F.broadcast(t), on & (hit_lo | hit_hi))
+    picked = (r.join(t, on & (hit_lo | hit_hi))
               .groupBy(*[F.col(f"t.{g}").alias(g) for g in group], F.col("t.prob").alias("prob"))
               .agg(F.max(F.when(hit_lo, F.col("r._qv"))).alias("_lo"),
                    F.max(F.when(hit_hi, F.col("r._qv"))).alias("_hi"),

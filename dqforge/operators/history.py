@@ -112,7 +112,7 @@ def snapshot_records_from_column(df: DataFrame, seq: Column, prefix: str = "snap
     # every (snapshot, present column) pair has records in freq (absent columns
     # were dropped before counting); colmeta is one row per column
     present = freq.select(F.col("seq").cast("int").alias("seq"), "column").distinct()
-    schema = present.join(F.broadcast(colmeta), "column")
+    schema = present.join(colmeta, "column")
     w = Window.partitionBy("seq").orderBy("_o")
     schema = schema.select(
         "seq", F.concat(F.lit(prefix), F.col("seq").cast("string")).alias("snapshot"),
@@ -143,7 +143,7 @@ def snapshot_table(records: DataFrame, schema: DataFrame) -> DataFrame:
                       F.lit(0.0))).alias("c"),
         r1(F.coalesce(F.try_divide(F.col("distinct"), F.col("total")) * 100, F.lit(0.0))).alias("u"))
     # per-column scores are averaged in column order (see functions.ordered)
-    percol = percol.join(F.broadcast(schema.select("seq", "column", "ordinal")), ["seq", "column"],
+    percol = percol.join(schema.select("seq", "column", "ordinal"), ["seq", "column"],
                          "left")
     o = F.col("ordinal")
     per = percol.groupBy("seq").agg(
@@ -240,7 +240,7 @@ def field_statistics(records: DataFrame, schema: DataFrame) -> DataFrame:
     freq = _as_freq(records)
     numeric = schema.filter(F.col("data_type").isin(K.TYPE_INTEGER, K.TYPE_DECIMAL)) \
         .select("seq", "column", F.lit(True).alias("_num"))
-    f = freq.join(F.broadcast(numeric), ["seq", "column"], "left") \
+    f = freq.join(numeric, ["seq", "column"], "left") \
         .withColumn("vn", F.when(F.col("_num"), F.col("v").cast("double")))
     st = f.groupBy("seq", "column").agg(
         F.sum("cnt").alias("total"),
@@ -249,7 +249,7 @@ def field_statistics(records: DataFrame, schema: DataFrame) -> DataFrame:
         (F.sum(F.col("vn") * F.col("cnt")) / F.sum(F.when(F.col("vn").isNotNull(), F.col("cnt"))))
         .alias("mean"),
         F.sum(F.when(F.col("vn").isNotNull(), F.col("cnt"))).alias("_n"))
-    ss = f.join(F.broadcast(st.select("seq", "column", "mean")), ["seq", "column"]).groupBy(
+    ss = f.join(st.select("seq", "column", "mean"), ["seq", "column"]).groupBy(
         "seq", "column").agg(F.sum(F.col("cnt") * (F.col("vn") - F.col("mean")) ** 2).alias("_ss"))
     med = exact_quantiles(f.select("seq", "column", "vn", "cnt"), ["seq", "column"], "vn", "cnt",
                           [0.5]).select("seq", "column", F.col("quantile").alias("median"))

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.onerow import beside
 from ..functions.names import qcol
 from ..functions import constants as K
 
@@ -87,6 +86,9 @@ def summary(df: DataFrame, column1: str, column2: str, threshold: float = 0.8,
 
     first = pt.agg(
         F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total_comparisons"),
+        F.sum((r - 0.5) * n).alias("_s1"), F.sum((r - 0.5) * (r - 0.5) * n).alias("_s2"),
+        # an aggregated label stays a join key (a literal one would leave a join without a key)
+        F.max(F.lit(f"{column1} vs {column2}")).alias("_pair"),
         w(r >= threshold).alias("similar_pairs"),
         w(r == 1.0).alias("exact_matches"),
         w((r >= threshold) & (r < 1.0)).alias("within_threshold"),
@@ -98,15 +100,13 @@ def summary(df: DataFrame, column1: str, column2: str, threshold: float = 0.8,
         *[w(((r >= lo) if lo is not None else F.lit(True))
             & ((r < hi) if hi is not None else F.lit(True))).alias(name)
           for name, lo, hi in K.SIMILARITY_BUCKETS])
-    # population std: second pass over the (small) pair table, mean broadcast
-    spread = beside(pt, first.select("average_similarity")).agg(
-        F.sum(n * (r - F.col("average_similarity")) * (r - F.col("average_similarity")))
-        .alias("_ss"))
     tot = F.col("total_comparisons")
-    out = beside(first, spread)  # one row each
     zero = F.lit(0.0)
-    return out.select(
-        F.lit(f"{column1} vs {column2}").alias("column_pair"),
+    # population variance from count-weighted moments around 1/2 (ratios lie in 0..1)
+    var = F.col("_s2") / tot - (F.col("_s1") / tot) * (F.col("_s1") / tot)
+    var = F.when(var > 1e-15, var).otherwise(zero)
+    return first.select(
+        F.coalesce("_pair", F.lit(f"{column1} vs {column2}")).alias("column_pair"),
         F.lit(float(threshold)).alias("similarity_threshold"),
         "total_comparisons", "similar_pairs",
         F.coalesce(F.try_divide(F.col("similar_pairs"), tot) * 100, zero).alias("similarity_percentage"),
@@ -114,7 +114,7 @@ def summary(df: DataFrame, column1: str, column2: str, threshold: float = 0.8,
         F.coalesce(F.col("average_similarity"), zero).alias("average_similarity"),
         F.coalesce(F.col("min_similarity"), zero).alias("min_similarity"),
         F.coalesce(F.col("max_similarity"), zero).alias("max_similarity"),
-        F.coalesce(F.sqrt(F.col("_ss") / tot), zero).alias("std_similarity"),
+        F.coalesce(F.when(tot > 0, F.sqrt(var)), zero).alias("std_similarity"),
         F.coalesce(F.col("average_distance"), zero).alias("average_distance"),
         F.coalesce(F.col("min_distance"), F.lit(0)).alias("min_distance"),
         F.coalesce(F.col("max_distance"), F.lit(0)).alias("max_distance"),
