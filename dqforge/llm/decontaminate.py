@@ -255,14 +255,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shingl
     """``docs`` without the rows that hold any window; all columns are kept."""
     spark = docs.sparkSession
     wins, slices = item_windows(benchmark, width, max_windows)
-    out = docs.withColumn("__text", F.col(text_col))
+    # columns go through Arrow under plain names, whatever they are called
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = F.col(f"c{docs.columns.index(text_col)}")
+    out = plain.withColumn("__text", text)
     schema = out.schema
     for k in range(slices):
         s = _Slice(wins.filter(F.col("slice") == k).drop("slice").collect(), shingle)
         first = spark.sparkContext.broadcast(s)
-        counts = (docs.select(F.col(text_col).alias("text"))
-                  .mapInArrow(lambda it, b=first: _count_shingles(it, b), "h long, n long")
+        counts = (plain.select(text.alias("text")).mapInArrow(lambda it, b=first: _count_shingles(it, b), "h long, n long")
                   .groupBy("h").agg(F.sum("n").alias("n")).collect())
         second = spark.sparkContext.broadcast(s.keep_rarest({r["h"] & (2 ** 64 - 1): r["n"] for r in counts}))
         out = out.mapInArrow(lambda it, b=second: _flag(it, b), schema)
-    return out.drop("__text")
+    return out.drop("__text").toDF(*docs.columns)

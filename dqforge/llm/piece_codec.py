@@ -159,10 +159,12 @@ def _free(df: DataFrame, *names: str) -> DataFrame:
 
 def encode(docs: DataFrame, model: str, threads: int = 2, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``parity``; columns of these names are replaced."""
-    source = docs.withColumn("__text", F.col(f"`{text_col}`"))
-    source = _free(source, "ids", "parity")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    return source.mapInArrow(lambda it: _encode(it, model, threads), f"{kinds}, ids array<int>, parity boolean")
+    rest = _free(docs, "ids", "parity")
+    text = docs.select(F.col(f"`{text_col}`")).schema.fields[0]
+    source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest.columns)], F.col(f"`{text.name}`").alias("__text"))
+    kinds = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(rest.schema))
+    return (source.mapInArrow(lambda it: _encode(it, model, threads), f"{kinds}ids array<int>, parity boolean")
+            .toDF(*rest.columns, "ids", "parity"))
 
 
 def _decode(batches, path: str):
@@ -178,8 +180,9 @@ def _decode(batches, path: str):
 def decode(tokens: DataFrame, model: str) -> DataFrame:
     """``tokens`` (a column ``ids``) with the text ``decoded``."""
     source = _free(tokens, "decoded")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(lambda it: _decode(it, model), f"{kinds}, decoded string")
+    plain = source.toDF(*["ids" if c == "ids" else f"c{i}" for i, c in enumerate(source.columns)])
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in plain.schema)
+    return plain.mapInArrow(lambda it: _decode(it, model), f"{kinds}decoded string").toDF(*source.columns, "decoded")
 
 
 def _digests(batches, path: str, threads: int):

@@ -252,10 +252,14 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None
     """``docs`` with the probability of label 1 as ``__score``; ``keep`` names the columns to
     return beside it (all of them by default)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in keep)
-    keep = [c for c in docs.columns if c in keep]
-    return docs.mapInArrow(lambda it: _score(it, shared, text_col, keep), f"{kinds}__score double")
+    names = docs.columns
+    # columns go through Arrow under plain names, whatever they are called
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index(text_col)}"
+    wanted = [i for i, c in enumerate(names) if keep is None or c in keep]
+    kinds = "".join(f"c{i} {docs.schema.fields[i].dataType.simpleString()}, " for i in wanted)
+    own = [f"c{i}" for i in wanted]
+    return plain.mapInArrow(lambda it: _score(it, shared, text, own), f"{kinds}__score double").toDF(*[names[i] for i in wanted], "__score")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4, held_fold: int = 2, **fitting) -> DataFrame:
