@@ -84,7 +84,7 @@ def majority_bits(h: np.ndarray, many: np.ndarray, step: int = 1 << 17) -> np.nd
 
 def _fingerprints(batches, k: int):
     for batch in batches:
-        for part in X.pieces(batch):
+        for part in X.pieces(batch, limit=1 << 20):
             fp = majority_bits(*shingle_hashes(part.column("text"), k))
             keep = [c for c in part.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(X.shift_all(fp))],
