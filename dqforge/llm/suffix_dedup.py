@@ -14,17 +14,21 @@ more than one document.
    sorted against their neighbours.  Runs that occur in two documents, put
    together where they touch or overlap, are the maximal passages.
 
-A seed shared by more than ``hot_limit`` suffixes does not meet in one task:
-such seeds are found by a map-side combined count, and their runs are settled
-by combined minima and a salted join instead of by sorting.
+Equal texts are collapsed first: a document whose text another document has too
+is one whole passage, and only one of the copies takes part in the steps above.
+
+A seed shared by more than ``hot_limit`` suffixes (a second or two of a task's
+time) does not meet in one task: such seeds are found by a map-side combined
+count, and their runs are settled by combined minima and a salted join instead
+of by sorting.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased,
 held as 64-bit hashes; a run is compared by 96 hash bits.
 
 Defined results: null, empty and short texts (under ``length`` words) hold no
 passage; a text that repeats only inside its own document is not reported;
-identical rows are one document; rows with equal or null doc_id but other
-texts are different documents; an empty table gives an empty result; other
+rows equal in doc_id and text are one document; rows with equal or null doc_id
+but other texts are different documents (null ids count as the smallest); an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -100,22 +104,30 @@ def _extend(batches, length: int, seed: int):
 
 def _neighbours(batches, keys: list[str], give: list[str], lead: str | None = None):
     """Batches sorted by ``keys`` then document: rows whose key also stands in another document.
-    With ``lead`` the smallest such document's id is added."""
-    carry = None
+    With ``lead`` the smallest such document's id is added.
 
-    def work(t):
-        k = np.c_[tuple(t.column(c).to_numpy() for c in keys)]
+    Only the rows of a key's first document are ever held back (until another document confirms
+    the key), so a long run of one key takes no memory."""
+    carry, confirmed = None, None
+
+    def work(t, k, confirmed):
         first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
         last = np.r_[first[1:], len(k)] - 1
-        row = t.column("row").to_numpy()
-        size = last - first + 1
-        use = np.flatnonzero(np.repeat(row[first] != row[last], size))
+        row, size = t.column("row").to_numpy(), last - first + 1
+        shared = row[first] != row[last]
+        leads = t.column(lead).to_numpy()[first] if lead else None
+        if confirmed is not None and (k[0] == confirmed[0]).all():
+            shared[0] = True
+            if lead:
+                leads = leads.copy()
+                leads[0] = confirmed[1]
+        use = np.flatnonzero(np.repeat(shared, size))
         out = [t.column(c).combine_chunks().take(pa.array(use)) for c in give]
         names = list(give)
         if lead:
-            out.append(pa.array(np.repeat(t.column(lead).to_numpy()[first], size)[use]))
+            out.append(pa.array(np.repeat(leads, size)[use]))
             names.append("lead")
-        return pa.RecordBatch.from_arrays(out, names=names)
+        return pa.RecordBatch.from_arrays(out, names=names), (shared[-1], k[-1], leads[-1] if lead else None)
 
     for batch in batches:
         if not batch.num_rows:
@@ -123,13 +135,20 @@ def _neighbours(batches, keys: list[str], give: list[str], lead: str | None = No
         t = pa.Table.from_batches([batch])
         if carry is not None:
             t = pa.concat_tables([carry, t])
+            carry = None
         k = np.c_[tuple(t.column(c).to_numpy() for c in keys)]
         done = int(np.argmax((k == k[-1]).all(axis=1)))
-        carry = t.slice(done).combine_chunks()
-        if done:
-            yield work(t.slice(0, done))
+        row = t.column("row").to_numpy()
+        known = confirmed is not None and (k[-1] == confirmed[0]).all()
+        if row[done] == row[-1] and not known:
+            carry = t.slice(done).combine_chunks()
+            t, k = t.slice(0, done), k[:done]
+        if len(k):
+            out, (shared, key, first_id) = work(t, k, confirmed)
+            confirmed = (key, first_id) if shared else None
+            yield out
     if carry is not None:
-        yield work(carry)
+        yield work(carry, np.c_[tuple(carry.column(c).to_numpy() for c in keys)], confirmed)[0]
 
 
 def _passages(batches, length: int):
@@ -143,11 +162,10 @@ def _passages(batches, length: int):
         last = np.r_[first[1:], len(new)] - 1
         ids = c["id"][first]
         leads = np.minimum.reduceat(c["lead"], first)
-        none = lambda v: pa.array(v, mask=v == _NO_ID)
         return pa.RecordBatch.from_arrays(
-            [none(ids), pa.array(c["pos"][first].astype(np.int64)),
-             pa.array(c["pos"][last].astype(np.int64) + length), pa.array(c["n"][first].astype(np.int64)), none(leads)],
-            names=["doc_id", "begin_word", "end_word", "n_words", "first_doc_id"])
+            [pa.array(c["row"][first]), pa.array(ids), pa.array(c["pos"][first].astype(np.int64)),
+             pa.array(c["pos"][last].astype(np.int64) + length), pa.array(c["n"][first].astype(np.int64)), pa.array(leads)],
+            names=["row", "doc_id", "begin_word", "end_word", "n_words", "first_doc_id"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -164,12 +182,34 @@ def _passages(batches, length: int):
         yield work(carry)
 
 
-def repeated_passages(docs: DataFrame, length: int = 50, seed: int = 16, hot_limit: int = 5000, salts: int = 16,
+def repeated_passages(docs: DataFrame, length: int = 50, seed: int = 16, hot_limit: int = 1_000_000, salts: int = 16,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each maximal passage: doc_id, begin_word, end_word (exclusive), n_words (of the
     document), first_doc_id (the smallest doc_id that holds part of it, itself included)."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.withColumn("row", F.xxhash64("id", "text"))
+    every = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
+                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = every.withColumn("row", F.xxhash64("text"))
+    # equal texts are one text (that of the smallest id); their documents are whole passages
+    copied = kept(every.groupBy("row").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most")
+                  .select(F.col("row").alias("same"), "least"), "copied-texts")
+    marked = every.join(copied, F.col("row") == F.col("same"), "left")
+    texts = marked.filter("same is null or id = least").select("id", "row", "text")
+    found = kept(_passages_of_texts(texts, length, seed, hot_limit, salts), "passages")
+    single = found.join(copied, F.col("row") == F.col("same"), "left_anti").drop("row")
+    lead = (found.join(copied, F.col("row") == F.col("same"), "left_semi")
+            .groupBy(F.col("row").alias("of")).agg(F.min("first_doc_id").alias("lead")))
+    copies = (marked.filter("same is not null")
+              .select("id", "row", "least", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
+              .filter(F.col("n_words") >= length).distinct().join(lead, F.col("row") == F.col("of"), "left"))
+    known = lambda c: F.when(c != _NO_ID, c)
+    return single.unionByName(copies.select(
+        F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("begin_word"), F.col("n_words").alias("end_word"), "n_words",
+        F.coalesce(F.least("least", "lead"), "least").alias("first_doc_id"))).withColumn(
+            "doc_id", known(F.col("doc_id"))).withColumn("first_doc_id", known(F.col("first_doc_id")))
+
+
+def _passages_of_texts(texts: DataFrame, length: int, seed: int, hot_limit: int, salts: int) -> DataFrame:
+    """Passages shared by different texts (id, row, text): row, doc_id, begin_word, end_word, n_words, first_doc_id."""
     suffixes = kept(texts.select("row", "text").mapInArrow(lambda it: _suffixes(it, length, seed),
                                                           "seed long, row long, pos int"), "suffixes")
     hot = (suffixes.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("a"), F.max("row").alias("b"))
@@ -202,4 +242,4 @@ def repeated_passages(docs: DataFrame, length: int = 50, seed: int = 16, hot_lim
               .select(*fields, "lead"))
     return (sorted_runs.unionByName(joined).repartition("row").sortWithinPartitions("row", "pos")
             .mapInArrow(lambda it: _passages(it, length),
-                        "doc_id long, begin_word long, end_word long, n_words long, first_doc_id long"))
+                        "row long, doc_id long, begin_word long, end_word long, n_words long, first_doc_id long"))
