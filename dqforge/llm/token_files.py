@@ -19,10 +19,10 @@ for each shard:
 
 All arrays are little-endian.  A shard holds about ``shard_docs`` documents.
 
-The tokenizer sees each chunk between ASCII white space once per task (a
-bounded cache): its normaliser and splitter drop white space, so a text's ids
-are those of its chunks; ``encoder`` checks that the file is of that kind and
-otherwise encodes whole texts.
+The tokenizer sees each chunk between ASCII white space once per batch at most
+(a bounded table keeps them): its normaliser and splitter drop white space, so a
+text's ids are those of its chunks; ``Encoder`` checks that the file is of that
+kind and otherwise encodes whole texts.
 
 Defined results: a null text is an empty one (only the end id); null doc_ids come
 first; equal doc_ids are ordered by text; an empty table gives an empty result;
@@ -32,6 +32,8 @@ other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -39,13 +41,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textops as X
 from .ordering import bounds, deal
 from .store import fresh_path
 
-CACHE = 400_000                # chunks kept by a task
-SHARD_BYTES = 32 << 20         # a shard is closed beyond so many bytes of ids
+CACHE = 900_000                # chunks and words that a worker keeps between batches (about 130 MB)
+SHARD_BYTES = 8 << 20          # a shard is closed beyond so many bytes of ids
+_SLOTS = 18
+_LATIN = re.compile("[a-zß-öø-ÿ]+")
 _TAIL = b".,!?*%&$#;:"
-_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _ROW = ("shard long, n_ids long, doc_id binary, no_id binary, ids binary, terminals int, left binary, right binary, "
         "length binary, symbols binary")
 
@@ -62,35 +67,82 @@ def _chunk_wise(spec: dict) -> bool:
             and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec["added_tokens"]))
 
 
-class Encoder(dict):
-    """bytes of a chunk -> bytes of its ids (little-endian, 32 bits)."""
+class Encoder:
+    """Texts -> bytes of their ids (little-endian, 32 bits).
+
+    Every distinct chunk of a batch is looked up once.  Words that are not known yet are given to
+    the tokenizer together, as one text, and the ids are told apart by their offsets.  The table
+    is cut back to what the current batch uses when it grows beyond ``CACHE``.
+
+    Lower-case words of Latin letters pass the normaliser unchanged and the splitter whole; for
+    them the same model runs without both."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        super().__init__()
+        from tokenizers import Tokenizer, normalizers
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[bytes, bytes] = {}            # chunks as they stand in texts, words and runs of marks
         with open(path, encoding="utf-8") as f:
             self.chunks = _chunk_wise(json.load(f))
 
-    def _ids(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        # a word and the marks behind it are separate pieces for the splitter
-        word = chunk.rstrip(_TAIL)
-        if word and len(word) < len(chunk) and word[-1] in _ALNUM:
-            out = self[word] + self[chunk[len(word):]]
-        else:
-            out = self._ids(chunk)
-        self[chunk] = out
-        return out
-
-    def encode(self, text: bytes) -> bytes:
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        plain, rest = [], []
+        for w in words:
+            (plain if _LATIN.fullmatch(t := w.decode()) else rest).append((w, t))
+        if not unicodedata.is_normalized("NFC", " ".join(t for _, t in rest)):
+            for w, t in rest:                          # offsets would shift: one by one
+                if not unicodedata.is_normalized("NFC", t):
+                    self.known[w] = self._ids(t)
+            rest = [x for x in rest if x[0] not in self.known]
+        self._together(self.plain, plain)
+        self._together(self.tokenizer, rest)
+
+    def _together(self, tokenizer, pairs: list, group: int = 200) -> None:
+        words, text = [w for w, _ in pairs], [t for _, t in pairs]
+        lines = [" ".join(text[lo:lo + group]) for lo in range(0, len(text), group)]
+        for k, out in enumerate(tokenizer.encode_batch(lines, add_special_tokens=False)):
+            own = slice(k * group, (k + 1) * group)
+            begin = np.cumsum([0] + [len(t) + 1 for t in text[own]])
+            at = np.fromiter((o[0] for o in out.offsets), np.int64, len(out.ids))
+            raw = np.array(out.ids, "<u4").tobytes()
+            cut = (np.searchsorted(at, begin) * 4).tolist()
+            for w, x, y in zip(words[own], cut, cut[1:]):
+                self.known[w] = raw[x:y]
+
+    def _learn(self, chunks: set) -> None:
+        known, made, need = self.known, [], set()
+        for c in chunks:
+            # the normaliser lower-cases; control strings are matched before it
+            low = c if b"<|" in c else c.lower()
+            word, tail = low.rstrip(_TAIL), b""
+            if word and len(word) < len(low) and word[-1] in _ALNUM:
+                tail = low[len(word):]                 # a word and the marks behind it are separate pieces
+            else:
+                word = low
+            made.append((c, word, tail))
+            if word not in known:
+                need.add(word)
+            if tail and tail not in known:
+                need.add(tail)
+        self._learn_words(list(need))
+        for c, word, tail in made:
+            known[c] = known[word] + known[tail] if tail else known[word]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.chunks:
-            return self._ids(text)
-        if len(self) > CACHE:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+            return [self._ids(t.decode()) for t in texts]
+        split = [t.split() for t in texts]
+        used = set().union(*split)
+        if len(self.known) > CACHE:
+            self.known = {c: self.known[c] for c in used if c in self.known}
+        self._learn({c for c in used if c not in self.known})
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -110,48 +162,66 @@ def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(total)
 
 
-def compress(ids: np.ndarray, least: int = 8, a_round: int = 4096, most_rules: int = 1 << 17):
+def _top_pairs(key: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The pairs that occur at least ``least`` times, the most frequent (then smallest) first."""
+    ordered = np.sort(key)
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    n = np.diff(np.r_[first, len(ordered)])
+    use = np.flatnonzero(n >= least)
+    return ordered[first[use[np.argsort(-n[use], kind="stable")[:most]]]]
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.view(X.U) * X.U(0x9E3779B97F4A7C15)) >> X.U(64 - _SLOTS)).astype(np.int64)
+
+
+def compress(ids: np.ndarray, least: int = 8, a_round: int = 8192, most_rules: int = 1 << 17, gain: float = 0.01):
     """Re-Pair: (terminals, left, right, length, symbols).  Each round gives the most frequent
     pairs (at least ``least`` times) nonterminals and replaces their occurrences, the more frequent
-    pair first where two overlap."""
+    pair first where two overlap, until a round saves less than ``gain`` of the symbols."""
     terminals = int(ids.max()) + 1 if len(ids) else 1
     s = ids.astype(np.int64)
-    left, right, length = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.ones(terminals, np.int64)]
+    left, right, length = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.ones(terminals, np.int64)
     made = 0
     while len(s) > 1 and made < most_rules:
         key = s[:-1] << 32 | s[1:]
-        pairs, of, n = np.unique(key, return_inverse=True, return_counts=True)
-        top = np.flatnonzero(n >= least)
-        if not len(top):
+        top = _top_pairs(key, least, min(a_round, most_rules - made))
+        # a slot holds one pair; a rarer one that meets it there waits for the next round
+        holds, rank_of = np.full(1 << _SLOTS, -1, np.int64), np.empty(1 << _SLOTS, np.int64)
+        slots = _slot(top)
+        holds[slots[::-1]], rank_of[slots[::-1]] = top[::-1], np.arange(len(top))[::-1]
+        at = _slot(key)
+        pos = np.flatnonzero(holds[at] == key)
+        if not len(pos):
             break
-        top = top[np.argsort(-n[top], kind="stable")][:min(a_round, most_rules - made)]
-        rank = np.full(len(pairs), len(pairs), np.int64)
-        rank[top] = np.arange(len(top))
-        r = rank[of]
-        use = r < len(pairs)
+        r = rank_of[at[pos]]
         # in a run of one overlapping pair (a a a a) only every other place can be replaced
-        at = np.arange(len(r))
-        begin = np.maximum.accumulate(np.where(np.r_[True, r[1:] != r[:-1]], at, 0))
-        use &= (at - begin) % 2 == 0
-        r = np.where(use, r, len(pairs))
-        before, after = np.r_[len(pairs), r[:-1]], np.r_[r[1:], len(pairs)]
-        pick = np.flatnonzero(use & (r < before) & (r < after))
+        i = np.arange(len(pos))
+        joined = np.r_[False, (pos[1:] == pos[:-1] + 1)]
+        run = np.maximum.accumulate(np.where(joined & np.r_[False, r[1:] == r[:-1]], 0, i))
+        use = (i - run) % 2 == 0
+        r = np.where(use, r, len(top))
+        before = np.where(joined, np.r_[len(top), r[:-1]], len(top))
+        after = np.where(np.r_[joined[1:], False], np.r_[r[1:], len(top)], len(top))
+        won = use & (r < before) & (r < after)
+        pick, r = pos[won], r[won]
         if not len(pick):
             break
-        rules = np.unique(r[pick])                       # ranks that were used at all
+        rules = np.flatnonzero(np.bincount(r, minlength=len(top)))       # pairs that were used at all
         new = np.full(len(top), -1, np.int64)
         new[rules] = terminals + made + np.arange(len(rules))
-        left.append(pairs[top[rules]] >> 32)
-        right.append(pairs[top[rules]] & 0xFFFFFFFF)
-        have = np.concatenate(length)
-        length.append(have[left[-1]] + have[right[-1]])
+        left.append(top[rules] >> 32)
+        right.append(top[rules] & 0xFFFFFFFF)
+        length = np.r_[length, length[left[-1]] + length[right[-1]]]
         made += len(rules)
-        s[pick] = new[r[pick]]
-        s = np.delete(s, pick + 1)
-        if len(pick) < 64:
+        s[pick] = new[r]
+        keep = np.ones(len(s), bool)
+        keep[pick + 1] = False
+        small = len(pick) < max(64, gain * len(s))
+        s = s[keep]
+        if small:
             break
-    size = np.concatenate(length)[terminals:]
-    return terminals, np.concatenate(left), np.concatenate(right), size, s
+    return terminals, np.concatenate(left), np.concatenate(right), length[terminals:], s
 
 
 def expansions(terminals: int, left, right, length):
@@ -213,20 +283,21 @@ def _shards(batches, path: str, end_id: int):
             (c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in _ROW.split(", ")]))
 
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        for bucket, d, t in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), texts):
-            if bucket != now or size > SHARD_BYTES:
-                if streams:
-                    yield row()
-                now, part, ids, streams, size = bucket, part + 1 if bucket == now else 0, [], [], 0
-            ids.append(d)
-            streams.append(enc.encode(t) + end)
-            size += len(streams[-1])
+        for piece in X.pieces(batch, "text", 2 << 20):
+            ids_of = enc.encode(piece.column("text").cast(pa.binary()).to_pylist())
+            for bucket, d, stream in zip(piece.column("bucket").to_pylist(), piece.column("doc_id").to_pylist(), ids_of):
+                if bucket != now or size > SHARD_BYTES:
+                    if streams:
+                        yield row()
+                    now, part, ids, streams, size = bucket, part + 1 if bucket == now else 0, [], [], 0
+                ids.append(d)
+                streams.append(stream + end)
+                size += len(streams[-1])
     if streams:
         yield row()
 
 
-def write(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, shard_docs: int = 2000,
+def write(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, shard_docs: int = 1000,
           id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode ``docs`` with the tokenizer file and write the shards to the folder ``out``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -279,7 +350,7 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | No
     return None
 
 
-def file_digests(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_docs: int = 2000) -> DataFrame:
+def file_digests(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_docs: int = 1000) -> DataFrame:
     """Write the files to the shared folder, read them back: doc_id, start, n_tokens, ids_crc32."""
     path = write(docs, tokenizer, fresh_path(docs.sparkSession, "token-files"), end_id, shard_docs)
     return read(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
