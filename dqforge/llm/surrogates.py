@@ -48,8 +48,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: type -> pattern, in order of precedence
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+(?<=\.[\p{L}]{2,24})",
-    "secret": r"(?<![\p{L}\p{N}_-])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk)[-_][A-Za-z0-9_-]{20,128}|AKIA[0-9A-Z]{16}"
-              r"|gh[pousr]_[A-Za-z0-9]{36})(?![\p{L}\p{N}_])",
+    "secret": r"(?<![\p{L}\p{N}_-])(?:(?:sk|pk)[-_][A-Za-z0-9_-]{20,}+|(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}"
+              r"|gh[pousr]_[A-Za-z0-9]{36})(?![\p{L}\p{N}_]))",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)(?!\p{{L}})",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
