@@ -43,11 +43,16 @@ FEMALE_NAMES = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "
                 "Nathalie", "María", "Carmen", "Lucía", "Мария", "Елена", "Ольга", "Μαρία", "Ελένη"]
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 _ALT = lambda words: "|".join(w.replace(".", r"\.") for w in words)
+# a domain reaches to its last label that begins with two letters (punycode or letters), linear and without recursion
+_LABEL = r"[\p{L}\p{N}-]++"
+_SKIP = rf"(?:\.(?!\p{{L}}{{2}}){_LABEL})*+"
+_DOMAIN = (rf"{_LABEL}(?:{_SKIP}\.(?=\p{{L}}{{2}}){_LABEL}(?={_SKIP}\.\p{{L}}{{2}}))*+{_SKIP}"
+           r"\.(?:[xX][nN]--[\p{L}\p{N}]++(?:-++[\p{L}\p{N}]++)*+|\p{L}{2,}+)")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: type -> pattern, in order of precedence
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+(?<=\.[\p{L}]{2,24})",
+    "email": rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]++@{_DOMAIN}",
     "secret": r"(?<![\p{L}\p{N}_-])(?:(?:sk|pk)[-_][A-Za-z0-9_-]{20,}+|(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}"
               r"|gh[pousr]_[A-Za-z0-9]{36})(?![\p{L}\p{N}_]))",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
