@@ -8,10 +8,11 @@ the index vectors of its punctuation runs and word shapes.  A two-layer network
 in numpy gives a logit; its temperature is fitted on rows the network has not
 seen, so scores are calibrated probabilities.
 
-Bounds of the fit, all parameters: at most ``max_rows`` labelled training rows
-(the smallest hashes of doc_id; 20,000) and ``vocabulary`` word vectors
-(the most frequent words of these rows; 50,000).  The model is therefore of
-fixed size and is broadcast; every text is scored whole.
+The vectors are corpus statistics: every word of every document has one, from
+all of its contexts.  Blocks of documents send the sums around their distinct
+words to hash shards, and later get the sums of exactly their words back; no
+vocabulary is collected or broadcast.  Only the network has a bound, a parameter:
+at most ``max_rows`` labelled training rows (the smallest hashes of doc_id; 20,000).
 
 Only texts enter a score.  Labels are read from rows whose ``crc32(doc_id) mod 4``
 is not 2; labels that contradict each other evenly are left out.
@@ -27,10 +28,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
+from .lm_scoring import _pack, _pack_sorted, _shard_cuts, _unpack, _unpack_sorted
 from .store import kept
 
 DIM = 64
@@ -118,46 +121,154 @@ class Vectors:
         return np.concatenate(out, axis=1)
 
 
-def _count_words(batches):
-    for batch in batches:
-        for part in X.pieces(batch):
-            h, n = np.unique(Parts(part.column("text")).words.hash, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(X.shift_all(h)), pa.array(n.astype(np.int64))], names=["word", "n"])
+def _around(words: np.ndarray, doc: np.ndarray, reach: int = 2):
+    """(distinct words, sums of the index vectors around each of them)."""
+    own, code = np.unique(words, return_inverse=True)
+    place = [(X.mix(own + X.U((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> X.U(58)).astype(np.int64) for i in range(4)]
+    total = np.zeros(len(own) * DIM, np.int64)
+    for step in range(1, reach + 1):
+        same = doc[:-step] == doc[step:]
+        left, right = code[:-step][same], code[step:][same]
+        for i, p in enumerate(place):
+            for at, other in ((left, right), (right, left)):
+                n = np.bincount(at * DIM + p[other], minlength=len(total))
+                total += n if i % 2 else -n
+    return own, total.reshape(-1, DIM)
 
 
 def _context_sums(batches, vocabulary, parts: int, reach: int = 2):
-    """Per batch: the summed index vectors around each known word."""
-    known = Vectors(vocabulary.value, np.zeros((len(vocabulary.value), DIM), np.int32))
+    """Per batch: the summed index vectors around each word of a list, one row for a word."""
     for batch in batches:
         for part in X.pieces(batch):
             w = Parts(part.column("text")).words
-            at, j = known.find(w.hash)
-            total = np.zeros((len(known.words), DIM), np.int32)
-            for step in (s for s in range(-reach, reach + 1) if s):
-                other = at + step
-                ok = (other >= 0) & (other < len(w.hash))
-                ok[ok] = w.doc[other[ok]] == w.doc[at[ok]]
-                # neighbours are known words only: their index vectors are looked up once
-                o, k = known.find(w.hash[other[ok]])
-                index = _index_of(known)
-                np.add.at(total, j[ok][o], index[k])
-            use = np.flatnonzero(total.any(axis=1))
+            own, total = _around(w.hash, w.doc, reach)
+            use = np.flatnonzero(np.isin(own, vocabulary.value) & total.any(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(use % parts), pa.array(X.shift_all(known.words[use])),
-                 pa.array([v.tobytes() for v in total[use]], pa.binary())], names=["part", "word", "sums"])
+                [pa.array(use % parts), pa.array(X.shift_all(own[use])),
+                 pa.array([v.astype(np.int32).tobytes() for v in total[use]], pa.binary())], names=["part", "word", "sums"])
+
+
+def _pack_sums(total: np.ndarray) -> bytes:
+    return _pack(((total << 1) ^ (total >> 63)).view(X.U).ravel())      # small numbers of either sign have zero bytes
+
+
+def _unpack_sums(b: bytes) -> np.ndarray:
+    z = _unpack(b, X.U)
+    return ((z >> X.U(1)).view(np.int64) ^ -(z & X.U(1)).view(np.int64)).reshape(-1, DIM)
+
+
+def _sharded(own: np.ndarray, shards: int):
+    cuts = _shard_cuts(own, shards)
+    return [(s, cuts[s], cuts[s + 1]) for s in range(shards) if cuts[s + 1] > cuts[s]]
 
 
-def _index_of(known: Vectors) -> np.ndarray:
-    if not hasattr(known, "index"):
-        known.index = index_vectors(known.words)
-    return known.index
+def _send_sums(batches, shards: int, block_bytes: int):
+    """Per block of texts and shard: distinct words and the sums around them."""
+    words, docs, size, rows = [], [], 0, 0
+
+    def flush():
+        own, total = _around(np.concatenate(words), np.concatenate(docs))
+        for s, lo, hi in _sharded(own, shards):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([_pack_sorted(own[lo:hi])], pa.binary()),
+                                              pa.array([_pack_sums(total[lo:hi])], pa.binary())], names=["shard", "words", "sums"])
+
+    for batch in batches:
+        for part in X.pieces(batch):
+            w = X.Words(*X.utf8(part.column("text")), _WORD)
+            words.append(w.hash)
+            docs.append(w.doc + rows)
+            rows, size = rows + part.num_rows, size + len(w.bytes)
+            if size >= block_bytes:
+                yield from flush()
+                words, docs, size, rows = [], [], 0, 0
+    if words:
+        yield from flush()
 
 
 def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    words, at = np.unique(pdf["word"].to_numpy(), return_inverse=True)
-    total = np.zeros((len(words), DIM), np.int32)
-    np.add.at(total, at, np.frombuffer(b"".join(pdf["sums"]), np.int32).reshape(-1, DIM))
-    return pd.DataFrame({"word": words, "sums": [v.tobytes() for v in total]})
+    """One shard: its words in order, with their sums over all blocks."""
+    sent = [_unpack_sorted(b) for b in pdf["words"]]
+    own = np.unique(np.concatenate(sent))
+    total = np.zeros((len(own), DIM), np.int64)
+    for words, sums in zip(sent, pdf["sums"]):
+        total[np.searchsorted(own, words)] += _unpack_sums(sums)         # a block names a word once
+    return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "words": [_pack_sorted(own)], "sums": [_pack_sums(total)]})
+
+
+class WordTable:
+    """Context sums of all words of a corpus, one row for each hash shard."""
+
+    def __init__(self, texts: DataFrame, block_bytes: int = 24 << 20, shard_bytes: int = 64 << 20):
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.shards = shards = max(8, -(-size // shard_bytes))
+        self.rows = kept(texts.select("text").mapInArrow(lambda it: _send_sums(it, shards, block_bytes), "shard long, words binary, sums binary")
+                         .groupBy("shard").applyInPandas(_add_up, "shard long, words binary, sums binary"), "quality-words")
+
+
+def _blocks(batches, text: str, block_bytes: int):
+    """Rows packed into blocks as compressed Arrow streams."""
+    waiting, size, made, task = [], 0, 0, TaskContext.get().partitionId()
+
+    def flush():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, waiting[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in waiting:
+                out.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                          names=["block", "rows"])
+
+    for batch in batches:
+        for part in X.pieces(batch, text, 1 << 20):
+            waiting.append(part)
+            size += part.nbytes
+            if size >= block_bytes:
+                yield flush()
+                waiting, size, made = [], 0, made + 1
+    if waiting:
+        yield flush()
+
+
+def _parts_of(rows: bytes):
+    return pa.ipc.open_stream(pa.py_buffer(rows))
+
+
+def _ask(batches, text: str, shards: int):
+    for batch in batches:
+        for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows")):
+            seen = [np.unique(X.Words(*X.utf8(part.column(text)), _WORD).hash) for part in _parts_of(rows.as_py())]
+            own = np.unique(np.concatenate(seen))
+            for s, lo, hi in _sharded(own, shards):
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([block], pa.int64()), pa.array([_pack_sorted(own[lo:hi])], pa.binary())],
+                                                 names=["shard", "block", "words"])
+
+
+def _answer(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    if len(asked) and len(table):
+        own, sums = _unpack_sorted(table["words"].iloc[0]), _unpack_sums(table["sums"].iloc[0])
+        for block, words in zip(asked["block"], asked["words"]):
+            words = _unpack_sorted(words)
+            j = np.minimum(np.searchsorted(own, words), len(own) - 1)
+            known = own[j] == words
+            if known.any():
+                out.append((block, _pack_sorted(words[known]), _pack_sums(sums[j[known]])))
+    return pd.DataFrame(out, columns=["block", "words", "sums"])
+
+
+def _with_vectors(plain: DataFrame, text: str, table: WordTable, finish, schema: str, block_bytes: int = 16 << 20) -> DataFrame:
+    """``finish(rows, features)`` over all rows; blocks get the vectors of their own words."""
+    blocks = kept(plain.mapInArrow(lambda it: _blocks(it, text, block_bytes), "block long, rows binary"), "quality-blocks", "uncompressed")
+    shards = table.shards
+    answers = (blocks.mapInArrow(lambda it: _ask(it, text, shards), "shard long, block long, words binary").groupBy("shard")
+               .cogroup(table.rows.groupBy("shard")).applyInPandas(_answer, "block long, words binary, sums binary"))
+
+    def job(own: pa.Table, got: pa.Table) -> pa.Table:
+        words = [_unpack_sorted(b) for b in got.column("words").to_pylist()]
+        sums = [_unpack_sums(b) for b in got.column("sums").to_pylist()]
+        vectors = Vectors(np.concatenate([np.zeros(0, X.U), *words]), np.concatenate([np.zeros((0, DIM), np.int64), *sums]))
+        return pa.Table.from_batches([finish(part, vectors.features(part.column(text)))
+                                      for rows in own.column("rows").to_pylist() for part in _parts_of(rows)])
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(job, schema)
 
 
 class Network:
@@ -202,19 +313,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -40, 40)))
 
 
-def _features(batches, vectors):
-    for batch in batches:
-        for part in X.pieces(batch, "text", 1 << 20):
-            f = vectors.value.features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"),
-                                              pa.array([r.tobytes() for r in f], pa.binary())],
-                                             names=["doc_id", "label", "features"])
+def _feature_rows(part, features):
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([r.tobytes() for r in features], pa.binary())],
+                                      names=["doc_id", "label", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_fold: int = 2,
-        max_rows: int = 20_000, vocabulary: int = 50_000, id_col: str = "doc_id", text_col: str = "text"):
-    """(vectors, network) learned from at most ``max_rows`` labelled rows that are not held out."""
-    spark = docs.sparkSession
+        max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text"):
+    """(word table of all documents, network learned from at most ``max_rows`` labelled rows that are not held out)."""
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     picked = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
               .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder != held_fold))
@@ -225,33 +331,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: i
     # at most max_rows ids and labels are broadcast
     sample = kept(texts.join(F.broadcast(picked), "doc_id")
                   .groupBy("doc_id", "label").agg(F.min("text").alias("text")), "quality-sample")
-    words = (sample.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-             .filter("n > 1").orderBy(F.desc("n"), "word").limit(vocabulary).toPandas())
-    known = spark.sparkContext.broadcast(np.sort(words["word"].to_numpy(np.int64).view(X.U)))
-    sums = (sample.select("text").mapInArrow(lambda it: _context_sums(it, known, 64), "part long, word long, sums binary")
-            .groupBy("part").applyInPandas(_add_up, "word long, sums binary").toPandas())
-    table = (np.frombuffer(b"".join(sums["sums"]), np.int32).reshape(-1, DIM) if len(sums) else np.zeros((0, DIM), np.int32))
-    vectors = Vectors(sums["word"].to_numpy(np.int64).view(X.U), table)
-    shared = spark.sparkContext.broadcast(vectors)
-    rows = (sample.mapInArrow(lambda it: _features(it, shared), "doc_id long, label int, features binary")
+    table = WordTable(texts)
+    rows = (_with_vectors(sample, "text", table, _feature_rows, "doc_id long, label int, features binary")
             .toPandas().sort_values("doc_id"))
     x = np.frombuffer(b"".join(rows["features"]), np.float64).reshape(len(rows), -1 if len(rows) else 1)
     check = (X.mix(rows["doc_id"].to_numpy(np.int64).view(X.U)) % X.U(5) == 0) if len(rows) else np.zeros(0, bool)
-    return vectors, Network(x, rows["label"].to_numpy(np.int64), check)
-
-
-def _score(batches, model, text: str, keep: list[str]):
-    vectors, network = model.value
-    for batch in batches:
-        for part in X.pieces(batch, text, 1 << 20):
-            score = network.probabilities(vectors.features(part.column(text)))
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(score)], names=[*keep, "__score"])
+    return table, Network(x, rows["label"].to_numpy(np.int64), check)
 
 
 def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the probability of label 1 as ``__score``; ``keep`` names the columns to
     return beside it (all of them by default)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    table, network = model
     names = docs.columns
     # columns go through Arrow under plain names, whatever they are called
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -259,7 +350,10 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None
     wanted = [i for i, c in enumerate(names) if keep is None or c in keep]
     kinds = "".join(f"c{i} {docs.schema.fields[i].dataType.simpleString()}, " for i in wanted)
     own = [f"c{i}" for i in wanted]
-    return plain.mapInArrow(lambda it: _score(it, shared, text, own), f"{kinds}__score double").toDF(*[names[i] for i in wanted], "__score")
+
+    def finish(part, features):
+        return pa.RecordBatch.from_arrays([part.column(c) for c in own] + [pa.array(network.probabilities(features))], names=[*own, "__score"])
+    return _with_vectors(plain, text, table, finish, f"{kinds}__score double").toDF(*[names[i] for i in wanted], "__score")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4, held_fold: int = 2, **fitting) -> DataFrame:
