@@ -39,7 +39,7 @@ from . import textops as X
 from .store import kept
 
 END = X.U(0x656E64)                     # the end token's hash
-BUCKETS = 16                            # context counts 0, 1, 2-3, 4-7, ...
+BUCKETS = 64                            # context counts 0, 1, 2-3, 4-7, ..., one for each power of two
 BINS = 128                              # half-octave bins of p / uniform
 
 _BLOCK = "block long, fold boolean, tokens long, trained long, doc_id binary, no_id binary, held binary, n binary, words binary, codes binary"
