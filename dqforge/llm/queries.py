@@ -10,6 +10,7 @@ from ..sources.tables import table
 from . import chat_format as C10
 from . import decontaminate as D4
 from . import iblt as B1
+from . import line_dedup as L11
 from . import lm_scoring as L2
 from . import piece_codec as P6
 from . import quality as Q7
@@ -142,3 +143,21 @@ def op5_pii_surrogates(spark, sf):
     return (E5.replace(docs, PII_KEY)
             .select("doc_id", F.col("__mentions").cast("long").alias("n_mentions"), "text",
                     F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")))
+
+
+OP11_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS pos
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT k.*, often.key IS NOT NULL AND k.doc_id <> keeper AS gone FROM k LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id"""
+
+
+@register("op11_line_dedup", OP11_SQL)
+def op11_line_dedup(spark, sf):
+    return (L11.deduplicated_lines(table(spark, sf, "documents"))
+            .select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")))
