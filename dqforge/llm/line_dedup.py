@@ -7,8 +7,8 @@ r"""Removal of lines that many documents share (DataFrame functions only).
    doc_id.  Digests found in ``min_docs`` documents or more are the frequent table.
 3. The lines are exploded again with their positions and meet the frequent table.  A
    digest with more than ``1 / (4 * buckets)`` of all frequent lines is hot; there are
-   fewer than ``4 * buckets`` of these, so they are broadcast and their lines are not
-   moved.  The others join by digest, by whatever way their measured size suggests.
+   fewer than ``4 * buckets`` of these, so they are broadcast and settle their
+   lines first.  The others join by digest, by whatever way their measured size suggests.
 4. The positions that go come together for each document, and its text is put together
    from the other positions.
 
@@ -25,7 +25,7 @@ whatever their names, are ignored by ``deduplicated_lines`` and kept by ``dedupl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
@@ -46,11 +46,15 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
+def digests_of(text: Column, min_chars: int) -> Column:
+    """The digest of each line's key as hex, null where the key is too short."""
+    return F.transform(F.transform(lines_of(text), key_of), lambda k: F.when(F.char_length(k) >= min_chars, F.md5(k)))
+
+
 def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(digest, n_docs, keeper): the keys found in at least ``min_docs`` documents, with the
     largest doc_id that holds them."""
-    keys = F.filter(F.transform(lines_of(F.col("text")), key_of), lambda k: F.char_length(k) >= min_chars)
-    own = F.array_distinct(F.transform(keys, F.md5))
+    own = F.array_distinct(F.array_compact(digests_of(F.col("text"), min_chars)))
     return (docs.select("doc_id", F.explode(own).alias("digest"))
             .groupBy(F.unhex("digest").alias("digest")).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
             .filter(F.col("n_docs") >= min_docs))
@@ -61,14 +65,16 @@ def _dropped(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataFrame:
     buckets = min(shuffle_partitions(docs.sparkSession), 1 << 14)
     total = frequent.agg(F.sum("n_docs")).first()[0] or 0
     is_hot = F.col("n_docs") * F.lit(4 * buckets) > F.lit(total)
-    lines = (docs.select("doc_id", "print", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
-             .select("doc_id", "print", "at", key_of(F.col("line")).alias("key"))
-             .filter(F.char_length("key") >= min_chars)
-             .select("doc_id", "print", "at", F.unhex(F.md5("key")).alias("digest")))
-    hot, rest = (frequent.filter(c).select("digest", "keeper") for c in (is_hot, ~is_hot))
-    found = lines.join(F.broadcast(hot), "digest").unionByName(
-        lines.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest, "digest"))
-    return (found.filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    hot = frequent.filter(is_hot).select("digest", F.col("keeper").alias("hot_keeper"))
+    rest = frequent.filter(~is_hot).select(F.col("digest").alias("seek"), "keeper")
+    lines = (docs.select("doc_id", "print", F.posexplode(digests_of(F.col("text"), min_chars)).alias("at", "digest"))
+             .filter(F.col("digest").isNotNull()).withColumn("digest", F.unhex("digest")))
+    # a settled line looks for nothing: its key is longer than a digest and differs by document
+    settled = F.concat(F.col("digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"))
+    found = (lines.join(F.broadcast(hot), "digest", "left")
+             .withColumn("seek", F.when(F.col("hot_keeper").isNull(), F.col("digest")).otherwise(settled))
+             .join(rest, "seek", "left").withColumn("keeper", F.coalesce("hot_keeper", "keeper")))
+    return (found.filter(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
             .groupBy("doc_id", "print").agg(F.collect_set("at").alias("gone")))
 
 
