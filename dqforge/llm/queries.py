@@ -12,6 +12,7 @@ from . import decontaminate as D4
 from . import iblt as B1
 from . import line_dedup as L11
 from . import lm_scoring as L2
+from . import merkle as M13
 from . import piece_codec as P6
 from . import quality as Q7
 from . import simhash as S3
@@ -161,3 +162,46 @@ FROM j GROUP BY doc_id"""
 def op11_line_dedup(spark, sf):
     return (L11.deduplicated_lines(table(spark, sf, "documents"))
             .select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")))
+
+
+#: crc32 of the decimal doc_id, unsigned, bit by bit
+CRC_OF_ID = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+
+
+def _op13_sql(levels: int = 12) -> str:
+    """One pair of CTEs for each level of the tree: 8 ** 12 documents a language."""
+    fields = "concat(" + ", ".join(
+        f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf, low = (f"sha256({fields.replace('{text}', t)})" for t in ("text", lower))
+    parts = [f"""d AS (SELECT doc_id, lang, {leaf} AS leaf, {low} AS low FROM documents),
+n0 AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, leaf AS h,
+              count(*) OVER (PARTITION BY lang) AS n, doc_id, leaf, low FROM d)"""]
+    runs = "PARTITION BY lang, place // 8 ORDER BY place ROWS BETWEEN"
+    for k in range(levels):
+        parts.append(f"""s{k} AS (SELECT lang, place, h, n, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({runs} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS a,
+       CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({runs} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS b FROM n{k})""")
+        parts.append(f"""n{k + 1} AS (SELECT lang, place // 8 AS place, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY place)) ELSE min(h) END AS h,
+       CAST(ceil(max(n) / 8.0) AS BIGINT) AS n FROM s{k} GROUP BY lang, place // 8)""")
+    parts.append(f"""top AS (SELECT lang, h, coalesce(string_agg(h, '') OVER (ORDER BY lang NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+       coalesce(string_agg(h, '') OVER (ORDER BY lang NULLS FIRST ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM n{levels}),
+root AS (SELECT sha256(string_agg(h, '' ORDER BY lang NULLS FIRST)) AS root FROM top)""")
+    parts.append(f"""p0 AS (SELECT doc_id, lang, leaf, place, '' AS proof, CASE WHEN {CRC_OF_ID} % 3 = 0 THEN low ELSE leaf END AS cur FROM n0)""")
+    for k in range(levels):
+        parts.append(f"""p{k + 1} AS (SELECT p.doc_id, p.lang, p.leaf, p.place // 8 AS place, p.proof || coalesce(s.a || s.b, '') AS proof,
+       CASE WHEN s.a IS NULL THEN p.cur ELSE sha256(s.a || p.cur || s.b) END AS cur
+  FROM p{k} p JOIN s{k} s ON s.lang IS NOT DISTINCT FROM p.lang AND s.place = p.place)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, top.h AS subroot, root, sha256(proof || a || b) AS proof_sha256, sha256(a || cur || b) AS folded_root,
+       sha256(a || cur || b) = root AS verified
+FROM p{levels} p JOIN top ON top.lang IS NOT DISTINCT FROM p.lang, root"""
+
+
+@register("op13_merkle_manifest", _op13_sql())
+def op13_merkle_manifest(spark, sf):
+    docs = table(spark, sf, "documents")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return (M13.verified_rows(docs, third, M13.lower_ascii(F.col("text")))
+            .select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"))
