@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from . import chat_format as C10
 from . import decontaminate as D4
+from . import hard_negatives as H12
 from . import iblt as B1
 from . import line_dedup as L11
 from . import lm_scoring as L2
@@ -205,3 +206,26 @@ def op13_merkle_manifest(spark, sf):
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     return (M13.verified_rows(docs, third, M13.lower_ascii(F.col("text")))
             .select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"))
+
+
+OP12_SQL = r"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+       AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
+@register("op12_hard_negatives", OP12_SQL)
+def op12_hard_negatives(spark, sf):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return H12.mine(rows, F.col("vec_id") % 100 == 0)
