@@ -5,16 +5,19 @@ key that holds a third of the table would then be one third of the job in a
 single task.  Instead:
 
 1. ``groupBy(keys).count()`` with map-side partial counts -> the duplicated
-   keys ``D`` with their counts (one row per key, however hot).
-2. A key is hot when it holds more than ``1 / (HOT_SHARE * buckets)`` of the
-   rows, so there are at most ``HOT_SHARE * buckets`` hot keys: a list of
-   proven size, collected and used as a literal test on the rows.
-3. One join on ``(key, salt)``.  Rows of hot keys draw a salt in
-   ``[0, buckets)``, all others have a salt from their key's hash; ``D`` holds a
-   hot key once for every salt and any other key once, with the same hash.
-   Salts come from data on both sides, so the exchange is on (key, salt) and a
-   hot key's rows spread over all buckets.
-
+   keys ``D`` with their counts (one row per key, however hot), kept once.
+2. The hottest keys -- each above ``1 / HOT_KEYS`` of the duplicated rows, so
+   fewer than ``HOT_KEYS``, and no more than ``HOT_BYTES`` of them -- are
+   broadcast and flag their rows where these are: the whole key is compared, and
+   being hot they are known to be duplicated.
+3. The other rows meet the rest of ``D`` in one join on (key, salt).  Both sides
+   take the salt from the key's hash, so ``D`` holds each key once; a row that is
+   flagged already takes a salt that no key has, from its contents and the
+   partition it comes from, so it looks for nothing, spreads evenly, and a task
+   that runs again deals it the same way.
+
+A key outside the broadcast holds at most ``1 / HOT_KEYS`` of the rows (or the
+bytes of the hot ones ran out, and AQE's skew join splits what is left).
 Equality is NULL-safe (pandas ``duplicated`` treats missing values as equal).
 """
 
@@ -28,7 +31,10 @@ from pyspark.sql import functions as F
 from ..functions.names import qcol
 from ..session import shuffle_partitions
 
-HOT_SHARE = 4
+#: fewer keys than this are hot, and they take this many bytes at most
+HOT_KEYS = 4096
+HOT_BYTES = 32 << 20
+_FLAGGED = 1 << 40
 
 
 def _key(df: DataFrame, k: str):
@@ -70,10 +76,27 @@ def duplicated_values_per_column(df: DataFrame, columns: list[str],
             for i, c in enumerate(columns)}
 
 
+def _hot_from(table: DataFrame, names: list[str]) -> int | None:
+    """The least count of a hot key, null if there is none: fewer than ``HOT_KEYS`` counts and sizes
+    come to the driver, of which the largest that fit in ``HOT_BYTES`` stay."""
+    total = table.agg(F.sum("_dq_n")).first()[0] or 0
+    size = F.length(F.to_json(F.struct(*names)))
+    hot = (table.filter(F.col("_dq_n") * HOT_KEYS > total).groupBy("_dq_n").agg(F.sum(size).alias("bytes"))
+           .orderBy(F.desc("_dq_n")).collect())
+    least, used = None, 0
+    for r in hot:
+        used += r["bytes"]
+        if used > HOT_BYTES:
+            break
+        least = r["_dq_n"]
+    return least
+
+
 def mark_duplicates(df: DataFrame, keys: list[str], flag: str = "is_duplicate",
                     buckets: int | None = None, dups: DataFrame | None = None) -> DataFrame:
     """Add boolean ``flag``: the row's key tuple occurs more than once.
-    ``dups`` may supply the duplicated keys (with ``_dq_n``) already counted."""
+    ``dups`` may supply the duplicated keys (with ``_dq_n``) already counted; ``buckets`` is the
+    number of salts (the session's shuffle partitions if not given)."""
     keys = list(keys)
     spark = df.sparkSession
     buckets = buckets or shuffle_partitions(spark)
@@ -83,20 +106,20 @@ def mark_duplicates(df: DataFrame, keys: list[str], flag: str = "is_duplicate",
         dups = duplicated_keys(df, keys).checkpoint(eager=True)
     names = [f"_dqk_{i}" for i in range(len(keys))]
     table = dups.select(*[qcol(k).alias(n) for k, n in zip(keys, names)], "_dq_n")
-    print_of = lambda cols: F.xxhash64(*cols)
-    # at most HOT_SHARE * buckets keys can hold that share of the rows
-    total = table.agg(F.sum("_dq_n")).first()[0] or 0
-    hot = [r[0] for r in table.filter(F.col("_dq_n") * (HOT_SHARE * buckets) > total)
-           .select(print_of(names)).collect()]
-    is_hot = lambda cols: print_of(cols).isin(hot) if hot else F.lit(False)
-    own = lambda cols: F.pmod(print_of(cols), F.lit(buckets))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))
-    table = table.withColumn("_dqk_salt", F.explode(F.when(is_hot(names), every).otherwise(F.array(own(names)))))
-    row_keys = [_key(df, k) for k in keys]
-    salt = F.when(is_hot(row_keys), F.floor(F.rand(17) * buckets)).otherwise(own(row_keys))
-    marked = df.withColumn("_dq_salt", salt)
-    on = reduce(lambda a, b: a & b,
-                [_key(marked, k).eqNullSafe(qcol(n)) for k, n in zip(keys, names)]
-                + [F.col("_dq_salt") == F.col("_dqk_salt")])
-    joined = marked.join(table.withColumn("_dq_dup", F.lit(True)), on, "left")
-    return joined.select(*[qcol(c) for c in df.columns], F.coalesce(F.col("_dq_dup"), F.lit(False)).alias(flag))
+    same = lambda left, extra=(): reduce(lambda a, b: a & b, [
+        _key(left, k).eqNullSafe(qcol(n)) for k, n in zip(keys, names)] + list(extra))
+    own = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(buckets))
+    salt = own([_key(df, k) for k in keys])
+    marked, flagged = df, F.lit(False)
+    least = _hot_from(table, names)
+    if least is not None:
+        hot = table.filter(F.col("_dq_n") >= least).select(*names, F.lit(True).alias("_dq_hot"))
+        marked = df.join(F.broadcast(hot), same(df), "left").drop(*names)
+        flagged = F.coalesce(F.col("_dq_hot"), F.lit(False))
+        contents = [qcol(f.name) for f in df.schema.fields if "map" not in f.dataType.simpleString()]
+        salt = F.when(flagged, F.lit(_FLAGGED) + F.pmod(F.xxhash64(*contents, F.spark_partition_id()), F.lit(_FLAGGED))).otherwise(salt)
+        table = table.filter(F.col("_dq_n") < least)
+    marked = marked.withColumn("_dq_salt", salt)
+    table = table.select(*names, own(names).alias("_dqk_salt"), F.lit(True).alias("_dq_dup"))
+    joined = marked.join(table, same(marked, [F.col("_dq_salt") == F.col("_dqk_salt")]), "left")
+    return joined.select(*[qcol(c) for c in df.columns], (flagged | F.coalesce(F.col("_dq_dup"), F.lit(False))).alias(flag))

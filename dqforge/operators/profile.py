@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from ..functions.names import qcol
 from ..functions import constants as K
 from ..functions import predicates as P
+from ..functions import ranks as RK
 from ..functions.topk import first_rows
 
 WS_PATTERN = r"(?U)(^\s|\s\z)"
@@ -117,83 +118,88 @@ def columns_info(df: DataFrame, columns: list[str] | None = None) -> list[Column
 # --------------------------------------------------------------------------
 # Frequency table
 # --------------------------------------------------------------------------
-def _as_text(ci: ColumnInfo) -> Column:
-    c = qcol(ci.name)
-    dt = ci.dtype
+def quoted(name: str) -> str:
+    """A column's name in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+# Expressions over many columns are written as SQL text: Spark parses one in a single call, while
+# building them call by call takes longer than small tables do to read.
+def _text_sql(ci: ColumnInfo) -> str:
+    c, dt = quoted(ci.name), ci.dtype
     if isinstance(dt, P.FLOAT_TYPES):
         # -0.0 and 0.0 are one value
-        return F.when(c == 0, F.lit("0.0")).otherwise(c.cast("string"))
+        return f"CASE WHEN {c} = 0 THEN '0.0' ELSE CAST({c} AS STRING) END"
     if isinstance(dt, T.TimestampType):
         # absolute instants: keep microseconds, independent of the session zone
-        return F.unix_micros(c).cast("string")
+        return f"CAST(unix_micros({c}) AS STRING)"
     if isinstance(dt, T.BinaryType):
-        return F.base64(c)
+        return f"base64({c})"
     if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(c)
-    return c.cast("string")
+        return f"to_json({c})"
+    return f"CAST({c} AS STRING)"
+
+
+def _as_text(ci: ColumnInfo) -> Column:
+    return F.expr(_text_sql(ci))
 
 
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
-def _typed_fields(ci: ColumnInfo) -> tuple[Column, Column, Column]:
-    """A value as ``(s, d, l)``: text, double or long -- one is set.  Grouping
-    on typed fields avoids rendering every row as text before aggregation."""
-    c, dt = qcol(ci.name), ci.dtype
-    none_s, none_d, none_l = (F.lit(None).cast("string"), F.lit(None).cast("double"),
-                              F.lit(None).cast("long"))
+def _typed(ci: ColumnInfo) -> tuple[str, str]:
+    """A value as its field -- ``s`` text, ``d`` double or ``l`` long -- and SQL.  Grouping on
+    typed fields avoids rendering every row as text before aggregation."""
+    c, dt = quoted(ci.name), ci.dtype
     if isinstance(dt, P.INTEGRAL_TYPES):
-        return none_s, none_d, c.cast("long")
+        return "l", f"CAST({c} AS BIGINT)"
     if isinstance(dt, P.FLOAT_TYPES):
-        return none_s, c.cast("double"), none_l        # grouping folds -0.0 into 0.0
+        return "d", f"CAST({c} AS DOUBLE)"             # grouping folds -0.0 into 0.0
     if P.is_boolean(dt):
-        return none_s, none_d, c.cast("int").cast("long")
+        return "l", f"CAST(CAST({c} AS INT) AS BIGINT)"
     if isinstance(dt, T.TimestampType):
-        return none_s, none_d, F.unix_micros(c)
+        return "l", f"unix_micros({c})"
     if isinstance(dt, (T.TimestampNTZType, T.DateType)):
-        return none_s, none_d, F.timestamp_diff("MICROSECOND", F.expr(_EPOCH),
-                                                c.cast("timestamp_ntz"))
-    return _as_text(ci), none_d, none_l
+        return "l", f"timestampdiff(MICROSECOND, {_EPOCH}, CAST({c} AS TIMESTAMP_NTZ))"
+    return "s", _text_sql(ci)
 
 
-def _render(infos: list[ColumnInfo]) -> tuple[Column, Column, Column]:
+def _render(infos: list[ColumnInfo]) -> tuple[str, str, str]:
     """After aggregation: the text form ``v`` (as ``cast(value as string)``
     renders it), ``vn`` (numbers, booleans as 0/1) and ``vt`` (datetimes as
     microseconds)."""
-    ci, s, d, l = F.col("ci"), F.col("s"), F.col("d"), F.col("l")
-
-    def ids(pred):
-        got = [i.ordinal for i in infos if pred(i)]
-        return ci.isin(got) if got else F.lit(False)
-
-    epoch = F.expr(_EPOCH)
-    ts = F.timestamp_add("MICROSECOND", l, epoch)
-    v = (F.when(ids(lambda i: isinstance(i.dtype, P.INTEGRAL_TYPES)), l.cast("string"))
-         .when(ids(lambda i: isinstance(i.dtype, T.FloatType)), d.cast("float").cast("string"))
-         .when(ids(lambda i: isinstance(i.dtype, T.DoubleType)), d.cast("string"))
-         .when(ids(lambda i: P.is_boolean(i.dtype)),
-               F.when(l == 1, F.lit("true")).when(l == 0, F.lit("false")))
-         .when(ids(lambda i: isinstance(i.dtype, T.TimestampType)), l.cast("string"))
-         .when(ids(lambda i: isinstance(i.dtype, T.TimestampNTZType)), ts.cast("string"))
-         .when(ids(lambda i: isinstance(i.dtype, T.DateType)), ts.cast("date").cast("string"))
-         .otherwise(s))
-    vn = (F.when(ids(lambda i: i.kind == "numeric" and isinstance(i.dtype, T.DecimalType)),
-                 s.cast("double"))
-          .when(ids(lambda i: i.kind in ("numeric", "boolean")), F.coalesce(d, l.cast("double"))))
-    vt = F.when(ids(lambda i: i.kind == "datetime"), l)
+    def when(pred, then: str) -> str:
+        got = [str(i.ordinal) for i in infos if pred(i)]
+        return f" WHEN ci IN ({', '.join(got)}) THEN {then}" if got else ""
+
+    def case(*branches: str, other: str) -> str:
+        return f"CASE{''.join(branches)} ELSE {other} END" if any(branches) else other
+
+    ts = f"timestampadd(MICROSECOND, l, {_EPOCH})"
+    of = lambda *kinds: lambda i: isinstance(i.dtype, kinds)
+    v = case(when(of(*P.INTEGRAL_TYPES), "CAST(l AS STRING)"), when(of(T.FloatType), "CAST(CAST(d AS FLOAT) AS STRING)"),
+             when(of(T.DoubleType), "CAST(d AS STRING)"), when(of(T.BooleanType), "CASE l WHEN 1 THEN 'true' WHEN 0 THEN 'false' END"),
+             when(of(T.TimestampType), "CAST(l AS STRING)"), when(of(T.TimestampNTZType), f"CAST({ts} AS STRING)"),
+             when(of(T.DateType), f"CAST(CAST({ts} AS DATE) AS STRING)"), other="s")
+    vn = case(when(lambda i: i.kind == "numeric" and isinstance(i.dtype, T.DecimalType), "CAST(s AS DOUBLE)"),
+              when(lambda i: i.kind in ("numeric", "boolean"), "coalesce(d, CAST(l AS DOUBLE))"), other="CAST(NULL AS DOUBLE)")
+    vt = case(when(lambda i: i.kind == "datetime", "l"), other="CAST(NULL AS BIGINT)")
     return v, vn, vt
 
 
+def _digest(t: str) -> str:
+    """128 bits stand for a long text; shorter ones are told apart from digests by length."""
+    return f"CASE WHEN length({t}) > 40 THEN concat(hex(xxhash64({t})), hex(xxhash64(1, {t})), '{'#' * 16}') ELSE {t} END"
+
+
 def _records(infos: list[ColumnInfo], digest: bool = False) -> Column:
     recs = []
     for i in infos:
-        t, d, l = _typed_fields(i)
-        if digest:
-            # 128 bits stand for a long text; shorter ones are told apart from digests by length
-            t = F.when(F.length(t) > 40, F.concat(F.hex(F.xxhash64(t)), F.hex(F.xxhash64(F.lit(1), t)), F.lit("#" * 16))) \
-                .otherwise(t)
-        recs.append(F.struct(F.lit(i.ordinal).alias("ci"), t.alias("s"), d.alias("d"), l.alias("l")))
-    return F.inline(F.array(*recs))
+        field, x = _typed(i)
+        value = {"s": "CAST(NULL AS STRING)", "d": "CAST(NULL AS DOUBLE)", "l": "CAST(NULL AS BIGINT)"}
+        value[field] = _digest(x) if digest and field == "s" else x
+        recs.append(f"named_struct('ci', {i.ordinal}, 's', {value['s']}, 'd', {value['d']}, 'l', {value['l']})")
+    return F.expr(f"inline(array({', '.join(recs)}))")
 
 
 def frequency_table(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
@@ -201,7 +207,7 @@ def frequency_table(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
     column, with the value as text, as a number and as a datetime, and typed."""
     freq = df.select(_records(infos)).groupBy("ci", "s", "d", "l").agg(F.count(F.lit(1)).alias("cnt"))
     v, vn, vt = _render(infos)
-    return freq.select("ci", v.alias("v"), "cnt", vn.alias("vn"), vt.alias("vt"), "d", "l")
+    return freq.selectExpr("ci", f"{v} AS v", "cnt", f"{vn} AS vn", f"{vt} AS vt", "d", "l")
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None,
@@ -267,116 +273,223 @@ def profile(df: DataFrame, columns: list[str] | None = None, normalize: bool = T
     src = src.select(*[qcol(i.name) for i in infos])
     wanted = set(only or PROFILE_COLUMNS)
     parts = {p for p, cols in _NEEDS.items() if cols & wanted}
-    meta = _meta_df(src.sparkSession, infos)
-    wide = src.agg(*_plain_aggregates(infos, parts))
-    out = meta.join(wide.select(F.inline(F.array(*[_plain_row(i, parts) for i in infos]))), F.col("ordinal") == F.col("ci")).drop("ci")
-
-    def add(table: DataFrame | None, fields: str) -> None:
+    if "samples" not in parts and "mode" in parts:
+        parts.add("heavy")                       # modes by a heavy-hitter summary
+    if parts & {"quartiles", "lengths", "heavy"}:
+        plain, unsettled = _measured(src, infos, parts)
+    else:
+        plain, unsettled = _wide(src, infos, parts).selectExpr(f"inline({_plain_rows(infos, parts)})"), infos
+    out = _meta_df(src.sparkSession, infos).join(plain, F.col("ordinal") == F.col("ci")).drop("ci")
+
+    def add(table: DataFrame) -> None:
         nonlocal out
-        if table is not None:
-            out = out.join(table.withColumnRenamed("ci", "_ci"), F.col("ordinal") == F.col("_ci"), "left").drop("_ci")
-        else:
-            for f in fields.split(", "):
-                n, t = f.split(" ")
-                out = out.withColumn(n, F.lit(None).cast(t))
-
-    ranked = [i for i in infos if i.kind in ("numeric", "boolean", "datetime")]
-    quart = quartiles(src, ranked) if "quartiles" in parts and ranked else None
-    add(quart, "q1 double, median double, q3 double")
-    add(_spread(src, infos, quart, parts), "outliers long, _len_dev long")
-    add(_distinct(src, infos) if "distinct" in parts else None, "distinct_count long")
-    freq = frequency_table(src, infos).filter(F.col("v").isNotNull()) if parts & {"mode", "samples"} else None
-    order = F.struct((-F.col("cnt")).alias("a"), "l", "d", "vn", "v")
-    add(freq.groupBy("ci").agg(F.min_by("v", order).alias("_mode"), F.max("cnt").alias("mode_count")) if "mode" in parts else None,
-        "_mode string, mode_count long")
-    add(_samples(freq, sample_values) if "samples" in parts else None, "_samp array<string>")
+        out = out.join(table.withColumnRenamed("ci", "_ci"), F.col("ordinal") == F.col("_ci"), "left").drop("_ci")
+
+    out = out.drop("_mode", "mode_count") if "heavy" not in parts else out
+    if "samples" in parts:                       # the value table serves distinct counts and modes too
+        freq = frequency_table(src, infos).filter(F.col("v").isNotNull())
+        add(_of_values(freq))
+        add(_samples(freq, sample_values))
+    else:
+        if "distinct" in parts:
+            add(_distinct(src, infos))
+        if "mode" in parts and unsettled:
+            freq = frequency_table(src.select(*[qcol(i.name) for i in unsettled]), unsettled).filter(F.col("v").isNotNull())
+            add(_of_values(freq).select("ci", F.col("_mode").alias("_mode2"), F.col("mode_count").alias("_count2")))
+            if "_mode" in out.columns:
+                out = (out.withColumn("_mode", F.coalesce("_mode", "_mode2")).withColumn("mode_count", F.coalesce("mode_count", "_count2"))
+                       .drop("_mode2", "_count2"))
+    have = set(out.columns)
+    for name, kind in _OPTIONAL.items():
+        if name not in have:
+            out = out.withColumn(name, F.lit(None).cast(kind))
     out = _finish(out)
     return out.select(*only) if only else out
 
 
-def _number(i: ColumnInfo) -> Column:
-    """A number, boolean or datetime as the double that is ranked."""
-    c = qcol(i.name)
+#: what ``_finish`` reads of parts that may not be planned
+_OPTIONAL = {"q1": "double", "median": "double", "q3": "double", "outliers": "long", "_len_dev": "long", "distinct_count": "long",
+             "_mode": "string", "mode_count": "long", "_samp": "array<string>"}
+
+
+def _number(i: ColumnInfo) -> str:
+    """A number, boolean or datetime as the double that is ranked (SQL)."""
     if i.kind == "boolean":
-        return c.cast("int").cast("double")
-    if i.kind == "datetime":
-        return _typed_fields(i)[2].cast("double")
-    return c.cast("double")
+        return f"CAST(CAST({quoted(i.name)} AS INT) AS DOUBLE)"
+    return f"CAST({_typed(i)[1] if i.kind == 'datetime' else quoted(i.name)} AS DOUBLE)"
+
+
+def _case(c: str) -> str:
+    """1 upper, 2 lower, 3 title, 4 mixed case; null for text that is not all letters (SQL)."""
+    return (f"CASE WHEN rlike({c}, r'{ALPHA_PATTERN}') THEN CASE WHEN upper({c}) = {c} AND lower({c}) != {c} THEN 1 "
+            f"WHEN lower({c}) = {c} AND upper({c}) != {c} THEN 2 WHEN initcap({c}) = {c} THEN 3 ELSE 4 END END")
 
 
-def _plain_aggregates(infos: list[ColumnInfo], parts: set) -> list[Column]:
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+def _wide(src: DataFrame, infos: list[ColumnInfo], parts: set) -> DataFrame:
+    """One row with every plain number: one aggregate, one row leaves each task."""
+    made, aggs = [], ["count(1) AS _rows"]
     for i in infos:
-        c, p = qcol(i.name), f"_{i.ordinal}_"
-        aggs.append(F.count(c).alias(p + "nn"))
+        c, o = quoted(i.name), i.ordinal
+        aggs.append(f"count({c}) AS _{o}_nn")
         if "numbers" in parts and i.kind in ("numeric", "boolean"):
             x = _number(i)
-            aggs += [F.avg(x).alias(p + "mean"), F.stddev_samp(x).alias(p + "std"), F.min(c).alias(p + "min"), F.max(c).alias(p + "max")]
-        if parts & {"numbers"} and i.kind == "datetime":
-            m = _typed_fields(i)[2]
-            aggs += [F.min(m).alias(p + "tmin"), F.max(m).alias(p + "tmax")]
+            aggs += [f"avg({x}) AS _{o}_mean", f"stddev_samp({x}) AS _{o}_std", f"min({c}) AS _{o}_min", f"max({c}) AS _{o}_max"]
+        if "numbers" in parts and i.kind == "datetime":
+            x = _typed(i)[1]
+            aggs += [f"min({x}) AS _{o}_tmin", f"max({x}) AS _{o}_tmax"]
         if i.kind == "text":
             if "labels" in parts:
-                aggs.append(F.bool_and(F.lower(c).isin(K.BOOLEAN_TEXT_VALUES)).alias(p + "bool"))
+                aggs.append(f"bool_and(lower({c}) IN ({', '.join(repr(v) for v in K.BOOLEAN_TEXT_VALUES)})) AS _{o}_bool")
             if "text" in parts:
-                has_at = c.contains("@")
-                aggs += [F.bool_or(has_at).alias(p + "at"), F.count_if(has_at & ~c.rlike(K.EMAIL_PATTERN)).alias(p + "bad"),
-                         F.count_if(c.rlike(WS_PATTERN)).alias(p + "ws")]
+                aggs += [f"bool_or(contains({c}, '@')) AS _{o}_at", f"count_if(contains({c}, '@') AND NOT rlike({c}, r'{K.EMAIL_PATTERN}')) AS _{o}_bad",
+                         f"count_if(rlike({c}, r'{WS_PATTERN}')) AS _{o}_ws"]
             if "lengths" in parts:
-                aggs.append(F.avg(F.length(c)).alias(p + "len"))
-                aggs += [F.count_if(f).alias(p + n) for n, f in zip(("up", "low", "title", "mixed"), case_flags(c))]
-    return aggs
-
-
-def _plain_row(i: ColumnInfo, parts: set) -> Column:
-    """The column's numbers as one struct of a common shape."""
-    p = f"_{i.ordinal}_"
-    num, dt, text = i.kind in ("numeric", "boolean"), i.kind == "datetime", i.kind == "text"
-
-    def take(name: str, have: bool, kind: str, out: str, boolean: bool = False) -> Column:
-        if not have:
-            return F.lit(None).cast(kind).alias(out)
-        c = F.col(p + name)
-        return (c.cast("int").cast(kind) if boolean else c.cast(kind)).alias(out)
-    n, t = num and "numbers" in parts, text and "text" in parts
-    flag = i.kind == "boolean"
-    return F.struct(
-        F.lit(i.ordinal).alias("ci"), F.col("_rows").alias("total_count"), (F.col("_rows") - F.col(p + "nn")).alias("null_count"),
-        take("mean", n, "double", "mean"), take("std", n, "double", "std"),
-        take("min", n, "double", "min", flag), take("max", n, "double", "max", flag),
-        take("min", n, "string", "min_value"), take("max", n, "string", "max_value"),
-        take("tmin", dt and "numbers" in parts, "long", "_tmin"), take("tmax", dt and "numbers" in parts, "long", "_tmax"),
-        take("at", t, "boolean", "_any_at"), take("bad", t, "long", "_bad_email"), take("ws", t, "long", "_ws"),
-        take("len", text and "lengths" in parts, "double", "_len_mean"),
-        *[take(k, text and "lengths" in parts, "long", f"_{k}") for k in ("up", "low", "title", "mixed")],
-        take("bool", text and "labels" in parts, "boolean", "_boolish"))
-
-
-def _spread(src: DataFrame, infos: list[ColumnInfo], quart: DataFrame | None, parts: set) -> DataFrame | None:
-    """Outliers and length deviations: one more plain aggregate; means and quartiles come as
-    one-row scalar subqueries."""
-    texts = [i for i in infos if i.kind == "text"] if "lengths" in parts else []
-    ranked = [i for i in infos if i.kind in ("numeric", "boolean")] if "outliers" in parts and quart is not None else []
-    if not texts and not ranked:
-        return None
-    aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
-    if texts:
-        means = src.agg(*[F.avg(F.length(qcol(i.name))).alias(f"_{i.ordinal}") for i in texts])
-        src = src.select("*", means.select(F.struct("*").alias("s")).scalar().alias("_mean"))
-    if ranked:
-        step = K.IQR_FACTOR * (F.col("q3") - F.col("q1"))
-        bounds = quart.groupBy().agg(*[F.max(F.when(F.col("ci") == i.ordinal, F.struct((F.col("q1") - step).alias("lo"), (F.col("q3") + step).alias("hi"))))
-                                       .alias(f"_{i.ordinal}") for i in ranked])
-        src = src.select("*", bounds.select(F.struct("*").alias("s")).scalar().alias("_bound"))
-    for i in texts:
-        m = F.col("_mean")[f"_{i.ordinal}"]
-        aggs.append(F.count_if(F.abs(F.length(qcol(i.name)) - m) > m * K.LENGTH_DEVIATION_SHARE).alias(f"_{i.ordinal}_dev"))
-        rows.append(F.struct(F.lit(i.ordinal).alias("ci"), F.lit(None).cast("long").alias("outliers"), F.col(f"_{i.ordinal}_dev").alias("_len_dev")))
+                made.append(f"{_case(c)} AS _case_{o}")          # told once a row, counted four times
+                aggs.append(f"avg(length({c})) AS _{o}_len")
+                aggs += [f"count_if(_case_{o} = {k}) AS _{o}_{n}" for k, n in enumerate(("up", "low", "title", "mixed"), 1)]
+    return src.selectExpr("*", *made).agg(*map(F.expr, aggs))
+
+
+def _plain_rows(infos: list[ColumnInfo], parts: set) -> str:
+    """The numbers of ``_wide`` as one struct a column, all of one shape (SQL)."""
+    def row(i: ColumnInfo) -> str:
+        o, num, text = i.ordinal, i.kind in ("numeric", "boolean") and "numbers" in parts, i.kind == "text"
+        when = i.kind == "datetime" and "numbers" in parts
+
+        def take(have: bool, name: str, kind: str, out: str, via: str = "") -> str:
+            got = f"_{o}_{name}" if have else "NULL"
+            return f"'{out}', CAST({f'CAST({got} AS {via})' if via and have else got} AS {kind})"
+        flag = "INT" if i.kind == "boolean" else ""
+        fields = [f"'ci', {o}", "'total_count', _rows", f"'null_count', _rows - _{o}_nn",
+                  take(num, "mean", "DOUBLE", "mean"), take(num, "std", "DOUBLE", "std"),
+                  take(num, "min", "DOUBLE", "min", flag), take(num, "max", "DOUBLE", "max", flag),
+                  take(num, "min", "STRING", "min_value"), take(num, "max", "STRING", "max_value"),
+                  take(when, "tmin", "BIGINT", "_tmin"), take(when, "tmax", "BIGINT", "_tmax"),
+                  take(text and "text" in parts, "at", "BOOLEAN", "_any_at"), take(text and "text" in parts, "bad", "BIGINT", "_bad_email"),
+                  take(text and "text" in parts, "ws", "BIGINT", "_ws"), take(text and "lengths" in parts, "len", "DOUBLE", "_len_mean"),
+                  *[take(text and "lengths" in parts, k, "BIGINT", f"_{k}") for k in ("up", "low", "title", "mixed")],
+                  take(text and "labels" in parts, "bool", "BOOLEAN", "_boolish")]
+        return f"named_struct({', '.join(fields)})"
+    return f"array({', '.join(map(row, infos))})"
+
+
+PROBS = (0.25, 0.5, 0.75)
+#: rows that a first grouping leaves for the last task, whatever the number of tasks
+SLOTS = 64
+#: heavy hitters: counters of a column's summary, candidates counted exactly
+TRACKED, CANDIDATES = 1000, 8
+
+
+def _ranked(infos: list[ColumnInfo]) -> list[ColumnInfo]:
+    return [i for i in infos if i.kind in ("numeric", "boolean", "datetime")]
+
+
+def _heavy(infos: list[ColumnInfo]) -> list[ColumnInfo]:
+    """Columns whose values a summary can hold: all but nested ones and those compared by their JSON."""
+    return [i for i in infos if i.kind != "other"]
+
+
+def _value_key(i: ColumnInfo) -> str:
+    """A column's value as one key: long, double, or text (long texts by their digest) (SQL)."""
+    field, x = _typed(i)
+    return {"l": x, "d": f"CASE WHEN {x} = 0 THEN 0D ELSE {x} END", "s": _digest(x)}[field]
+
+
+def _sketches(src: DataFrame, ranked: list[ColumnInfo], heavy: list[ColumnInfo]) -> dict:
+    """Bracket ends (``_<ordinal>_ends``) and heavy hitters (``_<ordinal>_top``) of columns, from one scan.
+    Tasks are merged in ``SLOTS`` groups first, so the last task reads a bounded number of sketches."""
+    first, last = ["count(1) AS _rows"], ["sum(_rows) AS _rows"]
     for i in ranked:
-        x, b = _number(i), F.col("_bound")[f"_{i.ordinal}"]
-        aggs.append(F.count_if((x < b["lo"]) | (x > b["hi"])).alias(f"_{i.ordinal}_out"))
-        rows.append(F.struct(F.lit(i.ordinal).alias("ci"), F.col(f"_{i.ordinal}_out").alias("outliers"), F.lit(None).cast("long").alias("_len_dev")))
-    return src.agg(*aggs).select(F.inline(F.array(*rows)))
+        first += [f"kll_sketch_agg_double({_number(i)}, {RK.SKETCH_K}) AS k{i.ordinal}", f"count({_number(i)}) AS n{i.ordinal}"]
+        ends = RK.bracket_ends(f"kll_merge_agg_double(k{i.ordinal}, {RK.SKETCH_K})", PROBS)
+        last.append(f"CASE WHEN sum(n{i.ordinal}) > 0 THEN {ends} END AS _{i.ordinal}_ends")
+    for i in heavy:
+        first.append(f"approx_top_k_accumulate({_value_key(i)}, {TRACKED}) AS h{i.ordinal}")
+        last.append(f"CASE WHEN sum(_rows) > 0 THEN approx_top_k_estimate(approx_top_k_combine(h{i.ordinal}, {TRACKED}), {CANDIDATES}) END AS _{i.ordinal}_top")
+    slots = src.withColumn("_slot", F.expr(f"pmod(spark_partition_id(), {SLOTS})")).groupBy("_slot").agg(*map(F.expr, first))
+    return slots.agg(*map(F.expr, last)).first().asDict()
+
+
+def _heavy_error() -> float:
+    """Share of the rows by which a summary of ``TRACKED`` counters can miss a count."""
+    size = 1
+    while size * 0.75 < TRACKED:
+        size *= 2
+    return 3.5 / size
+
+
+_MEASURED = "q1 double, median double, q3 double, outliers long, _len_dev long, _mode string, mode_count long"
+
+
+def _measured(src: DataFrame, infos: list[ColumnInfo], parts: set) -> tuple[DataFrame, list[ColumnInfo]]:
+    """The plain numbers with quartiles, outliers, length deviations and modes, one row a column, and
+    the columns whose mode is not settled.  Three scans, run here: plain aggregates and sketches; the
+    values inside the brackets; one plain aggregate with all of that as literals."""
+    wide = _wide(src, infos, parts).selectExpr(f"inline({_plain_rows(infos, parts)})")
+    plain = {r["ci"]: r for r in wide.collect()}                      # one row a column
+    nonnull = {c: r["total_count"] - r["null_count"] for c, r in plain.items()}
+    found: dict[int, dict] = {i.ordinal: dict.fromkeys(("q1", "median", "q3", "outliers", "_len_dev", "_mode", "mode_count")) for i in infos}
+
+    # a column of few values is counted whole, without a sketch
+    ranked = [i for i in _ranked(infos) if "quartiles" in parts]
+    large = [i for i in ranked if nonnull[i.ordinal] > RK.FEW]
+    heavy = [i for i in _heavy(infos) if "heavy" in parts and nonnull[i.ordinal]]
+    one = _sketches(src, large, heavy) if large or heavy else {}
+    quart = RK.quantiles(src, {i.ordinal: _number(i) for i in ranked}, {i.ordinal: nonnull[i.ordinal] for i in ranked},
+                         {i.ordinal: one[f"_{i.ordinal}_ends"] for i in large}, list(PROBS))
+    for c, q in quart.items():
+        found[c].update(zip(("q1", "median", "q3"), q))
+
+    aggs, take, tops = [], [], {}
+    for i in infos:
+        o, c, q = i.ordinal, quoted(i.name), found[i.ordinal]
+        mean = plain[o]["_len_mean"]
+        if mean is not None:
+            aggs.append(f"count_if(abs(length({c}) - {mean!r}D) > {mean * K.LENGTH_DEVIATION_SHARE!r}D) AS _{o}_dev")
+            take.append((o, "_len_dev", f"_{o}_dev"))
+        if "outliers" in parts and i.kind in ("numeric", "boolean") and q["q1"] is not None:
+            step, x = K.IQR_FACTOR * (q["q3"] - q["q1"]), _number(i)
+            aggs.append(f"count_if({x} < {RK.literal(q['q1'] - step)} OR {x} > {RK.literal(q['q3'] + step)}) AS _{o}_out")
+            take.append((o, "outliers", f"_{o}_out"))
+        if i in heavy:
+            tops[o] = [t for t in one[f"_{o}_top"] or [] if t["item"] is not None]
+            for k, t in enumerate(tops[o]):
+                is_it = F.expr(_value_key(i)) == F.lit(t["item"])
+                aggs += [F.count_if(is_it).alias(f"_{o}_n{k}"), F.min(F.when(is_it, _as_text(i))).alias(f"_{o}_v{k}")]
+    if aggs:
+        exact = src.agg(*[F.expr(a) if isinstance(a, str) else a for a in aggs]).first()
+        for o, name, col in take:
+            found[o][name] = exact[col]
+        for o in tops:
+            tops[o] = [(exact[f"_{o}_n{k}"], t["item"], exact[f"_{o}_v{k}"]) for k, t in enumerate(tops[o])]
+
+    unsettled = []
+    for i in infos:
+        o = i.ordinal
+        if o not in tops:
+            if nonnull[o]:
+                unsettled.append(i)
+            continue
+        listed = one[f"_{o}_top"] or []
+        # a value outside the candidates is counted by the summary below the last of them, or not at all
+        others = max(2 * _heavy_error() * plain[o]["total_count"], listed[-1]["count"] if len(listed) >= CANDIDATES else 0)
+        best = max((n for n, _, _ in tops[o]), default=0)
+        if best > others:
+            order = {"text": lambda t: t[2].encode()}.get(i.kind, lambda t: t[1])
+            if isinstance(i.dtype, T.DecimalType):
+                order = lambda t: (float(t[2]), t[2])
+            found[o].update(_mode=min((t for t in tops[o] if t[0] == best), key=order)[2], mode_count=best)
+        elif nonnull[o]:
+            unsettled.append(i)
+    schema = T.StructType(wide.schema.fields + T.StructType.fromDDL(_MEASURED).fields)
+    data = [tuple(plain[i.ordinal]) + tuple(found[i.ordinal].values()) for i in infos]
+    return src.sparkSession.createDataFrame(data, schema), unsettled
+
+
+def _of_values(freq: DataFrame) -> DataFrame:
+    """Distinct count and mode of each column, from its value table."""
+    order = F.struct((-F.col("cnt")).alias("a"), "l", "d", "vn", "v")
+    return freq.groupBy("ci").agg(F.count(F.lit(1)).alias("distinct_count"), F.min_by("v", order).alias("_mode"), F.max("cnt").alias("mode_count"))
 
 
 def _distinct(src: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
@@ -392,59 +505,6 @@ def _samples(freq: DataFrame, k: int) -> DataFrame:
     return top.groupBy("ci").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rk", "v"))), lambda x: x["v"]).alias("_samp"))
 
 
-def quartiles(src: DataFrame, infos: list[ColumnInfo], bins: int = 4096, passes: int = 2) -> DataFrame:
-    """``(ci, q1, median, q3)`` with linear interpolation, exact.
-
-    Each counting pass splits the value range of each quartile into ``bins`` and keeps the bin (with
-    the true least and largest value in it) that holds its ranks, so no value is shuffled: a pass
-    moves at most ``bins`` counts for each quartile, column and task.  After the passes the few
-    values left in each range are counted one by one.
-    """
-    probs = (0.25, 0.5, 0.75)
-    names = [f"q{k}" for k in range(len(probs))]
-    holds = lambda r: (F.col(r) >= F.col("begin")) & (F.col(r) < F.col("begin") + F.col("cnt"))
-    values = src.select(F.inline(F.array(*[F.struct(F.lit(i.ordinal).alias("c"), _number(i).alias("x")) for i in infos]))).filter("x is not null")
-
-    # the first range of a column is all of it
-    ranges = values.groupBy("c").agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"), F.lit(0).cast("long").alias("before"),
-                                              F.count("x").alias("all")).alias("q0"))
-    ranges = ranges.select("c", *[F.col("q0").alias(n) for n in names])
-
-    def found(ranges: DataFrame, split: bool, whole: bool) -> DataFrame:
-        """The bins (or values) that hold the ranks of each quartile: c, t, lo, hi, cnt, begin, all, spot."""
-        known = ranges.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct(*names)))).alias("m")).scalar()
-        rows = values.select("c", "x", F.element_at(known, F.col("c")).alias("r"))
-        recs = []
-        for q, n in enumerate(names[:1] if whole else names):      # at first all quartiles share one range
-            r, x = F.col("r")[n], F.col("x")
-            place = F.when(r["hi"] > r["lo"], F.least(F.floor((x - r["lo"]) / (r["hi"] - r["lo"]) * bins), F.lit(bins - 1).cast("long"))) \
-                .otherwise(F.lit(0).cast("long"))
-            recs.append(F.struct(F.when((x >= r["lo"]) & (x <= r["hi"]), F.lit(q)).alias("q"), (place.cast("double") if split else x).alias("key"),
-                                 r["before"].alias("before"), r["all"].alias("all")))
-        rows = rows.select("c", "x", F.inline(F.array(*recs))).filter("q is not null")
-        table = rows.groupBy("c", "q", "key").agg(F.count(F.lit(1)).alias("cnt"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-                                                  F.max("before").alias("before"), F.max("all").alias("all"))
-        w = Window.partitionBy("c", "q").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-        table = table.withColumn("begin", F.col("before") + F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-        table = table.withColumn("t", F.explode(F.array(*[F.lit(q) for q in range(len(probs))])) if whole else F.col("q"))
-        spot = F.element_at(F.array(*[F.lit(v) for v in probs]), F.col("t") + 1) * (F.col("all") - 1)
-        return (table.withColumn("spot", spot).withColumn("r0", F.floor("spot")).withColumn("r1", F.least(F.col("r0") + 1, F.col("all") - 1))
-                .filter(holds("r0") | holds("r1")))
-
-    whole = True
-    for _ in range(passes):
-        per = found(ranges, True, whole).groupBy("c", "t").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("begin").alias("before"),
-                                                             F.max("all").alias("all"))
-        ranges = per.groupBy("c").agg(*[F.max(F.when(F.col("t") == q, F.struct("lo", "hi", "before", "all"))).alias(n) for q, n in enumerate(names)])
-        whole = False
-    ends = found(ranges, False, False).groupBy("c", "t").agg(
-        F.max(F.when(holds("r0"), F.col("lo"))).alias("a"), F.max(F.when(holds("r1"), F.col("lo"))).alias("b"), F.max("spot").alias("spot"))
-    # numpy's linear interpolation, written as numpy writes it
-    part, diff = F.col("spot") - F.floor("spot"), F.col("b") - F.col("a")
-    value = F.when(part >= 0.5, F.col("b") - diff * (1 - part)).otherwise(F.col("a") + diff * part)
-    return ends.groupBy(F.col("c").alias("ci")).agg(*[F.max(F.when(F.col("t") == q, value)).alias(n) for q, n in enumerate(("q1", "median", "q3"))])
-
-
 def case_flags(text: Column) -> tuple[Column, Column, Column, Column]:
     alpha = text.rlike(ALPHA_PATTERN)
     is_up = alpha & (F.upper(text) == text) & (F.lower(text) != text)
