@@ -7,11 +7,10 @@ in the order of the scores) and byte fallback.  Where no piece has the marker
 behind another character, texts may be cut before every run of markers, which
 lets the library reuse what it has seen; otherwise they are not cut.
 
-Batches are encoded by the library's own threads, and every text is encoded by
-the sentencepiece library as well: ``parity`` tells whether both agree.  Where
-they do not (pieces of equal score can tie), the ids of sentencepiece are
-returned, so results do not depend on the backend.  Decoding is a table look-up
-over all ids of a batch.
+Batches are encoded by the library's own threads, and these ids are returned.  Every
+text is encoded by the sentencepiece library as well: ``parity`` tells whether both
+agree, and only where they do not (pieces of equal score can tie) the ids of
+sentencepiece stand in.  Decoding is a table look-up over all ids of a batch.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
 a marker character inside a text decodes to a space, as in sentencepiece
@@ -125,10 +124,11 @@ class Codec:
         self.threads = threads
 
     def encode(self, texts: list[str]):
-        """(ids, parity) of every text."""
+        """(ids, parity) of every text: the rebuilt tokenizer's ids, sentencepiece's where the check fails."""
         mine = [e.ids for e in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.plain.encode(texts, num_threads=self.threads)
-        return theirs, [a == b for a, b in zip(mine, theirs)]
+        same = [a == b for a, b in zip(mine, theirs)]
+        return [a if ok else b for a, b, ok in zip(mine, theirs, same)], same
 
 
 _codecs: dict[str, Codec] = {}
