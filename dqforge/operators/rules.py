@@ -8,6 +8,10 @@
   and one ``groupBy(rule, keys)`` counts the keys; partial aggregation collapses
   a hot key to one row per map task.  A second, tiny ``groupBy(rule)`` turns key
   counts into duplicate counts.
+* Wide keys (texts, nested values, more than 16 bytes of fixed-width columns) are
+  counted by 128-bit digests first; only rows whose digest repeats are grouped by
+  their whole keys, which settles collisions (``_wide_counts``).  This first count
+  runs when the rules are compiled, the rest is lazy.
 
 Both parts are column-pruned scans of their own: the predicates read their
 columns, the uniqueness rules read only the keys.
@@ -311,6 +315,75 @@ def _check_columns(df: DataFrame, rules: list[Rule]) -> None:
         raise KeyError(f"columns not in data: {missing}")
 
 
+#: bytes of a digest; keys that are no wider are grouped as they are
+_DIGEST_BYTES = 16
+#: repeated digests are broadcast up to this many (about 40 bytes each)
+REPEATED_LIMIT = 1_000_000
+
+
+def _is_wide(df: DataFrame, columns: tuple) -> bool:
+    sizes = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8, T.BooleanType: 1,
+             T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8}
+    return sum(sizes.get(type(P.column_type(df, c)), 1 << 20) for c in columns) > _DIGEST_BYTES
+
+
+def _key_column(df: DataFrame, name: str) -> Column:
+    """A key column as it is grouped: maps by their JSON text."""
+    return F.to_json(qcol(name)) if isinstance(P.column_type(df, name), T.MapType) else qcol(name)
+
+
+def _key_digest(df: DataFrame, columns: tuple) -> tuple[Column, Column]:
+    """128 bits of a key, NULL told from every value and -0.0 the same as 0.0."""
+    parts = []
+    for c in columns:
+        x = _key_column(df, c)
+        x = x + F.lit(0.0).cast(P.column_type(df, c)) if isinstance(P.column_type(df, c), P.FLOAT_TYPES) else x
+        parts += [x.isNull(), x]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+
+
+def _wide_counts(df: DataFrame, rules: list[tuple[int, Rule]], by: list[str]) -> DataFrame:
+    """(by..., seq, total, failed) of uniqueness rules over wide keys."""
+    from ..sources.csv import scratch_dir
+    spark, byc = df.sparkSession, [qcol(b) for b in by]
+
+    def records(with_keys: bool) -> DataFrame:
+        """One record a row and rule, none for the NULLs of a single-column rule (they never fail)."""
+        keys = list(dict.fromkeys(c for _, r in rules for c in r.columns)) if with_keys else []
+        types = {c: T.StringType() if isinstance(P.column_type(df, c), T.MapType) else P.column_type(df, c) for c in keys}
+        recs = []
+        for i, r in rules:
+            h1, h2 = _key_digest(df, r.columns)
+            own = [(_key_column(df, c) if c in r.columns else F.lit(None).cast(types[c])).alias(f"_dqk{j}") for j, c in enumerate(keys)]
+            counted = qcol(r.columns[0]).isNotNull() if r.kind == "unique" else F.lit(True)
+            recs.append(F.struct(F.when(counted, F.lit(i)).alias("_dqr"), h1.alias("_dqh1"), h2.alias("_dqh2"), *own))
+        if not with_keys:                       # every row counts once more, for the total of all rules
+            zero = F.lit(0).cast("long")
+            recs.append(F.struct(F.lit(-1).alias("_dqr"), zero.alias("_dqh1"), zero.alias("_dqh2")))
+        return df.select(*byc, F.inline(F.array(*recs))).filter(F.col("_dqr").isNotNull())
+
+    path = scratch_dir(spark, "repeated-digests")
+    digest = [*by, "_dqr", "_dqh1", "_dqh2"]
+    (records(False).groupBy(*map(qcol, digest)).agg(F.count(F.lit(1)).alias("_dqn")).filter("_dqn > 1 OR _dqr = -1").write.parquet(path))
+    counted = spark.read.parquet(path)
+    repeated = counted.filter("_dqr >= 0").drop("_dqn")
+    n = repeated.count()
+    totals = counted.filter("_dqr = -1").select(
+        *byc, F.inline(F.array(*[F.struct(F.lit(i).alias("seq"), F.col("_dqn").alias("total"), F.lit(0).cast("long").alias("failed")) for i, _ in rules])))
+    if n == 0:
+        return totals
+    whole = records(True)
+    fields = [c for c in whole.columns if c.startswith("_dqk")]
+    if n <= REPEATED_LIMIT:
+        other = repeated.toDF(*[f"_dqj{i}" for i in range(len(digest))])
+        on = [qcol(c).eqNullSafe(F.col(f"_dqj{i}")) for i, c in enumerate(digest)]
+        whole = whole.join(F.broadcast(other), on, "left_semi")
+    failed = (whole.groupBy(*byc, "_dqr", *fields).agg(F.count(F.lit(1)).alias("_dqn")).filter("_dqn > 1")
+              .groupBy(*byc, F.col("_dqr").alias("seq")).agg(F.lit(0).cast("long").alias("total"), F.sum("_dqn").alias("failed")))
+    return (totals.unionByName(failed).groupBy(*byc, "seq")
+            .agg(F.sum("total").cast("long").alias("total"), F.sum("failed").cast("long").alias("failed")))
+
+
 def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -> DataFrame:
     """(by..., seq, total, failed) for every rule.  Rules whose
     input is empty produce no row here; ``evaluate`` fills them with zeros.
@@ -320,6 +393,16 @@ def rule_counts(df: DataFrame, rules: list[Rule], by: list[str] | None = None) -
     by = list(by or [])
     byc = [qcol(b) for b in by]
     pred = [(i, r) for i, r in enumerate(rules) if not r.is_group]
+    wide = [(i, r) for i, r in enumerate(rules) if r.is_group and _is_wide(df, r.columns)]
+    if wide:
+        settled = _wide_counts(df, wide, by)
+        others = [r for _, r in enumerate(rules) if not (r.is_group and _is_wide(df, r.columns))]
+        if not others:
+            return settled
+        place = [i for i, r in enumerate(rules) if r in others]
+        rest = rule_counts(df, others, by)
+        seq = F.element_at(F.array(*map(F.lit, place)), F.col("seq") + 1)
+        return rest.withColumn("seq", seq).unionByName(settled)
     grp = [(i, r) for i, r in enumerate(rules) if r.is_group]
 
     flag_exprs = {}
