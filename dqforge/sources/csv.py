@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from ..functions.names import qcol
 from ..functions import constants as K
 from ..functions import predicates as P
-from ..functions.prefix import running_count, with_position
+from ..functions.prefix import running_count
+from .records import csv_records, line_ends_open
 
 BOOL_TOKENS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 INT_RE = r"^[+-]?\d+$"
@@ -121,10 +122,12 @@ def dedupe_names(names: list[str]) -> list[str]:
 
 
 def read_csv_text_columns(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Header row, every field as text.  ``multiline`` allows quoted line
-    breaks but makes each file a single split: only switch it on when needed."""
+    """Header row, every field as text.  ``multiline`` allows quoted line breaks; files are
+    still read in many splits (``records.csv_records``)."""
+    if multiline:
+        return _multiline_text_columns(spark, path)
     df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("escape", '"').option("multiLine", multiline).csv(path))
+          .option("escape", '"').csv(path))
     first = spark.read.text(path).limit(1).collect()   # one header line: metadata
     if first:
         names = _split_fields(first[0]["value"])
@@ -133,6 +136,17 @@ def read_csv_text_columns(spark: SparkSession, path: str, multiline: bool = Fals
     return df
 
 
+def _multiline_text_columns(spark: SparkSession, path: str) -> DataFrame:
+    """The first record of every file is its header; the first file's names the columns."""
+    recs = csv_records(spark, path).filter(F.trim("value") != "")
+    heads = recs.groupBy("_file").agg(F.min("_pos").alias("_head"), F.min_by("value", "_pos").alias("_names"))
+    first = heads.orderBy("_file").limit(1).collect()
+    if not first:
+        return spark.createDataFrame([], T.StructType([]))
+    data = recs.join(heads.select("_file", "_head"), "_file").filter(F.col("_pos") != F.col("_head"))
+    return _fields(data, first[0]["_names"], "value")
+
+
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """S1 + S2 + S3: a CSV file or folder read like a pandas CSV read."""
     return infer_types(normalize_na(read_csv_text_columns(spark, path, multiline)))
@@ -145,16 +159,19 @@ def _split_fields(header: str) -> list[str]:
     return next(csv.reader(io.StringIO(header)))
 
 
+def _fields(lines: DataFrame, header: str, value: str) -> DataFrame:
+    """Records -> text columns named by the header; an empty field is NULL, as in a CSV read."""
+    names = dedupe_names(_split_fields(header))
+    ddl = ", ".join(f"`_c{i}` STRING" for i in range(len(names)))
+    raw = lines.select(F.from_csv(qcol(value), ddl, _CSV_OPTIONS).alias("_r"))
+    raw = raw.select(*[F.col("_r")[f"_c{i}"].alias(n) for i, n in enumerate(names)])
+    return raw.select(*[F.when(qcol(n) == "", None).otherwise(qcol(n)).alias(n) for n in names])
+
+
 def parse_csv_lines(lines: DataFrame, header: str, value: str = "value") -> DataFrame:
     """Data lines (one CSV record per row) + their header -> typed frame.
     Parsing is ``from_csv`` on the JVM; no Python per row."""
-    names = dedupe_names(_split_fields(header))
-    ddl = ", ".join(f"`_c{i}` STRING" for i in range(len(names)))
-    parsed = lines.select(F.from_csv(qcol(value), ddl, _CSV_OPTIONS).alias("_r"))
-    raw = parsed.select(*[F.col("_r")[f"_c{i}"].alias(n) for i, n in enumerate(names)])
-    # from_csv keeps empty fields as empty strings; a CSV read makes them NULL
-    raw = raw.select(*[F.when(qcol(n) == "", None).otherwise(qcol(n)).alias(n) for n in names])
-    return infer_types(normalize_na(raw))
+    return infer_types(normalize_na(_fields(lines, header, value)))
 
 
 def _text_records(text: str) -> list[str]:
@@ -165,7 +182,7 @@ def _text_records(text: str) -> list[str]:
             out[-1] += "\n" + line
         else:
             out.append(line)
-        open_ ^= line.count('"') % 2 == 1
+        open_ = line_ends_open(line, open_)
     return out
 
 
@@ -197,19 +214,9 @@ def snapshot_text_chunks(spark: SparkSession, path: str) -> DataFrame:
     trimming); blank lines and blank chunks are dropped; chunks are numbered
     1.. in (file, position) order.  Returns ``(snapshot, name, is_header,
     value)`` where the first non-blank line of a chunk is its header."""
-    raw = with_position(spark.read.text(path))
-    # a line inside an open quoted field continues the record of the lines before it
-    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-    opened = running_count(raw, quotes, "_quotes")
-    starts = opened.withColumn("_start", F.col("_quotes") % 2 == 0)
-    delim = F.col("_start") & (F.trim(F.col("value")) == SNAPSHOT_DELIMITER)
-    marked = running_count(starts.withColumn("_delim", delim), F.col("_start"), "_record")
-    record = F.col("_record") + F.col("_start").cast("long")
-    counted = running_count(marked.withColumn("_rec", record), F.col("_delim"), "_chunk").filter(~F.col("_delim"))
-    joined = (counted.groupBy("_file", "_chunk", "_rec")
-              .agg(F.min("_pos").alias("_pos"), F.array_sort(F.collect_list(F.struct("_pos", "value"))).alias("_parts"))
-              .withColumn("value", F.array_join(F.transform("_parts", lambda x: x["value"]), "\n")).drop("_parts", "_rec"))
-    lines = joined.filter(F.trim(F.col("value")) != "")
+    recs = csv_records(spark, path)
+    delim = F.trim(F.col("value")) == SNAPSHOT_DELIMITER
+    lines = running_count(recs, delim, "_chunk").filter(~delim & (F.trim(F.col("value")) != ""))
     first = lines.groupBy("_file", "_chunk").agg(F.min("_pos").alias("_hpos"))
     # one row per non-blank chunk: numbered in file / position order
     order = first.select("_file", "_chunk", "_hpos")
