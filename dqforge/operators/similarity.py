@@ -34,17 +34,32 @@ def rule_label(threshold: float) -> str:
 
 
 def comparisons(df: DataFrame, column1: str, column2: str, threshold: float = 0.8,
-                key: str | None = None) -> DataFrame:
+                key: str | None = None, min_similarity: float = 0.0) -> DataFrame:
     """L3: per-row detail: ``row_index, value1, value2, distance,
     similarity_ratio, is_similar``.  ``key`` names the row identifier; without
-    one a generated id is used (Spark rows have no inherent position)."""
+    one a generated id is used (Spark rows have no inherent position).
+
+    Rows below ``min_similarity`` are left out, and their distance is not worked out: it
+    ends as soon as the lengths or the distance so far leave the band (``band_distance``)."""
     v1, v2 = _text(column1), _text(column2)
     rid = qcol(key) if key else F.monotonically_increasing_id()
     base = df.select(rid.alias("row_index"), v1.alias("value1"), v2.alias("value2"))
-    d = F.levenshtein("value1", "value2")
-    return base.select("row_index", "value1", "value2", d.alias("distance"),
-                       ratio_expr(F.col("value1"), F.col("value2"), d).alias("similarity_ratio")) \
+    if min_similarity > 0:
+        base = base.withColumn("distance", band_distance("value1", "value2", min_similarity)).filter("distance >= 0")
+    else:
+        base = base.withColumn("distance", F.levenshtein("value1", "value2"))
+    out = base.select("row_index", "value1", "value2", "distance",
+                      ratio_expr(F.col("value1"), F.col("value2"), F.col("distance")).alias("similarity_ratio")) \
         .withColumn("is_similar", F.col("similarity_ratio") >= threshold)
+    return out.filter(F.col("similarity_ratio") >= min_similarity) if min_similarity > 0 else out
+
+
+def band_distance(a: str, b: str, min_similarity: float) -> Column:
+    """Edit distance of two columns, -1 where it is above what ``min_similarity`` allows (one more is
+    let through, so that rounding decides nothing here): only a band of the table of that width is
+    filled, and none where the lengths differ by more."""
+    longer = f"greatest(length({a}), length({b}))"
+    return F.expr(f"levenshtein({a}, {b}, CAST(floor((1 - {float(min_similarity)!r}D) * {longer}) AS INT) + 1)")
 
 
 def filter_band(details: DataFrame, min_similarity: float = 0.0,

@@ -97,7 +97,7 @@ class QualityChecker:
                                             key: str | None = None) -> DataFrame:
         """Per-row comparisons within the similarity band (3 dp)."""
         threshold = next((t for a, b, t in self.similarities if (a, b) == (column1, column2)), 0.8)
-        det = SM.comparisons(self.df, column1, column2, threshold, key=key)
+        det = SM.comparisons(self.df, column1, column2, threshold, key=key, min_similarity=min_similarity)
         return SM.filter_band(det, min_similarity, max_similarity)
 
     def get_comprehensive_results(self, title: str = "Data Quality Report") -> DataFrame:

@@ -126,7 +126,7 @@ SELECT row_index, value1, value2, CAST(distance AS INTEGER) AS distance,
        round_even(similarity_ratio, 3) AS similarity_ratio, similarity_ratio >= 0.8 AS is_similar
 FROM r WHERE similarity_ratio >= 0.3 AND similarity_ratio <= 0.9""")
 def similarity_band_part(spark, sf):
-    det = SM.comparisons(part_pairs(spark, sf), "p_brand", "p_brand2", 0.8, key="p_partkey")
+    det = SM.comparisons(part_pairs(spark, sf), "p_brand", "p_brand2", 0.8, key="p_partkey", min_similarity=0.3)
     return SM.filter_band(det, 0.3, 0.9)
 
 
