@@ -44,10 +44,11 @@ def comparisons(df: DataFrame, column1: str, column2: str, threshold: float = 0.
     v1, v2 = _text(column1), _text(column2)
     rid = qcol(key) if key else F.monotonically_increasing_id()
     base = df.select(rid.alias("row_index"), v1.alias("value1"), v2.alias("value2"))
+    d = band_distance("value1", "value2", min_similarity) if min_similarity > 0 else F.levenshtein("value1", "value2")
+    # a generated column is worked out once; a projected one would be again in every condition on it
+    base = base.select("*", F.explode(F.array(d)).alias("distance"))
     if min_similarity > 0:
-        base = base.withColumn("distance", band_distance("value1", "value2", min_similarity)).filter("distance >= 0")
-    else:
-        base = base.withColumn("distance", F.levenshtein("value1", "value2"))
+        base = base.filter("distance >= 0")
     out = base.select("row_index", "value1", "value2", "distance",
                       ratio_expr(F.col("value1"), F.col("value2"), F.col("distance")).alias("similarity_ratio")) \
         .withColumn("is_similar", F.col("similarity_ratio") >= threshold)
