@@ -25,13 +25,6 @@ def score_color(score: Column) -> Column:
     return _bands(score, K.SCORE_COLOR_BANDS, K.SCORE_COLOR_FLOOR)
 
 
-def confidence_label(completeness: Column) -> Column:
-    """>=95 High, >=90 Medium, else Low."""
-    return (F.when(completeness >= K.CONFIDENCE_HIGH, F.lit("High"))
-            .when(completeness >= K.CONFIDENCE_MEDIUM, F.lit("Medium"))
-            .otherwise(F.lit("Low")))
-
-
 def rule_title(rule: Column) -> Column:
     """H18 label: underscores to spaces, words capitalised."""
     return F.initcap(F.regexp_replace(rule, "_", " "))

@@ -40,16 +40,23 @@ CRITICAL_MAX_NULL_SHARE = 0.5
 CONFIDENCE_HIGH = 95
 CONFIDENCE_MEDIUM = 90
 CONFIDENCE_NEAR_PERFECT = 99
+REASON_THRESHOLD = "Meets quality threshold"
+REASON_EXCELLENT = "Excellent completeness"
+REASON_HIGH = "High completeness"
+REASON_NEAR_PERFECT = "Near-perfect completeness"
+REASON_LOW = "Low completeness (%.1f%%)"
+REASON_NULLS = "Too many null values"
 
 # ---- fixed values: similarity distribution buckets ------------------------
 SIMILARITY_BUCKETS = [("very_high", 0.9, None), ("high", 0.8, 0.9), ("medium", 0.6, 0.8),
                       ("low", 0.4, 0.6), ("very_low", None, 0.4)]
 
+# ---- fixed values: colours of the rule bars --------------------------------
+BAR_COLORS = [(90, "#28a745"), (75, "#17a2b8"), (50, "#ffc107")]
+BAR_COLOR_FLOOR = "#dc3545"
+
 # ---- fixed values: consistency scoring ------------------------------------
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-TEXT_SAMPLE_SIZE = 200       # values per text column in consistency scoring
-TYPE_SAMPLE_SIZE = 100       # values per text column in type labelling
-MINORITY_TYPE_SHARE = 0.1
 IQR_FACTOR = 1.5
 NUMERIC_CONSISTENCY_FLOOR = 70
 OUTLIER_PENALTY = 2
@@ -64,10 +71,8 @@ CASE_PENALTY = 0.1
 BOOLEAN_TEXT_VALUES = ["true", "false", "1", "0"]
 
 # ---- fixed values: history retention --------------------------------------
-HISTORY_KEEP = 100
 SNAPSHOTS_KEEP = 10
 SNAPSHOT_SAMPLE_ROWS = 1000
-RECENT_HISTORY_ROWS = 10
 TOP_VALUES_FOR_SETS = 20
 SAMPLE_VALUES = 5
 PREVIEW_ROWS = 10
@@ -113,7 +118,6 @@ RULE_DESCRIPTIONS = {
     "levenshtein similarity": "Measures text similarity between two columns using Levenshtein distance. Identifies exact matches, values within similarity threshold, and potential data entry variations.",
 }
 DEFAULT_RULE_DESCRIPTION = "Validates data quality according to specified business rules."
-RANGE_FALLBACK_DESCRIPTION = "Validates that values fall within acceptable bounds."
 
 # ---- fixed values: type labels --------------------------------------------
 TYPE_DATETIME = "Date/Time"
@@ -122,6 +126,5 @@ TYPE_INTEGER = "Integer"
 TYPE_DECIMAL = "Decimal"
 TYPE_NUMERIC = "Numeric"
 TYPE_TEXT = "Text/String"
-TYPE_CATEGORY = "Category"
 TYPE_OTHER = "Other"
 TYPE_UNKNOWN = "Unknown"

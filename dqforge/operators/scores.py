@@ -16,9 +16,6 @@ from ..functions import constants as K
 from ..functions.bands import health_status, rule_description, rule_title
 from ..functions.ordered import ordered_mean
 
-BAR_COLORS = [(90, "#28a745"), (75, "#17a2b8"), (50, "#ffc107")]  # fixed values
-BAR_COLOR_FLOOR = "#dc3545"
-
 
 def r1(c: Column) -> Column:
     """Presentation rounding to 1 dp (half-even, as numpy)."""
@@ -56,14 +53,14 @@ def critical_suggestions(profile: DataFrame) -> DataFrame:
                    .otherwise(0)
                    + F.when(comp >= K.CONFIDENCE_NEAR_PERFECT, 1).otherwise(0)).otherwise(0)
     reasons = F.when(crit, F.array_compact(F.array(
-        F.lit("Meets quality threshold"),
-        F.when(comp >= K.CONFIDENCE_HIGH, F.lit("Excellent completeness"))
-        .when(comp >= K.CONFIDENCE_MEDIUM, F.lit("High completeness")),
-        F.when(comp >= K.CONFIDENCE_NEAR_PERFECT, F.lit("Near-perfect completeness"))))) \
+        F.lit(K.REASON_THRESHOLD),
+        F.when(comp >= K.CONFIDENCE_HIGH, F.lit(K.REASON_EXCELLENT))
+        .when(comp >= K.CONFIDENCE_MEDIUM, F.lit(K.REASON_HIGH)),
+        F.when(comp >= K.CONFIDENCE_NEAR_PERFECT, F.lit(K.REASON_NEAR_PERFECT))))) \
         .otherwise(F.array_compact(F.array(
             F.when(comp < K.CRITICAL_MIN_COMPLETENESS,
-                   F.format_string("Low completeness (%.1f%%)", comp)),
-            F.when(nulls >= total * K.CRITICAL_MAX_NULL_SHARE, F.lit("Too many null values")))))
+                   F.format_string(K.REASON_LOW, comp)),
+            F.when(nulls >= total * K.CRITICAL_MAX_NULL_SHARE, F.lit(K.REASON_NULLS)))))
     confidence = (F.when(comp >= K.CONFIDENCE_HIGH, F.lit("High"))
                   .when(comp >= K.CONFIDENCE_MEDIUM, F.lit("Medium")).otherwise(F.lit("Low")))
     return profile.select(
@@ -208,10 +205,10 @@ def bar_chart_data(results: DataFrame) -> DataFrame:
     """One bar per rule result: column, success rate, band and colour."""
     rate = F.col("success_rate")
     color = None
-    for lower, c in BAR_COLORS:
+    for lower, c in K.BAR_COLORS:
         color = F.when(rate >= lower, F.lit(c)) if color is None else color.when(rate >= lower,
                                                                                  F.lit(c))
-    color = color.otherwise(F.lit(BAR_COLOR_FLOOR))
+    color = color.otherwise(F.lit(K.BAR_COLOR_FLOOR))
     return results.select("seq", "column", rate.alias("success_rate"),
                           health_status(rate).alias("band"), color.alias("color"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ...functions import constants as K
 from ...operators import profile as PR
 from .q_profile import CUSTOMER_TEXT_SQL, customer_text
 
@@ -26,7 +27,7 @@ def _measures(c: str) -> str:
     low = f"(lower({c}) = {c} AND upper({c}) <> {c})"
     title = f"(upper(substr({c}, 1, 1)) || lower(substr({c}, 2)) = {c})"
     return f"""  SELECT '{c}' AS "column", COUNT(*) AS n,
-    COUNT(*) FILTER (WHERE contains({c}, '@') AND NOT regexp_matches({c}, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}$')) AS bad_email,
+    COUNT(*) FILTER (WHERE contains({c}, '@') AND NOT regexp_matches({c}, '{K.EMAIL_PATTERN}')) AS bad_email,
     COALESCE(bool_or(contains({c}, '@')), FALSE) OR contains(lower('{c}'), 'email') AS email_check,
     COUNT(*) FILTER (WHERE regexp_matches({c}, '^\\s') OR regexp_matches({c}, '\\s$')) AS ws,
     avg(length({c})) AS len_mean,

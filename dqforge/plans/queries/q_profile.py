@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions import constants as K
 from ...operators import profile as PR
 from ...sources.tables import table
 from .q_rowflags import ORDERS_NULLS_SQL, orders_nulls
@@ -26,7 +27,7 @@ ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_ord
 
 
 def _union(template: str, cols) -> str:
-    return "\n  UNION ALL\n".join(template.format(c=c, i=i) for i, c in enumerate(cols))
+    return "\n  UNION ALL\n".join(template.format(c=c, i=i, email=K.EMAIL_PATTERN) for i, c in enumerate(cols))
 
 
 # ---------------------------------------------------------- G1, G3, G4 ----
@@ -234,7 +235,7 @@ c AS (
 # text consistency from per-column counts (whole column, as the profile)
 TEXT_K_SQL = """  SELECT '{c}' AS "column",
     CAST(COUNT({c}) AS BIGINT) AS n,
-    COUNT(*) FILTER (WHERE contains({c}, '@') AND NOT regexp_matches({c}, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}$')) AS bad_email,
+    COUNT(*) FILTER (WHERE contains({c}, '@') AND NOT regexp_matches({c}, '{email}')) AS bad_email,
     bool_or(contains({c}, '@')) OR contains(lower('{c}'), 'email') AS email_check,
     COUNT(*) FILTER (WHERE regexp_matches({c}, '^\\s') OR regexp_matches({c}, '\\s$')) AS ws,
     avg(length({c})) AS len_mean,

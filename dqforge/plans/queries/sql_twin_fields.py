@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ...functions import constants as K
+
 
 def _text_k2(src: str, c: str) -> str:
     alpha = f"regexp_matches({c}, '^[A-Za-z]+$')"
@@ -16,7 +18,7 @@ def _text_k2(src: str, c: str) -> str:
               THEN CAST(up + low + title + mixed AS DOUBLE) * 0.1 ELSE 0.0 END AS case_issues
   FROM (SELECT COUNT({c}) AS n,
                COALESCE(bool_or(contains({c}, '@')), FALSE) AS bool_or_at,
-               COUNT(*) FILTER (WHERE contains({c}, '@') AND NOT regexp_matches({c}, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}$')) AS bad_email,
+               COUNT(*) FILTER (WHERE contains({c}, '@') AND NOT regexp_matches({c}, '{K.EMAIL_PATTERN}')) AS bad_email,
                avg(length({c})) AS len_mean,
                COUNT(*) FILTER (WHERE abs(length({c}) - (SELECT avg(length({c})) FROM {src}))
                                       > (SELECT avg(length({c})) FROM {src}) * 0.5) AS len_dev,
