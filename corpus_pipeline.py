@@ -29,8 +29,9 @@ PII_KEY = "surrogates-v1"
 
 
 def quality_stage(spark, docs, sf_dir):
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).filter(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
+    rows = quality.features(docs, stored=True)      # run() hands each stage a table
+    model = quality.fit(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(rows, model).filter(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
 
 
 def near_duplicate_stage(spark, docs, sf_dir):

@@ -10,8 +10,9 @@ seen, so scores are calibrated probabilities.
 
 The vectors are corpus statistics: every word of every document has one, from
 all of its contexts.  Blocks of documents send the sums around their distinct
-words to hash shards, and later get the sums of exactly their words back; no
-vocabulary is collected or broadcast.  Only the network has a bound, a parameter:
+words to hash shards, which answer each block with the totals of exactly its words;
+no vocabulary is collected, broadcast or stored.  A document's features (float32) are
+written once; the network learns from some and scores all.  Only the network has a bound, a parameter:
 at most ``max_rows`` labelled training rows (the smallest hashes of doc_id; 20,000).
 
 Only texts enter a score.  Labels are read from rows whose ``crc32(doc_id) mod 4``
@@ -88,187 +89,173 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Vectors:
-    """Word vectors of the vocabulary; look-up by hash."""
-
-    def __init__(self, words: np.ndarray, sums: np.ndarray):
-        order = np.argsort(words)
-        self.words = words[order]
-        norm = np.sqrt((sums.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
-        self.vectors = (sums / np.maximum(norm, 1))[order].astype(np.float32)
-        self.filter = np.zeros(1 << _BITS, bool)
-        self.filter[(self.words >> X.U(64 - _BITS)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray):
-        """(places, vocabulary rows) of the known words."""
-        at = np.flatnonzero(self.filter[(h >> X.U(64 - _BITS)).astype(np.int64)])
-        if not len(at) or not len(self.words):
-            return at[:0], at[:0]
-        j = np.minimum(np.searchsorted(self.words, h[at]), len(self.words) - 1)
-        same = self.words[j] == h[at]
-        return at[same], j[same]
+    """Unit word vectors of a block's own words; look-up by hash."""
+
+    def __init__(self, words: np.ndarray, vectors: np.ndarray):
+        self.words, self.vectors = words, vectors
 
     def features(self, column) -> np.ndarray:
         p = Parts(column)
         w = p.words
-        at, j = self.find(w.hash)
-        known = np.searchsorted(at, w.first)
+        j = np.searchsorted(self.words, w.hash)
         n = w.n[:, None]
-        mean = _sums(self.vectors[j], known) / np.maximum(np.diff(known)[:, None], 1)
-        out = [mean, np.diff(known)[:, None] / np.maximum(n, 1), np.log1p(n) / 10]
+        out = [_sums(self.vectors[j], w.first) / np.maximum(n, 1), np.log1p(n) / 10]
         for h, first in ((p.marks.hash, p.marks.first), (p.shape, w.first)):
             own, of = np.unique(h, return_inverse=True)
             out.append(_sums(index_vectors(own)[of], first) / (n + 1))
-        return np.concatenate(out, axis=1)
-
-
-def _around(words: np.ndarray, doc: np.ndarray, reach: int = 2):
-    """(distinct words, sums of the index vectors around each of them)."""
-    own, code = np.unique(words, return_inverse=True)
-    place = [(X.mix(own + X.U((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> X.U(58)).astype(np.int64) for i in range(4)]
-    total = np.zeros(len(own) * DIM, np.int64)
-    for step in range(1, reach + 1):
-        same = doc[:-step] == doc[step:]
-        left, right = code[:-step][same], code[step:][same]
-        for i, p in enumerate(place):
-            for at, other in ((left, right), (right, left)):
-                n = np.bincount(at * DIM + p[other], minlength=len(total))
-                total += n if i % 2 else -n
-    return own, total.reshape(-1, DIM)
-
-
-def _context_sums(batches, vocabulary, parts: int, reach: int = 2):
-    """Per batch: the summed index vectors around each word of a list, one row for a word."""
-    for batch in batches:
-        for part in X.pieces(batch):
-            w = Parts(part.column("text")).words
-            own, total = _around(w.hash, w.doc, reach)
-            use = np.flatnonzero(np.isin(own, vocabulary.value) & total.any(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(use % parts), pa.array(X.shift_all(own[use])),
-                 pa.array([v.astype(np.int32).tobytes() for v in total[use]], pa.binary())], names=["part", "word", "sums"])
+        return np.concatenate(out, axis=1).astype(np.float32)
+
+
+class Contexts:
+    """The words of a block of texts: ``own`` are the distinct ones in order."""
+
+    def __init__(self, words: np.ndarray, doc: np.ndarray):
+        self.own, code = np.unique(words, return_inverse=True)
+        self.code, self.doc = code.astype(np.int32), doc
+        self.order = np.argsort(self.code, kind="stable")
+        self.start = np.r_[0, np.cumsum(np.bincount(self.code, minlength=len(self.own)))]
+        self.place = [(X.mix(self.own + X.U((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> X.U(58)).astype(np.int64) for i in range(4)]
+
+    def around(self, lo: int, hi: int, reach: int = 2) -> np.ndarray:
+        """Sums of the index vectors around ``own[lo:hi]``; memory goes with ``hi - lo`` and their places."""
+        at = self.order[self.start[lo]:self.start[hi]]
+        total = np.zeros((hi - lo) * DIM, np.int64)
+        for step in (*range(-reach, 0), *range(1, reach + 1)):
+            other = np.clip(at + step, 0, len(self.code) - 1)
+            same = (other == at + step) & (self.doc[other] == self.doc[at])
+            row, near = (self.code[at[same]].astype(np.int64) - lo) * DIM, self.code[other[same]]
+            for i, p in enumerate(self.place):
+                n = np.bincount(row + p[near], minlength=len(total))
+                if i % 2:
+                    total += n
+                else:
+                    total -= n
+        return total.reshape(-1, DIM)
 
 
 def _pack_sums(total: np.ndarray) -> bytes:
-    return _pack(((total << 1) ^ (total >> 63)).view(X.U).ravel())      # small numbers of either sign have zero bytes
+    z = ((total << 1) ^ (total >> 63)).view(X.U).ravel()                # small numbers of either sign have zero bytes
+    size = next(k for k in (1, 2, 4, 8) if k == 8 or not z.size or int(z.max()) >> (8 * k) == 0)
+    return bytes([size]) + _pack(z.astype(f"u{size}"))
 
 
 def _unpack_sums(b: bytes) -> np.ndarray:
-    z = _unpack(b, X.U)
+    z = _unpack(b[1:], np.dtype(f"u{b[0]}")).astype(X.U)
     return ((z >> X.U(1)).view(np.int64) ^ -(z & X.U(1)).view(np.int64)).reshape(-1, DIM)
 
 
-def _sharded(own: np.ndarray, shards: int):
-    cuts = _shard_cuts(own, shards)
-    return [(s, cuts[s], cuts[s + 1]) for s in range(shards) if cuts[s + 1] > cuts[s]]
+def _blocks(batches, text: str, block_bytes: int):
+    """(block, pieces) for rows in the order of the partition: pieces of a megabyte, blocks of ``block_bytes`` of text."""
+    waiting, size, made, task = [], 0, 0, TaskContext.get().partitionId()
+    for batch in batches:
+        for part in X.pieces(batch, text, 1 << 20):
+            waiting.append(part)
+            size += part.column(text).nbytes
+            if size >= block_bytes:
+                yield (task << 32) + made, waiting
+                waiting, size, made = [], 0, made + 1
+    if waiting:
+        yield (task << 32) + made, waiting
 
 
-def _send_sums(batches, shards: int, block_bytes: int):
-    """Per block of texts and shard: distinct words and the sums around them."""
-    words, docs, size, rows = [], [], 0, 0
+def _send_rows(batches, text: str, block_bytes: int):
+    """Blocks as compressed Arrow streams."""
+    for block, parts in _blocks(batches, text, block_bytes):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in parts:
+                out.write_batch(part)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
-    def flush():
-        own, total = _around(np.concatenate(words), np.concatenate(docs))
-        for s, lo, hi in _sharded(own, shards):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([_pack_sorted(own[lo:hi])], pa.binary()),
-                                              pa.array([_pack_sums(total[lo:hi])], pa.binary())], names=["shard", "words", "sums"])
 
-    for batch in batches:
-        for part in X.pieces(batch):
-            w = X.Words(*X.utf8(part.column("text")), _WORD)
+def _send_sums(batches, text: str, shards: int, block_bytes: int):
+    """Per block and shard: distinct words and the sums around them."""
+    for block, parts in _blocks(batches, text, block_bytes):
+        words, docs, rows = [], [], 0
+        for part in parts:
+            w = X.Words(*X.utf8(part.column(text)), _WORD)
             words.append(w.hash)
-            docs.append(w.doc + rows)
-            rows, size = rows + part.num_rows, size + len(w.bytes)
-            if size >= block_bytes:
-                yield from flush()
-                words, docs, size, rows = [], [], 0, 0
-    if words:
-        yield from flush()
+            docs.append((w.doc + rows).astype(np.int32))
+            rows += part.num_rows
+        del parts[:]
+        around = Contexts(np.concatenate(words), np.concatenate(docs))
+        del words, docs
+        cuts = _shard_cuts(around.own, shards)
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            lo, hi = cuts[s], cuts[s + 1]
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([block], pa.int64()), pa.array([_pack_sorted(around.own[lo:hi])], pa.binary()),
+                                              pa.array([_pack_sums(around.around(lo, hi))], pa.binary())], names=["shard", "block", "words", "sums"])
 
 
 def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard: its words in order, with their sums over all blocks."""
+    """One shard: the sums of its words over all blocks, told to each block for its own words."""
     sent = [_unpack_sorted(b) for b in pdf["words"]]
     own = np.unique(np.concatenate(sent))
     total = np.zeros((len(own), DIM), np.int64)
-    for words, sums in zip(sent, pdf["sums"]):
-        total[np.searchsorted(own, words)] += _unpack_sums(sums)         # a block names a word once
-    return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "words": [_pack_sorted(own)], "sums": [_pack_sums(total)]})
-
+    at = [np.searchsorted(own, words).astype(np.int32) for words in sent]
+    del sent
+    for j, sums in zip(at, pdf["sums"]):
+        total[j] += _unpack_sums(sums)                                  # a block names a word once
+    return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "words": pdf["words"], "sums": [_pack_sums(total[j]) for j in at]})
 
-class WordTable:
-    """Context sums of all words of a corpus, one row for each hash shard."""
 
-    def __init__(self, texts: DataFrame, block_bytes: int = 24 << 20, shard_bytes: int = 64 << 20):
-        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.shards = shards = max(8, -(-size // shard_bytes))
-        self.rows = kept(texts.select("text").mapInArrow(lambda it: _send_sums(it, shards, block_bytes), "shard long, words binary, sums binary")
-                         .groupBy("shard").applyInPandas(_add_up, "shard long, words binary, sums binary"), "quality-words")
+def context_sums(plain: DataFrame, text: str, block_bytes: int, shard_bytes: int = 64 << 20) -> DataFrame:
+    """(block, shard, words, sums): for each block its words of a shard, with their sums over all documents."""
+    size = plain.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))))).first()[0] or 0
+    shards = max(8, -(-size // shard_bytes))
+    return (plain.mapInArrow(lambda it: _send_sums(it, text, shards, block_bytes), "shard long, block long, words binary, sums binary")
+            .groupBy("shard").applyInPandas(_add_up, "block long, shard long, words binary, sums binary"))
 
 
-def _blocks(batches, text: str, block_bytes: int):
-    """Rows packed into blocks as compressed Arrow streams."""
-    waiting, size, made, task = [], 0, 0, TaskContext.get().partitionId()
-
-    def flush():
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, waiting[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for part in waiting:
-                out.write_batch(part)
-        return pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                                          names=["block", "rows"])
-
-    for batch in batches:
-        for part in X.pieces(batch, text, 1 << 20):
-            waiting.append(part)
-            size += part.nbytes
-            if size >= block_bytes:
-                yield flush()
-                waiting, size, made = [], 0, made + 1
-    if waiting:
-        yield flush()
+class Featured:
+    """Rows with the features of their text: ``rows`` has the columns under plain names (c0, c1, ...) and
+    ``features`` (float32); ``names`` are the columns' own names."""
 
+    def __init__(self, rows: DataFrame, names: list[str]):
+        self.rows, self.names = rows, names
 
-def _parts_of(rows: bytes):
-    return pa.ipc.open_stream(pa.py_buffer(rows))
 
+def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, stored: bool = False,
+             block_bytes: int = 24 << 20) -> Featured:
+    """The rows of ``docs`` (columns ``keep``, by default all) with their features, written once.
 
-def _ask(batches, text: str, shards: int):
-    for batch in batches:
-        for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows")):
-            seen = [np.unique(X.Words(*X.utf8(part.column(text)), _WORD).hash) for part in _parts_of(rows.as_py())]
-            own = np.unique(np.concatenate(seen))
-            for s, lo, hi in _sharded(own, shards):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([block], pa.int64()), pa.array([_pack_sorted(own[lo:hi])], pa.binary())],
-                                                 names=["shard", "block", "words"])
-
-
-def _answer(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    if len(asked) and len(table):
-        own, sums = _unpack_sorted(table["words"].iloc[0]), _unpack_sums(table["sums"].iloc[0])
-        for block, words in zip(asked["block"], asked["words"]):
-            words = _unpack_sorted(words)
-            j = np.minimum(np.searchsorted(own, words), len(own) - 1)
-            known = own[j] == words
-            if known.any():
-                out.append((block, _pack_sorted(words[known]), _pack_sums(sums[j[known]])))
-    return pd.DataFrame(out, columns=["block", "words", "sums"])
-
-
-def _with_vectors(plain: DataFrame, text: str, table: WordTable, finish, schema: str, block_bytes: int = 16 << 20) -> DataFrame:
-    """``finish(rows, features)`` over all rows; blocks get the vectors of their own words."""
-    blocks = kept(plain.mapInArrow(lambda it: _blocks(it, text, block_bytes), "block long, rows binary"), "quality-blocks", "uncompressed")
-    shards = table.shards
-    answers = (blocks.mapInArrow(lambda it: _ask(it, text, shards), "shard long, block long, words binary").groupBy("shard")
-               .cogroup(table.rows.groupBy("shard")).applyInPandas(_answer, "block long, words binary, sums binary"))
-
-    def job(own: pa.Table, got: pa.Table) -> pa.Table:
-        words = [_unpack_sorted(b) for b in got.column("words").to_pylist()]
-        sums = [_unpack_sums(b) for b in got.column("sums").to_pylist()]
-        vectors = Vectors(np.concatenate([np.zeros(0, X.U), *words]), np.concatenate([np.zeros((0, DIM), np.int64), *sums]))
-        return pa.Table.from_batches([finish(part, vectors.features(part.column(text)))
-                                      for rows in own.column("rows").to_pylist() for part in _parts_of(rows)])
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(job, schema)
+    Blocks are cut twice, for the sums and for the features, so both readings must give the same rows
+    in the same partitions: ``stored`` says that ``docs`` is a plain scan of files, which does; all
+    else is written to a table first.  A block whose words differ fails with ``RuntimeError``."""
+    names = docs.columns
+    # columns go through Arrow under plain names, whatever they are called
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index(text_col)}"
+    wanted = [i for i, c in enumerate(names) if keep is None or c in keep]
+    own = [f"c{i}" for i in wanted]
+    kinds = "".join(f"c{i} {docs.schema.fields[i].dataType.simpleString()}, " for i in wanted)
+    plain = plain.select(*dict.fromkeys([*own, text]))
+    if not stored:
+        plain = kept(plain, "quality-documents")
+    told = context_sums(plain, text, block_bytes)
+
+    def job(rows: pa.Table, got: pa.Table) -> pa.Table:
+        streams = [pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in rows.column("rows").to_pylist()]
+        parts = [part for stream in streams for part in stream.to_batches()]
+        order = np.argsort(got.column("shard").to_numpy())
+        words = [_unpack_sorted(got.column("words")[int(i)].as_py()) for i in order]
+        words = np.concatenate([np.zeros(0, X.U), *words])
+        vectors, at = np.empty((len(words), DIM), np.float32), 0
+        for i in order:
+            sums = _unpack_sums(got.column("sums")[int(i)].as_py()).astype(np.float64)
+            vectors[at:at + len(sums)] = sums / np.maximum(np.sqrt((sums ** 2).sum(axis=1, keepdims=True)), 1)
+            at += len(sums)
+        present = [np.unique(X.Words(*X.utf8(part.column(text)), _WORD).hash) for part in parts]
+        if not np.array_equal(np.unique(np.concatenate([np.zeros(0, X.U), *present])), words):
+            raise RuntimeError("the documents were not the same when they were read again")
+        known = Vectors(words, vectors)
+        kind = pa.schema([*(parts[0].schema.field(c) for c in own), pa.field("features", pa.binary())])
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(
+            [*(part.column(c) for c in own), pa.array([r.tobytes() for r in known.features(part.column(text))], pa.binary())], schema=kind) for part in parts])
+
+    blocks = plain.mapInArrow(lambda it: _send_rows(it, text, block_bytes), "block long, rows binary")
+    rows = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(job, f"{kinds}features binary")
+    return Featured(kept(rows, "quality-features"), [names[i] for i in wanted])
 
 
 class Network:
@@ -313,54 +300,42 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -40, 40)))
 
 
-def _feature_rows(part, features):
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([r.tobytes() for r in features], pa.binary())],
-                                      names=["doc_id", "label", "features"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_fold: int = 2,
-        max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text"):
-    """(word table of all documents, network learned from at most ``max_rows`` labelled rows that are not held out)."""
+def fit(rows: Featured, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_fold: int = 2,
+        max_rows: int = 20_000, id_col: str = "doc_id") -> Network:
+    """The network learned from at most ``max_rows`` labelled rows that are not held out."""
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     picked = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
               .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder != held_fold))
               .groupBy("doc_id").agg(F.avg("label").alias("label")).filter("label != 0.5")
               .select("doc_id", (F.col("label") > 0.5).cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # at most max_rows ids and labels are broadcast
-    sample = kept(texts.join(F.broadcast(picked), "doc_id")
-                  .groupBy("doc_id", "label").agg(F.min("text").alias("text")), "quality-sample")
-    table = WordTable(texts)
-    rows = (_with_vectors(sample, "text", table, _feature_rows, "doc_id long, label int, features binary")
-            .toPandas().sort_values("doc_id"))
-    x = np.frombuffer(b"".join(rows["features"]), np.float64).reshape(len(rows), -1 if len(rows) else 1)
-    check = (X.mix(rows["doc_id"].to_numpy(np.int64).view(X.U)) % X.U(5) == 0) if len(rows) else np.zeros(0, bool)
-    return table, Network(x, rows["label"].to_numpy(np.int64), check)
-
-
-def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with the probability of label 1 as ``__score``; ``keep`` names the columns to
-    return beside it (all of them by default)."""
-    table, network = model
-    names = docs.columns
-    # columns go through Arrow under plain names, whatever they are called
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = f"c{names.index(text_col)}"
-    wanted = [i for i, c in enumerate(names) if keep is None or c in keep]
-    kinds = "".join(f"c{i} {docs.schema.fields[i].dataType.simpleString()}, " for i in wanted)
-    own = [f"c{i}" for i in wanted]
+    found = (rows.rows.select(F.col(rows.rows.columns[rows.names.index(id_col)]).cast("long").alias("doc_id"), "features")
+             .join(F.broadcast(picked), "doc_id")                       # at most max_rows ids and labels
+             .groupBy("doc_id", "label").agg(F.min("features").alias("features")).toPandas().sort_values("doc_id"))
+    x = np.frombuffer(b"".join(found["features"]), np.float32).reshape(len(found), -1 if len(found) else 1).astype(np.float64)
+    check = (X.mix(found["doc_id"].to_numpy(np.int64).view(X.U)) % X.U(5) == 0) if len(found) else np.zeros(0, bool)
+    return Network(x, found["label"].to_numpy(np.int64), check)
+
+
+def score(rows: Featured, network: Network) -> DataFrame:
+    """The rows with the probability of label 1 as ``__score``, the last column."""
+    plain = rows.rows.columns[:-1]
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.rows.schema.fields[:-1])
 
-    def finish(part, features):
-        return pa.RecordBatch.from_arrays([part.column(c) for c in own] + [pa.array(network.probabilities(features))], names=[*own, "__score"])
-    return _with_vectors(plain, text, table, finish, f"{kinds}__score double").toDF(*[names[i] for i in wanted], "__score")
+    def job(batches):
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("features").to_pylist()), np.float32).reshape(batch.num_rows, -1 if batch.num_rows else 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(network.probabilities(x.astype(np.float64)))],
+                                             names=[*plain, "__score"])
+    return rows.rows.mapInArrow(job, f"{kinds}__score double").toDF(*rows.names, "__score")
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4, held_fold: int = 2, **fitting) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4, held_fold: int = 2,
+            stored: bool = False, **fitting) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
-    model = fit(docs, labels, folds=folds, held_fold=held_fold, **fitting)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    rows = features(source, keep=["doc_id"], stored=stored)
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
-    return score(source, model, keep=["doc_id"]).select(
+    return score(rows, fit(rows, labels, folds=folds, held_fold=held_fold, **fitting)).select(
         "doc_id", F.coalesce(remainder == held_fold, F.lit(False)).alias("held_out"), F.col("__score").alias("score"),
         (F.col("__score") >= threshold).cast("int").alias("predicted"))

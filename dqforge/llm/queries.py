@@ -107,7 +107,7 @@ def op6_sentencepiece(spark, sf):
 
 @register("op7_quality")
 def op7_quality(spark, sf):
-    return Q7.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return Q7.quality(table(spark, sf, "documents"), table(spark, sf, "labels"), stored=True)
 
 
 OP10_SQL = r"""
