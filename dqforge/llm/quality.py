@@ -216,7 +216,7 @@ class Featured:
 
 
 def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, stored: bool = False,
-             block_bytes: int = 24 << 20) -> Featured:
+             block_bytes: int = 64 << 20) -> Featured:
     """The rows of ``docs`` (columns ``keep``, by default all) with their features, written once.
 
     Blocks are cut twice, for the sums and for the features, so both readings must give the same rows
