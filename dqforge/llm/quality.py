@@ -26,9 +26,12 @@ each; without labels of both kinds the score is the smoothed share of label 1
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,13 +162,19 @@ def _blocks(batches, text: str, block_bytes: int):
 
 
 def _send_rows(batches, text: str, block_bytes: int):
-    """Blocks as compressed Arrow streams."""
+    """Blocks as Arrow streams, compressed with matches over the whole block (copies are often far apart)."""
+    packer = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, window_log=26, enable_ldm=True))
     for block, parts in _blocks(batches, text, block_bytes):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        sink = io.BytesIO()
+        with packer.stream_writer(sink, closefd=False) as packed, pa.ipc.new_stream(packed, parts[0].schema) as out:
             for part in parts:
                 out.write_batch(part)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue()], pa.binary())], names=["block", "rows"])
+
+
+def _parts_of(rows: bytes):
+    with zstandard.ZstdDecompressor(max_window_size=1 << 26).stream_reader(rows) as packed, pa.ipc.open_stream(packed) as stream:
+        yield from stream
 
 
 def _send_sums(batches, text: str, shards: int, block_bytes: int):
@@ -235,8 +244,7 @@ def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     told = context_sums(plain, text, block_bytes)
 
     def job(rows: pa.Table, got: pa.Table) -> pa.Table:
-        streams = [pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in rows.column("rows").to_pylist()]
-        parts = [part for stream in streams for part in stream.to_batches()]
+        parts = [part for b in rows.column("rows").to_pylist() for part in _parts_of(b)]
         order = np.argsort(got.column("shard").to_numpy())
         words = [_unpack_sorted(got.column("words")[int(i)].as_py()) for i in order]
         words = np.concatenate([np.zeros(0, X.U), *words])
