@@ -41,7 +41,7 @@ MALE_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Thomas"
               "José", "Carlos", "Juan", "Иван", "Сергей", "Дмитрий", "Γιώργος", "Νίκος"]
 FEMALE_NAMES = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Anna", "Ursula", "Monika", "Sabine", "Marie",
                 "Nathalie", "María", "Carmen", "Lucía", "Мария", "Елена", "Ольга", "Μαρία", "Ελένη"]
-_NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
+_NAME = r"\p{Lu}[\p{L}'’-]++"
 _ALT = lambda words: "|".join(w.replace(".", r"\.") for w in words)
 # a domain reaches to its last label that begins with two letters (punycode or letters), linear and without recursion
 _LABEL = r"[\p{L}\p{N}-]++"
@@ -50,11 +50,16 @@ _DOMAIN = (rf"{_LABEL}(?:{_SKIP}\.(?=\p{{L}}{{2}}){_LABEL}(?={_SKIP}\.\p{{L}}{{2
            r"\.(?:[xX][nN]--[\p{L}\p{N}]++(?:-++[\p{L}\p{N}]++)*+|\p{L}{2,}+)")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
+# The one- and two-digit country codes of telephone numbers (all others have three digits).
+_COUNTRY = (r"^\+(?:1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66"
+            r"|81|82|84|86|90|91|92|93|94|95|98|\d{3})")
+
 #: type -> pattern, in order of precedence
 PATTERNS = {
     "email": rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]++@{_DOMAIN}",
-    "secret": r"(?<![\p{L}\p{N}_-])(?:(?:sk|pk)[-_][A-Za-z0-9_-]{20,}+|(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}"
-              r"|gh[pousr]_[A-Za-z0-9]{36})(?![\p{L}\p{N}_]))",
+    "secret": r"(?<![\p{L}\p{N}_-])(?:(?:sk|pk)[-_][A-Za-z0-9_-]{20,}+|(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}"
+              r"|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+)(?![\p{L}\p{N}_])"
+              r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}+)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)(?!\p{{L}})",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
@@ -88,8 +93,8 @@ def _chars(c: Column) -> Column:
 
 
 def _country(s: Column) -> Column:
-    """Leading +country code of a phone number ('' if there is none)."""
-    return F.regexp_extract(s, r"^\+\d{1,3}(?=[ .(-])", 0)
+    """Leading +country code of a phone number ('' if there is none), separated or not."""
+    return F.regexp_extract(s, _COUNTRY, 0)
 
 
 def _name_parts(s: Column):
@@ -159,7 +164,7 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
     octets = F.array_join(F.transform(F.split(canonical, r"\."), lambda c, i: (at(i, 254) + 1).cast("string")), ".")
     top = F.regexp_extract(canonical, r"\.[^.]*$", 0)
     hexed = F.array_join(F.transform(_chars(canonical), lambda c, i: F.substring(F.lit("0123456789abcdef"), (at(i, 16) + 1).cast("int"), F.lit(1))), "")
-    prefix = F.regexp_extract(canonical, r"^(?:(?:sk|pk)[-_]|AKIA|gh[pousr]_)", 0)
+    prefix = F.regexp_extract(canonical, r"^(?:(?:sk|pk)[-_]|AKIA|ASIA|gh[pousr]_|github_pat_|eyJ)", 0)
     rest = lambda s, p: F.substring(s, F.char_length(p) + 1, F.char_length(s))
     secret = (F.when(canonical.rlike("^[0-9a-f]+$"), hexed).when(canonical.rlike("^[0-9A-F]+$"), F.upper(hexed))
               .otherwise(F.concat(prefix, spelled(rest(canonical, prefix)))))
@@ -250,18 +255,20 @@ def surrogate_table(found: DataFrame, key: str, rounds: int = 30) -> DataFrame:
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with every mention replaced; all columns stay as they are, plus ``__mentions``
     (number of mentions replaced) as the last one."""
-    text = F.col(f"`{text_col}`")
-    base = docs.withColumn("__found", F.coalesce(mentions(text), F.array().cast("array<string>")))
-    touched = base.filter(F.size("__found") > 0).withColumn("__at", F.md5(text.cast("binary")))
-    named = touched.select("__at", F.explode(F.array_distinct(F.flatten(F.transform("__found", entities)))).alias("entity")).distinct()
+    names = docs.columns
+    own, text = [f"c{i}" for i in range(len(names))], F.col(f"c{names.index(text_col)}")
+    # the one search of all texts; only texts with mentions are read beside it again
+    base = kept(docs.toDF(*own).withColumn("found", F.coalesce(mentions(text), F.array().cast("array<string>"))), "pii-mentions")
+    touched = base.filter(F.size("found") > 0).withColumn("at", F.md5(text.cast("binary")))
+    named = touched.select("at", F.explode(F.array_distinct(F.flatten(F.transform("found", entities)))).alias("entity")).distinct()
     named = kept(named, "pii-found")
     table = surrogate_table(named.select("entity").distinct(), key)
-    maps = (named.join(table, "entity").groupBy(F.col("__at").alias("__of"))
-            .agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("__map")))
+    maps = (named.join(table, "entity").groupBy(F.col("at").alias("of"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("map")))
     gaps = F.split(text, ANY, -1)
-    parts = F.zip_with(gaps, F.transform("__found", lambda s: render(s, F.col("__map"))),
+    parts = F.zip_with(gaps, F.transform("found", lambda s: render(s, F.col("map"))),
                        lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-    columns = [F.array_join(parts, "").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    changed = touched.join(maps, F.col("__at") == F.col("__of")).select(*columns, F.size("__found").alias("__mentions"))
-    same = base.filter(F.size("__found") == 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias("__mentions"))
-    return changed.unionByName(same)
+    columns = [F.array_join(parts, "").alias(c) if n == text_col else F.col(c) for c, n in zip(own, names)]
+    changed = touched.join(maps, F.col("at") == F.col("of")).select(*columns, F.size("found").alias("mentions"))
+    same = base.filter(F.size("found") == 0).select(*own, F.lit(0).alias("mentions"))
+    return changed.unionByName(same).toDF(*names, "__mentions")
