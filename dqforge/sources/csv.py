@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from ..functions.names import qcol
 from ..functions import constants as K
 from ..functions import predicates as P
-from ..functions.prefix import running_count
 from .records import csv_records, line_ends_open
 
 BOOL_TOKENS = ["True", "False", "TRUE", "FALSE", "true", "false"]
@@ -139,12 +138,11 @@ def read_csv_text_columns(spark: SparkSession, path: str, multiline: bool = Fals
 def _multiline_text_columns(spark: SparkSession, path: str) -> DataFrame:
     """The first record of every file is its header; the first file's names the columns."""
     recs = csv_records(spark, path).filter(F.trim("value") != "")
-    heads = recs.groupBy("_file").agg(F.min("_pos").alias("_head"), F.min_by("value", "_pos").alias("_names"))
-    first = heads.orderBy("_file").limit(1).collect()
-    if not first:
+    heads = recs.groupBy("_file").agg(F.min("_pos").alias("_head"), F.min_by("value", "_pos").alias("_names")).collect()  # one row a file
+    if not heads:
         return spark.createDataFrame([], T.StructType([]))
-    data = recs.join(heads.select("_file", "_head"), "_file").filter(F.col("_pos") != F.col("_head"))
-    return _fields(data, first[0]["_names"], "value")
+    data = recs.filter(~F.col("_pos").isin([h["_head"] for h in heads]))
+    return _fields(data, min(heads, key=lambda h: h["_file"])["_names"], "value")
 
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -207,52 +205,60 @@ def read_snapshot_files(spark: SparkSession, paths: list[str]) -> list[tuple[str
 
 
 # --------------------------------------------------------------- S6 -------
-def snapshot_text_chunks(spark: SparkSession, path: str) -> DataFrame:
+def _text_lines(spark: SparkSession, path: str, one_text: bool) -> tuple[DataFrame, list]:
+    """The non-blank records with their place and chunk, and one row per non-blank chunk, in order."""
+    delim = F.trim(F.col("value")) == SNAPSHOT_DELIMITER
+    recs = csv_records(spark, path, delim, one_text).withColumnRenamed("_before", "_chunk")
+    lines = recs.filter(~delim & (F.trim(F.col("value")) != ""))
+    heads = lines.groupBy("_file", "_chunk").agg(F.min("_pos").alias("_hpos"), F.min_by("value", "_pos").alias("value")).collect()
+    return lines, sorted(heads, key=lambda h: (h["_file"], h["_chunk"]))
+
+
+def _numbered(lines: DataFrame, heads: list) -> DataFrame:
+    order = lines.sparkSession.createDataFrame([(h["_file"], h["_chunk"], h["_hpos"], i) for i, h in enumerate(heads, 1)],
+                                               "_file string, _chunk long, _hpos long, snapshot int")
+    j = lines.join(F.broadcast(order), ["_file", "_chunk"])      # one row per snapshot
+    return j.select("snapshot", F.concat(F.lit("Pasted_Snapshot_"), F.col("snapshot").cast("string"))
+                    .alias("name"), (F.col("_pos") == F.col("_hpos")).alias("is_header"), "value")
+
+
+def snapshot_text_chunks(spark: SparkSession, path: str, one_text: bool = False) -> DataFrame:
     """S6, distributed: lines of multi-snapshot text files with their chunk.
 
     Chunks are separated by lines equal to ``---SNAPSHOT---`` (after
     trimming); blank lines and blank chunks are dropped; chunks are numbered
-    1.. in (file, position) order.  Returns ``(snapshot, name, is_header,
-    value)`` where the first non-blank line of a chunk is its header."""
-    recs = csv_records(spark, path)
-    delim = F.trim(F.col("value")) == SNAPSHOT_DELIMITER
-    lines = running_count(recs, delim, "_chunk").filter(~delim & (F.trim(F.col("value")) != ""))
-    first = lines.groupBy("_file", "_chunk").agg(F.min("_pos").alias("_hpos"))
-    # one row per non-blank chunk: numbered in file / position order
-    order = first.select("_file", "_chunk", "_hpos")
-    from pyspark.sql import Window
-    w = Window.orderBy("_file", "_chunk")  # one row per snapshot: tiny
-    order = order.withColumn("snapshot", F.row_number().over(w))
-    j = lines.join(order, ["_file", "_chunk"])
-    return j.select("snapshot", F.concat(F.lit("Pasted_Snapshot_"), F.col("snapshot").cast("string"))
-                    .alias("name"), (F.col("_pos") == F.col("_hpos")).alias("is_header"), "value")
+    1.. in (file, position) order.  With ``one_text`` the files are, by name, the
+    parts of one text and a chunk may run over several.  Returns ``(snapshot, name,
+    is_header, value)`` where the first non-blank line of a chunk is its header."""
+    return _numbered(*_text_lines(spark, path, one_text))
 
 
-def snapshot_text_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def snapshot_text_records(spark: SparkSession, path: str, one_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """S6 -> the snapshot record and schema tables of ``operators.history``.
 
     Headers (one per snapshot) come to the driver; the data lines are parsed,
     typed and exploded in one pass: the type of every (snapshot, column) is
     inferred by a grouped aggregate, then each value is rendered in the text
-    form of its type so that counting distinct values matches a typed read."""
+    form of its type so that counting distinct values matches a typed read.
+    ``one_text`` is that of ``snapshot_text_chunks``."""
     from ..operators.history import SCHEMA_TABLE
     from ..operators.profile import label_c
-    chunks = snapshot_text_chunks(spark, path)
-    heads = chunks.filter("is_header").select("snapshot", "name", "value").collect()
+    lines, heads = _text_lines(spark, path, one_text)
+    chunks = _numbered(lines, heads)
     header_rows = []
     width = 0
-    for h in heads:
+    for seq, h in enumerate(heads, 1):
         names = _split_fields(h["value"])
         width = max(width, len(names))
         for i, n in enumerate(names):
-            header_rows.append((h["snapshot"], h["name"], i, n))
+            header_rows.append((seq, f"Pasted_Snapshot_{seq}", i, n))
     hdr = spark.createDataFrame(header_rows, "snapshot int, name string, idx int, column string")
     ddl = ", ".join(f"`_c{i}` STRING" for i in range(width))
     data = chunks.filter(~F.col("is_header")).select(
         "snapshot", F.from_csv(F.col("value"), ddl, _CSV_OPTIONS).alias("_r"))
     cells = data.select("snapshot", F.posexplode(F.array(*[F.col("_r")[f"_c{i}"] for i in range(width)]))
                         .alias("idx", "v"))
-    cells = cells.join(hdr, ["snapshot", "idx"])  # drop fields beyond the header
+    cells = cells.join(F.broadcast(hdr), ["snapshot", "idx"])  # drop fields beyond the header
     cells = cells.withColumn("v", F.when(F.col("v").isin(K.NA_TOKENS) | (F.col("v") == ""), None)
                              .otherwise(F.col("v")))
     t = cells.groupBy("snapshot", "column").agg(*[e.alias(f"_k{j}") for j, e in
@@ -262,7 +268,7 @@ def snapshot_text_records(spark: SparkSession, path: str) -> tuple[DataFrame, Da
              for r in t.collect()}  # one row per (snapshot, column)
     type_rows = [(s, c, ty) for (s, c), ty in types.items()]
     tdf = spark.createDataFrame(type_rows, "snapshot int, column string, ty string")
-    cells = cells.join(tdf, ["snapshot", "column"])
+    cells = cells.join(F.broadcast(tdf), ["snapshot", "column"])
     ty = F.col("ty")
     v = F.col("v")
     canon = (F.when(ty == "double", v.cast("double").cast("string"))
