@@ -245,6 +245,6 @@ def snapshot_text_quoted_orders(spark, sf):
     edge = lambda kind, text: years.select("yr", F.lit(kind).alias("kind"), F.lit(-1).cast("bigint").alias("k"), F.lit(text).alias("value"))
     path = CS.scratch_dir(spark, "snapquoted")
     (data.unionByName(edge(0, "note")).unionByName(edge(2, CS.SNAPSHOT_DELIMITER))
-     .repartitionByRange(4, "yr").sortWithinPartitions("yr", "kind", "k").select("value").write.text(path))
-    recs, _ = CS.snapshot_text_records(spark, path)
+     .repartitionByRange("yr", "kind", "k").sortWithinPartitions("yr", "kind", "k").select("value").write.text(path))
+    recs, _ = CS.snapshot_text_records(spark, path, one_text=True)
     return recs.groupBy("seq", "column", "v").agg(F.count(F.lit(1)).alias("cnt")).select(F.col("seq").cast("bigint").alias("seq"), "column", "v", "cnt")
