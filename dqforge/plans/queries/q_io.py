@@ -139,9 +139,9 @@ def snapshot_text_orders(spark, sf):
                         F.lit(CS.SNAPSHOT_DELIMITER).alias("value"))
     path = CS.scratch_dir(spark, "snaptext")
     (data.unionByName(head).unionByName(tail)
-     .repartition(4, "yr").sortWithinPartitions("yr", "kind", "k")
-     .select("value").write.text(path))
-    recs, schema = CS.snapshot_text_records(spark, path)
+     .repartitionByRange("yr", "kind", "k").sortWithinPartitions("yr", "kind", "k")
+     .select("value").write.text(path))                       # one text in sorted parts
+    recs, schema = CS.snapshot_text_records(spark, path, one_text=True)
     t = HI.snapshot_table(recs, schema)
     return t.select("row_count", "column_count", "completeness", "uniqueness", "overall_score")
 
