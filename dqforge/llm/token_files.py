@@ -38,6 +38,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,12 +138,23 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.chunks:
             return [self._ids(t.decode()) for t in texts]
-        split = [t.split() for t in texts]
-        used = set().union(*split)
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        used = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE:
             self.known = {c: self.known[c] for c in used if c in self.known}
-        self._learn({c for c in used if c not in self.known})
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        found = list(map(self.known.get, used))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        self._learn({used[i] for i in missing if used[i]})
+        for i in missing:                              # white space at either end leaves an empty chunk
+            found[i] = self.known[used[i]] if used[i] else b""
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        code = coded.indices.to_numpy()
+        flat = np.frombuffer(b"".join(found), "<u4")
+        ids = flat[_ragged((np.cumsum(size) - size)[code], size[code])].tobytes()
+        chunks = np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy().astype(np.int64)])
+        ends = (np.r_[0, np.cumsum(size[code])][chunks] * 4).tolist()
+        return [ids[x:y] for x, y in zip(ends, ends[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
