@@ -11,7 +11,8 @@ seen, so scores are calibrated probabilities.
 The vectors are corpus statistics: every word of every document has one, from
 all of its contexts.  Blocks of documents send the sums around their distinct
 words to hash shards, which answer each block with the totals of exactly its words;
-no vocabulary is collected, broadcast or stored.  A document's features (float32) are
+no vocabulary is collected, broadcast or stored.  The texts themselves are not
+shuffled: the answers go to the partition that holds the block.  A document's features (float32) are
 written once; the network learns from some and scores all.  Only the network has a bound, a parameter:
 at most ``max_rows`` labelled training rows (the smallest hashes of doc_id; 20,000).
 
@@ -27,21 +28,24 @@ each; without labels of both kinds the score is the smoothed share of label 1
 from __future__ import annotations
 
 import io
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textops as X
 from .lm_scoring import _pack, _pack_sorted, _shard_cuts, _unpack, _unpack_sorted
 from .store import kept
 
 DIM = 64
-_BITS = 18
+_REACH = 2                     # words on either side that are a word's context
+_PLACES = 4                    # nonzero places of an index vector
 
 
 def _table(keep) -> np.ndarray:
@@ -55,12 +59,16 @@ _WORD = _table([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256
 _MARK = _table([b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)])
 
 
-def index_vectors(h: np.ndarray, ones: int = 4) -> np.ndarray:
+def _places(h: np.ndarray) -> list[np.ndarray]:
+    """Nonzero places of hashed words' index vectors: -1, 1, -1, 1 (added where they meet)."""
+    return [(X.mix(h + X.U((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> X.U(58)).astype(np.uint8) for i in range(_PLACES)]
+
+
+def index_vectors(h: np.ndarray) -> np.ndarray:
     """Sparse ternary vectors of hashed words."""
     out = np.zeros((len(h), DIM), np.int32)
-    for i in range(ones):
-        r = X.mix(h + X.U((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-        np.add.at(out, (np.arange(len(h)), (r >> X.U(58)).astype(np.int64)), 1 if i % 2 else -1)
+    for i, p in enumerate(_places(h)):
+        np.add.at(out, (np.arange(len(h)), p), 1 if i % 2 else -1)
     return out
 
 
@@ -79,79 +87,121 @@ class Parts:
         first = capital[w.start + 1] - capital[w.start] if len(w.start) else up
         # 1 has digits, 2 one capital first, 3 mostly capitals, 4 other capitals, 5 lower case; by length, too
         kind = np.where(digit[w.end] > digit[w.start], 1, np.where(up == 0, 5, np.where((n > 1) & (2 * up >= n), 3, np.where((up == 1) & (first == 1), 2, 4))))
-        self.shape = X.mix((kind * 8 + np.minimum(n // 4, 7)).astype(X.U))
+        self.shape = (kind * 8 + np.minimum(n // 4, 7)).astype(np.uint8)          # below SHAPES
 
 
-def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of rows ``first[i] .. first[i+1]-1``; empty runs are zero."""
-    out = np.zeros((len(first) - 1, values.shape[1]), np.float64)
-    has = np.flatnonzero(np.diff(first))
-    if len(has):
-        out[has] = np.add.reduceat(values, first[:-1][has], axis=0, dtype=np.float64)
-    return out
+SHAPES = X.mix(np.arange(48, dtype=X.U))
+
 
+def _index_sums(own: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the index vectors of ``own[code]`` over the runs ``first[i] .. first[i+1]-1``."""
+    n = len(first) - 1
+    row, total = np.repeat(np.arange(n) * DIM, np.diff(first)), np.zeros(n * DIM, np.int64)
+    for i, p in enumerate(_places(own)):
+        add = np.bincount(row + p[code], minlength=n * DIM)
+        total += add if i % 2 else -add
+    return total.reshape(n, DIM)
 
-class Vectors:
-    """Unit word vectors of a block's own words; look-up by hash."""
 
-    def __init__(self, words: np.ndarray, vectors: np.ndarray):
-        self.words, self.vectors = words, vectors
+class Texts:
+    """Texts in numbers: distinct words, each place's number among them, and what needs no word vectors."""
 
-    def features(self, column) -> np.ndarray:
+    def __init__(self, column):
         p = Parts(column)
-        w = p.words
-        j = np.searchsorted(self.words, w.hash)
-        n = w.n[:, None]
-        out = [_sums(self.vectors[j], w.first) / np.maximum(n, 1), np.log1p(n) / 10]
-        for h, first in ((p.marks.hash, p.marks.first), (p.shape, w.first)):
-            own, of = np.unique(h, return_inverse=True)
-            out.append(_sums(index_vectors(own)[of], first) / (n + 1))
-        return np.concatenate(out, axis=1).astype(np.float32)
+        self.own, code = np.unique(p.words.hash, return_inverse=True)
+        self.code, self.first, n = code.astype(np.int32), p.words.first, p.words.n[:, None]
+        self.total = np.zeros((len(n), DIM))
+        marks, mark = np.unique(p.marks.hash, return_inverse=True)
+        self.rest = np.concatenate([np.log1p(n) / 10, _index_sums(marks, mark, p.marks.first) / (n + 1),
+                                    _index_sums(SHAPES, p.shape, p.words.first) / (n + 1)], axis=1).astype(np.float32)
+
+    def add(self, vectors: np.ndarray, begin: int, most: int = 1 << 13) -> None:
+        """Add the ``vectors`` of the block's words from number ``begin`` on; ``own`` are numbers by now."""
+        lo, hi = np.searchsorted(self.own, [begin, begin + len(vectors)])
+        mine = vectors[self.own[lo:hi] - begin].astype(np.float64)
+        places = np.flatnonzero((self.code >= lo) & (self.code < hi))
+        code, first = self.code[places] - lo, np.searchsorted(places, self.first)
+        for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            for at in range(x, y, most):
+                self.total[i] += mine[code[at:min(at + most, y)]].sum(axis=0)
+
+    def features(self) -> np.ndarray:
+        mean = self.total / np.maximum(np.diff(self.first), 1)[:, None]
+        return np.concatenate([mean.astype(np.float32), self.rest], axis=1)
 
 
 class Contexts:
-    """The words of a block of texts: ``own`` are the distinct ones in order."""
-
-    def __init__(self, words: np.ndarray, doc: np.ndarray):
-        self.own, code = np.unique(words, return_inverse=True)
-        self.code, self.doc = code.astype(np.int32), doc
-        self.order = np.argsort(self.code, kind="stable")
-        self.start = np.r_[0, np.cumsum(np.bincount(self.code, minlength=len(self.own)))]
-        self.place = [(X.mix(self.own + X.U((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> X.U(58)).astype(np.int64) for i in range(4)]
-
-    def around(self, lo: int, hi: int, reach: int = 2) -> np.ndarray:
+    """The words of a block of texts, from (distinct words, each place's number among them, its row) of its
+    pieces: ``own`` are the distinct ones in order."""
+
+    def __init__(self, pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.own = np.unique(np.concatenate([own for own, _, _ in pieces]))
+        size = sum(len(code) for _, code, _ in pieces)
+        self.code, self.doc, at = np.zeros(size + 2 * _REACH, np.int32), np.full(size + 2 * _REACH, -1, np.int32), _REACH
+        for own, code, doc in pieces:
+            self.code[at:at + len(code)] = np.searchsorted(self.own, own).astype(np.int32)[code]
+            self.doc[at:at + len(code)] = doc
+            at += len(code)
+        inner = self.code[_REACH:_REACH + size]
+        self.order = np.argsort(inner, kind="stable").astype(np.int32) + np.int32(_REACH)
+        self.start = np.r_[0, np.cumsum(np.bincount(inner, minlength=len(self.own)))]
+        self.place = _places(self.own)
+
+    def around(self, lo: int, hi: int) -> np.ndarray:
         """Sums of the index vectors around ``own[lo:hi]``; memory goes with ``hi - lo`` and their places."""
         at = self.order[self.start[lo]:self.start[hi]]
-        total = np.zeros((hi - lo) * DIM, np.int64)
-        for step in (*range(-reach, 0), *range(1, reach + 1)):
-            other = np.clip(at + step, 0, len(self.code) - 1)
-            same = (other == at + step) & (self.doc[other] == self.doc[at])
-            row, near = (self.code[at[same]].astype(np.int64) - lo) * DIM, self.code[other[same]]
-            for i, p in enumerate(self.place):
-                n = np.bincount(row + p[near], minlength=len(total))
-                if i % 2:
-                    total += n
-                else:
-                    total -= n
+        row, doc = np.repeat(np.arange(hi - lo) * DIM, np.diff(self.start[lo:hi + 1])), self.doc[at]
+        total, near = np.zeros((hi - lo) * DIM, np.int64), []
+        for step in (*range(-_REACH, 0), *range(1, _REACH + 1)):
+            other = at + np.int32(step)
+            same = self.doc[other] == doc
+            near.append((row[same], self.code[other[same]]))
+        for sign, places in ((-1, self.place[::2]), (1, self.place[1::2])):
+            total += sign * np.bincount(np.concatenate([r + p[c] for r, c in near for p in places]), minlength=len(total))
         return total.reshape(-1, DIM)
 
 
 def _pack_sums(total: np.ndarray) -> bytes:
-    z = ((total << 1) ^ (total >> 63)).view(X.U).ravel()                # small numbers of either sign have zero bytes
-    size = next(k for k in (1, 2, 4, 8) if k == 8 or not z.size or int(z.max()) >> (8 * k) == 0)
-    return bytes([size]) + _pack(z.astype(f"u{size}"))
+    """Rows whose largest numbers have as many bits are compressed together, small numbers several a byte:
+    rare words' sums are mostly zeros and ones."""
+    z = ((total << 1) ^ (total >> 63)).view(X.U)                        # small numbers of either sign have zero bytes
+    bits = np.searchsorted(X.U(1) << np.arange(64, dtype=X.U), z.max(axis=1), side="right").astype(np.uint8)
+    parts = [_pack(bits)]
+    for k in np.unique(bits[bits > 0]).tolist():
+        rows = z[bits == k].astype(_kind(k))
+        parts.append(_pack(sum(rows[:, i::_share(k)] << i * (8 // _share(k)) for i in range(_share(k))).ravel()))
+    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def _kind(bits: int) -> np.dtype:
+    return np.dtype(f"u{next(k for k in (1, 2, 4, 8) if bits <= 8 * k)}")
+
+
+def _share(bits: int) -> int:
+    """Numbers of so many bits that share a byte."""
+    return 4 if bits <= 2 else 2 if bits <= 4 else 1
 
 
 def _unpack_sums(b: bytes) -> np.ndarray:
-    z = _unpack(b[1:], np.dtype(f"u{b[0]}")).astype(X.U)
-    return ((z >> X.U(1)).view(np.int64) ^ -(z & X.U(1)).view(np.int64)).reshape(-1, DIM)
+    n = int(np.frombuffer(b, "<u4", 1)[0])
+    at = 4 * (n + 1) + np.r_[0, np.cumsum(np.frombuffer(b, "<u4", n, 4))]
+    parts = [b[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+    bits = _unpack(parts[0], np.uint8)
+    z = np.zeros((len(bits), DIM), X.U)
+    for k, part in zip(np.unique(bits[bits > 0]).tolist(), parts[1:], strict=True):
+        rows, m = _unpack(part, _kind(k)).reshape(-1, DIM // _share(k)), _share(k)
+        full = np.empty((len(rows), DIM), rows.dtype)
+        for i in range(m):
+            full[:, i::m] = rows if m == 1 else rows >> i * (8 // m) & (1 << 8 // m) - 1
+        z[bits == k] = full
+    return (z >> X.U(1)).view(np.int64) ^ -(z & X.U(1)).view(np.int64)
 
 
 def _blocks(batches, text: str, block_bytes: int):
-    """(block, pieces) for rows in the order of the partition: pieces of a megabyte, blocks of ``block_bytes`` of text."""
+    """(block, pieces) for rows in the order of the partition: pieces of a quarter of a megabyte, blocks of ``block_bytes`` of text."""
     waiting, size, made, task = [], 0, 0, TaskContext.get().partitionId()
     for batch in batches:
-        for part in X.pieces(batch, text, 1 << 20):
+        for part in X.pieces(batch, text, 1 << 18):
             waiting.append(part)
             size += part.column(text).nbytes
             if size >= block_bytes:
@@ -161,39 +211,50 @@ def _blocks(batches, text: str, block_bytes: int):
         yield (task << 32) + made, waiting
 
 
-def _send_rows(batches, text: str, block_bytes: int):
-    """Blocks as Arrow streams, compressed with matches over the whole block (copies are often far apart)."""
-    packer = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, window_log=26, enable_ldm=True))
-    for block, parts in _blocks(batches, text, block_bytes):
-        sink = io.BytesIO()
-        with packer.stream_writer(sink, closefd=False) as packed, pa.ipc.new_stream(packed, parts[0].schema) as out:
-            for part in parts:
-                out.write_batch(part)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue()], pa.binary())], names=["block", "rows"])
+def _packed(parts: list[pa.RecordBatch]) -> bytes:
+    sink = io.BytesIO()
+    with zstandard.ZstdCompressor(level=1).stream_writer(sink, closefd=False) as packed, pa.ipc.new_stream(packed, parts[0].schema) as out:
+        for part in parts:
+            out.write_batch(part)
+    return sink.getvalue()
 
 
 def _parts_of(rows: bytes):
-    with zstandard.ZstdDecompressor(max_window_size=1 << 26).stream_reader(rows) as packed, pa.ipc.open_stream(packed) as stream:
+    with zstandard.ZstdDecompressor().stream_reader(rows) as packed, pa.ipc.open_stream(packed) as stream:
         yield from stream
 
 
+def _send_rows(batches, text: str, block_bytes: int):
+    """One row a partition that has any: its blocks as compressed Arrow streams."""
+    blocks, rows = [], []
+    for block, parts in _blocks(batches, text, block_bytes):
+        blocks.append(block)
+        rows.append(_packed(parts))
+    if blocks:
+        yield pa.RecordBatch.from_arrays([pa.array([blocks], pa.list_(pa.int64())), pa.array([rows], pa.list_(pa.binary()))], names=["blocks", "rows"])
+    del rows
+    X.release()
+
+
 def _send_sums(batches, text: str, shards: int, block_bytes: int):
-    """Per block and shard: distinct words and the sums around them."""
+    """Per block and shard: distinct words and the sums around them; at least one message a block."""
     for block, parts in _blocks(batches, text, block_bytes):
-        words, docs, rows = [], [], 0
+        pieces, rows = [], 0
         for part in parts:
             w = X.Words(*X.utf8(part.column(text)), _WORD)
-            words.append(w.hash)
-            docs.append((w.doc + rows).astype(np.int32))
+            own, code = np.unique(w.hash, return_inverse=True)
+            pieces.append((own, code.astype(np.int32), (w.doc + rows).astype(np.int32)))
             rows += part.num_rows
         del parts[:]
-        around = Contexts(np.concatenate(words), np.concatenate(docs))
-        del words, docs
+        around = Contexts(pieces)
+        del pieces
         cuts = _shard_cuts(around.own, shards)
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
+        for s in np.flatnonzero(np.diff(cuts)).tolist() or [block % shards]:
             lo, hi = cuts[s], cuts[s + 1]
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([block], pa.int64()), pa.array([_pack_sorted(around.own[lo:hi])], pa.binary()),
                                               pa.array([_pack_sums(around.around(lo, hi))], pa.binary())], names=["shard", "block", "words", "sums"])
+        del around
+        X.release()
 
 
 def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -205,17 +266,71 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     del sent
     for j, sums in zip(at, pdf["sums"]):
         total[j] += _unpack_sums(sums)                                  # a block names a word once
-    return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "words": pdf["words"], "sums": [_pack_sums(total[j]) for j in at]})
+    told = [_pack_sums(total[j]) for j in at]
+    del total, at
+    X.release()
+    return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "words": pdf["words"], "sums": told})
 
 
-def context_sums(plain: DataFrame, text: str, block_bytes: int, shard_bytes: int = 64 << 20) -> DataFrame:
-    """(block, shard, words, sums): for each block its words of a shard, with their sums over all documents."""
+def _shards(plain: DataFrame, text: str, shard_bytes: int = 16 << 20) -> int:
     size = plain.agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))))).first()[0] or 0
-    shards = max(8, -(-size // shard_bytes))
+    return max(8, -(-size // shard_bytes))
+
+
+def context_sums(plain: DataFrame, text: str, block_bytes: int, shards: int | None = None) -> DataFrame:
+    """(block, shard, words, sums): for each block its words of a shard, with their sums over all documents."""
+    shards = shards or _shards(plain, text)
     return (plain.mapInArrow(lambda it: _send_sums(it, text, shards, block_bytes), "shard long, block long, words binary, sums binary")
             .groupBy("shard").applyInPandas(_add_up, "block long, shard long, words binary, sums binary"))
 
 
+_CHANGED = "the documents were not the same when they were read again"
+def _paired(plain: DataFrame, text: str, block_bytes: int, shards: int) -> RDD:
+    """For each partition of ``plain`` that has rows: ((blocks, rows), (answers,)).  Both readings cut the same
+    blocks in the same partitions, so the answers are sent there and the texts stay where they were
+    read; what is held at once is a partition, compressed."""
+    if plain.isEmpty():
+        return plain.sparkSession.sparkContext.emptyRDD()
+    blocks = plain.mapInArrow(lambda it: _send_rows(it, text, block_bytes), "blocks array<long>, rows array<binary>").rdd
+    answer = F.struct("block", "shard", F.crc32("words").alias("check"), "sums")        # a block knows its words
+    answers = (context_sums(plain, text, block_bytes, shards)
+               .select(F.shiftright("block", 32).cast("int").alias("part"), answer.alias("answer"))
+               .repartitionById(blocks.getNumPartitions(), "part")
+               .groupBy("part").agg(F.collect_list("answer").alias("answers")).select("answers").rdd)
+    return blocks.zip(answers)
+
+
+def _block_features(rows: bytes, answers: list, text: str, shards: int, groups: int = 4):
+    """(piece, features) of one block.  Texts become numbers first, so that all words of the block are
+    known; their vectors are then made and used in ``groups`` ranges of hashes, to hold few at a time."""
+    pieces = [Texts(part.column(text)) for part in _parts_of(rows)]
+    words = np.unique(np.concatenate([np.zeros(0, X.U), *(t.own for t in pieces)]))
+    cuts, known = _shard_cuts(words, shards), 0
+    for t in pieces:
+        t.own = np.searchsorted(words, t.own).astype(np.int32)
+    answers = sorted(answers, key=lambda a: a[1])
+    for g in range(groups):
+        some = [a for a in answers if a[1] * groups // shards == g]
+        if not some:
+            continue
+        begin, end = (int(cuts[s]) for s in (some[0][1], some[-1][1] + 1))
+        vectors = np.zeros((end - begin, DIM), np.float32)
+        for _, s, check, packed in some:
+            lo, hi = cuts[s], cuts[s + 1]
+            if zlib.crc32(_pack_sorted(words[lo:hi])) != check:
+                raise RuntimeError(_CHANGED)
+            total = _unpack_sums(packed).astype(np.float64)
+            vectors[lo - begin:hi - begin] = total / np.maximum(np.sqrt((total ** 2).sum(axis=1, keepdims=True)), 1)
+            known += hi - lo
+        for t in pieces:
+            t.add(vectors, begin)
+    if known != len(words):
+        raise RuntimeError(_CHANGED)
+    del vectors
+    for part, t in zip(_parts_of(rows), pieces):
+        yield part, t.features()
+
+
 class Featured:
     """Rows with the features of their text: ``rows`` has the columns under plain names (c0, c1, ...) and
     ``features`` (float32); ``names`` are the columns' own names."""
@@ -225,7 +340,7 @@ class Featured:
 
 
 def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, stored: bool = False,
-             block_bytes: int = 64 << 20) -> Featured:
+             block_bytes: int = 32 << 20) -> Featured:
     """The rows of ``docs`` (columns ``keep``, by default all) with their features, written once.
 
     Blocks are cut twice, for the sums and for the features, so both readings must give the same rows
@@ -237,32 +352,22 @@ def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     text = f"c{names.index(text_col)}"
     wanted = [i for i, c in enumerate(names) if keep is None or c in keep]
     own = [f"c{i}" for i in wanted]
-    kinds = "".join(f"c{i} {docs.schema.fields[i].dataType.simpleString()}, " for i in wanted)
+    schema = T.StructType([*(T.StructField(f"c{i}", docs.schema.fields[i].dataType) for i in wanted), T.StructField("features", T.BinaryType())])
     plain = plain.select(*dict.fromkeys([*own, text]))
     if not stored:
         plain = kept(plain, "quality-documents")
-    told = context_sums(plain, text, block_bytes)
-
-    def job(rows: pa.Table, got: pa.Table) -> pa.Table:
-        parts = [part for b in rows.column("rows").to_pylist() for part in _parts_of(b)]
-        order = np.argsort(got.column("shard").to_numpy())
-        words = [_unpack_sorted(got.column("words")[int(i)].as_py()) for i in order]
-        words = np.concatenate([np.zeros(0, X.U), *words])
-        vectors, at = np.empty((len(words), DIM), np.float32), 0
-        for i in order:
-            sums = _unpack_sums(got.column("sums")[int(i)].as_py()).astype(np.float64)
-            vectors[at:at + len(sums)] = sums / np.maximum(np.sqrt((sums ** 2).sum(axis=1, keepdims=True)), 1)
-            at += len(sums)
-        present = [np.unique(X.Words(*X.utf8(part.column(text)), _WORD).hash) for part in parts]
-        if not np.array_equal(np.unique(np.concatenate([np.zeros(0, X.U), *present])), words):
-            raise RuntimeError("the documents were not the same when they were read again")
-        known = Vectors(words, vectors)
-        kind = pa.schema([*(parts[0].schema.field(c) for c in own), pa.field("features", pa.binary())])
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays(
-            [*(part.column(c) for c in own), pa.array([r.tobytes() for r in known.features(part.column(text))], pa.binary())], schema=kind) for part in parts])
-
-    blocks = plain.mapInArrow(lambda it: _send_rows(it, text, block_bytes), "block long, rows binary")
-    rows = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(job, f"{kinds}features binary")
+    shards = _shards(plain, text)
+
+    def job(pair):
+        (blocks, rows), (answers,) = pair
+        if not {a[0] for a in answers} <= set(blocks):
+            raise RuntimeError(_CHANGED)
+        for block, packed in zip(blocks, rows):
+            for part, found in _block_features(packed, [a for a in answers if a[0] == block], text, shards):
+                yield from zip(*(part.column(c).to_pylist(maps_as_pydicts="strict") for c in own), (r.tobytes() for r in found))
+            X.release()
+
+    rows = plain.sparkSession.createDataFrame(_paired(plain, text, block_bytes, shards).flatMap(job), schema, verifySchema=False)
     return Featured(kept(rows, "quality-features"), [names[i] for i in wanted])
 
 

@@ -7,6 +7,8 @@ buffer with offsets, words are found with array operations and represented by
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +41,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def release() -> None:
+    """Memory that a finished step no longer uses goes back to the system; workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def space_table() -> np.ndarray:
     """Byte map: A-Z lower-cased, ASCII white space (0x20, 0x09-0x0D) -> 0."""
     t = np.arange(256, dtype=np.uint8)
