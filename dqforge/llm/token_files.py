@@ -279,6 +279,7 @@ def _shards(batches, path: str, end_id: int):
 
     def row():
         r = _shard_row((now << 24) + part, ids, streams)
+        X.release()
         return pa.RecordBatch.from_pylist([r], schema=pa.schema([
             (c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in _ROW.split(", ")]))
 
