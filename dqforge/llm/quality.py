@@ -28,13 +28,16 @@ each; without labels of both kinds the score is the smoothed share of label 1
 from __future__ import annotations
 
 import io
+import struct
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import RDD, TaskContext
+from pyspark.serializers import NoOpSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,13 +106,19 @@ def _index_sums(own: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndar
     return total.reshape(n, DIM)
 
 
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes, each place's number among them, in two bytes where these do)"""
+    own, code = np.unique(hashes, return_inverse=True)
+    return own, code.astype(np.uint16 if len(own) < 1 << 16 else np.int32)
+
+
 class Texts:
     """Texts in numbers: distinct words, each place's number among them, and what needs no word vectors."""
 
     def __init__(self, column):
         p = Parts(column)
-        self.own, code = np.unique(p.words.hash, return_inverse=True)
-        self.code, self.first, n = code.astype(np.int32), p.words.first, p.words.n[:, None]
+        self.own, self.code = _numbered(p.words.hash)
+        self.first, n = p.words.first, p.words.n[:, None]
         self.total = np.zeros((len(n), DIM))
         marks, mark = np.unique(p.marks.hash, return_inverse=True)
         self.rest = np.concatenate([np.log1p(n) / 10, _index_sums(marks, mark, p.marks.first) / (n + 1),
@@ -117,7 +126,7 @@ class Texts:
 
     def add(self, vectors: np.ndarray, begin: int, most: int = 1 << 13) -> None:
         """Add the ``vectors`` of the block's words from number ``begin`` on; ``own`` are numbers by now."""
-        lo, hi = np.searchsorted(self.own, [begin, begin + len(vectors)])
+        lo, hi = np.searchsorted(self.own, [begin, begin + len(vectors)]).tolist()
         mine = vectors[self.own[lo:hi] - begin].astype(np.float64)
         places = np.flatnonzero((self.code >= lo) & (self.code < hi))
         code, first = self.code[places] - lo, np.searchsorted(places, self.first)
@@ -131,33 +140,46 @@ class Texts:
 
 
 class Contexts:
-    """The words of a block of texts, from (distinct words, each place's number among them, its row) of its
-    pieces: ``own`` are the distinct ones in order."""
+    """The words of a block of texts, from (distinct words, each place's number among them, words of each row) of
+    its pieces, which it takes from the list: ``own`` are the distinct ones in order.  Places are looked
+    up and sorted for a range of words at a time; only the places' words are held for the whole block."""
 
     def __init__(self, pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.own = np.unique(np.concatenate([own for own, _, _ in pieces]))
-        size = sum(len(code) for _, code, _ in pieces)
-        self.code, self.doc, at = np.zeros(size + 2 * _REACH, np.int32), np.full(size + 2 * _REACH, -1, np.int32), _REACH
-        for own, code, doc in pieces:
-            self.code[at:at + len(code)] = np.searchsorted(self.own, own).astype(np.int32)[code]
-            self.doc[at:at + len(code)] = doc
-            at += len(code)
-        inner = self.code[_REACH:_REACH + size]
-        self.order = np.argsort(inner, kind="stable").astype(np.int32) + np.int32(_REACH)
-        self.start = np.r_[0, np.cumsum(np.bincount(inner, minlength=len(self.own)))]
+        size = sum(len(code) + _REACH * len(n) for _, code, n in pieces)
+        # texts one after another, each with places of no word, ``len(own)``, before it; and some at the end
+        self.code, at, count = np.full(size + _REACH, len(self.own), np.int32), 0, np.zeros(len(self.own), np.int64)
+        while pieces:
+            own, code, n = pieces.pop()
+            word = np.searchsorted(self.own, own).astype(np.int32)
+            count[word] += np.bincount(code, minlength=len(own))
+            self.code[at + np.arange(len(code)) + np.repeat(_REACH * np.arange(1, len(n) + 1), n)] = word[code]
+            at += len(code) + _REACH * len(n)
+        self.start = np.r_[0, np.cumsum(count)]
         self.place = _places(self.own)
-
-    def around(self, lo: int, hi: int) -> np.ndarray:
-        """Sums of the index vectors around ``own[lo:hi]``; memory goes with ``hi - lo`` and their places."""
-        at = self.order[self.start[lo]:self.start[hi]]
-        row, doc = np.repeat(np.arange(hi - lo) * DIM, np.diff(self.start[lo:hi + 1])), self.doc[at]
-        total, near = np.zeros((hi - lo) * DIM, np.int64), []
-        for step in (*range(-_REACH, 0), *range(1, _REACH + 1)):
-            other = at + np.int32(step)
-            same = self.doc[other] == doc
-            near.append((row[same], self.code[other[same]]))
-        for sign, places in ((-1, self.place[::2]), (1, self.place[1::2])):
-            total += sign * np.bincount(np.concatenate([r + p[c] for r, c in near for p in places]), minlength=len(total))
+        self.begin = self.end = 0
+        self.order = np.zeros(0, np.int32)
+
+    def _places_of(self, lo: int, hi: int, most: int = 1 << 18) -> np.ndarray:
+        """The places of ``own[lo:hi]`` in the order of their words; those of further words, ``most`` or so, are kept for later calls."""
+        if not self.begin <= lo <= hi <= self.end:
+            self.begin, self.end = lo, max(hi, int(np.searchsorted(self.start, self.start[lo] + most, side="right")) - 1)
+            at = np.flatnonzero((self.code >= self.begin) & (self.code < self.end)).astype(np.int32)
+            self.order = at[np.argsort(self.code[at], kind="stable")]
+        return self.order[self.start[lo] - self.start[self.begin]:self.start[hi] - self.start[self.begin]]
+
+    def around(self, lo: int, hi: int, most: int = 1 << 16) -> np.ndarray:
+        """Sums of the index vectors around ``own[lo:hi]``, added up over ``most`` places at a time."""
+        places, total = self._places_of(lo, hi), np.zeros((hi - lo) * DIM, np.int64)
+        for begin in range(0, len(places), most):
+            at, near = places[begin:begin + most], []
+            row = (self.code[at] - np.int32(lo)).astype(np.int64) * DIM
+            for step in (*range(-_REACH, 0), *range(1, _REACH + 1)):
+                other = self.code[at + np.int32(step)]
+                word = other < len(self.own)
+                near.append((row[word], other[word]))
+            for sign, kind in ((-1, self.place[::2]), (1, self.place[1::2])):
+                total += sign * np.bincount(np.concatenate([r + p[c] for r, c in near for p in kind]), minlength=len(total))
         return total.reshape(-1, DIM)
 
 
@@ -198,25 +220,33 @@ def _unpack_sums(b: bytes) -> np.ndarray:
 
 
 def _blocks(batches, text: str, block_bytes: int):
-    """(block, pieces) for rows in the order of the partition: pieces of a quarter of a megabyte, blocks of ``block_bytes`` of text."""
-    waiting, size, made, task = [], 0, 0, TaskContext.get().partitionId()
+    """(block, piece) for rows in the order of the partition: pieces of a quarter of a megabyte, blocks of
+    ``block_bytes`` of text; (block, None) where a block ends.  No text is held but the batch at hand."""
+    block, size, begun = TaskContext.get().partitionId() << 32, 0, False
     for batch in batches:
         for part in X.pieces(batch, text, 1 << 18):
-            waiting.append(part)
-            size += part.column(text).nbytes
+            size, begun = size + part.column(text).nbytes, True
+            yield block, part
             if size >= block_bytes:
-                yield (task << 32) + made, waiting
-                waiting, size, made = [], 0, made + 1
-    if waiting:
-        yield (task << 32) + made, waiting
+                yield block, None
+                block, size, begun = block + 1, 0, False
+    batch = part = None                                                 # the last ones go before the last block is worked on
+    if begun:
+        yield block, None
+
 
+class _Packing:
+    """An Arrow stream, compressed as its batches come."""
 
-def _packed(parts: list[pa.RecordBatch]) -> bytes:
-    sink = io.BytesIO()
-    with zstandard.ZstdCompressor(level=1).stream_writer(sink, closefd=False) as packed, pa.ipc.new_stream(packed, parts[0].schema) as out:
-        for part in parts:
-            out.write_batch(part)
-    return sink.getvalue()
+    def __init__(self, schema: pa.Schema):
+        self.sink = io.BytesIO()
+        self.packed = zstandard.ZstdCompressor(level=1).stream_writer(self.sink, closefd=False)
+        self.out = pa.ipc.new_stream(self.packed, schema)
+
+    def done(self) -> memoryview:
+        self.out.close()
+        self.packed.close()
+        return self.sink.getbuffer()
 
 
 def _parts_of(rows: bytes):
@@ -224,33 +254,36 @@ def _parts_of(rows: bytes):
         yield from stream
 
 
-def _send_rows(batches, text: str, block_bytes: int):
-    """One row a partition that has any: its blocks as compressed Arrow streams."""
-    blocks, rows = [], []
-    for block, parts in _blocks(batches, text, block_bytes):
-        blocks.append(block)
-        rows.append(_packed(parts))
-    if blocks:
-        yield pa.RecordBatch.from_arrays([pa.array([blocks], pa.list_(pa.int64())), pa.array([rows], pa.list_(pa.binary()))], names=["blocks", "rows"])
-    del rows
-    X.release()
+def _send_rows(batches, text: str, shards: int, block_bytes: int, most: int = 1 << 20):
+    """Each block as a compressed Arrow stream, cut into as many rows as shards answer it, sent in batches of ``most`` bytes or so."""
+    packing = None
+    for _, part in _blocks(batches, text, block_bytes):
+        if part is not None:
+            packing = packing or _Packing(part.schema)
+            packing.out.write_batch(part)
+            continue
+        data, packing = packing.done(), None
+        each = -(-len(data) // shards)
+        step = max(1, most // each)
+        for s in range(0, shards, step):
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(data[i * each:(i + 1) * each]) for i in range(s, min(s + step, shards))], pa.binary())], names=["chunk"])
+        del data
+        X.release()
 
 
 def _send_sums(batches, text: str, shards: int, block_bytes: int):
-    """Per block and shard: distinct words and the sums around them; at least one message a block."""
-    for block, parts in _blocks(batches, text, block_bytes):
-        pieces, rows = [], 0
-        for part in parts:
-            w = X.Words(*X.utf8(part.column(text)), _WORD)
-            own, code = np.unique(w.hash, return_inverse=True)
-            pieces.append((own, code.astype(np.int32), (w.doc + rows).astype(np.int32)))
-            rows += part.num_rows
-        del parts[:]
+    """A message per block and shard, if only an empty one: distinct words and the sums around them."""
+    pieces = []
+    for block, part in _blocks(batches, text, block_bytes):
+        if part is not None:
+            words = X.Words(*X.utf8(part.column(text)), _WORD)
+            pieces.append((*_numbered(words.hash), words.n))
+            del words
+            continue
+        X.release()
         around = Contexts(pieces)
-        del pieces
         cuts = _shard_cuts(around.own, shards)
-        for s in np.flatnonzero(np.diff(cuts)).tolist() or [block % shards]:
-            lo, hi = cuts[s], cuts[s + 1]
+        for s, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([block], pa.int64()), pa.array([_pack_sorted(around.own[lo:hi])], pa.binary()),
                                               pa.array([_pack_sums(around.around(lo, hi))], pa.binary())], names=["shard", "block", "words", "sums"])
         del around
@@ -285,48 +318,79 @@ def context_sums(plain: DataFrame, text: str, block_bytes: int, shards: int | No
 
 
 _CHANGED = "the documents were not the same when they were read again"
+_UNEVEN = "same number of elements"             # what Spark says of it if there are more or fewer blocks
+
+
+class Answer(NamedTuple):
+    """What a shard tells a block: the checksum of the block's words of the shard, and their sums."""
+
+    block: int
+    shard: int
+    check: int
+    sums: bytes
+
+
+_HEAD = ">qqq"
+
+
+def _bytes(df: DataFrame) -> RDD:
+    """The only column of ``df``, a binary one, as an RDD of its values as they are: no row is pickled."""
+    sc = df.sparkSession.sparkContext
+    return RDD(getattr(df._jdf, "as")(sc._jvm.org.apache.spark.sql.Encoders.BINARY()).javaRDD(), sc, NoOpSerializer())
+
+
+def _gather(task: int, pairs, shards: int):
+    rows, answers, size = [], [], struct.calcsize(_HEAD)
+    for i, (chunk, answer) in enumerate(pairs):
+        if i % shards == 0:
+            rows.append(bytearray())
+        rows[-1] += chunk
+        answers.append(Answer(*struct.unpack_from(_HEAD, answer), answer[size:]))
+    if rows:
+        yield ([(task << 32) + i for i in range(len(rows))], rows), (answers,)
+
+
 def _paired(plain: DataFrame, text: str, block_bytes: int, shards: int) -> RDD:
     """For each partition of ``plain`` that has rows: ((blocks, rows), (answers,)).  Both readings cut the same
     blocks in the same partitions, so the answers are sent there and the texts stay where they were
-    read; what is held at once is a partition, compressed."""
+    read; what is held at once is a partition, compressed.  A block's rows are cut into as many chunks as
+    it has answers, so chunks and answers can be zipped, and the JVM holds a few small ones at a time."""
     if plain.isEmpty():
         return plain.sparkSession.sparkContext.emptyRDD()
-    blocks = plain.mapInArrow(lambda it: _send_rows(it, text, block_bytes), "blocks array<long>, rows array<binary>").rdd
-    answer = F.struct("block", "shard", F.crc32("words").alias("check"), "sums")        # a block knows its words
-    answers = (context_sums(plain, text, block_bytes, shards)
-               .select(F.shiftright("block", 32).cast("int").alias("part"), answer.alias("answer"))
-               .repartitionById(blocks.getNumPartitions(), "part")
-               .groupBy("part").agg(F.collect_list("answer").alias("answers")).select("answers").rdd)
-    return blocks.zip(answers)
+    chunks = _bytes(plain.mapInArrow(lambda it: _send_rows(it, text, shards, block_bytes), "chunk binary"))
+    head = [F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("block", "shard", F.crc32("words"))]       # a block knows its words
+    answers = _bytes(context_sums(plain, text, block_bytes, shards)
+                     .select(F.shiftright("block", 32).cast("int").alias("part"), F.concat(*head, "sums").alias("answer"))
+                     .repartitionById(chunks.getNumPartitions(), "part").select("answer"))
+
+    return chunks.zip(answers).mapPartitionsWithIndex(lambda task, pairs: _gather(task, pairs, shards))
 
 
-def _block_features(rows: bytes, answers: list, text: str, shards: int, groups: int = 4):
+def _block_features(rows: bytes, answers: list[Answer], text: str, shards: int, most: int = 1 << 15):
     """(piece, features) of one block.  Texts become numbers first, so that all words of the block are
-    known; their vectors are then made and used in ``groups`` ranges of hashes, to hold few at a time."""
+    known; their vectors are then made and used for ``most`` words or so at a time."""
     pieces = [Texts(part.column(text)) for part in _parts_of(rows)]
     words = np.unique(np.concatenate([np.zeros(0, X.U), *(t.own for t in pieces)]))
-    cuts, known = _shard_cuts(words, shards), 0
+    cuts, at = _shard_cuts(words, shards), 0
     for t in pieces:
         t.own = np.searchsorted(words, t.own).astype(np.int32)
-    answers = sorted(answers, key=lambda a: a[1])
-    for g in range(groups):
-        some = [a for a in answers if a[1] * groups // shards == g]
-        if not some:
-            continue
-        begin, end = (int(cuts[s]) for s in (some[0][1], some[-1][1] + 1))
-        vectors = np.zeros((end - begin, DIM), np.float32)
-        for _, s, check, packed in some:
+    answers = sorted(answers, key=lambda a: a.shard)
+    if [a.shard for a in answers] != list(range(shards)):
+        raise RuntimeError(_CHANGED)
+    while at < shards:
+        begin, end = int(cuts[at]), max(at + 1, int(np.searchsorted(cuts, cuts[at] + most, side="right")) - 1)
+        vectors = np.zeros((int(cuts[end]) - begin, DIM), np.float32)
+        for s in range(at, end):
             lo, hi = cuts[s], cuts[s + 1]
-            if zlib.crc32(_pack_sorted(words[lo:hi])) != check:
+            if zlib.crc32(_pack_sorted(words[lo:hi])) != answers[s].check:
                 raise RuntimeError(_CHANGED)
-            total = _unpack_sums(packed).astype(np.float64)
+            total = _unpack_sums(answers[s].sums).astype(np.float64)
+            answers[s] = None
             vectors[lo - begin:hi - begin] = total / np.maximum(np.sqrt((total ** 2).sum(axis=1, keepdims=True)), 1)
-            known += hi - lo
         for t in pieces:
             t.add(vectors, begin)
-    if known != len(words):
-        raise RuntimeError(_CHANGED)
-    del vectors
+        at = end
+    del vectors, total
     for part, t in zip(_parts_of(rows), pieces):
         yield part, t.features()
 
@@ -360,15 +424,25 @@ def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
 
     def job(pair):
         (blocks, rows), (answers,) = pair
-        if not {a[0] for a in answers} <= set(blocks):
-            raise RuntimeError(_CHANGED)
-        for block, packed in zip(blocks, rows):
-            for part, found in _block_features(packed, [a for a in answers if a[0] == block], text, shards):
+        told = {block: [] for block in blocks}
+        while answers:
+            if (a := answers.pop()).block not in told:
+                raise RuntimeError(_CHANGED)
+            told[a.block].append(a)
+        del a
+        for i, block in enumerate(blocks):
+            packed, rows[i] = rows[i], None
+            for part, found in _block_features(packed, told.pop(block), text, shards):
                 yield from zip(*(part.column(c).to_pylist(maps_as_pydicts="strict") for c in own), (r.tobytes() for r in found))
             X.release()
 
     rows = plain.sparkSession.createDataFrame(_paired(plain, text, block_bytes, shards).flatMap(job), schema, verifySchema=False)
-    return Featured(kept(rows, "quality-features"), [names[i] for i in wanted])
+    try:
+        return Featured(kept(rows, "quality-features"), [names[i] for i in wanted])
+    except Exception as e:
+        if _UNEVEN in str(e):
+            raise RuntimeError(_CHANGED) from e
+        raise
 
 
 class Network:
