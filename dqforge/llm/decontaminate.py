@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .store import kept
 
+_PIECE = 1 << 20              # bytes of text whose words are looked up at once
 _WINDOWS = "item string, words array<binary>"
 _BITS = 20
 
@@ -133,9 +134,10 @@ def _count_shingles(batches, shared):
     s, table = shared.value, X.alnum_table()
     total = np.zeros(len(s.key), np.int64)
     for batch in batches:
-        for part in X.pieces(batch):
+        for part in X.pieces(batch, limit=_PIECE):
             _, which = s.find(X.Words(*X.utf8(part.column("text")), table))
             total += np.bincount(which, minlength=len(s.key))
+    X.release()
     hit = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(X.shift_all(s.key[hit])), pa.array(total[hit])], names=["h", "n"])
 
@@ -158,7 +160,7 @@ def _hits(batches, shared, key_cols):
     """One row for each document row: words, covered word runs, items."""
     s, table = shared.value, X.alnum_table()
     for batch in batches:
-        for part in X.pieces(batch):
+        for part in X.pieces(batch, limit=_PIECE):
             w = X.Words(*X.utf8(part.column("text")), table)
             cover = np.zeros(len(w.hash) + 1, np.int64)
             items: dict[int, set] = {}
@@ -244,10 +246,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shingl
 def _flag(batches, shared):
     s, table = shared.value, X.alnum_table()
     for batch in batches:
-        for part in X.pieces(batch, "__text"):
+        for part in X.pieces(batch, "__text", _PIECE):
             w = X.Words(*X.utf8(part.column("__text")), table)
             bad = {int(w.doc[b]) for _, b in _matches(s, w)}
             yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
+    X.release()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shingle: int = 4,

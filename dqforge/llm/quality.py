@@ -509,11 +509,15 @@ def score(rows: Featured, network: Network) -> DataFrame:
     plain = rows.rows.columns[:-1]
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.rows.schema.fields[:-1])
 
-    def job(batches):
+    def job(batches, most=1 << 10):
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("features").to_pylist()), np.float32).reshape(batch.num_rows, -1 if batch.num_rows else 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(network.probabilities(x.astype(np.float64)))],
-                                             names=[*plain, "__score"])
+            for begin in range(0, batch.num_rows, most):
+                part = batch.slice(begin, most)
+                x = np.frombuffer(b"".join(part.column("features").to_pylist()), np.float32).reshape(part.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in plain), pa.array(network.probabilities(x.astype(np.float64)))],
+                                                 names=[*plain, "__score"])
+        X.release()
+
     return rows.rows.mapInArrow(job, f"{kinds}__score double").toDF(*rows.names, "__score")
 
 

@@ -27,6 +27,7 @@ only has a null id; an empty table gives an empty result.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,7 @@ def _fingerprints(batches, k: int):
             keep = [c for c in part.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(X.shift_all(fp))],
                                              names=[*keep, "fp"])
+        X.release()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,11 +217,13 @@ def _links(batches, bits: int, small: int = 64, most: int = 200_000):
         yield roots.rows()
 
 
-def near_links(vertices: DataFrame, bits: int = 4, cell_limit: int = 4096) -> DataFrame:
+def near_links(vertices: DataFrame, bits: int = 4, cell_limit: int = 4096, task_cells: int = 1 << 20) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of ``vertices.fp`` within ``bits``."""
     if not 0 <= bits < BLOCKS:
         raise ValueError(f"bits must be from 0 to {BLOCKS - 1}")
-    cells = vertices.select("fp").mapInArrow(lambda it: _cells(it, bits), "cell long, fp long")
+    # a task counts about ``task_cells`` cells, nearly all of them distinct; a stored table of fingerprints is a few files
+    tasks = max(1, -(-vertices.count() * comb(BLOCKS, bits) // task_cells))
+    cells = vertices.select("fp").repartition(tasks, "fp").mapInArrow(lambda it: _cells(it, bits), "cell long, fp long")
     large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_limit)
     chunks = F.ceil(F.col("n") / cell_limit).cast("long")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks"))
